@@ -1,3 +1,4 @@
 """Import every plan module so each registers itself."""
 
 from civicframe.plans import activity  # noqa: F401
+from civicframe.plans import orders  # noqa: F401
