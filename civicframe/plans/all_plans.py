@@ -4,3 +4,4 @@ from civicframe.plans import activity  # noqa: F401
 from civicframe.plans import orders  # noqa: F401
 from civicframe.plans import geography  # noqa: F401
 from civicframe.plans import notes  # noqa: F401
+from civicframe.plans import documents  # noqa: F401
