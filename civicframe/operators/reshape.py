@@ -95,8 +95,9 @@ def concept_title(col) -> Column:
     return title_case(c)
 
 
-# The glyphs of the ``tree`` command.
-BRANCH, LAST_BRANCH, PIPE, SPACE = "├── ", "└── ", "│   ", "    "
+# The glyphs of the ``tree`` command (its vertical bar is
+# followed by two no-break spaces and one space).
+BRANCH, LAST_BRANCH, PIPE, SPACE = "├── ", "└── ", "│\u00a0\u00a0 ", "    "
 
 
 def path_tree(paths: DataFrame, path_col: str = "path", sep: str = "/") -> DataFrame:

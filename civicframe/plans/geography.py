@@ -157,7 +157,7 @@ nn AS (SELECT key, depth, key[depth] AS name, CASE WHEN depth > 1 THEN key[1:dep
        FROM nodes),
 fl AS (SELECT nn.*, name = max(name) OVER (PARTITION BY parent) AS is_last FROM nn),
 kids AS (SELECT parent AS key, COUNT(*) AS children FROM nn GROUP BY 1),
-pads AS (SELECT f.key, string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.depth) AS pad
+pads AS (SELECT f.key, string_agg(CASE WHEN a.is_last THEN '    ' ELSE '│' || chr(160) || chr(160) || ' ' END, '' ORDER BY a.depth) AS pad
          FROM fl f JOIN fl a ON a.depth < f.depth AND a.key = f.key[1:a.depth] GROUP BY f.key)
 SELECT array_to_string(fl.key, '/') AS path, fl.key, fl.depth, fl.name, CAST(coalesce(k.children, 0) AS BIGINT) AS children,
        fl.is_last, coalesce(pads.pad, '') || CASE WHEN fl.is_last THEN '└── ' ELSE '├── ' END || fl.name AS line
