@@ -98,3 +98,50 @@ def address_to_parcel(requests: DataFrame, parcels: DataFrame, req_addr: str, pa
     r = requests.withColumn("_addr_key", normalise_address(req_addr))
     p = parcels.withColumn("_addr_key", normalise_address(parcel_addr))
     return r.join(p.drop(parcel_addr), "_addr_key", "left").drop("_addr_key")
+
+
+# Bounds for shipping a pattern list to every task (checked before use).
+PATTERN_MAX_ITEMS = 200_000
+PATTERN_MAX_BYTES = 64 << 20
+
+
+def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str) -> DataFrame:
+    """J7 for literal items: keep rows whose text contains any item as a
+    substring.
+
+    Spark has no multi-pattern substring search; a join on ``contains``
+    tests every (row, item) pair. When the item list is within the
+    checked bounds it is broadcast and each partition runs one
+    Aho-Corasick pass per text (Arrow batches through ``mapInPandas``),
+    whose cost does not grow with the number of items. Beyond the bounds
+    the broadcast-free nested-loop semi join is used instead.
+    """
+    distinct = items.select(F.col(item_col).alias("_item")).where(F.col("_item").isNotNull()) \
+        .where(F.length("_item") > 0).distinct()
+    stats = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_item")).alias("b")).first()
+    n, nbytes = stats["n"], stats["b"] or 0
+    if n == 0:
+        return df.limit(0)
+    if n > PATTERN_MAX_ITEMS or nbytes > PATTERN_MAX_BYTES:
+        return df.join(distinct, F.col(text_col).contains(F.col("_item")), "left_semi")
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:  # pragma: no cover - library missing: stay in the JVM
+        return df.join(F.broadcast(distinct), F.col(text_col).contains(F.col("_item")), "left_semi")
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast([r["_item"] for r in distinct.collect()])
+
+    def scan(batches):
+        import ahocorasick as ac
+        auto = ac.Automaton()
+        for i, w in enumerate(shared.value):
+            auto.add_word(w, i)
+        auto.make_automaton()
+        for pdf in batches:
+            texts = pdf[text_col]
+            pdf = pdf.assign(_hit=[t is not None and next(auto.iter(t), None) is not None for t in texts])
+            yield pdf
+
+    hits = df.mapInPandas(scan, schema=", ".join(
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["_hit boolean"]))
+    return hits.where(F.col("_hit")).drop("_hit")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicframe.operators import spatial as S
+from civicframe.operators.parallel import widen
 from civicframe.sources.readers import with_bbox
 from civicframe.plans.registry import register, table
 
@@ -29,7 +30,7 @@ def nation_squares(spark, sf_dir) -> DataFrame:
 
 
 def customer_squares(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = widen(table(spark, sf_dir, "customer"), "c_custkey")
     x0 = (F.col("c_custkey") % 50).cast("double")
     y0 = (F.floor(F.col("c_custkey") / 50) % 50).cast("double")
     w = F.lit(0.5) + F.abs(F.col("c_acctbal")) / 2000

@@ -9,6 +9,7 @@ from civicframe.functions.strings import squish
 from civicframe.operators import aggregate as A
 from civicframe.operators import joins as J
 from civicframe.operators import windows as W
+from civicframe.operators.parallel import widen
 from civicframe.plans.registry import register, table
 
 
@@ -48,12 +49,11 @@ def fill_quality_up(spark, sf_dir):
 SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))
 """)
 def benchmark_passages(spark, sf_dir):
-    """Documents that contain a whole benchmark item. The benchmark is a
-    fixed evaluation set (bounded, broadcast); each document is tested
-    against every item inside the JVM."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("text").alias("_item")).distinct())
-    return d.join(b, F.col("text").contains(F.col("_item")), "left_semi").select("doc_id")
+    """Documents that contain a whole benchmark item (one multi-pattern
+    pass per document; see :func:`joins.semi_join_contains`)."""
+    d = widen(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    b = table(spark, sf_dir, "benchmark").select("text")
+    return J.semi_join_contains(d, "text", b, "text").select("doc_id")
 
 
 @register("turns_not_echoing_benchmark", ("J6",), r"""

@@ -16,6 +16,7 @@ from civicframe.functions.regex import alternation, java_regex
 from civicframe.functions.strings import squish
 from civicframe.operators import columns as C
 from civicframe.operators import joins as J
+from civicframe.operators.parallel import widen
 from civicframe.operators.text import drop_emptied, extract_and_strip, gated_fold_replace
 from civicframe.plans.registry import register, table
 
@@ -113,7 +114,7 @@ def short_residuals(cleaned: DataFrame, text: str = "RESOLUTION_SUMMARY", length
 # --- the same cleaning over the driver's documents ---------------------------
 
 def _documents_notes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("note"))
+    d = widen(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("note")), "doc_id")
     d = strip_phones_dates(d, "note")
     d = fix_and_tag_inspectors(d, "note")
     return drop_emptied(tag_visits_status_contacts(d, "note"), "note")
@@ -141,7 +142,7 @@ SELECT doc_id,
 FROM documents
 """)
 def document_punctuation(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = widen(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     c = normalise_punctuation(F.lower("text"))
     return d.select("doc_id", F.md5(c).alias("cleaned_md5"))
 
@@ -154,7 +155,7 @@ SELECT doc_id,
 FROM documents
 """)
 def document_contacts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = widen(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return d.select(
         "doc_id",
         F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 0).alias("emails"),

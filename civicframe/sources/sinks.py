@@ -43,11 +43,11 @@ def append_to_cache(df: DataFrame, path: str, keys=("year", "geography", "geoid"
     nothing and a half-finished run can simply be repeated."""
     spark = df.sparkSession
     old = _existing(spark, path)
-    new = df
+    new = df.dropDuplicates(list(keys))
     if old is not None:
         parts = df.select(*partition_by).distinct()
         old_keys = old.join(F.broadcast(parts), list(partition_by), "left_semi").select(*keys)
-        new = df.join(old_keys, list(keys), "left_anti")
+        new = new.join(old_keys, list(keys), "left_anti")
     (new.repartition(*[F.col(c) for c in partition_by])
         .write.mode("append").partitionBy(*partition_by)
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(path))
