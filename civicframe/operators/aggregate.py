@@ -77,9 +77,10 @@ def correlation(df: DataFrame, group_cols, x: str, y: str, out: str = "r") -> Da
 
 
 def rank_correlation(df: DataFrame, group_cols, x: str, y: str, tie_key, out: str = "rho") -> DataFrame:
-    """A10: correlation of row-number ranks (Spearman with ties broken by a
-    key). Ranks come from :func:`numbered`, which never puts one group in
-    one task."""
+    """A10: correlation of row-number ranks (Spearman with ties broken by
+    ``tie_key``, which must make rows unique, as R's row order does).
+    Ranks come from :func:`numbered`, which never puts one group in one
+    task."""
     tie = [tie_key] if isinstance(tie_key, str) else list(tie_key)
     rx = numbered(df.select(*group_cols, x, y, *tie), [F.col(x)] + [F.col(t) for t in tie], group_cols, "_rx")
     ry = numbered(rx, [F.col(y)] + [F.col(t) for t in tie], group_cols, "_ry")

@@ -34,7 +34,9 @@ def daily(spark, sf_dir):
 WITH daily AS (
   SELECT user_id, CAST(ts AS DATE) AS day, SUM(value) AS total FROM events GROUP BY 1, 2)
 SELECT CAST(dayofweek(day) + 1 AS INTEGER) AS weekday, strftime(day, '%a') AS weekday_label,
-       COUNT(*) AS n_days, ROUND(AVG(total), 4) AS mean_seconds,
+       COUNT(*) AS n_days,
+       CAST((2 * SUM(CAST(round(total * 100) AS BIGINT)) * 100 + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 10000
+         AS mean_seconds,
        printf('%dH %dM %dS', CAST(floor(AVG(total)) AS BIGINT) // 3600,
               (CAST(floor(AVG(total)) AS BIGINT) % 3600) // 60, CAST(floor(AVG(total)) AS BIGINT) % 60) AS readable
 FROM daily GROUP BY 1, 2
@@ -44,11 +46,22 @@ def duration_by_weekday(spark, sf_dir):
     d = ev.select("user_id", T.day("ts").alias("day"), "value")
     d = d.groupBy("user_id", "day").agg(F.sum("value").alias("total"))
     d = d.select("total", T.weekday("day").alias("weekday"), T.weekday_label("day").alias("weekday_label"))
-    out = d.groupBy("weekday", "weekday_label").agg(F.avg("total").alias("mean"), F.count(F.lit(1)).alias("n_days"))
-    return out.select("weekday", "weekday_label", "n_days", F.round("mean", 4).alias("mean_seconds"),
+    out = d.groupBy("weekday", "weekday_label").agg(
+        F.avg("total").alias("mean"), F.count(F.lit(1)).alias("n_days"),
+        F.sum(F.round(F.col("total") * 100).cast("long")).alias("cents"))
+    return out.select("weekday", "weekday_label", "n_days", fixed_point_mean("cents", "n_days", 100, 4).alias("mean_seconds"),
                       T.readable_duration("mean").alias("readable"))
 
 
+def fixed_point_mean(total_units, n, units_per_one: int, decimals: int):
+    """Mean of values held as whole units (e.g. cents), rounded half up to
+    ``decimals`` with integer arithmetic only, so every engine that sums the
+    same integers prints the same number."""
+    scale = 10 ** decimals
+    num = F.lit(2) * F.col(total_units) * F.lit(scale // units_per_one if scale >= units_per_one else 1) + F.col(n)
+    return (F.floor(num / (F.lit(2) * F.col(n))).cast("long").cast("double") / F.lit(scale))
+
+
 @register("weekly_stats", ("A3", "T3", "T5"), f"""
 WITH ev AS (
   SELECT user_id, CAST(ts AS DATE) AS day, value,

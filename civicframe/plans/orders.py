@@ -53,17 +53,21 @@ def returnflag_share(spark, sf_dir):
 @register("price_quantity_corr", ("A10", "W3"), """
 WITH r AS (
   SELECT l_returnflag, l_quantity, l_extendedprice,
-    row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber) AS rx,
-    row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS ry
+    row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey,
+                       l_suppkey, l_discount, l_tax, l_linestatus, l_shipdate) AS rx,
+    row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey,
+                       l_suppkey, l_discount, l_tax, l_linestatus, l_shipdate) AS ry
   FROM lineitem)
 SELECT l_returnflag, ROUND(corr(l_extendedprice, l_quantity), 8) AS r,
        ROUND(corr(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)), 8) AS rho FROM r GROUP BY 1
 """)
 def price_quantity_corr(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice",
-                                                 "l_orderkey", "l_linenumber")
+    """Ties in the ranks are broken by every other column: the order key and
+    line number alone are not unique in this table."""
+    li = table(spark, sf_dir, "lineitem")
     r = A.correlation(li, ["l_returnflag"], "l_extendedprice", "l_quantity")
-    rho = A.rank_correlation(li, ["l_returnflag"], "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
+    tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
+    rho = A.rank_correlation(li, ["l_returnflag"], "l_quantity", "l_extendedprice", tie)
     return r.join(rho, "l_returnflag").select("l_returnflag", F.round("r", 8).alias("r"), F.round("rho", 8).alias("rho"))
 
 
