@@ -6,3 +6,4 @@ from civicframe.plans import geography  # noqa: F401
 from civicframe.plans import notes  # noqa: F401
 from civicframe.plans import documents  # noqa: F401
 from civicframe.plans import boundaries  # noqa: F401
+from civicframe.plans import formats  # noqa: F401
