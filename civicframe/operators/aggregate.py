@@ -97,29 +97,34 @@ def linear_fit(df: DataFrame, group_cols, x: str, y: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 30, group_cols=()) -> DataFrame:
     """ggplot's default histogram: ``bins`` bins of width
     (max - min) / (bins - 1), the first centred on the minimum, closed on the
-    right. Range per facet is a partial aggregate; every bin is listed, empty
-    ones with count 0."""
+    right. Every bin is listed, empty ones with count 0.
+
+    Without facets the range is a one-row partial aggregate read once and
+    used as literals; with facets it is a small aggregate (one row per
+    facet) broadcast into an equi-join."""
     g = list(group_cols)
-    rng = df.groupBy(*g).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    rng = rng.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.lit(bins - 1)) \
-             .withColumn("_origin", F.col("_lo") - F.col("_w") / 2)
+    vals = df.select(*g, value).where(F.col(value).isNotNull())
+    raw = F.ceil((F.col(value) - F.col("_origin")) / F.col("_w"))
+    b = F.when(F.col("_w") == 0, F.lit(1)).otherwise(F.least(F.greatest(raw, F.lit(1)), F.lit(bins))).cast("int")
     if not g:
-        # One facet: a constant key, so the one-row range joins as an
-        # ordinary broadcast equi-join (one row per key, no pairs).
-        df = df.withColumn("_facet", F.lit(0))
-        rng = rng.withColumn("_facet", F.lit(0))
-        g = ["_facet"]
-        drop_facet = True
+        lo, hi = vals.agg(F.min(value), F.max(value)).first()
+        if lo is None:
+            return df.sparkSession.createDataFrame([], "bin int, xmin double, xmax double, count long")
+        w = (hi - lo) / (bins - 1)
+        origin = lo - w / 2
+        consts = {"_w": F.lit(w).cast("double"), "_origin": F.lit(origin).cast("double")}
+        counts = vals.withColumns(consts).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+        grid = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).withColumns(consts)
+        out = grid.join(counts, "bin", "left")
     else:
-        drop_facet = False
-    joined = df.select(*g, value).where(F.col(value).isNotNull()).join(F.broadcast(rng), g, "inner")
-    raw = F.ceil((F.col(value) - F.col("_origin")) / F.col("_w"))
-    b = F.when(F.col("_w") == 0, F.lit(1)).otherwise(F.least(F.greatest(raw, F.lit(1)), F.lit(bins)))
-    counts = joined.groupBy(*g, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = rng.select(*g, "_origin", "_w", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    out = grid.join(counts, g + ["bin"], "left")
-    keep = [] if drop_facet else g
-    return out.select(*keep, "bin",
+        rng = vals.groupBy(*g).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        rng = rng.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.lit(bins - 1)) \
+                 .withColumn("_origin", F.col("_lo") - F.col("_w") / 2)
+        counts = vals.join(F.broadcast(rng), g, "inner").groupBy(*g, b.alias("bin")) \
+            .agg(F.count(F.lit(1)).alias("count"))
+        grid = rng.select(*g, "_origin", "_w", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+        out = grid.join(counts, g + ["bin"], "left")
+    return out.select(*g, "bin",
                       (F.col("_origin") + (F.col("bin") - 1) * F.col("_w")).alias("xmin"),
                       (F.col("_origin") + F.col("bin") * F.col("_w")).alias("xmax"),
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))

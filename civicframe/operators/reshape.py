@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicframe.functions.strings import title_case
+from civicframe.session import cut_lineage
 
 # Fixed value: wide CHAS column names, e.g. T1_est1, T18C_moe12.
 WIDE_MEASURE = re.compile(r"^(T\w+?)_(est|moe)(\d+)$")
@@ -113,10 +114,13 @@ def path_tree(paths: DataFrame, path_col: str = "path", sep: str = "/") -> DataF
     parts = paths.select(F.split(F.col(path_col), re.escape(sep)).alias("_parts")).distinct()
     nodes = parts.select(F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("depth"), "_parts") \
         .select("depth", F.slice("_parts", 1, F.col("depth")).alias("key")).distinct()
-    nodes = nodes.select(
+    # The node table (distinct prefixes) is read by five joins below; it is
+    # bounded by the number of distinct paths, so write it once to the
+    # shared checkpoint folder instead of recomputing its source each time.
+    nodes = cut_lineage(nodes.select(
         "key", "depth",
         F.element_at("key", -1).alias("name"),
-        F.when(F.col("depth") > 1, F.slice("key", 1, F.col("depth") - 1)).otherwise(F.array().cast("array<string>")).alias("parent"))
+        F.when(F.col("depth") > 1, F.slice("key", 1, F.col("depth") - 1)).otherwise(F.array().cast("array<string>")).alias("parent")))
     last = nodes.groupBy("parent").agg(F.max("name").alias("_last_name"), F.count(F.lit(1)).alias("_siblings"))
     kids = nodes.groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("children"))
     flagged = nodes.join(last, "parent").withColumn("is_last", F.col("name") == F.col("_last_name")) \

@@ -41,10 +41,9 @@ FROM y, m WHERE (max_year - year) % 5 = 0
 """)
 def five_year_windows(spark, sf_dir):
     y = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    m = y.agg(F.max("year").alias("max_year"))
-    # one-row aggregate joined on a constant key (a broadcast equi-join)
-    j = y.withColumn("_k", F.lit(1)).join(F.broadcast(m.withColumn("_k", F.lit(1))), "_k")
-    return j.where(T.non_overlapping_five_year("year", "max_year")) \
+    # the newest year: a one-row aggregate, used as a literal
+    max_year = y.agg(F.max("year")).first()[0]
+    return y.where(T.non_overlapping_five_year("year", F.lit(max_year))) \
         .select("year", T.five_year_label("year").alias("period"), "n")
 
 

@@ -203,11 +203,8 @@ def region_year_long(spark, sf_dir):
     per = j.groupBy("region", line.alias("line")).agg(
         F.round(F.sum("o_totalprice")).cast("long").alias("est"), F.count(F.lit(1)).alias("moe"))
     lines = [str(i) for i in range(1, 8)]
-    est = R.long_to_wide(per, ["region"], "line", "est", lines).select(
-        "region", *[F.col(x).alias(f"T1_est{x}") for x in lines])
-    moe = R.long_to_wide(per, ["region"], "line", "moe", lines).select(
-        "region", *[F.col(x).alias(f"T1_moe{x}") for x in lines])
-    wide = est.join(moe, "region")
+    wide = per.groupBy("region").pivot("line", lines).agg(F.first("est").alias("est"), F.first("moe").alias("moe"))
+    wide = wide.select("region", *[F.col(f"{x}_{m}").alias(f"T1_{m}{x}") for x in lines for m in ("est", "moe")])
     long = R.wide_to_long(wide, ["region"])
     return long.where(F.col("est").isNotNull() | F.col("moe").isNotNull())
 
