@@ -113,10 +113,15 @@ def request_query(df: DataFrame, date_cols=(), lowered: bool = False, **equals)
     query that with ``lowered=True``: plain equality then reaches the scan.
     """
     cond = F.lit(True)
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
     for k, v in equals.items():
         if v is None:
             continue
-        if k in date_cols:
+        if k in date_cols and types.get(k) in ("timestamp", "timestamp_ntz"):
+            # same day as a half-open range: a plain comparison the scan can prune on
+            day = F.lit(v).cast(df.schema[k].dataType)
+            cond = cond & (F.col(k) >= day) & (F.col(k) < F.timestamp_add("DAY", F.lit(1), day))
+        elif k in date_cols:
             cond = cond & (F.to_date(F.col(k)) == F.to_date(F.lit(v)))
         elif isinstance(v, str) and lowered:
             cond = cond & (F.col(k) == F.lit(v.lower()))

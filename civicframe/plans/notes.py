@@ -131,8 +131,8 @@ def document_note_cleaning(spark, sf_dir):
 
 @register("document_note_residuals", ("N11", "A5", "X11"))
 def document_note_residuals(spark, sf_dir):
-    d = _documents_notes(spark, sf_dir)
-    return residual_frequency(d, "note").select(F.md5("note").alias("note_md5"), "n")
+    d = _documents_notes(spark, sf_dir).select(F.sha2("note", 256).alias("_sha"), F.md5("note").alias("note_md5"))
+    return d.groupBy("_sha", "note_md5").agg(F.count(F.lit(1)).alias("n")).select("note_md5", "n")
 
 
 @register("document_punctuation", ("N4", "X3", "X6"), r"""
