@@ -52,10 +52,16 @@ def numbered(df: DataFrame, order_cols, group_cols=(), out: str = "rn",
     numbering is deterministic. Steps: range-partition and sort on
     (group, order) so every partition has bounded size even when one group
     holds most rows; take each row's position inside its partition; write
-    that once to the checkpoint folder (so the positions cannot change if a
-    task reruns); count rows per (partition, group) -- a table of
+    that once to the checkpoint folder; count rows per (partition, group) -- a table of
     partitions x groups, tiny -- and turn the counts into offsets with a
     window on that small table; join the offsets back.
+
+    The checkpoint is what makes this correct: the counts and the rows are
+    two readers of the range-partitioned data, and without a materialised
+    copy each may re-plan the range shuffle (its own sample, its own
+    bounds), so positions would not line up. Read back from the shared
+    checkpoint folder, both see the same partitions, also after a lost
+    executor. (Measured: without it the numbering is wrong and slower.)
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
