@@ -72,3 +72,22 @@ def test_add_rows_and_lookup(spark):
     df = spark.createDataFrame([(2019, 5)], "year int, estimate long")
     out = R.add_rows(df, spark, [(2020, 6, "PEP")], "year int, estimate long, dataset string")
     assert out.count() == 2 and "dataset" in out.columns
+
+
+def test_get_requests_api(spark):
+    from civicframe.plans.requests import REQUEST_COLUMNS, get_requests, parse_request_dates
+    cols = [c for c in REQUEST_COLUMNS if c != "location1"]
+    base = {c: None for c in cols}
+    rows = []
+    for i, (dept, day) in enumerate([("Code Enforcement", "2024-03-09T07:27:09.000"),
+                                      ("CODE ENFORCEMENT", "2024-03-09T23:59:59.000"),
+                                      ("Code Enforcement", "2024-03-10T00:00:00.000"), ("Solid Waste", "2024-03-09T08:00:00.000")]):
+        r = dict(base, department=dept, creation_date=day, incident_number=str(i))
+        rows.append(tuple(r[c] for c in cols))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    shuffled = df.select(*reversed(df.columns))
+    out = get_requests(shuffled, department="code enforcement", creation_date="2024-03-09")
+    assert out.columns == cols
+    assert sorted(r.incident_number for r in out.collect()) == ["0", "1"]
+    assert get_requests(df).count() == 4
+    assert parse_request_dates(df).schema["creation_date"].dataType.typeName() == "timestamp"
