@@ -130,3 +130,12 @@ def request_query(df: DataFrame, date_cols=(), lowered: bool = False, **equals)
         else:
             cond = cond & (F.col(k) == F.lit(v))
     return df.where(cond)
+
+
+def label_by_position(df: DataFrame, key_col: str, labels, out: str, start: int = 1) -> DataFrame:
+    """R's ``mutate(year = years[i])`` written as a join on the key the
+    list position stands for (never on row position, which Spark does not
+    keep). The label list is short and broadcast."""
+    spark = df.sparkSession
+    lk = spark.createDataFrame([(i, v) for i, v in enumerate(labels, start)], f"_pos long, {out} string")
+    return df.join(F.broadcast(lk), F.col(key_col).cast("long") == F.col("_pos"), "left").drop("_pos")
