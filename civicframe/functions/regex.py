@@ -21,8 +21,13 @@ POSIX_CLASSES = {
 }
 
 
-def java_regex(pattern: str, unicode: bool = False) -> str:
-    """Translate POSIX class names; optionally turn on Unicode classes."""
+def java_regex(pattern: str, unicode: bool = True) -> str:
+    """Translate POSIX class names and turn on Unicode classes.
+
+    The patterns come from R, whose ICU engine treats ``\w \W \b \d \s``
+    as Unicode classes: ``é`` is a word character there, while plain Java
+    would strip it with ``^\W+``. ``(?U)`` gives Java the ICU meaning.
+    """
     out = pattern
     for posix, java in POSIX_CLASSES.items():
         out = out.replace(posix, java)

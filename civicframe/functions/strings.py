@@ -53,7 +53,7 @@ def remove_all(col, pattern: str) -> Column:
 
 def remove_first(col, pattern: str) -> Column:
     """Remove the first match only (R ``str_remove``)."""
-    return F.regexp_replace(_c(col), "(?s)^(.*?)(?:" + java_regex(pattern) + ")", "$1")
+    return F.regexp_replace(_c(col), "(?U)(?s)^(.*?)(?:" + java_regex(pattern, unicode=False) + ")", "$1")
 
 
 def replace_all(col, pattern: str, replacement: str) -> Column:

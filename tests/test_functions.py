@@ -14,9 +14,9 @@ def one(spark, expr, rows, schema="s string"):
 
 
 def test_posix_classes_translate():
-    assert java_regex("[:punct:]") == r"\p{P}"
-    assert java_regex("[[:punct:]]x") == r"[\p{P}]x"
-    assert java_regex("[:symbol:]|;") == r"\p{S}|;"
+    assert java_regex("[:punct:]", unicode=False) == r"\p{P}"
+    assert java_regex("[[:punct:]]x", unicode=False) == r"[\p{P}]x"
+    assert java_regex("[:symbol:]|;") == r"(?U)\p{S}|;"
     assert alternation(["a", "^b$"]) == "(?:a)|(?:^b$)"
 
 
@@ -44,6 +44,13 @@ def test_replace_chain_order(spark):
     assert one(spark, X.replace_chain("s", pairs), [("ab",)]) == ["cc"]
 
 
+def test_unicode_word_classes(spark):
+    # ICU semantics: an accented letter is a word character, so a leading
+    # "^\W+" strip keeps it (plain Java regex would remove it).
+    assert one(spark, X.remove_all("s", r"^\W+"), [("... été",)]) == ["été"]
+    assert one(spark, X.remove_all("s", r"^\W+"), [("é",)]) == ["é"]
+
+
 def test_remove_first(spark):
     assert one(spark, X.remove_first("s", "o"), [("foo boo",)]) == ["fo boo"]
 
