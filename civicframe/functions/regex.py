@@ -22,7 +22,7 @@ POSIX_CLASSES = {
 
 
 def java_regex(pattern: str, unicode: bool = True) -> str:
-    """Translate POSIX class names and turn on Unicode classes.
+    r"""Translate POSIX class names and turn on Unicode classes.
 
     The patterns come from R, whose ICU engine treats ``\w \W \b \d \s``
     as Unicode classes: ``é`` is a word character there, while plain Java
