@@ -100,8 +100,8 @@ def histogram(df: DataFrame, value: str, bins: int = 30, group_cols=()) -> DataF
     right. Every bin is listed, empty ones with count 0.
 
     Without facets the range is a one-row partial aggregate read once and
-    used as literals; with facets it is a small aggregate (one row per
-    facet) broadcast into an equi-join."""
+    used as literals; with facets it is an aggregate with one row per facet,
+    joined on the facet (AQE broadcasts it when it measures small)."""
     g = list(group_cols)
     vals = df.select(*g, value).where(F.col(value).isNotNull())
     raw = F.ceil((F.col(value) - F.col("_origin")) / F.col("_w"))
@@ -120,7 +120,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, group_cols=()) -> DataF
         rng = vals.groupBy(*g).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         rng = rng.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.lit(bins - 1)) \
                  .withColumn("_origin", F.col("_lo") - F.col("_w") / 2)
-        counts = vals.join(F.broadcast(rng), g, "inner").groupBy(*g, b.alias("bin")) \
+        counts = vals.join(rng, g, "inner").groupBy(*g, b.alias("bin")) \
             .agg(F.count(F.lit(1)).alias("count"))
         grid = rng.select(*g, "_origin", "_w", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
         out = grid.join(counts, g + ["bin"], "left")

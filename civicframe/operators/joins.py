@@ -14,8 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tables at or under this many rows may be broadcast by the helpers below.
-BROADCAST_ROW_LIMIT = 1_000_000
+# Bounds of one chunk of a pattern or item list shipped to every task
+# (checked before anything is collected).
+PATTERN_MAX_ITEMS = 200_000
+PATTERN_MAX_BYTES = 64 << 20
 
 
 def left_join_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -67,15 +69,38 @@ def drop_if_equals_any(df: DataFrame, text_col: str, lookup: DataFrame, lookup_c
 
 def keep_matching_any(df: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str,
                       literal: bool = False) -> DataFrame:
-    """Keep rows whose text matches any pattern in a table built from
-    data. Plain names (``literal=True``) become an equi semi join; regular
-    expressions need a pattern test per pair, so the pattern table must be
-    small (it is broadcast and tested row by row)."""
+    """Keep rows whose text matches any pattern of a table built from
+    data.
+
+    Plain names (``literal=True``) are an equi semi join. Regular
+    expressions are read in chunks of bounded size and each chunk becomes
+    one alternation test in the filter (``rlike``), so every row is tested
+    once per chunk inside the JVM: no pair product, and no bound on the
+    number of patterns.
+    """
     if literal:
         return df.join(patterns.select(F.col(pattern_col).alias("_p")).distinct(),
                        df[text_col] == F.col("_p"), "left_semi")
-    p = F.broadcast(patterns.select(F.col(pattern_col).alias("_p")).distinct())
-    return df.join(p, F.expr(f"`{text_col}` rlike _p"), "left_semi")
+    cond = None
+    for chunk in _bounded_chunks(patterns.select(F.col(pattern_col).alias("_p")), "_p"):
+        test = F.coalesce(F.col(text_col).rlike("|".join(f"(?:{p})" for p in chunk)), F.lit(False))
+        cond = test if cond is None else (cond | test)
+    return df.limit(0) if cond is None else df.where(cond)
+
+
+def _bounded_chunks(items: DataFrame, col: str):
+    """Distinct non-empty values of ``col`` read to the driver one chunk at a
+    time, each at most PATTERN_MAX_ITEMS values and PATTERN_MAX_BYTES bytes
+    (chunks are hash buckets sized from a count taken first)."""
+    vals = items.where(F.col(col).isNotNull() & (F.length(col) > 0)).distinct()
+    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(col)).alias("b")).first()
+    n, nbytes = stats["n"], stats["b"] or 0
+    if n == 0:
+        return
+    k = max(1, -(-n // PATTERN_MAX_ITEMS), -(-nbytes // PATTERN_MAX_BYTES))
+    bucketed = vals.withColumn("_chunk", F.pmod(F.xxhash64(col), F.lit(k)))
+    for i in range(k):
+        yield [r[col] for r in bucketed.where(F.col("_chunk") == i).select(col).collect()]
 
 
 def normalise_address(col):
@@ -100,48 +125,48 @@ def address_to_parcel(requests: DataFrame, parcels: DataFrame, req_addr: str, pa
     return r.join(p.drop(parcel_addr), "_addr_key", "left").drop("_addr_key")
 
 
-# Bounds for shipping a pattern list to every task (checked before use).
-PATTERN_MAX_ITEMS = 200_000
-PATTERN_MAX_BYTES = 64 << 20
-
 
 def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str) -> DataFrame:
     """J7 for literal items: keep rows whose text contains any item as a
     substring.
 
-    Spark has no multi-pattern substring search; a join on ``contains``
-    tests every (row, item) pair. When the item list is within the
-    checked bounds it is broadcast and each partition runs one
-    Aho-Corasick pass per text (Arrow batches through ``mapInPandas``),
-    whose cost does not grow with the number of items. Beyond the bounds
-    the broadcast-free nested-loop semi join is used instead.
+    Spark has no multi-pattern substring search, and a join on
+    ``contains`` tests every (row, item) pair. Here the items are read in
+    bounded chunks (see :func:`_bounded_chunks`); each chunk is broadcast
+    and every partition runs one Aho-Corasick pass per text over Arrow
+    batches (``mapInPandas``), whose cost does not grow with the number of
+    items. More chunks mean more passes, never a pair product.
     """
-    distinct = items.select(F.col(item_col).alias("_item")).where(F.col("_item").isNotNull()) \
-        .where(F.length("_item") > 0).distinct()
-    stats = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_item")).alias("b")).first()
-    n, nbytes = stats["n"], stats["b"] or 0
-    if n == 0:
-        return df.limit(0)
-    if n > PATTERN_MAX_ITEMS or nbytes > PATTERN_MAX_BYTES:
-        return df.join(distinct, F.col(text_col).contains(F.col("_item")), "left_semi")
     try:
         import ahocorasick  # noqa: F401
-    except ImportError:  # pragma: no cover - library missing: stay in the JVM
-        return df.join(F.broadcast(distinct), F.col(text_col).contains(F.col("_item")), "left_semi")
+    except ImportError:  # pragma: no cover - library missing: per-chunk JVM test
+        cond = None
+        for chunk in _bounded_chunks(items.select(F.col(item_col).alias("_i")), "_i"):
+            t = F.lit(False)
+            for w in chunk:
+                t = t | F.coalesce(F.col(text_col).contains(F.lit(w)), F.lit(False))
+            cond = t if cond is None else cond | t
+        return df.limit(0) if cond is None else df.where(cond)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast([r["_item"] for r in distinct.collect()])
-
-    def scan(batches):
-        import ahocorasick as ac
-        auto = ac.Automaton()
-        for i, w in enumerate(shared.value):
-            auto.add_word(w, i)
-        auto.make_automaton()
-        for pdf in batches:
-            texts = pdf[text_col]
-            pdf = pdf.assign(_hit=[t is not None and next(auto.iter(t), None) is not None for t in texts])
-            yield pdf
-
-    hits = df.mapInPandas(scan, schema=", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["_hit boolean"]))
-    return hits.where(F.col("_hit")).drop("_hit")
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["_hit boolean"])
+    flagged = df.withColumn("_hit", F.lit(False))
+    passes = 0
+    for chunk in _bounded_chunks(items.select(F.col(item_col).alias("_i")), "_i"):
+        passes += 1
+        shared = spark.sparkContext.broadcast(chunk)
+
+        def scan(batches, shared=shared):
+            import ahocorasick as ac
+            auto = ac.Automaton()
+            for i, w in enumerate(shared.value):
+                auto.add_word(w, i)
+            auto.make_automaton()
+            for pdf in batches:
+                hit = [bool(h) or (t is not None and next(auto.iter(t), None) is not None)
+                       for t, h in zip(pdf[text_col], pdf["_hit"])]
+                yield pdf.assign(_hit=hit)
+
+        flagged = flagged.mapInPandas(scan, schema=out_schema)
+    if passes == 0:
+        return df.limit(0)
+    return flagged.where(F.col("_hit")).drop("_hit")

@@ -69,3 +69,17 @@ def test_if_else_missing(spark):
     df = spark.createDataFrame([(1,), (-1,), (None,)], "x int")
     out = [r.y for r in df.select(C.if_else(F.col("x") > 0, "pos", "neg", "missing").alias("y")).collect()]
     assert out == ["pos", "neg", "missing"]
+
+
+def test_pattern_chunks_give_same_result(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"doc {i} mentions item{i % 7}") for i in range(40)], "id int, text string")
+    items = spark.createDataFrame([(f"item{j}",) for j in (1, 3, 5)], "t string")
+    one = sorted(r.id for r in J.semi_join_contains(docs, "text", items, "t").collect())
+    pats = spark.createDataFrame([("item[13]$",), ("item5$",)], "p string")
+    one_rx = sorted(r.id for r in J.keep_matching_any(docs, "text", pats, "p").collect())
+    monkeypatch.setattr(J, "PATTERN_MAX_ITEMS", 1)
+    many = sorted(r.id for r in J.semi_join_contains(docs, "text", items, "t").collect())
+    many_rx = sorted(r.id for r in J.keep_matching_any(docs, "text", pats, "p").collect())
+    want = [i for i in range(40) if i % 7 in (1, 3, 5)]
+    assert one == many == want
+    assert one_rx == many_rx == want
