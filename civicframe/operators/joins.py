@@ -100,7 +100,9 @@ def _bounded_chunks(items: DataFrame, col: str):
     k = max(1, -(-n // PATTERN_MAX_ITEMS), -(-nbytes // PATTERN_MAX_BYTES))
     bucketed = vals.withColumn("_chunk", F.pmod(F.xxhash64(col), F.lit(k)))
     for i in range(k):
-        yield [r[col] for r in bucketed.where(F.col("_chunk") == i).select(col).collect()]
+        chunk = [r[col] for r in bucketed.where(F.col("_chunk") == i).select(col).collect()]
+        if chunk:  # an empty bucket must not become an empty (match-all) pattern
+            yield chunk
 
 
 def normalise_address(col):
