@@ -137,10 +137,22 @@ def candidate_pairs(left: DataFrame, right: DataFrame, cell: float, touching: bo
         .drop("_cx", "_cy")
 
 
+def grid_cell_size(layer: DataFrame) -> float:
+    """Cell size for the candidate join: twice the approximate median of the
+    layer's box sides, so a typical feature falls in one to four cells and a
+    large anchor in many (anchors are few). One small aggregate."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    v = layer.agg(F.percentile_approx(side, 0.5, 1000)).first()[0]
+    return 2.0 * float(v) if v and v > 0 else 1.0
+
+
 def select_by_location(layer: DataFrame, anchor: DataFrame, predicate: str = "intersects",
-                       cell: float = 1.0, id_col: str = "id") -> DataFrame:
+                       cell: float | None = None, id_col: str = "id") -> DataFrame:
     """Rows of ``layer`` within (or intersecting) any polygon of
-    ``anchor`` -- sf's ``layer[anchor, op = st_within]``."""
+    ``anchor`` -- sf's ``layer[anchor, op = st_within]``. ``cell`` defaults
+    to :func:`grid_cell_size` of the layer."""
+    if cell is None:
+        cell = grid_cell_size(layer)
     pairs = candidate_pairs(layer, anchor, cell)
     if predicate == "within":
         pairs = pairs.where(

@@ -54,7 +54,7 @@ WHERE EXISTS (SELECT 1 FROM n WHERE cb.xmin >= n.xmin AND cb.xmax <= n.xmax AND
 """)
 def customers_within_region(spark, sf_dir):
     anchor = nation_squares(spark, sf_dir).where(F.col("n_regionkey") == ANCHOR_REGION)
-    return S.select_by_location(customer_squares(spark, sf_dir), anchor, "within", cell=5.0).select("id")
+    return S.select_by_location(customer_squares(spark, sf_dir), anchor, "within").select("id")
 
 
 @register("customers_touching_region", ("J9", "G3"), _SQUARES.format(region=ANCHOR_REGION) + """
@@ -63,7 +63,7 @@ WHERE EXISTS (SELECT 1 FROM n WHERE cb.xmin <= n.xmax AND cb.xmax >= n.xmin AND
 """)
 def customers_touching_region(spark, sf_dir):
     anchor = nation_squares(spark, sf_dir).where(F.col("n_regionkey") == ANCHOR_REGION)
-    return S.select_by_location(customer_squares(spark, sf_dir), anchor, "intersects", cell=5.0).select("id")
+    return S.select_by_location(customer_squares(spark, sf_dir), anchor, "intersects").select("id")
 
 
 def layer_catalog(groups) -> DataFrame:
