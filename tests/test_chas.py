@@ -66,3 +66,14 @@ def test_cache_is_idempotent(spark, scratch):
     assert read_cache(spark, f"{scratch}/cache").count() == a == 8
     assert P.get_chas(spark, scratch, "state", year=2020).count() == 8
     assert os.path.isdir(f"{scratch}/cache/year=2020/geography=40")
+
+
+def test_read_wide_tables_and_dictionary(spark, scratch):
+    from civicframe.sources.readers import read_dictionary, read_wide_tables
+    make_root(scratch)
+    paths = P.list_files(spark, f"{scratch}/raw/2020/state")
+    long = read_wide_tables(spark, paths, ["geoid", "name"])
+    assert long.count() == 8
+    assert set(long.columns) == {"geoid", "name", "variable", "est", "moe", "source_file"}
+    d = read_dictionary(spark, f"{scratch}/raw/2020/dictionary.csv", ["code", "universe"])
+    assert d.columns[:2] == ["code", "universe"] and d.count() == 5

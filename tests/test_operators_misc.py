@@ -83,3 +83,15 @@ def test_pattern_chunks_give_same_result(spark, monkeypatch):
     want = [i for i in range(40) if i % 7 in (1, 3, 5)]
     assert one == many == want
     assert one_rx == many_rx == want
+
+
+def test_small_aggregates(spark):
+    from civicframe.operators import aggregate as A
+    df = spark.createDataFrame([("u1", "d1", 1, 10.0), ("u1", "d1", 1, 20.0), ("u1", "d2", 2, 30.0),
+                                ("u2", "d3", 1, 40.0)], "user string, day string, wd int, v double")
+    m = {r.wd: (r.mean_total, r.n) for r in A.two_level_mean(df, ["user", "day", "wd"], ["wd"], "v").collect()}
+    assert m == {1: (35.0, 2), 2: (30.0, 1)}
+    assert {r.user: r.debt for r in A.shortfall(df, ["user"], "v", 25.0).collect()} == {"u1": 15.0, "u2": -15.0}
+    f = A.frequency(df, ["user"]).collect()
+    assert [(r.user, r.n) for r in f] == [("u1", 3), ("u2", 1)]
+    assert [r.user for r in A.repeated_groups(df, ["user"]).collect()] == ["u1"]
