@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicframe.operators import reshape as R
-from civicframe.sources import readers as S
 from civicframe.sources import sinks as K
 
 # Geographies offered (the source also has "remainders",

@@ -30,7 +30,7 @@ def load_series(spark: SparkSession, acs1: str, acs5: str, pep: str, acs_variabl
     """S1 + F8 + F5 + S10 + J3/O5: the three series in one table. The
     datasets never share a row, so the natural full join is a union by
     name."""
-    a1 = J.stack_tables([S.read_csv(spark, acs1, SERIES_SCHEMA)]).withColumn("dataset", F.lit("ACS1")) \
+    a1 = S.read_csv(spark, acs1, SERIES_SCHEMA).withColumn("dataset", F.lit("ACS1")) \
         .where(F.col("variable") == acs_variable)
     a5 = S.read_csv(spark, acs5, SERIES_SCHEMA).withColumn("dataset", F.lit("ACS5")) \
         .where(F.col("variable") == acs_variable)

@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from civicframe.operators.reshape import wide_to_long
 from civicframe.plans import chas as P

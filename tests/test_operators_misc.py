@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from civicframe.operators import columns as C
 from civicframe.operators import joins as J
-from civicframe.operators import spatial as S
 from civicframe.plans.boundaries import layer_catalog, zip_prefix
 from civicframe.sources.readers import with_bbox
 
