@@ -16,7 +16,10 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     round-robin) keeps the placement deterministic if a task is re-run.
     """
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
         return df
+    # A few partitions per slot: row costs are uneven (text lengths run from
+    # one word to tens of thousands), so finer pieces balance the slots.
+    target = slots * 4
     return df.repartition(target, *keys) if keys else df.repartition(target)
