@@ -150,7 +150,7 @@ def select_by_location(layer: DataFrame, anchor: DataFrame, predicate: str = "in
                        cell: float | None = None, id_col: str = "id") -> DataFrame:
     """Rows of ``layer`` within (or intersecting) any polygon of
     ``anchor`` -- sf's ``layer[anchor, op = st_within]``. ``cell`` defaults
-    to :func:`grid_cell_size` of the layer."""
+    to :func:`grid_cell_size` of the layer; ``id_col`` must be unique."""
     if cell is None:
         cell = grid_cell_size(layer)
     pairs = candidate_pairs(layer, anchor, cell)
@@ -163,8 +163,11 @@ def select_by_location(layer: DataFrame, anchor: DataFrame, predicate: str = "in
         test = polygon_intersects(F.col("l_rings"), F.col("r_rings"))
     else:
         raise ValueError(f"unknown predicate {predicate}")
-    hits = pairs.where(test).select(F.col("l_" + id_col).alias(id_col))
-    return layer.join(hits, id_col, "left_semi")
+    # A layer row that meets several anchor polygons appears once per anchor;
+    # keep it once. Only the matching pairs are shuffled for this, never the
+    # whole layer. ``id_col`` must identify a layer row.
+    hits = pairs.where(test).select(*[F.col("l_" + c).alias(c) for c in layer.columns])
+    return hits.dropDuplicates([id_col])
 
 
 def rectangle(x0, y0, w, h) -> Column:
