@@ -44,3 +44,48 @@ def alternation(patterns, wrap: bool = True) -> str:
     """
     parts = [f"(?:{p})" if wrap else p for p in patterns]
     return "|".join(parts)
+
+
+_FIRST_CACHE: dict[str, str] = {}
+
+
+def first_char_prefilter(spark, pattern: str) -> str:
+    """The same regular expression, prefixed with a look-ahead on the
+    characters a match can start with.
+
+    Java tries every alternative of a long alternation at every position of
+    the text; the look-ahead rejects most positions with one class test.
+    It cannot change any match: a position is skipped only when Java's own
+    matcher, asked at plan time with ``lookingAt``/``hitEnd`` and several
+    preceding characters (none, a letter, a space, a non-ASCII letter, a
+    digit), shows that no match can start with that character. Every
+    non-ASCII character is kept as possible. Patterns with look-behind are
+    returned unchanged, as are patterns any ASCII character can start.
+    """
+    if "(?<" in pattern:
+        return pattern
+    if pattern in _FIRST_CACHE:
+        return _FIRST_CACHE[pattern]
+    jvm = spark._jvm
+    compiled = jvm.java.util.regex.Pattern.compile(pattern)
+    possible = []
+    for code in range(128):
+        c = chr(code)
+        for ctx in ("", "a", " ", "é", "1"):
+            s = ctx + c
+            m = compiled.matcher(s)
+            m.useTransparentBounds(True)
+            m.useAnchoringBounds(False)
+            m.region(len(ctx), len(s))
+            if m.lookingAt() or m.hitEnd():
+                possible.append(code)
+                break
+    if len(possible) == 128:
+        out = pattern
+    else:
+        flags = "(?U)" if pattern.startswith("(?U)") else ""
+        body = pattern[len(flags):]
+        klass = "".join(f"\\x{{{c:02x}}}" for c in possible) + "\\x{80}-\\x{10ffff}"
+        out = f"{flags}(?=[{klass}])(?:{body})"
+    _FIRST_CACHE[pattern] = out
+    return out

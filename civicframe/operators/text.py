@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.functions.regex import alternation, java_regex
+from civicframe.functions.regex import alternation, first_char_prefilter, java_regex
 from civicframe.functions.strings import squish
 
 
@@ -40,7 +40,10 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
     replacement chain.
 
     One alternation test (``_hit``) gates the step: text without a match
-    is only squished, which leaves already-squished text unchanged. Chained
+    is only squished, which leaves already-squished text unchanged. The
+    alternation carries a first-character look-ahead
+    (:func:`first_char_prefilter`), which skips positions no match can
+    start at. Chained
     calls pass ``drop_empty=False`` and drop once at the end with
     :func:`drop_emptied`.
     """
@@ -49,6 +52,7 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
     else:
         pairs = list(patterns)
         alt = java_regex(alternation([p for p, _ in pairs]))
+    alt = first_char_prefilter(df.sparkSession, alt)
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(alt), 0)
     if pairs and map_outputs:

@@ -85,3 +85,19 @@ def test_parse_mdy(spark):
 
 def test_five_year_label(spark):
     assert one(spark, T.five_year_label("y"), [(2019,)], "y int") == ["2015-2019"]
+
+
+def test_first_char_prefilter_keeps_matches(spark):
+    from civicframe.functions import note_lookups as L
+    from civicframe.functions.regex import first_char_prefilter
+    texts = [("per a marlow: the tenant said no one home; 2nd attempt made. ja, wrong address given",),
+             ("  été: 901-555-1234 on 3/4/24 uncooperative; this sr is cancelled",), ("",), (None,)]
+    df = spark.createDataFrame(texts, "s string")
+    for pairs in (L.STATUS_TAGS, L.VISIT_TYPES, L.inspector_pairs(), L.CONTACTS, [(L.PHONE, "")], [(L.DATE, "")]):
+        alt = java_regex(alternation([p for p, _ in pairs]))
+        pre = first_char_prefilter(spark, alt)
+        a = [r[0] for r in df.select(F.regexp_extract_all("s", F.lit(alt), 0)).collect()]
+        b = [r[0] for r in df.select(F.regexp_extract_all("s", F.lit(pre), 0)).collect()]
+        assert a == b
+    lb = java_regex("(?<=this )compliant")
+    assert first_char_prefilter(spark, lb) == lb
