@@ -29,6 +29,9 @@ def get_session(master: str | None = None, app: str = "civicframe",
     conf = dict(REQUIRED_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
+    # Reliable checkpoints (row numbering, tree nodes) are removed once no
+    # DataFrame refers to them, so the shared folder does not fill up.
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     conf["spark.sql.execution.arrow.pyspark.enabled"] = "true"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
