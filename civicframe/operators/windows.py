@@ -103,7 +103,9 @@ def fill_up(df: DataFrame, group_cols, order_cols, fill_cols, num_partitions: in
     (group, order); fill inside each (partition, group) with a window
     whose frame runs to the end of that piece; then for every piece find
     the first non-null value of the pieces after it (a window over the small
-    table of pieces) and use it for rows still null.
+    table of pieces) and use it for rows still null. The ranged rows are
+    written once to the checkpoint folder, for the reason given in
+    :func:`numbered` (two readers must see the same pieces).
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
