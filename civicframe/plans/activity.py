@@ -201,3 +201,44 @@ def night_dates(spark, sf_dir):
     return e.select("event_id", T.night_date("created_ts", "start_ts", "end_ts").alias("night"),
                     T.duration_seconds("start_ts", "end_ts").alias("seconds"),
                     T.same_day("start_ts", "2024-01-05").alias("on_jan5"))
+
+
+@register("activity_rank_correlations", ("A10", "W3", "T10", "T5"), f"""
+WITH ev AS (
+  SELECT user_id, CAST(ts AS DATE) AS day, value,
+         hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s FROM events),
+d AS (
+  SELECT user_id, day, SUM(value) AS total,
+         MIN(CASE WHEN s <= {BED_CUT} THEN s + 86400 ELSE s END) AS bed,
+         MAX(CASE WHEN s <= {BED_CUT} THEN s + 86400 ELSE s END) AS rise FROM ev GROUP BY 1, 2),
+hol AS (SELECT * FROM (VALUES {_HOL_SQL}) t(day)),
+f AS (SELECT d.*, CASE WHEN dayofweek(d.day) IN (0, 6) OR h.day IS NOT NULL THEN 'offwork' ELSE 'work' END AS off_work
+      FROM d LEFT JOIN hol h ON d.day = h.day),
+r AS (SELECT off_work,
+        row_number() OVER (PARTITION BY off_work ORDER BY total DESC, day, user_id) AS total_rank,
+        row_number() OVER (PARTITION BY off_work ORDER BY bed, day, user_id) AS bed_rank,
+        row_number() OVER (PARTITION BY off_work ORDER BY rise, day, user_id) AS rise_rank FROM f)
+SELECT off_work, COUNT(*) AS n_days,
+       ROUND(corr(CAST(total_rank AS DOUBLE), CAST(bed_rank AS DOUBLE)), 8) AS total_vs_bed,
+       ROUND(corr(CAST(bed_rank AS DOUBLE), CAST(rise_rank AS DOUBLE)), 8) AS bed_vs_rise,
+       ROUND(corr(CAST(total_rank AS DOUBLE), CAST(rise_rank AS DOUBLE)), 8) AS total_vs_rise
+FROM r GROUP BY 1
+""")
+def activity_rank_correlations(spark, sf_dir):
+    """The sleep page's ranking (most sleep, earliest bed, earliest rise;
+    row numbers, ties by night then user) per work / off-day group, and
+    the correlations between the ranks."""
+    d = daily(spark, sf_dir)
+    hol = spark.createDataFrame([(h,) for h in HOLIDAYS], "d string") \
+        .select(F.to_date("d").alias("day"), F.lit(True).alias("holiday"))
+    f = d.join(F.broadcast(hol), "day", "left") \
+        .withColumn("off_work", F.when(T.is_off_day("day", "holiday"), "offwork").otherwise("work")) \
+        .select("user_id", "day", "total", "bed", "rise", "off_work")
+    tie = [F.col("day"), F.col("user_id")]
+    r = W.numbered(f, [F.col("total").desc()] + tie, ["off_work"], "total_rank")
+    r = W.numbered(r, [F.col("bed")] + tie, ["off_work"], "bed_rank")
+    r = W.numbered(r, [F.col("rise")] + tie, ["off_work"], "rise_rank")
+    c = lambda a, b: F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 8)
+    return r.groupBy("off_work").agg(F.count(F.lit(1)).alias("n_days"), c("total_rank", "bed_rank").alias("total_vs_bed"),
+                                     c("bed_rank", "rise_rank").alias("bed_vs_rise"),
+                                     c("total_rank", "rise_rank").alias("total_vs_rise"))
