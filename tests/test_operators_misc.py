@@ -94,3 +94,22 @@ def test_small_aggregates(spark):
     f = A.frequency(df, ["user"]).collect()
     assert [(r.user, r.n) for r in f] == [("u1", 3), ("u2", 1)]
     assert [r.user for r in A.repeated_groups(df, ["user"]).collect()] == ["u1"]
+
+
+def test_estimate_dictionary_join_golden(spark):
+    """The page's example: estimates joined to the variable list on
+    variable = name, estimate and moe moved after the concept."""
+    est = spark.createDataFrame([("01", "Alabama", "B01001A_029", 202185, 591), ("02", "Alaska", "B01001A_029", 21447, 201),
+                                 ("04", "Arizona", "B01001A_029", 323192, 1049), ("05", "Arkansas", "B01001A_029", 132389, 444)],
+                                "GEOID string, NAME string, variable string, estimate long, moe long")
+    v21 = spark.createDataFrame([("B01001A_029", "Estimate!!Total:!!Female:!!65 to 74 years", "SEX BY AGE (WHITE ALONE)",
+                                  "block group"), ("B01001A_030", "Estimate!!Total:!!Female:!!75 to 84 years",
+                                                   "SEX BY AGE (WHITE ALONE)", "block group")],
+                                "name string, label string, concept string, geography string")
+    joined = J.left_join_keys(est, v21.drop("geography"), "variable", "name", small_right=True)
+    joined = C.relocate(joined, ["estimate", "moe"], after="concept")
+    assert joined.columns == ["GEOID", "NAME", "variable", "label", "concept", "estimate", "moe"]
+    rows = sorted(tuple(r) for r in joined.collect())
+    assert rows[0] == ("01", "Alabama", "B01001A_029", "Estimate!!Total:!!Female:!!65 to 74 years",
+                       "SEX BY AGE (WHITE ALONE)", 202185, 591)
+    assert [r[0] for r in rows] == ["01", "02", "04", "05"]
