@@ -37,8 +37,9 @@ SELECT CAST(dayofweek(day) + 1 AS INTEGER) AS weekday, strftime(day, '%a') AS we
        COUNT(*) AS n_days,
        CAST((2 * SUM(CAST(round(total * 100) AS BIGINT)) * 100 + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 10000
          AS mean_seconds,
-       printf('%dH %dM %dS', CAST(floor(AVG(total)) AS BIGINT) // 3600,
-              (CAST(floor(AVG(total)) AS BIGINT) % 3600) // 60, CAST(floor(AVG(total)) AS BIGINT) % 60) AS readable
+       printf('%dH %dM %dS', (SUM(CAST(round(total * 100) AS BIGINT)) // (COUNT(*) * 100)) // 3600,
+              ((SUM(CAST(round(total * 100) AS BIGINT)) // (COUNT(*) * 100)) % 3600) // 60,
+              (SUM(CAST(round(total * 100) AS BIGINT)) // (COUNT(*) * 100)) % 60) AS readable
 FROM daily GROUP BY 1, 2
 """)
 def duration_by_weekday(spark, sf_dir):
@@ -47,10 +48,10 @@ def duration_by_weekday(spark, sf_dir):
     d = d.groupBy("user_id", "day").agg(F.sum("value").alias("total"))
     d = d.select("total", T.weekday("day").alias("weekday"), T.weekday_label("day").alias("weekday_label"))
     out = d.groupBy("weekday", "weekday_label").agg(
-        F.avg("total").alias("mean"), F.count(F.lit(1)).alias("n_days"),
-        F.sum(F.round(F.col("total") * 100).cast("long")).alias("cents"))
+        F.count(F.lit(1)).alias("n_days"), F.sum(F.round(F.col("total") * 100).cast("long")).alias("cents"))
+    whole_seconds = F.expr("cents div (n_days * 100)")
     return out.select("weekday", "weekday_label", "n_days", fixed_point_mean("cents", "n_days", 100, 4).alias("mean_seconds"),
-                      T.readable_duration("mean").alias("readable"))
+                      T.readable_duration(whole_seconds).alias("readable"))
 
 
 def fixed_point_mean(total_units, n, units_per_one: int, decimals: int):
