@@ -36,11 +36,18 @@ def group_extremes(df: DataFrame, group_cols, value_col: str, out_min: str, out_
     return df.join(ext, cond, "left").select(df["*"], ext[out_min], ext[out_max])
 
 
-def year_span_label(first_col, last_col) -> Column:
-    """``(2005-2023)``; a single year gives ``(2005)``."""
+def year_span_label(first_col, last_col, backdate: dict | None = None, parens_single: bool = True) -> Column:
+    """``(2005-2023)``; a single year gives ``(2005)`` (or ``2005`` with
+    ``parens_single=False``). ``backdate`` maps a first year to the year the
+    span really starts, e.g. ``{2012: 2010}`` where the 2010 and 2011 lists
+    lack the concept: a span from 2012 then reads ``(2010-2023)``."""
     f, l = (F.col(first_col) if isinstance(first_col, str) else first_col,
             F.col(last_col) if isinstance(last_col, str) else last_col)
-    return F.when(f == l, F.format_string("(%d)", f)).otherwise(F.format_string("(%d-%d)", f, l))
+    start = f
+    for old, new in (backdate or {}).items():
+        start = F.when(f == old, F.lit(new)).otherwise(start)
+    single = F.format_string("(%d)", f) if parens_single else f.cast("string")
+    return F.when(f == l, single).otherwise(F.format_string("(%d-%d)", start, l))
 
 
 def numbered(df: DataFrame, order_cols, group_cols=(), out: str = "rn",

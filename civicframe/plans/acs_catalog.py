@@ -66,10 +66,29 @@ def variable_tree(catalog: DataFrame) -> DataFrame:
     return R.path_tree(file_strings(year_ranges(fill_concepts(top_level(housing_variables(catalog))))))
 
 
-def changed_names(catalog: DataFrame) -> DataFrame:
-    """A6 + A8: concepts that appear under more than one variable name, with
-    the names joined."""
-    d = catalog.select("name", "concept").distinct()
+def changed_variables(top: DataFrame) -> DataFrame:
+    """A6 + J7: variables whose concept changed over the years (more than
+    one concept per name, missing concepts left out), and every catalogue
+    row whose name matches one of them (the names become patterns, as the
+    script flattens them into one alternation)."""
     from civicframe.operators import aggregate as A
-    multi = A.repeated_groups(d, ["concept"])
-    return A.collapse(d.join(multi.select("concept"), "concept"), ["concept"], "name", "names")
+    from civicframe.operators import joins as J
+    known = top.where(F.col("concept").isNotNull())
+    changed = A.repeated_groups(known.select("name", "concept").distinct(), ["name"])
+    return J.keep_matching_any(known, "name", changed, "name")
+
+
+def years_per_concept(top: DataFrame) -> DataFrame:
+    """Per (name, concept) the years it appears, ``"2005, 2006, ..."``."""
+    from civicframe.operators import aggregate as A
+    return A.collapse(top, ["name", "concept"], "year", "years", ", ")
+
+
+def year_spans_backdated(top: DataFrame) -> DataFrame:
+    """W1 variant: per (name, concept) ``(first-last)``, a span starting in
+    2012 read as starting in 2010 (the 2010 and 2011 lists lack concepts),
+    a single year printed bare."""
+    known = top.where(F.col("concept").isNotNull())
+    e = W.group_extremes(known, ["name", "concept"], "year", "_first", "_last")
+    label = W.year_span_label("_first", "_last", backdate={2012: 2010}, parens_single=False)
+    return e.select("name", "concept", label.alias("years")).distinct()

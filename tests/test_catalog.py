@@ -72,3 +72,17 @@ def test_catalog_to_tree(spark):
     assert "Median-Household-Income-In-The-Past-12-Months/B25119-(2019-2021)" in paths
     tree = P.variable_tree(cat)
     assert tree.where(F.col("depth") == 1).count() >= 3
+
+
+def test_changed_variables_and_spans(spark):
+    rows = [("B25026", "Units In Structure By Residence Status", 2012), ("B25026", "Units In Structure By Residence Status", 2015),
+            ("B25026", "Total Population By Tenure", 2018), ("B25027", "Mortgage Status", 2012),
+            ("B25027", "Mortgage Status", 2019), ("B25010", "Household Size", 2014), ("B25010", None, 2010)]
+    top = spark.createDataFrame(rows, "name string, concept string, year int")
+    assert sorted({r.name for r in P.changed_variables(top).collect()}) == ["B25026"]
+    spans = {(r.name, r.concept): r.years for r in P.year_spans_backdated(top).collect()}
+    assert spans[("B25027", "Mortgage Status")] == "(2010-2019)"
+    assert spans[("B25026", "Total Population By Tenure")] == "2018"
+    assert spans[("B25026", "Units In Structure By Residence Status")] == "(2010-2015)"
+    yrs = {(r.name, r.concept): r.years for r in P.years_per_concept(top).collect()}
+    assert yrs[("B25027", "Mortgage Status")] == "2012, 2019"
