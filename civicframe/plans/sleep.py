@@ -141,16 +141,31 @@ def weekly_again(a: DataFrame, off_days: DataFrame, cut: int = 48000) -> DataFra
 
 
 def rank_correlations(weekly: DataFrame) -> DataFrame:
-    """A10 + W3: per work/off group, correlation of the total-sleep rank
-    with the early-bed and early-rise ranks (row numbers; ties broken by
-    night)."""
-    r = W.numbered(weekly, [F.col("daily_sleep").desc(), F.col("creationDate")], ["off_work"], "total_sleep_rank")
-    r = W.numbered(r, [F.col("start_time"), F.col("creationDate")], ["off_work"], "early_bed_rank")
-    r = W.numbered(r, [F.col("end_time"), F.col("creationDate")], ["off_work"], "early_rise_rank")
+    """A10 + W3: per work/off group the five row-number ranks of the script
+    and the eight correlations it prints.
+
+    R's ``arrange`` is stable and each ranking re-sorts the previous one,
+    so ties fall back on the previous order; the tie keys below spell that
+    chain out (the night last, standing for the original row order)."""
+    night = F.col("creationDate")
+    total_desc = F.col("daily_sleep").desc()
+    orders = {
+        "total_sleep_rank": [total_desc, night],
+        "early_bed_rank": [F.col("start_time"), total_desc, night],
+        "early_rise_rank": [F.col("end_time"), F.col("start_time"), total_desc, night],
+        "late_rise_rank": [F.col("end_time").desc(), F.col("start_time"), total_desc, night],
+        "late_bed_rank": [F.col("start_time").desc(), F.col("end_time").desc(), total_desc, night],
+    }
+    r = weekly
+    for name, order in orders.items():
+        r = W.numbered(r, order, ["off_work"], name)
+    pairs = [("total_sleep_rank", "early_bed_rank"), ("early_bed_rank", "early_rise_rank"),
+             ("total_sleep_rank", "early_rise_rank"), ("late_rise_rank", "early_bed_rank"),
+             ("late_rise_rank", "total_sleep_rank"), ("late_bed_rank", "total_sleep_rank"),
+             ("late_bed_rank", "early_rise_rank"), ("late_bed_rank", "late_rise_rank")]
     return r.groupBy("off_work").agg(
-        F.corr(F.col("total_sleep_rank").cast("double"), F.col("early_bed_rank").cast("double")).alias("sleep_vs_bed"),
-        F.corr(F.col("early_bed_rank").cast("double"), F.col("early_rise_rank").cast("double")).alias("bed_vs_rise"),
-        F.corr(F.col("total_sleep_rank").cast("double"), F.col("early_rise_rank").cast("double")).alias("sleep_vs_rise"))
+        F.count(F.lit(1)).alias("n"),
+        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a[:-5]}_vs_{b[:-5]}") for a, b in pairs])
 
 
 def weekly_clock_summary(weekly: DataFrame) -> DataFrame:

@@ -82,3 +82,32 @@ def test_weekly_and_ranks(spark, scratch):
     assert P.start_histogram(w, 5).where(F.col("off_work") == "work").count() == 5
     assert P.weekly_clock_summary(w).count() >= 1
     assert P.monthly_summary(a).count() == 1
+
+
+def test_rank_correlations_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    base = dt.date(2023, 6, 1)
+    rows = [(base + dt.timedelta(days=i), float(rnd.choice([25000, 26000, 27000, 28000])),
+             rnd.choice([80000, 82000, 84000]), rnd.choice([110000, 112000]), "work" if i % 3 else "offwork")
+            for i in range(40)]
+    w = spark.createDataFrame(rows, "creationDate date, daily_sleep double, start_time int, end_time int, off_work string")
+    got = {r.off_work: r for r in P.rank_correlations(w).collect()}
+    for label in ("work", "offwork"):
+        g = [r for r in rows if r[4] == label]
+        def rank(key):
+            order = sorted(range(len(g)), key=key)
+            out = [0] * len(g)
+            for pos, i in enumerate(order):
+                out[i] = pos + 1
+            return out
+        tot = rank(lambda i: (-g[i][1], g[i][0]))
+        eb = rank(lambda i: (g[i][2], -g[i][1], g[i][0]))
+        lb = rank(lambda i: (-g[i][2], -g[i][3], -g[i][1], g[i][0]))
+        def corr(a, b):
+            n = len(a); ma, mb = sum(a) / n, sum(b) / n
+            cov = sum((x - ma) * (y - mb) for x, y in zip(a, b))
+            return cov / (sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b)) ** 0.5
+        assert abs(got[label].total_sleep_vs_early_bed - corr(tot, eb)) < 1e-12
+        assert abs(got[label].late_bed_vs_total_sleep - corr(lb, tot)) < 1e-12
+        assert got[label].n == len(g)
