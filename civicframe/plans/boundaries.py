@@ -76,6 +76,11 @@ def layer_catalog(groups) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def zip_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    """ZIP areas whose code starts with a prefix."""
-    return df.where(F.col(col).startswith(prefix))
+def zip_prefix(df: DataFrame, col: str, prefixes) -> DataFrame:
+    """ZIP areas whose code starts with any of the prefixes (e.g. the
+    ``"38"`` and ``"72"`` of the two states around the city)."""
+    prefixes = [prefixes] if isinstance(prefixes, str) else list(prefixes)
+    cond = F.lit(False)
+    for p in prefixes:
+        cond = cond | F.col(col).startswith(p)
+    return df.where(cond)

@@ -44,6 +44,7 @@ def test_layer_catalog_and_zip(spark):
     sq = [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]]
     zips = with_bbox(spark.createDataFrame([("1", "38103", sq), ("2", "72301", sq)], schema))
     tracts = with_bbox(spark.createDataFrame([("3", "Tract 1", sq)], schema))
+    assert zip_prefix(zips, "name", ["38", "72"]).count() == 2
     cat = layer_catalog([("ZCTAs", zip_prefix(zips, "name", "381"), "name", False), ("Tracts", tracts, "name", True)])
     rows = sorted((r.group, r.label, r.visible) for r in cat.collect())
     assert rows == [("Tracts", "Tract 1", True), ("ZCTAs", "38103", False)]
