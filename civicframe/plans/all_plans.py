@@ -8,3 +8,4 @@ from civicframe.plans import documents  # noqa: F401
 from civicframe.plans import boundaries  # noqa: F401
 from civicframe.plans import formats  # noqa: F401
 from civicframe.plans import storage  # noqa: F401
+from civicframe.plans import sleep  # noqa: F401

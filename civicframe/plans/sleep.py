@@ -184,3 +184,62 @@ def fit_by_group(weekly: DataFrame, x: str = "mid_sleep") -> DataFrame:
 def start_histogram(weekly: DataFrame, bins: int = 30) -> DataFrame:
     """Histogram of start times per work/off group."""
     return A.histogram(weekly, "start_time", bins, ["off_work"])
+
+
+# --- the pipeline on the driver's tables ------------------------------------
+
+from civicframe.plans.registry import register, table  # noqa: E402
+
+# How event types stand in for sleep stages.
+STAGE_OF_EVENT = {"click": "AsleepCore", "view": "AsleepDeep", "purchase": "AsleepREM",
+                  "signup": "AsleepUnspecified", "error": "InBed"}
+
+
+def events_as_export(spark, sf_dir, path: str) -> None:
+    """Write ``events`` as a health export: one ``<Record>`` per event; the
+    stage from the event type, the interval ``value`` minutes long from the
+    event's second, written ``event_id % 3`` days after it ended."""
+    e = table(spark, sf_dir, "events")
+    stage = F.lit(None).cast("string")
+    for k, v in STAGE_OF_EVENT.items():
+        stage = F.when(F.col("event_type") == k, F.lit(v)).otherwise(stage)
+    start = F.date_trunc("second", F.col("ts"))
+    end = F.timestamp_add("SECOND", F.round(F.col("value") * 60).cast("long"), start)
+    created = F.timestamp_add("DAY", (F.col("event_id") % 3).cast("int"), end)
+    fmt = "yyyy-MM-dd HH:mm:ss '+0000'"
+    rec = e.select(
+        F.lit("HKCategoryTypeIdentifierSleepAnalysis").alias("_type"),
+        F.when(F.col("user_id") % 2 == 0, "Watch").otherwise("Phone").alias("_sourceName"),
+        F.lit("10.1").alias("_sourceVersion"),
+        F.date_format(created, fmt).alias("_creationDate"), F.date_format(start, fmt).alias("_startDate"),
+        F.date_format(end, fmt).alias("_endDate"),
+        F.concat(F.lit("HKCategoryValueSleepAnalysis"), stage).alias("_value"))
+    rec.write.mode("overwrite").format("xml").option("rowTag", "Record").option("rootTag", "HealthData").save(path)
+
+
+_STAGE_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGE_OF_EVENT.items())
+
+
+@register("sleep_nights_from_xml", ("S3", "T1", "T2", "T6", "T4", "A1"), f"""
+WITH e AS (
+  SELECT event_id, CASE event_type {_STAGE_SQL} END AS stage,
+         date_trunc('second', ts) AS s, CAST(round(value * 60) AS BIGINT) AS secs FROM events),
+i AS (SELECT event_id, stage, secs, s AS start_utc, s + to_seconds(secs) AS end_utc,
+             s + to_seconds(secs) + to_days(CAST(event_id % 3 AS INTEGER)) AS created_utc FROM e),
+l AS (SELECT stage, secs,
+             CAST(timezone('US/Central', timezone('UTC', start_utc)) AS DATE) AS start_day,
+             CAST(timezone('US/Central', timezone('UTC', end_utc)) AS DATE) AS end_day,
+             CAST(timezone('US/Central', timezone('UTC', created_utc)) AS DATE) AS created_day FROM i)
+SELECT CASE WHEN created_day - start_day >= 2 THEN end_day ELSE created_day END AS creationDate,
+       CAST(SUM(secs) AS BIGINT) AS daily_sleep
+FROM l WHERE stage LIKE '%Asleep%' GROUP BY 1
+""")
+def sleep_nights_from_xml(spark, sf_dir):
+    """Seconds asleep per night, read back from the XML export of the
+    events (written under the session's checkpoint folder)."""
+    import uuid
+    from civicframe.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/health-export-{uuid.uuid4().hex[:12]}"
+    events_as_export(spark, sf_dir, path)
+    a = asleep(sleep_records(records(spark, path)))
+    return nightly_totals(a)
