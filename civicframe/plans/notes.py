@@ -161,3 +161,29 @@ def document_contacts(spark, sf_dir):
         F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 0).alias("emails"),
         F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), 0).alias("ips"),
         F.col("text").rlike(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}").alias("has_phone"))
+
+
+@register("conversation_requests_cleaned", ("S2", "F1", "F4", "T1", "A7", "N1", "N7", "N2", "N9", "N11"))
+def conversation_requests_cleaned(spark, sf_dir):
+    """The whole of P1 on request rows shaped from ``conversations``: every
+    turn is a note, its role the resolution code (``system`` turns filed by
+    another department), the request type alternating between the two
+    building types, dates written the 311 way."""
+    c = table(spark, sf_dir, "conversations")
+    ts = F.timestamp_add("MINUTE", F.col("turn").cast("int"),
+                         F.timestamp_add("DAY", (F.col("conv_id") % 365).cast("int"), F.lit("2024-01-01 08:00:00").cast("timestamp")))
+    req = c.select(
+        F.when(F.col("role") == "system", "Solid Waste").otherwise("Code Enforcement").alias("DEPARTMENT"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("INCIDENT_NUMBER"),
+        F.col("conv_id").cast("string").alias("PARCEL_ID"), F.lit(None).cast("string").alias("ADDRESS1"),
+        F.when(F.col("conv_id") % 2 == 0, "CE-Miscellaneous").otherwise("CE-Derelict").alias("REQUEST_TYPE"),
+        F.lit("Housing").alias("CE_CATEGORY"), F.upper("role").alias("RESOLUTION_CODE"),
+        F.concat(F.upper("role"), F.lit(" turn")).alias("RESOLUTION_CODE_MEANING"),
+        F.col("text").alias("RESOLUTION_SUMMARY"), F.lit("Closed").alias("REQUEST_STATUS"),
+        F.date_format(ts, T.MDY_HMS).alias("REPORTED_DATE"), F.date_format(ts, T.MDY_HMS).alias("LAST_MODIFIED_DATE"),
+        F.lit(None).cast("string").alias("OWNER_NAME"), F.lit("user").alias("CREATED_BY_USER"),
+        F.lit(None).cast("string").alias("location1"))
+    raw = code_enforcement_requests(widen(req, "INCIDENT_NUMBER"))
+    cleaned = clean_notes(raw)
+    return cleaned.select("INCIDENT_NUMBER", "phone", "update_date", "inspector", "update_type", "update_tags",
+                          "contact", F.char_length("RESOLUTION_SUMMARY").alias("residual_chars"))
