@@ -8,7 +8,7 @@ is an aggregate; AQE broadcasts it at run time when it measures small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicframe.operators.windows import numbered
@@ -64,11 +64,17 @@ def collapse(df: DataFrame, group_cols, value_col, out: str, sep: str = ", ",
 def share_of_total(df: DataFrame, parent_keys, child_keys, value, out_total: str = "total",
                    out_share: str = "share") -> DataFrame:
     """Each child's share of its parent's total. The value is
-    summed to (parent, child) first; the window then runs over that small
-    table only."""
+    summed to (parent, child) first; the parent totals are a second partial
+    aggregate of that table, joined back on the parent (no window, so a
+    parent with very many children is not gathered in one task; AQE
+    broadcasts the totals when they measure small)."""
     t = df.groupBy(*parent_keys, *child_keys).agg(F.sum(_c(value)).alias(out_total))
-    w = Window.partitionBy(*parent_keys)
-    return t.withColumn(out_share, F.col(out_total) / F.sum(out_total).over(w))
+    if not parent_keys:
+        whole = t.agg(F.sum(out_total)).first()[0]
+        return t.withColumn(out_share, F.col(out_total) / F.lit(whole))
+    p = t.groupBy(*parent_keys).agg(F.sum(out_total).alias("_parent_total"))
+    cond = [t[k].eqNullSafe(p[k]) for k in parent_keys]
+    return t.join(p, cond, "inner").select(t["*"], (t[out_total] / p["_parent_total"]).alias(out_share))
 
 
 def correlation(df: DataFrame, group_cols, x: str, y: str, out: str = "r") -> DataFrame:

@@ -77,8 +77,8 @@ def stage_by_night(a: DataFrame) -> DataFrame:
 
 def stage_shares(a: DataFrame, exclude=("Unspecified",)) -> DataFrame:
     """Each stage's share of all sleep, without unspecified sleep."""
-    s = with_duration(a).where(~F.col("value").isin(list(exclude))).withColumn("_all", F.lit(1))
-    return A.share_of_total(s, ["_all"], ["value"], "seconds", "seconds", "share").drop("_all")
+    s = with_duration(a).where(~F.col("value").isin(list(exclude)))
+    return A.share_of_total(s, [], ["value"], "seconds", "seconds", "share")
 
 
 def cycle_activity(a: DataFrame, cut: int = CLOCK_CUT) -> DataFrame:
