@@ -82,6 +82,9 @@ def numbered(df: DataFrame, order_cols, group_cols=(), out: str = "rn",
     ranged = cut_lineage(ranged)
     g = _names(group_cols)
     counts = ranged.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
+    # Over the counts table only: one row per (partition, group) present, so
+    # even without groups (one window partition) it holds at most as many
+    # rows as there are range partitions.
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     cond = [ranged["_pid"] == offsets["_pid"]] + [ranged[c].eqNullSafe(offsets[c]) for c in g]
