@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, simhash
-from .common import table
+from . import decontaminate, license_scan, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokencount
+from .common import shared_path, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,17 @@ def op2_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_suffix_automaton_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def span_text(spans: str) -> F.Column:
     """'kind:start:end' of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -77,3 +88,23 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return got.select("doc_id", "source", "n_in_source", "block", "release", "deadline", "slot", "mixed")
+
+
+@query
+def op8_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", *(kind_count("base", k).alias(f"n_{k}") for k in secrets.KINDS[:3]),
+                      F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("found").alias("spans"))
+
+
+@query
+def op9_digest_cache_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a new, empty cache, so that every distinct text is encoded."""
+    import public_tokenizers
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   shared_path(spark, "token-cache"))
+
+
+@query
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
