@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
-Two hashed n-gram generative models (words and word pairs in hash buckets)
-are counted over all documents (raw text) and over the labelled target
-documents. A document's log importance weight is the sum over its n-grams of
+Hashed n-gram generative models are counted over all documents (raw text) and
+over the labelled target documents: of words and word pairs (lower case), and of the
+words' shapes (case, digits, signs; a word equal to the one before is a shape
+of its own) and shape pairs. A document's log importance weight is the sum over its n-grams of
 log(p_target / p_raw). Gumbel top-k keeps the k documents with the largest
 weight / temperature + Gumbel noise, a sample without replacement with
 probabilities that follow the weights.
@@ -11,7 +12,7 @@ The ratio of a bucket is smoothed by ``PRIOR`` pseudo-counts at the raw rate
 and taken as 1 where the target count differs from the rate of the raw text
 by less than ``MIN_Z`` standard errors, so that rare n-grams add no noise to
 long texts. k is the number of rows whose weight is above the cut that best separates
-the labelled rows (or what the caller gives). Counts, weights and the cut use
+the labelled rows, as long as ``KEEP`` of the good ones stay (or what the caller gives). Counts, weights and the cut use
 all rows; only the bucket counts (of fixed number) reach the driver.
 
 Defined cases: null and empty texts have no n-gram and weight 0; without any
@@ -24,6 +25,7 @@ are kept by ``keep_good``.
 
 from __future__ import annotations
 
+import re
 from zlib import crc32
 
 import numpy as np
@@ -33,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import land, utf8
 
-BUCKETS = 1 << 16  # for words, and as many for pairs
+BUCKETS = 1 << 16        # for words, and as many for pairs
+SHAPES = 1 << 12         # for shapes, and as many for pairs
+MODELS = tuple(np.cumsum([0, BUCKETS, BUCKETS, SHAPES, SHAPES]).tolist())
 PRIOR = 2.0
 MIN_Z = 4.0
 TEMPERATURE = 0.05
+KEEP = 0.995
 SEED = 42
 # Labelled target rows the target model is fitted on, at most: those with the
 # smallest hashes. Their ids (8 bytes each) are broadcast. The raw model, the
@@ -45,33 +50,56 @@ TARGET_ROWS = 100_000
 SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Bucket numbers of a text's words and word pairs, in order."""
-    for p in (b".", b",", b";", b":", b"!", b"?"):
-        text = text.replace(p, b" ")
-    words = text.translate(SEPARATE).split()
-    h = np.fromiter(map(crc32, words), np.uint64, len(words))
-    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)
-    one = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-    return np.concatenate([one, pair + np.uint64(BUCKETS)]).astype(np.int32)
+CLASS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
+RUN = re.compile(rb"(.)\1\1+", re.S)
+GOLD, SILVER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _hashed(h: np.ndarray, bits: int, start: int) -> list[np.ndarray]:
+    """Buckets of the items and of their neighbouring pairs."""
+    down = np.uint64(64 - bits)
+    return [((h * GOLD) >> down) + np.uint64(start), ((h[:-1] * GOLD + h[1:] * SILVER) >> down) + np.uint64(start + (1 << bits))]
+
+
+class Grams:
+    """Bucket numbers of a text's n-grams; remembers the shapes met so far."""
+
+    def __init__(self):
+        self.shapes: dict[bytes, int] = {}
+
+    def shape(self, token: bytes) -> int:
+        s = self.shapes.get(token)
+        if s is None:
+            if len(self.shapes) > 100_000:
+                self.shapes.clear()
+            s = self.shapes[token] = crc32(RUN.sub(rb"\1\1", token))
+        return s
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        raw = text.split()
+        shapes = list(map(self.shape, text.translate(CLASS).split()))
+        # 1 stands for a word that repeats the one before
+        shapes[1:] = [1 if a == b else s for a, b, s in zip(raw, raw[1:], shapes[1:])]
+        for p in (b".", b",", b";", b":", b"!", b"?"):
+            text = text.replace(p, b" ")
+        words = text.translate(SEPARATE).split()
+        h = np.fromiter(map(crc32, words), np.uint64, len(words))
+        s = np.array(shapes, np.uint64)
+        return np.concatenate(_hashed(h, 16, 0) + _hashed(s, 12, MODELS[2])).astype(np.int32)
 
 
 def counts(docs: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
     """(bucket, raw, target): n-gram counts over all rows and over the target
     rows. Every task sums its rows before the shuffle."""
     def run(batches):
-        total = np.zeros((2, 2 * BUCKETS), np.int64)
+        total = np.zeros((2, MODELS[-1]), np.int64)
+        grams = Grams()
         for b in batches:
             for t, is_target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.bincount(grams(t), minlength=2 * BUCKETS) if len(t) > 1 << 19 else None
-                if c is None:
-                    g = grams(t)
-                    np.add.at(total[0], g, 1)
-                    if is_target:
-                        np.add.at(total[1], g, 1)
-                else:
-                    total[0] += c
-                    total[1] += c if is_target else 0
+                g = grams(t)
+                np.add.at(total[0], g, 1)
+                if is_target:
+                    np.add.at(total[1], g, 1)
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])],
                                          names=["bucket", "raw", "target"])
@@ -81,9 +109,10 @@ def counts(docs: DataFrame, text: str = "text", target: str = "target") -> DataF
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR, min_z: float = MIN_Z) -> np.ndarray:
-    """log(p_target / p_raw) per bucket; words and pairs are two models."""
-    out = np.zeros(2 * BUCKETS)
-    for s in (slice(0, BUCKETS), slice(BUCKETS, None)):
+    """log(p_target / p_raw) per bucket; words, pairs, shapes and shape pairs are
+    models of their own."""
+    out = np.zeros(MODELS[-1])
+    for s in map(slice, MODELS[:-1], MODELS[1:]):
         r, t = raw[s].astype(float), target[s].astype(float)
         if not r.sum() or not t.sum():
             continue
@@ -98,7 +127,7 @@ def weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text: s
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
-        table = shared.value
+        table, grams = shared.value, Grams()
         for b in batches:
             n, w = [], []
             for t in b.column(2).to_pylist():
@@ -112,9 +141,9 @@ def weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text: s
             .mapInArrow(run, "doc_id long, text_hash long, n_grams long, log_weight double"))
 
 
-def best_cut(scored: DataFrame) -> float | None:
+def best_cut(scored: DataFrame, keep: float = KEEP) -> float | None:
     """Cut on log_weight with the best balanced accuracy on rows labelled
-    (good true or false). From a histogram of fixed size; None without both kinds."""
+    (good true or false), of the cuts that accept ``keep`` of the good rows. From a histogram of fixed size; None without both kinds."""
     lab = scored.where("good is not null")
     # signed log scale, so that a few very long rows don't set the bin width
     x = F.signum("log_weight") * F.log1p(F.abs("log_weight"))
@@ -129,7 +158,7 @@ def best_cut(scored: DataFrame) -> float | None:
     # cut below bin i: rows from bin i on are accepted
     accepted = np.cumsum(g[::-1])[::-1] / g.sum()
     rejected = np.concatenate(([0], np.cumsum(bad)[:-1])) / bad.sum()
-    edge = hist[int(np.argmax(accepted + rejected))]["bin"] / 200
+    edge = hist[int(np.argmax(np.where(accepted >= keep, accepted + rejected, 0)))]["bin"] / 200
     return float(np.sign(edge) * np.expm1(abs(edge)))
 
 
@@ -189,7 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
               .withColumn("target", F.lit(True)))
     marked = named.join(F.broadcast(chosen), "doc_id", "left")
     c = counts(marked).collect()
-    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    raw, target = np.zeros(MODELS[-1], np.int64), np.zeros(MODELS[-1], np.int64)
     for b, r, t in c:
         raw[b], target[b] = r, t
     scored = land(weights(named, log_ratios(raw, target)).join(lab, "doc_id", "left")
