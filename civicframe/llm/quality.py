@@ -158,7 +158,11 @@ def best_cut(scored: DataFrame, keep: float = KEEP) -> float | None:
     # cut below bin i: rows from bin i on are accepted
     accepted = np.cumsum(g[::-1])[::-1] / g.sum()
     rejected = np.concatenate(([0], np.cumsum(bad)[:-1])) / bad.sum()
-    edge = hist[int(np.argmax(np.where(accepted >= keep, accepted + rejected, 0)))]["bin"] / 200
+    best = int(np.argmax(np.where(accepted >= keep, accepted + rejected, 0)))
+    if not best:
+        return float("-inf")
+    # in the middle of the gap below the lowest accepted bin
+    edge = (hist[best - 1]["bin"] + 1 + hist[best]["bin"]) / 400
     return float(np.sign(edge) * np.expm1(abs(edge)))
 
 
