@@ -132,6 +132,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT, id_
     misses = (keyed.groupBy("digest").agg(F.min("doc_id").alias("_id")).join(known(), "digest", "left_anti")
               .withColumnRenamed("digest", "_digest"))
     found = encode(keyed.join(misses, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))), path)
+    # rows that repeat both id and text are encoded once each and stored once
+    found = found.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     found.select(F.lit(tok).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(t, 256).alias("digest"),
                         F.octet_length(t).cast("long").alias("n_bytes"))
