@@ -256,9 +256,9 @@ def repeated_strings(g: np.ndarray, left: list[bytes], right: list[bytes]) -> np
     match = GRAM + np.minimum(match, np.minimum(rsize[1:], rsize[:-1]))
     match = np.where(g[1:] == g[:-1], match, 0)
     table = [match]
-    while 2 << len(table) <= max(n, 2):
+    while 1 << len(table) <= len(match):
         half = 1 << (len(table) - 1)
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]) if len(table[-1]) > half else table[-1])
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
     flags = np.zeros((n, SPAN), bool)
     at = np.arange(n)
     cls = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])))
