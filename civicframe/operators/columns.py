@@ -39,11 +39,15 @@ def drop_matching(df: DataFrame, prefix: str | None = None, suffix: str | None =
     return df.drop(*gone)
 
 
-def rename_positional(df: DataFrame, names) -> DataFrame:
-    """rename the first ``len(names)`` columns by position."""
-    cur = df.columns
-    mapping = {cur[i]: n for i, n in enumerate(names)}
-    return df.withColumnsRenamed(mapping)
+def rename_positional(df: DataFrame, names, positions=None) -> DataFrame:
+    """rename columns by position, 1 for the first: those in
+    ``positions``, or the first ``len(names)``."""
+    names = list(names)
+    at = list(positions) if positions is not None else list(range(1, len(names) + 1))
+    if len(at) != len(names):
+        raise ValueError("as many names as positions")
+    new = dict(zip(at, names))
+    return df.toDF(*[new.get(i, c) for i, c in enumerate(df.columns, 1)])
 
 
 def relocate(df: DataFrame, first, after: str | None = None) -> DataFrame:
@@ -121,6 +125,9 @@ def request_query(df: DataFrame, date_cols=(), lowered: bool = False, **equals)
             # same day as a half-open range: a plain comparison the scan can prune on
             day = F.lit(v).cast(df.schema[k].dataType)
             cond = cond & (F.col(k) >= day) & (F.col(k) < F.timestamp_add("DAY", F.lit(1), day))
+        elif k in date_cols and types.get(k) == "string":
+            # ISO text starts with the day: a prefix test, which the scan can prune on
+            cond = cond & F.col(k).startswith(str(v)[:10])
         elif k in date_cols:
             cond = cond & (F.to_date(F.col(k)) == F.to_date(F.lit(v)))
         elif isinstance(v, str) and lowered:

@@ -14,10 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of one chunk of a pattern or item list shipped to every task
-# (checked before anything is collected).
-PATTERN_MAX_ITEMS = 200_000
-PATTERN_MAX_BYTES = 64 << 20
+# Bytes of regular expressions that one filter takes (checked before they are
+# collected).
+PATTERN_MAX_BYTES = 1 << 20
 
 
 def left_join_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -51,9 +50,10 @@ def stack_tables(frames) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def enrich(df: DataFrame, dictionary: DataFrame, on, small: bool = True) -> DataFrame:
-    """Attach lookup columns (left join); the lookup is broadcast
-    when its size is known to be small."""
+def enrich(df: DataFrame, dictionary: DataFrame, on, small: bool = False) -> DataFrame:
+    """Attach lookup columns (left join). ``small``: the caller vouches
+    for the lookup's size (a hand-written list) and it is broadcast; else AQE
+    broadcasts it if it measures small."""
     d = F.broadcast(dictionary) if small else dictionary
     return df.join(d, on, "left")
 
@@ -72,37 +72,19 @@ def keep_matching_any(df: DataFrame, text_col: str, patterns: DataFrame, pattern
     """Keep rows whose text matches any pattern of a table built from
     data.
 
-    Plain names (``literal=True``) are an equi semi join. Regular
-    expressions are read in chunks of bounded size and each chunk becomes
-    one alternation test in the filter (``rlike``), so every row is tested
-    once per chunk inside the JVM: no pair product, and no bound on the
-    number of patterns.
+    Plain names (``literal=True``) are an equi semi join of any size. Regular
+    expressions have no join key: they become one alternation in the filter
+    (``rlike``), for a list of at most ``PATTERN_MAX_BYTES``; a longer one is
+    an error.
     """
     if literal:
         return df.join(patterns.select(F.col(pattern_col).alias("_p")).distinct(),
                        df[text_col] == F.col("_p"), "left_semi")
-    cond = None
-    for chunk in _bounded_chunks(patterns.select(F.col(pattern_col).alias("_p")), "_p"):
-        test = F.coalesce(F.col(text_col).rlike("|".join(f"(?:{p})" for p in chunk)), F.lit(False))
-        cond = test if cond is None else (cond | test)
-    return df.limit(0) if cond is None else df.where(cond)
-
-
-def _bounded_chunks(items: DataFrame, col: str):
-    """Distinct non-empty values of ``col`` read to the driver one chunk at a
-    time, each at most PATTERN_MAX_ITEMS values and PATTERN_MAX_BYTES bytes
-    (chunks are hash buckets sized from a count taken first)."""
-    vals = items.where(F.col(col).isNotNull() & (F.length(col) > 0)).distinct()
-    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(col)).alias("b")).first()
-    n, nbytes = stats["n"], stats["b"] or 0
-    if n == 0:
-        return
-    k = max(1, -(-n // PATTERN_MAX_ITEMS), -(-nbytes // PATTERN_MAX_BYTES))
-    bucketed = vals.withColumn("_chunk", F.pmod(F.xxhash64(col), F.lit(k)))
-    for i in range(k):
-        chunk = [r[col] for r in bucketed.where(F.col("_chunk") == i).select(col).collect()]
-        if chunk:  # an empty bucket must not become an empty (match-all) pattern
-            yield chunk
+    vals = patterns.select(F.col(pattern_col).alias("_p")).where(F.col("_p").isNotNull()).distinct()
+    if (vals.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) > PATTERN_MAX_BYTES:
+        raise ValueError(f"more than {PATTERN_MAX_BYTES} bytes of patterns")
+    found = sorted(r["_p"] for r in vals.collect())
+    return df.where(F.col(text_col).rlike("|".join(f"(?:{p})" for p in found))) if found else df.limit(0)
 
 
 def normalise_address(col):
@@ -128,47 +110,43 @@ def address_to_parcel(requests: DataFrame, parcels: DataFrame, req_addr: str, pa
 
 
 
-def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str) -> DataFrame:
+# Fixed value: characters of the grams that short items are looked up by.
+GRAM = 8
+
+
+def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str, id_col: str) -> DataFrame:
     """J7 for literal items: keep rows whose text contains any item as a
-    substring.
-
-    Spark has no multi-pattern substring search, and a join on
-    ``contains`` tests every (row, item) pair. Here the items are read in
-    bounded chunks (see :func:`_bounded_chunks`); each chunk is broadcast
-    and every partition runs one Aho-Corasick pass per text over Arrow
-    batches (``mapInPandas``), whose cost does not grow with the number of
-    items. More chunks mean more passes, never a pair product.
+    substring. ``id_col`` identifies a row; null texts and items match nothing,
+    an empty item is contained in every text.
+
+    Candidates come from an equi-join on one gram per item, then ``contains``
+    decides. An item of four or more space-separated words is looked up by its
+    longest pair of inner words: as spaces stand on both sides of them in the
+    item, they are whole words of any text that contains it. A shorter item is
+    looked up by its first ``GRAM`` characters (or all it has). Only (id, gram)
+    rows meet; texts are joined to the candidate pairs afterwards. Every size takes the same way, and a gram that is in very many
+    texts is a skewed join key that AQE splits.
     """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:  # pragma: no cover - library missing: per-chunk JVM test
-        cond = None
-        for chunk in _bounded_chunks(items.select(F.col(item_col).alias("_i")), "_i"):
-            t = F.lit(False)
-            for w in chunk:
-                t = t | F.coalesce(F.col(text_col).contains(F.lit(w)), F.lit(False))
-            cond = t if cond is None else cond | t
-        return df.limit(0) if cond is None else df.where(cond)
-    spark = df.sparkSession
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["_hit boolean"])
-    flagged = df.withColumn("_hit", F.lit(False))
-    passes = 0
-    for chunk in _bounded_chunks(items.select(F.col(item_col).alias("_i")), "_i"):
-        passes += 1
-        shared = spark.sparkContext.broadcast(chunk)
-
-        def scan(batches, shared=shared):
-            import ahocorasick as ac
-            auto = ac.Automaton()
-            for i, w in enumerate(shared.value):
-                auto.add_word(w, i)
-            auto.make_automaton()
-            for pdf in batches:
-                hit = [bool(h) or (t is not None and next(auto.iter(t), None) is not None)
-                       for t, h in zip(pdf[text_col], pdf["_hit"])]
-                yield pdf.assign(_hit=hit)
-
-        flagged = flagged.mapInPandas(scan, schema=out_schema)
-    if passes == 0:
-        return df.limit(0)
-    return flagged.where(F.col("_hit")).drop("_hit")
+    it = items.select(F.col(item_col).alias("_item")).where(F.col("_item").isNotNull()).distinct()
+    w = F.split("_item", " ")
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(inner) - 1),
+                        lambda i: F.concat_ws(" ", F.element_at(inner, i), F.element_at(inner, i + 1)))
+    longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
+    first = F.substring("_item", 1, GRAM)
+    it = it.select("_item", F.when(F.size(w) >= 4, F.struct(F.lit(-1).alias("k"), longest.alias("g")))
+                   .otherwise(F.struct(F.char_length(first).alias("k"), first.alias("g"))).alias("_gram"))
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+    tw = F.split("_t", " ")
+    of_words = F.when(F.size(tw) >= 2, F.transform(F.sequence(F.lit(1), F.size(tw) - 1), lambda i: F.struct(
+        F.lit(-1).alias("k"), F.concat_ws(" ", F.element_at(tw, i), F.element_at(tw, i + 1)).alias("g"))))
+    grams = texts.select("_id", F.explode(F.array_distinct(of_words)).alias("_gram"))
+    # the lengths that short items have: at most GRAM + 1 numbers
+    for k in sorted(r["k"] for r in it.select("_gram.k").where("k >= 0").distinct().collect()):
+        size = F.lit(k)
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length("_t") - size + 1, F.lit(1)))
+        cut = F.transform(starts, lambda i: F.struct(size.alias("k"), F.substring(F.col("_t"), i, size).alias("g")))  # noqa: B023
+        grams = grams.union(texts.select("_id", F.explode(F.array_distinct(F.when(F.char_length("_t") >= size, cut))).alias("_gram")))
+    found = grams.join(it, "_gram").select("_id", "_item")
+    ids = found.join(texts, "_id").where(F.contains("_t", "_item")).select("_id").distinct()
+    return df.join(ids, df[id_col] == ids["_id"], "left_semi")

@@ -66,8 +66,12 @@ def standardise_labels(df: DataFrame, text_col: str, lookup: DataFrame, raw_col:
         .withColumn(concept_col, F.col("_concept")).drop("_raw", "_label", "_concept")
 
 
+# Fixed value: what stands between the parts of a label.
+PART_SEP = "!!"
+
+
 def universe_and_label(df: DataFrame, descs=("description_1", "description_2", "description_3",
-                                               "description_4", "description_5"), sep: str = " by ") -> DataFrame:
+                                               "description_4", "description_5"), sep: str = PART_SEP) -> DataFrame:
     """First description is the universe; the others, nulls skipped,
     joined into the label."""
     return df.withColumn("universe", F.col(descs[0])) \

@@ -1,15 +1,17 @@
 """Spatial layer selection (J8, J9) with Spark expressions only.
 
-A polygon is ``rings: array<array<struct<x,y>>>`` (first ring the shell,
-the rest holes; rings closed or not) plus bbox columns ``xmin .. ymax``.
+A polygon is ``rings: array<array<struct<x,y>>>`` plus bbox columns
+``xmin .. ymax``. Rings are closed or not and count by the even-odd rule: a
+shell, its holes, further parts (multipolygons) and islands in holes may stand
+in any order.
 
 Candidate pairs come from an equi-join on grid cells: each bbox is
-exploded into the cells it covers, both sides are joined on the cell, and
-a pair is kept only in the one cell that holds the lower-left corner of
-the two boxes' overlap, so no ``distinct`` is needed. The exact test then
-runs as higher-order array expressions (ray casting, segment
-intersection) inside the JVM. A hot cell is a skewed join key; AQE's skew
-join splits it.
+exploded into the cells it covers (ids and boxes only, never the rings),
+both sides are joined on the cell, and a pair is kept only in the one cell
+that holds the lower-left corner of the two boxes' overlap, so no ``distinct``
+is needed. The edges are joined to the pairs that are left, and the exact test
+runs as higher-order array expressions inside the JVM. A hot cell is a skewed join key;
+AQE's skew join splits it.
 """
 
 from __future__ import annotations
@@ -18,117 +20,130 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _seg_cross(ax, ay, bx, by, cx, cy) -> Column:
-    """Cross product (b - a) x (c - a)."""
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+def edges_of(rings: Column) -> Column:
+    """All edges ``struct<a,b>`` of all rings (points of no length left out)."""
+    def of_ring(r):
+        n = F.size(r)
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+            F.element_at(r, i).alias("a"), F.element_at(r, (i % n) + 1).alias("b")))
+    every = F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 0), of_ring))
+    return F.filter(every, lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"]))
 
 
-def _on_segment(px, py, a, b) -> Column:
-    """Point on the closed segment a-b."""
-    return ((_seg_cross(a["x"], a["y"], b["x"], b["y"], px, py) == 0)
-            & (px >= F.least(a["x"], b["x"])) & (px <= F.greatest(a["x"], b["x"]))
-            & (py >= F.least(a["y"], b["y"])) & (py <= F.greatest(a["y"], b["y"])))
+def _cross(ax, ay, bx, by) -> Column:
+    return ax * by - ay * bx
 
 
-def _edges(ring: Column) -> Column:
-    """Indexes 1..n of a ring's edges (edge i joins point i to point i+1,
-    wrapping to the first point)."""
-    return F.sequence(F.lit(1), F.size(ring))
-
+def _on_edge(px, py, e: Column) -> Column:
+    a, b = e["a"], e["b"]
+    return ((_cross(b["x"] - a["x"], b["y"] - a["y"], px - a["x"], py - a["y"]) == 0)
+            & (px >= F.least(a["x"], b["x"])) & (px <= F.greatest(a["x"], b["x"]))
+            & (py >= F.least(a["y"], b["y"])) & (py <= F.greatest(a["y"], b["y"])))
 
-def _pt(ring: Column, i: Column) -> Column:
-    return F.element_at(ring, i)
 
+def _crossing_x(e: Column, y) -> Column:
+    """x where the line of an edge is at height y."""
+    a, b = e["a"], e["b"]
+    return (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]
 
-def _next(ring: Column, i: Column) -> Column:
-    return F.element_at(ring, (i % F.size(ring)) + 1)
 
+def position(px, py, edges: Column) -> Column:
+    """2 = inside, 1 = on the boundary, 0 = outside, by the even-odd rule."""
+    def crosses(e):
+        return F.when((e["a"]["y"] > py) != (e["b"]["y"] > py), px < _crossing_x(e, py)).otherwise(F.lit(False))
+    odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != crosses(e))
+    return F.when(F.exists(edges, lambda e: _on_edge(px, py, e)), 1).when(odd, 2).otherwise(0)
 
-def on_ring(px, py, ring: Column) -> Column:
-    """Point on the ring's boundary."""
-    return F.exists(_edges(ring), lambda i: _on_segment(px, py, _pt(ring, i), _next(ring, i)))
 
+def _contacts(e: Column, f: Column) -> Column:
+    """Places (0 to 1) on edge e where edge f meets it."""
+    a, b, c, d = e["a"], e["b"], f["a"], f["b"]
+    rx, ry, sx, sy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
+    qx, qy = c["x"] - a["x"], c["y"] - a["y"]
+    den, off, length = _cross(rx, ry, sx, sy), _cross(qx, qy, rx, ry), rx * rx + ry * ry
+    t, u = _cross(qx, qy, sx, sy) / den, off / den
+    tc, td = (qx * rx + qy * ry) / length, ((d["x"] - a["x"]) * rx + (d["y"] - a["y"]) * ry) / length
+    none = F.array().cast("array<double>")
+    return (F.when(den != 0, F.when((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), F.array(t)).otherwise(none))
+            .when(off == 0, F.filter(F.array(tc, td), lambda v: (v >= 0) & (v <= 1))).otherwise(none))
 
-def in_ring(px, py, ring: Column) -> Column:
-    """Point strictly inside the ring by the even-odd ray rule (points on
-    the boundary must be tested with :func:`on_ring` first)."""
-    def crosses(i):
-        a, b = _pt(ring, i), _next(ring, i)
-        return ((a["y"] > py) != (b["y"] > py)) & \
-            (px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"])
-    return F.aggregate(_edges(ring), F.lit(False), lambda acc, i: acc != F.coalesce(crosses(i), F.lit(False)))
 
+def _along(e: Column, f: Column, t) -> Column:
+    """Edge f lies along edge e at place t."""
+    a, b, c, d = e["a"], e["b"], f["a"], f["b"]
+    rx, ry = b["x"] - a["x"], b["y"] - a["y"]
+    length = rx * rx + ry * ry
+    tc, td = ((c["x"] - a["x"]) * rx + (c["y"] - a["y"]) * ry) / length, ((d["x"] - a["x"]) * rx + (d["y"] - a["y"]) * ry) / length
+    return ((_cross(rx, ry, c["x"] - a["x"], c["y"] - a["y"]) == 0) & (_cross(rx, ry, d["x"] - a["x"], d["y"] - a["y"]) == 0)
+            & (t >= F.least(tc, td)) & (t <= F.greatest(tc, td)))
 
-def point_position(px, py, rings: Column) -> Column:
-    """2 = inside, 1 = on the boundary, 0 = outside a polygon with holes."""
-    shell = rings[0]
-    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(1)))
-    has_holes = F.size(rings) > 1
-    on_any = on_ring(px, py, shell) | (has_holes & F.exists(holes, lambda h: on_ring(px, py, h)))
-    in_hole = has_holes & F.exists(holes, lambda h: in_ring(px, py, h))
-    return F.when(on_any, 1).when(in_ring(px, py, shell) & ~in_hole, 2).otherwise(0)
 
+def _middles(e: Column, others: Column) -> Column:
+    """Middles of the pieces into which the other edges cut edge e."""
+    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)),
+                                                F.flatten(F.transform(others, lambda f: _contacts(e, f))))))
+    return F.transform(F.sequence(F.lit(1), F.size(ts) - 1), lambda i: (F.element_at(ts, i) + F.element_at(ts, i + 1)) / 2)
 
-def _segments_touch(a, b, c, d) -> Column:
-    """Closed segments a-b and c-d share at least one point."""
-    d1 = _seg_cross(c["x"], c["y"], d["x"], d["y"], a["x"], a["y"])
-    d2 = _seg_cross(c["x"], c["y"], d["x"], d["y"], b["x"], b["y"])
-    d3 = _seg_cross(a["x"], a["y"], b["x"], b["y"], c["x"], c["y"])
-    d4 = _seg_cross(a["x"], a["y"], b["x"], b["y"], d["x"], d["y"])
-    proper = (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0)))
-    return proper | _on_segment(a["x"], a["y"], c, d) | _on_segment(b["x"], b["y"], c, d) \
-        | _on_segment(c["x"], c["y"], a, b) | _on_segment(d["x"], d["y"], a, b)
 
+def _piece_position(e: Column, t, edges: Column) -> Column:
+    x = e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * t
+    y = e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t
+    return F.when(F.exists(edges, lambda f: _along(e, f, t)), 1).otherwise(position(x, y, edges))
 
-def _segments_cross_properly(a, b, c, d) -> Column:
-    """Segments cross at a single interior point of both."""
-    d1 = _seg_cross(c["x"], c["y"], d["x"], d["y"], a["x"], a["y"])
-    d2 = _seg_cross(c["x"], c["y"], d["x"], d["y"], b["x"], b["y"])
-    d3 = _seg_cross(a["x"], a["y"], b["x"], b["y"], c["x"], c["y"])
-    d4 = _seg_cross(a["x"], a["y"], b["x"], b["y"], d["x"], d["y"])
-    return (((d1 > 0) & (d2 < 0)) | ((d1 < 0) & (d2 > 0))) & (((d3 > 0) & (d4 < 0)) | ((d3 < 0) & (d4 > 0)))
 
+def _inner_points(edges: Column) -> Column:
+    """A point of every stretch of the interior at a height between each two
+    neighbouring vertex heights: at least one in every part."""
+    ys = F.array_sort(F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(e["a"]["y"], e["b"]["y"])))))
 
-def _any_edge_pair(ra: Column, rb: Column, test) -> Column:
-    return F.exists(_edges(ra), lambda i: F.exists(
-        _edges(rb), lambda j: test(_pt(ra, i), _next(ra, i), _pt(rb, j), _next(rb, j))))
+    def at(i):
+        y = (F.element_at(ys, i) + F.element_at(ys, i + 1)) / 2
+        cut = F.filter(edges, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        xs = F.array_sort(F.transform(cut, lambda e: _crossing_x(e, y)))
+        halves = F.floor(F.size(xs) / 2).cast("int")
+        return F.when(halves > 0, F.transform(F.sequence(F.lit(1), F.greatest(halves, F.lit(1))), lambda k: F.struct(
+            ((F.element_at(xs, 2 * k - 1) + F.element_at(xs, 2 * k)) / 2).alias("x"), y.alias("y"))))
+    levels = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ys) - 1, F.lit(1))), at)
+    return F.flatten(F.filter(levels, lambda v: v.isNotNull()))
 
 
 def polygon_within(a: Column, b: Column) -> Column:
-    """Polygon ``a`` lies within polygon ``b`` (boundary contact allowed):
-    no vertex of ``a`` outside ``b``, at least one strictly inside or all
-    on the boundary, no edge of ``a`` crossing an edge of ``b`` properly,
-    and no hole vertex of ``b`` strictly inside ``a``."""
-    verts = F.flatten(a)
-    pos = F.transform(verts, lambda p: point_position(p["x"], p["y"], b))
-    none_out = ~F.exists(pos, lambda s: s == 0)
-    no_cross = ~F.exists(a, lambda ra: F.exists(b, lambda rb: _any_edge_pair(ra, rb, _segments_cross_properly)))
-    b_holes = F.flatten(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(1))))
-    holes_clear = (F.size(b) <= 1) | ~F.exists(b_holes, lambda p: point_position(p["x"], p["y"], a) == 2)
-    return none_out & no_cross & holes_clear
+    """Polygon ``a`` (edges) lies within ``b`` (edges), boundary contact
+    allowed. Each edge is cut at its contacts with the other polygon:
+    no piece of a's boundary may lie outside b, no piece of b's boundary inside
+    a; the interior of a is then on one side of b part by part, and a point of each
+    part decides which."""
+    boundary_in = F.forall(a, lambda e: F.forall(_middles(e, b), lambda t: _piece_position(e, t, b) != 0))
+    b_clear = ~F.exists(b, lambda f: F.exists(_middles(f, a), lambda t: _piece_position(f, t, a) == 2))
+    inner_in = F.forall(_inner_points(a), lambda p: position(p["x"], p["y"], b) != 0)
+    return (F.size(a) > 0) & boundary_in & b_clear & inner_in
 
 
 def polygon_intersects(a: Column, b: Column) -> Column:
-    """The closed polygons share at least one point."""
-    a_in_b = F.exists(F.flatten(a), lambda p: point_position(p["x"], p["y"], b) > 0)
-    b_in_a = F.exists(F.flatten(b), lambda p: point_position(p["x"], p["y"], a) > 0)
-    cross = F.exists(a, lambda ra: F.exists(b, lambda rb: _any_edge_pair(ra, rb, _segments_touch)))
-    return a_in_b | b_in_a | cross
+    """The closed polygons (edges) share at least one point: an end of an edge
+    in or on the other polygon, or two edges that meet."""
+    a_in_b = F.exists(a, lambda e: position(e["a"]["x"], e["a"]["y"], b) > 0)
+    b_in_a = F.exists(b, lambda f: position(f["a"]["x"], f["a"]["y"], a) > 0)
+    meet = F.exists(a, lambda e: F.exists(b, lambda f: F.size(_contacts(e, f)) > 0))
+    return a_in_b | b_in_a | meet
+
+
+BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
-def _cells(df: DataFrame, size: float, prefix: str) -> DataFrame:
+def _cells(df: DataFrame, size: float, prefix: str, id_col: str) -> DataFrame:
     p = prefix
-    renamed = df.select(*[F.col(c).alias(p + c) for c in df.columns])
+    thin = df.select(*[F.col(c).alias(p + c) for c in (id_col, *BOX)])
     cx = F.explode(F.sequence(F.floor(F.col(p + "xmin") / size), F.floor(F.col(p + "xmax") / size)))
     cy = F.explode(F.sequence(F.floor(F.col(p + "ymin") / size), F.floor(F.col(p + "ymax") / size)))
-    return renamed.select("*", cx.alias("_cx")).select("*", cy.alias("_cy"))
+    return thin.select("*", cx.alias("_cx")).select("*", cy.alias("_cy"))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, cell: float, touching: bool = True) -> DataFrame:
-    """Pairs whose closed bboxes overlap, each pair once. Columns of the
-    left side get ``l_``, of the right side ``r_``."""
-    lc = _cells(left, cell, "l_")
-    rc = _cells(right, cell, "r_")
+def candidate_pairs(left: DataFrame, right: DataFrame, cell: float, id_col: str = "id") -> DataFrame:
+    """Ids and boxes of the pairs whose closed bboxes overlap, each pair once.
+    Columns of the left side get ``l_``, of the right side ``r_``."""
+    lc = _cells(left, cell, "l_", id_col)
+    rc = _cells(right, cell, "r_", id_col)
     overlap = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("l_xmax") >= F.col("r_xmin")) & \
               (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("l_ymax") >= F.col("r_ymin"))
     ref_x = F.floor(F.greatest("l_xmin", "r_xmin") / cell)
@@ -150,24 +165,25 @@ def select_by_location(layer: DataFrame, anchor: DataFrame, predicate: str = "in
                        cell: float | None = None, id_col: str = "id") -> DataFrame:
     """Rows of ``layer`` within (or intersecting) any polygon of
     ``anchor`` -- sf's ``layer[anchor, op = st_within]``. ``cell`` defaults
-    to :func:`grid_cell_size` of the layer; ``id_col`` must be unique."""
+    to :func:`grid_cell_size` of the layer; ``id_col`` must be unique in both."""
     if cell is None:
         cell = grid_cell_size(layer)
-    pairs = candidate_pairs(layer, anchor, cell)
+    pairs = candidate_pairs(layer, anchor, cell, id_col)
     if predicate == "within":
         pairs = pairs.where(
             (F.col("l_xmin") >= F.col("r_xmin")) & (F.col("l_xmax") <= F.col("r_xmax"))
             & (F.col("l_ymin") >= F.col("r_ymin")) & (F.col("l_ymax") <= F.col("r_ymax")))
-        test = polygon_within(F.col("l_rings"), F.col("r_rings"))
+        test = polygon_within(F.col("_a"), F.col("_b"))
     elif predicate == "intersects":
-        test = polygon_intersects(F.col("l_rings"), F.col("r_rings"))
+        test = polygon_intersects(F.col("_a"), F.col("_b"))
     else:
         raise ValueError(f"unknown predicate {predicate}")
-    # A layer row that meets several anchor polygons appears once per anchor;
-    # keep it once. Only the matching pairs are shuffled for this, never the
-    # whole layer. ``id_col`` must identify a layer row.
-    hits = pairs.where(test).select(*[F.col("l_" + c).alias(c) for c in layer.columns])
-    return hits.dropDuplicates([id_col])
+    a = layer.select(F.col(id_col).alias(f"l_{id_col}"), edges_of(F.col("rings")).alias("_a"))
+    b = anchor.select(F.col(id_col).alias(f"r_{id_col}"), edges_of(F.col("rings")).alias("_b"))
+    # edges only meet the pairs whose boxes fit; a layer row may meet several anchors
+    hits = (pairs.select(f"l_{id_col}", f"r_{id_col}").join(a, f"l_{id_col}").join(b, f"r_{id_col}").where(test)
+            .select(F.col(f"l_{id_col}").alias("_hit")).distinct())
+    return layer.join(hits, layer[id_col] == hits["_hit"], "left_semi")
 
 
 def rectangle(x0, y0, w, h) -> Column:

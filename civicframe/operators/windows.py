@@ -107,7 +107,7 @@ def ntile_from_number(rn, n, k: int) -> Column:
 
 def fill_up(df: DataFrame, group_cols, order_cols, fill_cols, num_partitions: int | None = None) -> DataFrame:
     """Fill nulls from the next non-null value in the group (tidyr
-    ``fill(.direction = "up")``), ordered explicitly.
+    ``fill(.direction = "up")``), ordered explicitly by columns (names).
 
     A two-level scan so no group lands in one task: range-partition on
     (group, order); fill inside each (partition, group) with a window
@@ -126,15 +126,18 @@ def fill_up(df: DataFrame, group_cols, order_cols, fill_cols, num_partitions: in
               .withColumn("_pid", F.shiftright("_mid", 33))
               .drop("_mid"))
     ranged = cut_lineage(ranged)
-    ahead = Window.partitionBy("_pid", *g).orderBy(*_cols(order_cols)) \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    local = ranged.select("*", *[F.first(c, ignorenulls=True).over(ahead).alias(f"_loc_{c}") for c in fill_cols])
+    # "The next non-null value" is the last one seen going backwards: a frame
+    # that only grows, so the window is linear in the rows of a piece. (A frame
+    # from the current row to the end is computed anew for every row.)
+    back = [F.col(c).desc() for c in _names(order_cols)]
+    ahead = Window.partitionBy("_pid", *g).orderBy(*back).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.last(c, ignorenulls=True).over(ahead).alias(f"_loc_{c}") for c in fill_cols])
     # First non-null per piece: min_by over the piece in order, as a struct min.
     order_struct = F.struct(*_cols(order_cols))
     piece = ranged.groupBy("_pid", *g).agg(*[
         F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order_struct)).alias(f"_head_{c}") for c in fill_cols])
-    later = Window.partitionBy(*g).orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
-    carry = piece.select("_pid", *g, *[F.first(f"_head_{c}", ignorenulls=True).over(later).alias(f"_carry_{c}")
+    later = Window.partitionBy(*g).orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = piece.select("_pid", *g, *[F.last(f"_head_{c}", ignorenulls=True).over(later).alias(f"_carry_{c}")
                                         for c in fill_cols])
     cond = [local["_pid"] == carry["_pid"]] + [local[c].eqNullSafe(carry[c]) for c in g]
     joined = local.join(carry, cond, "left")

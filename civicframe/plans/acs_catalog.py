@@ -69,13 +69,12 @@ def variable_tree(catalog: DataFrame) -> DataFrame:
 def changed_variables(top: DataFrame) -> DataFrame:
     """A6 + J7: variables whose concept changed over the years (more than
     one concept per name, missing concepts left out), and every catalogue
-    row whose name matches one of them (the names become patterns, as the
-    script flattens them into one alternation)."""
+    row with one of these names (plain names: an equi semi join)."""
     from civicframe.operators import aggregate as A
     from civicframe.operators import joins as J
     known = top.where(F.col("concept").isNotNull())
     changed = A.repeated_groups(known.select("name", "concept").distinct(), ["name"])
-    return J.keep_matching_any(known, "name", changed, "name")
+    return J.keep_matching_any(known, "name", changed, "name", literal=True)
 
 
 def years_per_concept(top: DataFrame) -> DataFrame:

@@ -10,3 +10,4 @@ from civicframe.plans import formats  # noqa: F401
 from civicframe.plans import storage  # noqa: F401
 from civicframe.plans import sleep  # noqa: F401
 from civicframe.plans import chas  # noqa: F401
+from civicframe.plans import everyday  # noqa: F401

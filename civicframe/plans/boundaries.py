@@ -66,6 +66,59 @@ def customers_touching_region(spark, sf_dir):
     return S.select_by_location(customer_squares(spark, sf_dir), anchor, "intersects").select("id")
 
 
+def nation_parts(spark, sf_dir) -> DataFrame:
+    """Concave, holed polygons of two parts: each nation's square with a notch
+    from the top and a hole, and a small square 60 to the right."""
+    n = table(spark, sf_dir, "nation")
+    x0 = (F.col("n_nationkey") % 5 * 10).cast("double")
+    y0 = (F.floor(F.col("n_nationkey") / 5) * 10).cast("double")
+
+    def ring(*pts):
+        return F.array(*[F.struct((x0 + x).alias("x"), (y0 + y).alias("y")) for x, y in pts])
+    rings = F.array(ring((0, 0), (10, 0), (10, 10), (7, 10), (7, 4), (3, 4), (3, 10), (0, 10)),
+                    ring((4, 1), (6, 1), (6, 3), (4, 3)), ring((60, 0), (64, 0), (64, 4), (60, 4)))
+    return with_bbox(n.select(F.col("n_nationkey").cast("string").alias("id"), "n_regionkey", rings.alias("rings")))
+
+
+_PARTS = """
+WITH n AS (SELECT CAST((n_nationkey % 5) * 10 AS DOUBLE) AS x, CAST(floor(n_nationkey / 5) * 10 AS DOUBLE) AS y
+           FROM nation WHERE n_regionkey = {region}),
+c AS (SELECT c_custkey, CAST(c_custkey % 100 AS DOUBLE) AS x0, CAST(floor(c_custkey / 100) % 50 AS DOUBLE) AS y0,
+             0.5 + abs(c_acctbal) / 2000 AS w FROM customer),
+b AS (SELECT c_custkey, x0 AS x1, x0 + w AS x2, y0 AS y1, y0 + w AS y2 FROM c)
+""".format(region=ANCHOR_REGION)
+
+
+def customer_tiles(spark, sf_dir) -> DataFrame:
+    c = widen(table(spark, sf_dir, "customer"), "c_custkey")
+    x0 = (F.col("c_custkey") % 100).cast("double")
+    y0 = (F.floor(F.col("c_custkey") / 100) % 50).cast("double")
+    w = F.lit(0.5) + F.abs(F.col("c_acctbal")) / 2000
+    return with_bbox(c.select(F.col("c_custkey").cast("string").alias("id"), S.rectangle(x0, y0, w, w).alias("rings")))
+
+
+@register("tiles_within_parts", ("J8", "G2", "S7"), _PARTS + """
+SELECT CAST(c_custkey AS VARCHAR) AS id FROM b WHERE EXISTS (SELECT 1 FROM n WHERE
+  (x1 >= x AND x2 <= x + 10 AND y1 >= y AND y2 <= y + 10
+   AND NOT (x1 < x + 7 AND x2 > x + 3 AND y2 > y + 4) AND NOT (x1 < x + 6 AND x2 > x + 4 AND y1 < y + 3 AND y2 > y + 1))
+  OR (x1 >= x + 60 AND x2 <= x + 64 AND y1 >= y AND y2 <= y + 4))
+""")
+def tiles_within_parts(spark, sf_dir):
+    anchor = nation_parts(spark, sf_dir).where(F.col("n_regionkey") == ANCHOR_REGION)
+    return S.select_by_location(customer_tiles(spark, sf_dir), anchor, "within").select("id")
+
+
+@register("tiles_touching_parts", ("J9", "G3"), _PARTS + """
+SELECT CAST(c_custkey AS VARCHAR) AS id FROM b WHERE EXISTS (SELECT 1 FROM n WHERE
+  (x1 <= x + 10 AND x2 >= x AND y1 <= y + 10 AND y2 >= y AND NOT (x1 > x + 3 AND x2 < x + 7 AND y1 > y + 4)
+   AND NOT (x1 > x + 4 AND x2 < x + 6 AND y1 > y + 1 AND y2 < y + 3))
+  OR (x1 <= x + 64 AND x2 >= x + 60 AND y1 <= y + 4 AND y2 >= y))
+""")
+def tiles_touching_parts(spark, sf_dir):
+    anchor = nation_parts(spark, sf_dir).where(F.col("n_regionkey") == ANCHOR_REGION)
+    return S.select_by_location(customer_tiles(spark, sf_dir), anchor, "intersects").select("id")
+
+
 def layer_catalog(groups) -> DataFrame:
     """One table of named layer groups for a map: (group, label,
     visible, rings). ``groups`` is a list of (group name, layer frame,

@@ -43,13 +43,14 @@ def variable_labels(dictionary: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("variable", F.regexp_replace("variable", r"_est(\d+)$", "_$1"))
     parts = d.select("variable", F.col("description_1").alias("universe"),
                      F.posexplode(F.array("description_2", "description_3", "description_4", "description_5"))
-                     .alias("pos", "raw")).where(F.col("raw").isNotNull())
+                     .alias("pos", "raw"))
     lk = F.broadcast(labels.select(F.col("raw").alias("_raw"), F.col("label").alias("_label"),
                                    F.col("concept").alias("_concept")))
     std = parts.join(lk, parts["raw"] == lk["_raw"], "left").select(
         "variable", "universe", "pos", F.coalesce("_label", "raw").alias("part"), F.col("_concept").alias("concept"))
     g = std.groupBy("variable", "universe").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "concept"))).alias("p"))
-    label = F.array_join(F.transform("p", lambda s: s["part"]), "!!")
+    # empty descriptions are skipped here, so that a variable with a universe only stays
+    label = F.array_join(F.filter(F.transform("p", lambda s: s["part"]), lambda x: x.isNotNull()), R.PART_SEP)
     concept = F.array_join(F.filter(F.transform("p", lambda s: s["concept"]), lambda c: c.isNotNull()), " by ")
     return g.select("variable", "universe", label.alias("label"),
                     F.when(concept == "", F.lit("Total")).otherwise(concept).alias("concept"))
@@ -95,11 +96,12 @@ def get_chas(spark: SparkSession, root: str, geography: str, year: int | None =
     sumlevel = spark.read.option("header", True).csv(tables[0]).select(F.first("sumlevel").cast("int")).first()[0] \
         if tables else None
     cached = K.read_cache(spark, cache, year=year, geography=sumlevel) if sumlevel is not None else None
-    if cached is None or cached.isEmpty():
+    # a cache that a broken run has filled in part has rows but no marker
+    if sumlevel is not None and not K.is_complete(spark, cache, year=year, geography=sumlevel):
         dictionary = spark.read.option("header", True).csv(f"{root}/raw/{year}/dictionary.csv")
         labels = spark.read.option("header", True).csv(f"{root}/labels.csv")
         tidy = tidy_tables(spark, tables, dictionary, labels, year)
-        K.append_to_cache(tidy, cache)
+        K.append_to_cache(tidy, cache, complete=True)
         cached = K.read_cache(spark, cache, year=year, geography=sumlevel)
     out = cached
     if state is not None:
@@ -116,7 +118,14 @@ from civicframe.plans.registry import register, table  # noqa: E402
 # Label lookup of the driver-table run (segment names).
 SEGMENT_LABELS = [("AUTOMOBILE", "Automobile"), ("BUILDING", "Building"), ("FURNITURE", "Furniture"),
                   ("HOUSEHOLD", "Household"), ("MACHINERY", "Machinery")]
-YEARS = list(range(1995, 2002))
+MAX_COLUMNS = 1000  # of a wide table; more years or segments are an error
+
+
+def _values(df: DataFrame, col: str) -> list:
+    found = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} values of {col}")
+    return found
 
 
 def land_driver_tables(spark, sf_dir, root: str, year: int = 2020) -> None:
@@ -131,11 +140,13 @@ def land_driver_tables(spark, sf_dir, root: str, year: int = 2020) -> None:
            F.col("n_regionkey").cast("string").alias("st"), F.lit(None).cast("string").alias("cnty"),
            F.lit("040").alias("sumlevel")]
     oc = o.join(c, o.o_custkey == c.c_custkey).select("c_nationkey", F.year("o_orderdate").alias("y"), "o_totalprice")
+    # wide columns: all years and segments there are, in order
+    YEARS = _values(oc, "y")
+    segs = _values(c, "c_mktsegment")
     t1 = oc.groupBy("c_nationkey").pivot("y", YEARS).agg(F.round(F.sum("o_totalprice")).cast("long").alias("est"),
                                                           F.count(F.lit(1)).alias("moe"))
     t1 = t1.join(F.broadcast(n), t1.c_nationkey == n.n_nationkey).select(
         *ids, *[F.col(f"{y}_{m}").alias(f"T1_{m}{i}") for i, y in enumerate(YEARS, 1) for m in ("est", "moe")])
-    segs = [s for s, _ in SEGMENT_LABELS]
     t2 = c.groupBy("c_nationkey").pivot("c_mktsegment", segs).agg(
         F.count(F.lit(1)).alias("est"), F.sum((F.col("c_acctbal") < 0).cast("long")).alias("moe"))
     t2 = t2.join(F.broadcast(n), t2.c_nationkey == n.n_nationkey).select(
@@ -153,23 +164,26 @@ def land_driver_tables(spark, sf_dir, root: str, year: int = 2020) -> None:
 
 
 _SEG_SQL = " ".join(f"WHEN '{s}' THEN '{lab}'" for s, lab in SEGMENT_LABELS)
-_SEG_IDX = " ".join(f"WHEN '{s}' THEN {i}" for i, (s, _) in enumerate(SEGMENT_LABELS, 1))
+_SEG_IN = ", ".join(f"'{s}'" for s, _ in SEGMENT_LABELS)
 
 
 @register("chas_from_driver_tables", ("S5", "S6", "R1", "R4", "R5", "R6", "J5", "K3", "K4"), f"""
 WITH oc AS (SELECT c.c_nationkey AS nk, CAST(year(o.o_orderdate) AS INTEGER) AS y, o.o_totalprice
             FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 a1 AS (SELECT nk, y, CAST(round(SUM(o_totalprice)) AS BIGINT) AS est, COUNT(*) AS moe FROM oc GROUP BY nk, y),
-g1 AS (SELECT n_nationkey AS nk, CAST(y AS INTEGER) AS y FROM nation, range({YEARS[0]}, {YEARS[-1] + 1}) r(y)),
-t1 AS (SELECT g1.nk, 'T1_' || CAST(g1.y - 1994 AS VARCHAR) AS variable, 'Orders' AS universe,
+years AS (SELECT y, row_number() OVER (ORDER BY y) AS i FROM (SELECT DISTINCT y FROM oc WHERE y IS NOT NULL)),
+g1 AS (SELECT nk, y, i FROM (SELECT DISTINCT nk FROM oc), years),
+t1 AS (SELECT g1.nk, 'T1_' || CAST(g1.i AS VARCHAR) AS variable, 'Orders' AS universe,
               'Ordered in ' || CAST(g1.y AS VARCHAR) AS label, 'Total' AS concept, a1.est, a1.moe
        FROM g1 LEFT JOIN a1 ON g1.nk = a1.nk AND g1.y = a1.y),
 a2 AS (SELECT c_nationkey AS nk, c_mktsegment AS seg, COUNT(*) AS est,
               CAST(SUM(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS moe
        FROM customer GROUP BY 1, 2),
-g2 AS (SELECT n_nationkey AS nk, seg FROM nation, (VALUES {", ".join(f"('{s}')" for s, _ in SEGMENT_LABELS)}) v(seg)),
-t2 AS (SELECT g2.nk, 'T2_' || CAST(CASE g2.seg {_SEG_IDX} END AS VARCHAR) AS variable,
-              'Customers' AS universe, CASE g2.seg {_SEG_SQL} END AS label, 'Market Segment' AS concept, a2.est, a2.moe
+segs AS (SELECT seg, row_number() OVER (ORDER BY seg) AS i FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer WHERE c_mktsegment IS NOT NULL)),
+g2 AS (SELECT nk, seg, i FROM (SELECT DISTINCT c_nationkey AS nk FROM customer), segs),
+t2 AS (SELECT g2.nk, 'T2_' || CAST(g2.i AS VARCHAR) AS variable,
+              'Customers' AS universe, CASE g2.seg {_SEG_SQL} ELSE g2.seg END AS label,
+              CASE WHEN g2.seg IN ({_SEG_IN}) THEN 'Market Segment' ELSE 'Total' END AS concept, a2.est, a2.moe
        FROM g2 LEFT JOIN a2 ON g2.nk = a2.nk AND g2.seg = a2.seg),
 t AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2)
 SELECT 2020 AS year, 40 AS geography, CAST(n.n_nationkey AS VARCHAR) AS geoid, n.n_name AS name,
@@ -182,9 +196,8 @@ def chas_from_driver_tables(spark, sf_dir):
     the session's checkpoint folder): the first call tidies and caches, the
     second reads through the cache. An empty cell of a wide table stays a
     row with null ``est``/``moe``, as R's ``pivot_longer`` keeps NA."""
-    import uuid
-    from civicframe.session import checkpoint_dir
-    root = f"{checkpoint_dir(spark).rstrip('/')}/chas-{uuid.uuid4().hex[:12]}"
+    from civicframe.session import scratch_path
+    root = scratch_path(spark, "chas")
     land_driver_tables(spark, sf_dir, root)
     get_chas(spark, root, "state")
     return get_chas(spark, root, "state", year=2020)

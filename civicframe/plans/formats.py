@@ -87,18 +87,16 @@ WITH lk AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}')" for a
             t(raw, label, concept)),
 p AS (SELECT p_partkey, p_type, string_split(p_name, ' ') AS w FROM part)
 SELECT p.p_partkey, coalesce(lk.label, p.p_type) AS p_type, lk.concept AS concept,
-       p.p_type AS universe, concat_ws(' by ', w[1], w[2]) AS label
+       p.p_type AS universe, concat_ws('!!', w[1], w[2]) AS label
 FROM p LEFT JOIN lk ON p.p_type = lk.raw
 """)
 def part_type_labels(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.split("p_name", " ").alias("w"))
     lk = spark.createDataFrame(TYPE_LABELS, "raw string, label string, concept string")
-    std = R.standardise_labels(p, "p_type", lk)
-    d = std.select("p_partkey", "p_type", "concept", F.col("p_type").alias("_t"),
-                   F.col("w")[0].alias("description_2"), F.col("w")[1].alias("description_3"))
-    p2 = p.select("p_partkey", F.col("p_type").alias("description_1"))
-    d = d.join(p2, "p_partkey").withColumns({"description_4": F.lit(None).cast("string"),
-                                            "description_5": F.lit(None).cast("string")})
+    std = R.standardise_labels(p.withColumn("description_1", F.col("p_type")), "p_type", lk)
+    d = std.select("p_partkey", "p_type", "concept", "description_1", F.col("w")[0].alias("description_2"),
+                   F.col("w")[1].alias("description_3"), F.lit(None).cast("string").alias("description_4"),
+                   F.lit(None).cast("string").alias("description_5"))
     return R.universe_and_label(d).select("p_partkey", "p_type", "concept", "universe", "label")
 
 

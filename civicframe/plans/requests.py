@@ -20,13 +20,14 @@ REQUEST_COLUMNS = [
 DATE_COLUMNS = ("creation_date", "reported_date", "last_update_date", "followup_date")
 
 
-def get_requests(requests: DataFrame, **equals) -> DataFrame:
+def get_requests(requests: DataFrame, lowered: bool = False, **equals) -> DataFrame:
     """Filter the landed request table; unknown column names are an error.
-    Dates are ``2024-03-09T07:27:09.000`` text (or timestamps)."""
+    Dates are ``2024-03-09T07:27:09.000`` text (or timestamps). ``lowered``:
+    the text columns are stored in lower case, so plain equality reaches the scan."""
     unknown = [k for k in equals if k not in requests.columns]
     if unknown:
         raise ValueError(f"not request columns: {unknown}")
-    out = C.request_query(requests, date_cols=DATE_COLUMNS, **equals)
+    out = C.request_query(requests, date_cols=DATE_COLUMNS, lowered=lowered, **equals)
     ordered = [c for c in REQUEST_COLUMNS if c in out.columns]
     return out.select(*ordered, *[c for c in out.columns if c not in ordered])
 

@@ -193,6 +193,7 @@ from civicframe.plans.registry import register, table  # noqa: E402
 # How event types stand in for sleep stages.
 STAGE_OF_EVENT = {"click": "AsleepCore", "view": "AsleepDeep", "purchase": "AsleepREM",
                   "signup": "AsleepUnspecified", "error": "InBed"}
+OTHER_STAGE = "AsleepUnspecified"  # any other event type
 
 
 def events_as_export(spark, sf_dir, path: str) -> None:
@@ -200,7 +201,7 @@ def events_as_export(spark, sf_dir, path: str) -> None:
     stage from the event type, the interval ``value`` minutes long from the
     event's second, written ``event_id % 3`` days after it ended."""
     e = table(spark, sf_dir, "events")
-    stage = F.lit(None).cast("string")
+    stage = F.lit(OTHER_STAGE)
     for k, v in STAGE_OF_EVENT.items():
         stage = F.when(F.col("event_type") == k, F.lit(v)).otherwise(stage)
     start = F.date_trunc("second", F.col("ts"))
@@ -222,7 +223,7 @@ _STAGE_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGE_OF_EVENT.items(
 
 @register("sleep_nights_from_xml", ("S3", "T1", "T2", "T6", "T4", "A1"), f"""
 WITH e AS (
-  SELECT event_id, CASE event_type {_STAGE_SQL} END AS stage,
+  SELECT event_id, CASE event_type {_STAGE_SQL} ELSE '{OTHER_STAGE}' END AS stage,
          date_trunc('second', ts) AS s, CAST(round(value * 60) AS BIGINT) AS secs FROM events),
 i AS (SELECT event_id, stage, secs, s AS start_utc, s + to_seconds(secs) AS end_utc,
              s + to_seconds(secs) + to_days(CAST(event_id % 3 AS INTEGER)) AS created_utc FROM e),
@@ -237,9 +238,8 @@ FROM l WHERE stage LIKE '%Asleep%' GROUP BY 1
 def sleep_nights_from_xml(spark, sf_dir):
     """Seconds asleep per night, read back from the XML export of the
     events (written under the session's checkpoint folder)."""
-    import uuid
-    from civicframe.session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/health-export-{uuid.uuid4().hex[:12]}"
+    from civicframe.session import scratch_path
+    path = scratch_path(spark, "health-export")
     events_as_export(spark, sf_dir, path)
     a = asleep(sleep_records(records(spark, path)))
     return nightly_totals(a)

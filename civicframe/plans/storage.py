@@ -7,30 +7,21 @@ Files go under the session's shared checkpoint folder
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from civicframe.session import checkpoint_dir
+from civicframe.session import scratch_path
 from civicframe.sources import readers as S
 from civicframe.sources import sinks as K
 from civicframe.plans.registry import register, table
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-@register("orders_csv_round_trip", ("K1", "S1"), """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders
-""")
+@register("orders_csv_round_trip", ("K1", "S1"), "SELECT * FROM orders")
 def orders_csv_round_trip(spark, sf_dir):
-    out = _scratch(spark, "orders-csv")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                              F.to_date("o_orderdate").alias("o_orderdate"))
+    """The whole table to CSV and back, times to the microsecond."""
+    out = scratch_path(spark, "orders-csv")
+    o = table(spark, sf_dir, "orders")
     K.write_csv(o, out)
-    return S.read_csv(spark, out, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
-                                  "o_orderdate date")
+    return S.read_csv(spark, out, o.schema)
 
 
 @register("daily_event_cache", ("K3", "K4", "K2", "S8"), """
@@ -44,7 +35,7 @@ def daily_event_cache(spark, sf_dir):
     """Daily totals per event type appended to a cache partitioned by year
     and month -- twice, the second time adding nothing -- then read through
     the cache for the newest year."""
-    path = _scratch(spark, "event-cache")
+    path = scratch_path(spark, "event-cache")
     e = table(spark, sf_dir, "events")
     d = e.groupBy(F.year("ts").alias("year"), F.month("ts").alias("month"), F.to_date("ts").alias("day"),
                   "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))

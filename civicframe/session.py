@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,20 +49,35 @@ def get_session(master: str | None = None, app: str = "civicframe",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by whoever runs the job (a shared file
-    system path). Only when it is unset (tests, local bench) do we create a
-    scratch folder of our own.
+    On a cluster it must be set by whoever runs the job (a shared file system
+    path): a folder of our own would lie on each machine's own disk, so the
+    library raises. Only in local mode (tests, local bench), where driver and
+    tasks are one process, is a scratch folder made when none is set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="civicframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files, below one folder per application in
+    the shared folder; that folder is deleted when the driver's JVM ends."""
+    top = f"{checkpoint_dir(spark).rstrip('/')}/civicframe-{spark.sparkContext.applicationId}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(top)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder as Parquet and read it back
+    (survives executor loss, unlike a local checkpoint; columnar and compressed,
+    and later reads take only the columns they need)."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

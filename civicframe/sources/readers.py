@@ -1,5 +1,5 @@
-"""Sources (S1-S10). Every reader takes an explicit schema: no inference
-pass over the data, and types that do not drift between files."""
+"""Sources (S1-S10). No reader runs an inference pass over the data: each
+takes a schema, reads text columns by header, or takes Parquet's own schema."""
 
 from __future__ import annotations
 
@@ -57,10 +57,11 @@ def read_wide_tables(spark: SparkSession, paths, id_cols, measure=re.compile(r"^
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), longs)
 
 
-def read_dictionary(spark: SparkSession, path: str, names) -> DataFrame:
-    """Data dictionary sheet (saved as CSV), columns renamed by position."""
-    raw = spark.read.option("header", True).csv(path)
-    return raw.toDF(*list(names) + raw.columns[len(names):])
+def read_dictionary(spark: SparkSession, path: str, names, positions=None) -> DataFrame:
+    """Data dictionary sheet (saved as CSV, all text), columns renamed by
+    position (the first ones, or those in ``positions``)."""
+    from civicframe.operators.columns import rename_positional
+    return rename_positional(spark.read.option("header", True).csv(path), names, positions)
 
 
 RING_SCHEMA = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()),
@@ -72,13 +73,13 @@ LAYER_SCHEMA = T.StructType([
 
 
 def with_bbox(df: DataFrame, rings: str = "rings") -> DataFrame:
-    """Bounding box columns of a polygon (outer ring)."""
-    outer = F.col(rings)[0]
+    """Bounding box columns of a polygon (all rings: it may have several parts)."""
+    pts = F.flatten(F.col(rings))
     return df.withColumns({
-        "xmin": F.array_min(F.transform(outer, lambda p: p["x"])),
-        "xmax": F.array_max(F.transform(outer, lambda p: p["x"])),
-        "ymin": F.array_min(F.transform(outer, lambda p: p["y"])),
-        "ymax": F.array_max(F.transform(outer, lambda p: p["y"])),
+        "xmin": F.array_min(F.transform(pts, lambda p: p["x"])),
+        "xmax": F.array_max(F.transform(pts, lambda p: p["x"])),
+        "ymin": F.array_min(F.transform(pts, lambda p: p["y"])),
+        "ymax": F.array_max(F.transform(pts, lambda p: p["y"])),
     })
 
 

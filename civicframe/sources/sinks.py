@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 # Fixed value: rows per cache file.
 MAX_ROWS_PER_FILE = 1_000_000
@@ -28,39 +27,83 @@ def write_lines(df: DataFrame, col: str, path: str, mode: str = "overwrite") ->
     df.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def _existing(spark: SparkSession, path: str):
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The cache as a table, None if nothing was ever written there. Any other
+    trouble (a broken file, a schema that does not fit) is raised."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p) or not any("=" in s.getPath().getName() for s in fs.listStatus(p)):
         return None
+    return spark.read.parquet(path)
 
 
 def append_to_cache(df: DataFrame, path: str, keys=("year", "geography", "geoid", "variable"),
-                    partition_by=("year", "geography")) -> None:
-    """K3: add rows to the partitioned cache, at most a million rows a
-    file. Rows whose key is already cached are skipped first (anti join on
-    the natural key, pruned to the incoming partitions), so a re-run adds
-    nothing and a half-finished run can simply be repeated."""
+                    partition_by=("year", "geography"), complete: bool = False) -> None:
+    """K3: add rows to the partitioned cache, at most a million rows a file.
+
+    Rows whose key is already cached are skipped first (anti join on the
+    natural key, null matching null, against the incoming partitions only), so
+    a re-run adds nothing and a half-finished run can be repeated. Rows that
+    repeat a key with equal values are taken once; different values for one key
+    are an error, as no rule says which is right. ``rebalance`` on the
+    partition columns spreads a large partition over several tasks.
+
+    ``complete``: the rows are all there is for their partitions; a marker per
+    partition is written last (see :func:`is_complete`). One writer at a time:
+    two writers that run at once can both find a key missing.
+    """
     spark = df.sparkSession
+    keys, parts = list(keys), list(partition_by)
+    new = df.distinct()
+    clash = new.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if clash:
+        raise ValueError(f"different values for one key: {clash[0].asDict()}")
     old = _existing(spark, path)
-    new = df.dropDuplicates(list(keys))
     if old is not None:
-        parts = df.select(*partition_by).distinct()
-        old_keys = old.join(F.broadcast(parts), list(partition_by), "left_semi").select(*keys)
-        new = new.join(old_keys, list(keys), "left_anti")
-    (new.repartition(*[F.col(c) for c in partition_by])
-        .write.mode("append").partitionBy(*partition_by)
+        wanted = df.select(*[F.col(c).alias(f"_w_{c}") for c in parts]).distinct()
+        seen = old.join(wanted, [old[c].eqNullSafe(F.col(f"_w_{c}")) for c in parts], "left_semi") \
+            .select(*[F.col(c).alias(f"_k_{c}") for c in keys])
+        new = new.join(seen, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys], "left_anti")
+    (new.hint("rebalance", *[F.col(c) for c in parts])
+        .write.mode("append").partitionBy(*parts)
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE).parquet(path))
+    if complete:
+        # partitions (years by geographies) are few by construction
+        for row in df.select(*parts).distinct().collect():
+            fs, p = _fs(spark, _marker(path, row.asDict()))
+            fs.create(p, True).close()
+
+
+def _marker(path: str, part: dict) -> str:
+    return f"{path}/_complete/" + ",".join(f"{k}={v}" for k, v in sorted(part.items()))
+
+
+def is_complete(spark: SparkSession, path: str, **part) -> bool:
+    """Whether a partition was filled to the end."""
+    fs, p = _fs(spark, _marker(path, part))
+    return fs.exists(p)
+
+
+def newest_partition(spark: SparkSession, path: str, name: str = "year") -> int | None:
+    """Largest value of the first partition column, from the folder names."""
+    fs, p = _fs(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    values = [int(f.split("=", 1)[1]) for f in found if f.startswith(f"{name}=") and f.split("=", 1)[1].lstrip("-").isdigit()]
+    return max(values, default=None)
 
 
 def read_cache(spark: SparkSession, path: str, year: int | None = None, **equals) -> DataFrame | None:
-    """K4: read through the cache; with no year the newest cached year.
-    Filters on partition columns prune whole folders."""
+    """K4: read through the cache; with no year the newest cached year, read
+    from the folder names. Filters on partition columns prune whole folders."""
     df = _existing(spark, path)
     if df is None:
         return None
     if year is None:
-        year = df.agg(F.max("year")).first()[0]
+        year = newest_partition(spark, path)
     out = df.where(F.col("year") == year)
     for k, v in equals.items():
         if v is not None:

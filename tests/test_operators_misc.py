@@ -1,6 +1,7 @@
 """Smaller operators: positional labels, address matching, regex semi join,
 layer catalog, column helpers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicframe.operators import columns as C
@@ -32,11 +33,15 @@ def test_keep_matching_any(spark):
 
 
 def test_semi_join_contains_matches_brute_force(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "lazy dog"), (3, None), (4, "über straße")],
-                                 "id int, text string")
-    items = spark.createDataFrame([("brown f",), ("straße",), ("",), (None,)], "t string")
-    got = sorted(r.id for r in J.semi_join_contains(docs, "text", items, "t").collect())
-    assert got == [1, 4]
+    texts = ["the quick brown fox", "lazy dog", None, "über straße", "", "a  b c d", "one two three four five", "xone two three four fivex",
+             "one  two three four five", "item1 item2", "abcdefghijkl", "two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for items in ([None], [""], ["brown f", "straße"], ["one two three four five", "  b c "], ["e two three four f", "abcdefghij", "z"],
+                  ["two three", "a", "dog"], [" ", "item1", "hijkl"], ["a  b c d"]):
+        it = spark.createDataFrame([(i,) for i in items] * 2, "t string")
+        got = sorted(r.id for r in J.semi_join_contains(docs, "text", it, "t", "id").collect())
+        want = [i for i, t in enumerate(texts) if t is not None and any(x is not None and x in t for x in items)]
+        assert got == want, items
 
 
 def test_layer_catalog_and_zip(spark):
@@ -55,6 +60,8 @@ def test_select_spec_and_positional(spark):
     assert C.select_spec(df, "a", "RESOLUTION_CODE:RESOLUTION_SUMMARY", "_DATE$").columns == \
         ["a", "RESOLUTION_CODE", "b", "RESOLUTION_SUMMARY", "c_DATE"]
     assert C.rename_positional(df, ["x", "y"]).columns[:3] == ["x", "y", "b"]
+    assert C.rename_positional(df, ["x", "y", "z"], [1, 2, 5]).columns == ["x", "y", "b", "RESOLUTION_SUMMARY", "z"]
+    assert C.rename_positional(df, ["only"], [2]).columns[1] == "only"
     assert C.drop_matching(df, prefix="RESOLUTION_").columns == ["a", "b", "c_DATE"]
     assert C.relocate(df, ["c_DATE"], after="a").columns == ["a", "c_DATE", "RESOLUTION_CODE", "b", "RESOLUTION_SUMMARY"]
 
@@ -71,18 +78,13 @@ def test_if_else_missing(spark):
     assert out == ["pos", "neg", "missing"]
 
 
-def test_pattern_chunks_give_same_result(spark, monkeypatch):
+def test_pattern_list_has_a_checked_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"doc {i} mentions item{i % 7}") for i in range(40)], "id int, text string")
-    items = spark.createDataFrame([(f"item{j}",) for j in (1, 3, 5)], "t string")
-    one = sorted(r.id for r in J.semi_join_contains(docs, "text", items, "t").collect())
     pats = spark.createDataFrame([("item[13]$",), ("item5$",)], "p string")
-    one_rx = sorted(r.id for r in J.keep_matching_any(docs, "text", pats, "p").collect())
-    monkeypatch.setattr(J, "PATTERN_MAX_ITEMS", 1)
-    many = sorted(r.id for r in J.semi_join_contains(docs, "text", items, "t").collect())
-    many_rx = sorted(r.id for r in J.keep_matching_any(docs, "text", pats, "p").collect())
-    want = [i for i in range(40) if i % 7 in (1, 3, 5)]
-    assert one == many == want
-    assert one_rx == many_rx == want
+    assert sorted(r.id for r in J.keep_matching_any(docs, "text", pats, "p").collect()) == [i for i in range(40) if i % 7 in (1, 3, 5)]
+    monkeypatch.setattr(J, "PATTERN_MAX_BYTES", 3)
+    with pytest.raises(ValueError):
+        J.keep_matching_any(docs, "text", pats, "p")
 
 
 def test_small_aggregates(spark):

@@ -55,9 +55,43 @@ def test_within_subset_of_intersects_any_cell(spark):
         assert w <= i and w == {"inside", "shared_edge_in"}
 
 
+U = poly([(0, 0), (10, 0), (10, 10), (7, 10), (7, 4), (3, 4), (3, 10), (0, 10)])
+
+
+def pick(spark, shapes, anchor, predicate):
+    schema = "id string, rings array<array<struct<x:double,y:double>>>"
+    layer = with_bbox(spark.createDataFrame(list(shapes.items()), schema))
+    return {r.id for r in S.select_by_location(layer, with_bbox(spark.createDataFrame([("a", anchor)], schema)), predicate, cell=4.0).collect()}
+
+
+def box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+def test_concave_and_holed(spark):
+    shapes = {"notch_filled": poly(box(3, 4, 7, 10)), "full_square": poly(box(0, 0, 10, 10)), "left_arm": poly(box(0, 0, 3, 10)),
+              "across_notch": poly(box(1, 5, 9, 6)), "base": poly(box(0, 0, 10, 4)), "same": U,
+              "around_notch": poly([(1, 9), (3, 4), (7, 4), (9, 9), (8, 1), (2, 1)]),
+              "vertex_exit": poly([(1, 9), (3, 4), (7, 4), (9, 9), (5, 1)]), "vertex_chord": poly([(0, 10), (10, 10), (5, 1)]),
+              "in_notch": poly(box(4, 5, 6, 9))}
+    assert pick(spark, shapes, U, "within") == {"left_arm", "base", "same", "around_notch"}
+    assert pick(spark, shapes, U, "intersects") == set(shapes) - {"in_notch"}
+    hole = {"exact_hole": poly(box(6, 6, 8, 8)), "ring_around": poly(box(5, 5, 9, 9), box(6, 6, 8, 8)), "inside_hole": poly(box(6.5, 6.5, 7, 7))}
+    assert pick(spark, hole, ANCHOR, "within") == {"ring_around"}
+    assert pick(spark, hole, ANCHOR, "intersects") == {"exact_hole", "ring_around"}
+
+
+def test_several_parts(spark):
+    two = poly(box(0, 0, 4, 4), box(10, 10, 14, 14), box(11, 11, 13, 13))  # two parts, the second with a hole
+    shapes = {"first": poly(box(1, 1, 2, 2)), "second": poly(box(10, 10, 11, 14)), "between": poly(box(5, 5, 9, 9)), "in_hole": poly(box(11.5, 11.5, 12, 12)),
+              "both": poly(box(1, 1, 2, 2), box(13, 10, 14, 14)), "one_out": poly(box(1, 1, 2, 2), box(6, 6, 7, 7)), "bridge": poly(box(3, 3, 12, 12))}
+    assert pick(spark, shapes, two, "within") == {"first", "second", "both"}
+    assert pick(spark, shapes, two, "intersects") == {"first", "second", "both", "one_out", "bridge"}
+
+
 def test_point_position(spark):
     df = spark.createDataFrame([(5.0, 5.0), (7.0, 7.0), (10.0, 3.0), (11.0, 3.0)], "x double, y double")
     a = spark.createDataFrame([(1, ANCHOR)], "k int, r array<array<struct<x:double,y:double>>>")
     pts = df.withColumn("k", F.lit(1)).join(a, "k").orderBy("x", "y")
-    out = [r.p for r in pts.select(S.point_position(F.col("x"), F.col("y"), F.col("r")).alias("p")).collect()]
+    out = [r.p for r in pts.select(S.position(F.col("x"), F.col("y"), S.edges_of(F.col("r"))).alias("p")).collect()]
     assert out == [2, 0, 1, 0]  # sorted by x: (5,5) (7,7) (10,3) (11,3)
