@@ -89,3 +89,86 @@ def first_char_prefilter(spark, pattern: str) -> str:
         out = f"{flags}(?=[{klass}])(?:{body})"
     _FIRST_CACHE[pattern] = out
     return out
+
+
+class _Parts:
+    """Reads a pattern of the tables' syntax and finds literals that every
+    match must hold. Anything not understood counts as unknown text."""
+
+    def __init__(self, pattern: str):
+        self.p, self.i = pattern, 0
+
+    def branches(self):
+        """Any-of literals of an alternation, None if a branch has none."""
+        found = [self.sequence()]
+        while self.i < len(self.p) and self.p[self.i] == "|":
+            self.i += 1
+            found.append(self.sequence())
+        return None if any(f is None for f in found) else frozenset().union(*found)
+
+    def sequence(self):
+        sets, run = [], ""
+        while self.i < len(self.p) and self.p[self.i] not in "|)":
+            kind, value = self.item()
+            low, more = self.count()
+            if kind == "char" and low:
+                run += value
+                if not more:
+                    continue
+            elif kind == "nothing":
+                continue
+            elif kind == "group" and low and value:
+                sets.append(value)
+            # what follows need not touch what stood before
+            sets.append(frozenset([run]) if run else None)
+            run = ""
+        sets.append(frozenset([run]) if run else None)
+        known = [x for x in sets if x]
+        return max(known, key=lambda x: (min(map(len, x)), -len(x))) if known else None
+
+    def item(self):
+        c = self.p[self.i]
+        self.i += 1
+        if c == "(":
+            look = self.p.startswith("?", self.i) and not self.p.startswith("?:", self.i)
+            if self.p[self.i:self.i + 1] == "?":
+                while self.p[self.i] in "?:=!<":
+                    self.i += 1
+            inner = self.branches()
+            self.i += 1
+            return ("unknown", None) if look else ("group", inner)
+        if c == "[":
+            depth = 1
+            while depth:
+                c = self.p[self.i]
+                depth += (c == "[") - (c == "]")
+                self.i += 1 + (c == "\\")
+            return "unknown", None
+        if c == "\\":
+            c = self.p[self.i]
+            self.i += 1
+            if c == "b":
+                return "nothing", None
+            return ("unknown", None) if c.isalnum() else ("char", c)
+        return ("unknown", None) if c in ".^$" else ("char", c)
+
+    def count(self):
+        """(whether it must occur, whether it may occur more than once)."""
+        c = self.p[self.i:self.i + 1]
+        if c and c in "?*+":
+            self.i += 1
+            return c == "+", c != "?"
+        if c == "{":
+            end = self.p.index("}", self.i)
+            low = self.p[self.i + 1:end].split(",")[0]
+            self.i = end + 1
+            return low not in ("", "0"), True
+        return True, False
+
+
+def required_literals(pattern: str) -> frozenset[str] | None:
+    """Literals of which every match of the pattern holds at least one; None
+    if there is no such set. Used to skip texts that cannot match."""
+    reader = _Parts(pattern)
+    found = reader.branches()
+    return found if reader.i == len(pattern) else None

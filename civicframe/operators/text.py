@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.functions.regex import alternation, first_char_prefilter, java_regex
+from civicframe.functions.regex import alternation, first_char_prefilter, java_regex, required_literals
 from civicframe.functions.strings import squish
 
 
@@ -27,6 +27,33 @@ def fold_replace(col, pairs) -> Column:
     return reduce(lambda acc, pr: F.regexp_replace(acc, F.lit(java_regex(pr[0])), F.lit(pr[1])), pairs, _c(col))
 
 
+# Literals shorter than this are in too many texts to be worth a test of their
+# own; their (short) patterns are tested as they stand.
+LONG_LITERAL = 4
+
+
+def may_match(col, patterns) -> Column:
+    """False only for texts that no pattern matches: a text must hold one of
+    the literals that a pattern's matches cannot do without (``contains``, no
+    regular expression), or match one of the patterns that have no such
+    literal. The optional words around the core, which make Java's matcher
+    try many ways at every position, are not looked at."""
+    c = _c(col)
+    words, rest = set(), []
+    for p in patterns:
+        need = required_literals(p)
+        if need and min(map(len, need)) >= LONG_LITERAL:
+            words |= need
+        else:
+            rest.append(p)
+    # a literal inside another makes the longer one needless
+    words = {w for w in words if not any(v != w and v in w for v in words)}
+    tests = [c.contains(w) for w in sorted(words)]
+    if rest:
+        tests.append(c.rlike(java_regex(alternation(rest))))
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+
+
 def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outputs: bool = True,
                       drop_empty: bool = True) -> DataFrame:
     """Pull every match of ``patterns`` out of ``text_col`` into ``out``
@@ -39,7 +66,8 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
     position, like the R original, and each match is mapped with the ordered
     replacement chain.
 
-    One alternation test (``_hit``) gates the step: text without a match
+    Two tests gate the step: needed literals (:func:`may_match`), then the
+    alternation (``_hit``): text without a match
     is only squished, which leaves already-squished text unchanged. The
     alternation carries a first-character look-ahead
     (:func:`first_char_prefilter`), which skips positions no match can
@@ -49,16 +77,19 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
     """
     if isinstance(patterns, str):
         alt, pairs = java_regex(patterns), None
+        # a scan for one character class where the pattern cannot do without a digit
+        gate = _c(text_col).rlike(r"(?U)\d") if r"\d" in patterns and not required_literals(patterns) else F.lit(True)
     else:
         pairs = list(patterns)
         alt = java_regex(alternation([p for p, _ in pairs]))
+        gate = may_match(text_col, [p for p, _ in pairs])
     alt = first_char_prefilter(df.sparkSession, alt)
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(alt), 0)
     if pairs and map_outputs:
         found = F.transform(found, lambda s: fold_replace(s, pairs))
     hit = F.col("_hit")
-    res = df.withColumn("_hit", F.coalesce(text.rlike(alt), F.lit(False))).withColumns({
+    res = df.withColumn("_hit", F.when(gate, F.coalesce(text.rlike(alt), F.lit(False))).otherwise(F.lit(False))).withColumns({
         out: F.when(hit, found).otherwise(F.array().cast("array<string>")),
         text_col: F.when(hit, squish(F.regexp_replace(text, F.lit(alt), F.lit("")))).otherwise(squish(text)),
     }).drop("_hit")
@@ -66,11 +97,11 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
 
 
 def gated_fold_replace(col, pairs) -> Column:
-    """:func:`fold_replace`, run only on text that matches one of the
-    patterns (one scan for text that needs no fixing)."""
-    alt = java_regex(alternation([p for p, _ in pairs]))
+    """:func:`fold_replace`, run only on text that may match one of the
+    patterns. A replacement cannot make a later pattern match in a text that
+    held none of the needed literals: it never ran."""
     c = _c(col)
-    return F.when(c.rlike(alt), fold_replace(c, pairs)).otherwise(c)
+    return F.when(may_match(c, [p for p, _ in pairs]), fold_replace(c, pairs)).otherwise(c)
 
 
 def drop_emptied(df: DataFrame, text_col: str) -> DataFrame:

@@ -101,3 +101,34 @@ def test_first_char_prefilter_keeps_matches(spark):
         assert a == b
     lb = java_regex("(?<=this )compliant")
     assert first_char_prefilter(spark, lb) == lb
+
+
+def test_required_literals_are_in_every_match():
+    """Strings drawn from the tables' own patterns hold one of the literals."""
+    import random
+    import re
+
+    from civicframe.functions import note_lookups as L
+    from civicframe.functions.regex import required_literals
+
+    assert required_literals("no( )?one (was )?home") == {"one "}
+    assert required_literals("a|b") == {"a", "b"} and required_literals("(x)?") is None and required_literals("[ab]+") is None
+    random.seed(4)
+
+    def draw(p):
+        """A match of a pattern: choices made at random, innermost groups first."""
+        p = p.replace(r"\b", "").replace("(?<=this )", "")
+        p = re.sub(r"\[([a-z]+)\](\{3,\}|\+)?", lambda m: "".join(random.choice(m[1]) for _ in range(3 if m[2] else 1)), p).replace(".*", "")
+        group = re.compile(r"\(([^()]*)\)([?+*]?)")
+        while m := group.search(p):
+            inner = random.choice(m[1].split("|"))
+            inner = re.sub(r"(.)\?", lambda x: random.choice([x[1], ""]), inner)
+            p = p[:m.start()] + ("" if m[2] == "?" and random.random() < 0.5 else inner) + p[m.end():]
+        return re.sub(r"(.)\?", lambda x: random.choice([x[1], ""]), p)
+    for table in (L.TYPOS, L.VISIT_TYPES, L.STATUS_TAGS, L.CONTACTS, L.inspector_pairs()):
+        for p, _ in table:
+            need = required_literals(p)
+            for _ in range(40):
+                s = draw(p)
+                assert re.search(p.replace("(?<=this )", ""), s), (p, s)
+                assert need and any(w in s for w in need), (p, s, need)
