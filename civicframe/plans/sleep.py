@@ -238,8 +238,107 @@ FROM l WHERE stage LIKE '%Asleep%' GROUP BY 1
 def sleep_nights_from_xml(spark, sf_dir):
     """Seconds asleep per night, read back from the XML export of the
     events (written under the session's checkpoint folder)."""
+    return nightly_totals(exported_sleep(spark, sf_dir))
+
+
+def exported_sleep(spark, sf_dir) -> DataFrame:
+    """The sleep records of the events' export, read back from its XML."""
     from civicframe.session import scratch_path
     path = scratch_path(spark, "health-export")
     events_as_export(spark, sf_dir, path)
-    a = asleep(sleep_records(records(spark, path)))
-    return nightly_totals(a)
+    return asleep(sleep_records(records(spark, path)))
+
+
+# Days off besides weekends (US federal holidays, early 2024).
+OFF_DAYS = [("2024-01-01", "New Year"), ("2024-01-15", "Martin Luther King Day")]
+
+
+def _clock(x: str, cut: int) -> str:
+    sec = f"(hour({x}) * 3600 + minute({x}) * 60 + CAST(second({x}) AS BIGINT))"
+    return f"CASE WHEN {sec} <= {cut} THEN {sec} + 86400 ELSE {sec} END"
+
+
+_SLEEP_SQL = f"""
+WITH e AS (
+  SELECT event_id, CASE event_type {_STAGE_SQL} ELSE '{OTHER_STAGE}' END AS stage,
+         date_trunc('second', ts) AS s, CAST(round(value * 60) AS BIGINT) AS secs FROM events),
+i AS (SELECT event_id, stage, secs, s AS start_utc, s + to_seconds(secs) AS end_utc,
+             s + to_seconds(secs) + to_days(CAST(event_id % 3 AS INTEGER)) AS created_utc FROM e),
+l AS (SELECT stage, secs, timezone('US/Central', timezone('UTC', start_utc)) AS s, timezone('US/Central', timezone('UTC', end_utc)) AS e,
+             CAST(timezone('US/Central', timezone('UTC', created_utc)) AS DATE) AS created_day FROM i WHERE stage LIKE '%Asleep%'),
+a AS (SELECT regexp_replace(stage, '^(.*?)Asleep', '\\1') AS stage, secs, s, e,
+             CASE WHEN created_day - CAST(s AS DATE) >= 2 THEN CAST(e AS DATE) ELSE created_day END AS night FROM l),
+n AS (SELECT night, SUM(secs) AS daily_sleep, MIN({_clock("s", 48000)}) AS start_time, MAX({_clock("e", 48000)}) AS end_time,
+             MIN({_clock("s", CLOCK_CUT)}) AS bed, MAX({_clock("e", CLOCK_CUT)}) AS rise FROM a GROUP BY 1)
+"""
+
+
+@register("sleep_weekly_again", ("J4", "T10", "X14", "T5"), _SLEEP_SQL + f"""
+SELECT night AS "creationDate", CAST(daily_sleep AS BIGINT) AS daily_sleep, CAST(start_time AS BIGINT) AS start_time, CAST(end_time AS BIGINT) AS end_time,
+  CAST(floor((dayofyear(night) - 1) / 7) + 1 AS INTEGER) AS week,
+  CASE WHEN dayofweek(night) IN (0, 6) OR night IN ({", ".join(f"DATE '{d}'" for d, _ in OFF_DAYS)}) THEN 'offwork' ELSE 'work' END AS off_work,
+  (start_time + end_time) / 2 AS mid_sleep
+FROM n
+""")
+def sleep_weekly_again(spark, sf_dir):
+    return _weekly(spark, sf_dir).withColumns({c: F.col(c).cast("long") for c in ("start_time", "end_time")})
+
+
+def _weekly(spark, sf_dir) -> DataFrame:
+    off = spark.createDataFrame(OFF_DAYS, "d string, what string").select(F.to_date("d").alias("creationDate"), F.lit(True).alias("holiday"))
+    return weekly_again(exported_sleep(spark, sf_dir), off)
+
+
+@register("sleep_months", ("A4", "T5", "T8"), _SLEEP_SQL + """
+, m AS (SELECT CAST(year(night) AS INTEGER) AS year, CAST(month(night) AS INTEGER) AS month, AVG(daily_sleep) AS t, AVG(bed) AS b, AVG(rise) AS r FROM n GROUP BY 1, 2)
+SELECT year, month, ROUND(t, 4) AS mean_sleep, ROUND(CASE WHEN b >= 86400 THEN b - 86400 ELSE b END, 4) AS mean_bed,
+       ROUND(CASE WHEN r >= 86400 THEN r - 86400 ELSE r END, 4) AS mean_rise FROM m
+""")
+def sleep_months(spark, sf_dir):
+    m = monthly_summary(exported_sleep(spark, sf_dir))
+    return m.select("year", "month", *[F.round(c, 4).alias(c) for c in ("mean_sleep", "mean_bed", "mean_rise")])
+
+
+@register("sleep_first_and_last", ("W4",), _SLEEP_SQL + f"""
+, c AS (SELECT night, secs, {_clock("s", CLOCK_CUT)} AS st, {_clock("e", CLOCK_CUT)} AS en FROM a)
+SELECT 'first' AS part, c.night AS "creationDate", c.secs AS seconds FROM c JOIN n ON c.night = n.night AND c.st = n.bed
+UNION ALL SELECT 'last', c.night, c.secs FROM c JOIN n ON c.night = n.night AND c.en = n.rise
+""")
+def sleep_first_and_last(spark, sf_dir):
+    first, last = sleep_start_end(with_duration(exported_sleep(spark, sf_dir)))
+    return first.select(F.lit("first").alias("part"), "creationDate", "seconds") \
+        .union(last.select(F.lit("last"), "creationDate", "seconds"))
+
+
+@register("sleep_stage_shares", ("A9",), _SLEEP_SQL + """
+SELECT stage AS value, CAST(SUM(secs) AS BIGINT) AS seconds, ROUND(SUM(secs) / SUM(SUM(secs)) OVER (), 8) AS share
+FROM a WHERE stage <> 'HKCategoryValueSleepAnalysisUnspecified' AND stage <> 'Unspecified' GROUP BY 1
+""")
+def sleep_stage_shares(spark, sf_dir):
+    return stage_shares(exported_sleep(spark, sf_dir)).select("value", "seconds", F.round("share", 8).alias("share"))
+
+
+@register("sleep_debt_hours", ("A14",), _SLEEP_SQL + f"SELECT ROUND(SUM({TARGET_SECONDS} - daily_sleep) / 3600, 6) AS debt_hours FROM n")
+def sleep_debt_hours(spark, sf_dir):
+    return sleep_debt(exported_sleep(spark, sf_dir)).select(F.round("debt_hours", 6).alias("debt_hours"))
+
+
+@register("sleep_week_clocks", ("A3", "T5"), _SLEEP_SQL + """
+, w AS (SELECT CAST(floor((dayofyear(night) - 1) / 7) + 1 AS INTEGER) AS week, AVG(start_time) AS a1, AVG(end_time) AS a2, MIN(start_time) AS b1, MAX(end_time) AS b2 FROM n GROUP BY 1)
+SELECT week, ROUND(CASE WHEN a1 >= 86400 THEN a1 - 86400 ELSE a1 END, 4) AS avg_start_time, ROUND(CASE WHEN a2 >= 86400 THEN a2 - 86400 ELSE a2 END, 4) AS avg_end_time,
+  CAST(CASE WHEN b1 >= 86400 THEN b1 - 86400 ELSE b1 END AS BIGINT) AS earliest_time, CAST(CASE WHEN b2 >= 86400 THEN b2 - 86400 ELSE b2 END AS BIGINT) AS latest_time FROM w
+""")
+def sleep_week_clocks(spark, sf_dir):
+    w = weekly_clock_summary(_weekly(spark, sf_dir))
+    return w.select("week", *[F.round(c, 4).alias(c) for c in ("avg_start_time", "avg_end_time")],
+                    *[F.col(c).cast("long").alias(c) for c in ("earliest_time", "latest_time")])
+
+
+@register("sleep_rank_group_sizes", ("W3", "A10"), _SLEEP_SQL + f"""
+SELECT CASE WHEN dayofweek(night) IN (0, 6) OR night IN ({", ".join(f"DATE '{d}'" for d, _ in OFF_DAYS)}) THEN 'offwork' ELSE 'work' END AS off_work,
+  COUNT(*) AS n FROM n GROUP BY 1
+""")
+def sleep_rank_group_sizes(spark, sf_dir):
+    """The five ranks and eight correlations of the script (``test_sleep``
+    checks their values); here the sizes of the ranked groups."""
+    return rank_correlations(_weekly(spark, sf_dir)).select("off_work", "n")
