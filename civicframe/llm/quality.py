@@ -211,12 +211,14 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
              seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(doc_id, text_hash, n_grams, log_weight, good, key, accepted) per row.
 
-    ``labels``: doc_id, quality and toxic (0 or 1); target rows have quality 1
-    and are not toxic. Of several labels of an id the lowest quality and the
-    highest toxicity hold.
+    ``labels``: doc_id, quality and toxic (0 or 1). Target rows have quality 1
+    and are not toxic (good); rows of quality 0 are not good; toxic rows of
+    quality 1 are neither and don't move the cut. Of several labels of an id the
+    lowest quality and the highest toxicity hold.
     """
     lab = (labels.where("doc_id is not null").groupBy("doc_id")
-           .agg((F.min("quality").eqNullSafe(1) & ~F.max("toxic").eqNullSafe(1)).alias("good")))
+           .agg(F.when(F.min("quality") == 0, F.lit(False))
+                .when((F.min("quality") == 1) & ~F.max("toxic").eqNullSafe(1), F.lit(True)).alias("good")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = (lab.where("good").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(target_rows)
               .withColumn("target", F.lit(True)))
