@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, connect, land
 
@@ -85,13 +86,17 @@ def fit(sample: np.ndarray, words: int = WORDS, target: float = TARGET, cosine:
 
 
 def unit(blobs: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), "<f8").reshape(-1, dim)
+    """Unit vectors in double precision; blobs hold floats or doubles."""
+    wide = bool(blobs) and len(blobs[0]) == 8 * dim
+    x = np.frombuffer(b"".join(blobs), "<f8" if wide else "<f4").reshape(-1, dim).astype(np.float64)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """(vec_id, label, dim, vec binary, nid): usable vectors as doubles; nid,
-    the MD5 of vector and label, is equal for exact copies."""
+    """(vec_id, label, dim, vec binary, nid): usable vectors, floats as they
+    are, other numbers as doubles scaled to at most 1 (their norm stays finite);
+    nid, the MD5 of vector and label, is equal for exact copies."""
+    single = rows.schema[vector].dataType == T.ArrayType(T.FloatType(), rows.schema[vector].dataType.containsNull)
     def run(batches):
         for b in batches:
             ids, labels, dims, vecs = [], [], [], []
@@ -100,12 +105,11 @@ def valid_vectors(rows: DataFrame, id_col: str, vector: str, label: str) -> Data
                     continue
                 x = np.array(v, "<f8")
                 if np.isfinite(x).all() and x.any():
-                    # a common factor keeps the norm finite; equal vectors stay equal
-                    x = x / np.abs(x).max() + 0.0
+                    x = (x if single else x / np.abs(x).max()) + 0.0
                     ids.append(i)
                     labels.append(lab)
                     dims.append(len(x))
-                    vecs.append(x.tobytes())
+                    vecs.append((x.astype("<f4") if single else x).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(dims, pa.int32()),
                                               pa.array(vecs, pa.binary())], names=["vec_id", "label", "dim", "vec"])
     src = rows.select(F.col(id_col).cast("long"), F.col(label).cast("string"), F.col(vector).cast("array<double>"))
