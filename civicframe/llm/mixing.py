@@ -35,6 +35,7 @@ SLOTS = 1000  # W: the resolution of the weights
 BLOCK = 16    # rows of a block
 SEED = 42
 PREFIX = 4    # hex digits of the MD5 prefix
+COARSE = 2    # and of its first part
 
 
 def root_weights(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -93,11 +94,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS, b
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     src = F.col(source)
     keyed = docs.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, PREFIX))
-    before = Window.partitionBy(source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 16^PREFIX rows per source, whatever the number of documents
-    sizes = (docs.select(src, F.substring(key, 1, PREFIX).alias("_part")).groupBy(source, "_part").count()
-             .withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-             .select(src.alias("_s"), F.col("_part").alias("_p"), "_before"))
+    # rows before each part of a source: 16^PREFIX counts a source at most, summed
+    # in two levels, so that a window holds 16^COARSE rows whatever the data
+    sizes = (docs.select(src.alias("_s"), F.substring(key, 1, PREFIX).alias("_p")).groupBy("_s", "_p").count()
+             .withColumn("_c", F.substring("_p", 1, COARSE)))
+    first = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    second = Window.partitionBy("_s", "_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    tops = (sizes.groupBy("_s", "_c").agg(F.sum("count").alias("_n0")).withColumn("_top", F.coalesce(F.sum("_n0").over(first), F.lit(0)))
+            .select(F.col("_s").alias("_s0"), F.col("_c").alias("_c0"), "_top"))
+    sizes = (sizes.withColumn("_low", F.coalesce(F.sum("count").over(second), F.lit(0)))
+             .join(tops, F.col("_s").eqNullSafe(F.col("_s0")) & (F.col("_c") == F.col("_c0")))
+             .select("_s", "_p", (F.col("_top") + F.col("_low")).alias("_before")))
     inside = Window.partitionBy(source, "_part").orderBy("_key", id_col, *tie_cols)
     ranked = (keyed.withColumn("_rn", F.row_number().over(inside))
               .join(sizes, src.eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")), "left")
@@ -115,7 +122,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS, b
     placed = (ranked.join(F.broadcast(q), src.eqNullSafe(F.col("_qs")), "left")
               .withColumn("_nth1", F.when(F.col("_q") > 0, F.expr("(block - 1) % _q + 1")))
               .join(F.broadcast(plan), (F.col("_rank") == F.col("_r")) & (F.col("_nth1") == F.col("_nth")), "left")
-              .join(F.broadcast(runs_out)))
+              .withColumn("_until", runs_out.scalar()))
     on = F.col("_q") > 0
     return placed.select(
         *docs.columns, "n_in_source", "block",
