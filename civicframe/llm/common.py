@@ -36,11 +36,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
+def land(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage
     there, so a lost executor costs its own tasks and not the whole chain."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,6 +83,15 @@ def connect(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = Non
     return lab
 
 
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels after the links a-b, and a link from each group's old smallest
+    member to its new one: never more links than groups that were merged."""
+    roots = np.unique(np.concatenate([label[a], label[b]]))
+    label = connect(len(label), a, b, label)
+    moved = roots[label[roots] != roots]
+    return label, moved, label[moved]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (node, comp), comp the
     smallest node reachable. Nodes are longs; self links and nulls are ignored.

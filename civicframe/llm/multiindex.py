@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, connect, land
+from .common import components, land, merge
 
 MIN_COSINE = 0.93
 WORDS = 16          # codewords of each half
@@ -173,14 +173,11 @@ def meet(queries: pa.Table, stored: pa.Table, cosine: float) -> pa.Table:
             a, b, ra, rb = a[keep], b[keep], ra[keep], rb[keep]
             np.add.at(linked, ra, s_n[b])
             np.add.at(linked, rb, q_n[a])
-            u, v = comp[ra], comp[rb]
-            apart = u != v
+            apart = comp[ra] != comp[rb]
             if apart.any():
-                pair = np.stack([np.minimum(u[apart], v[apart]), np.maximum(u[apart], v[apart])], 1)
-                first = np.unique(pair, axis=0, return_index=True)[1]
-                left += ids[ra[apart][first]].tolist()
-                right += ids[rb[apart][first]].tolist()
-                comp = connect(len(ids), ra[apart], rb[apart], comp)
+                comp, u, v = merge(comp, ra[apart], rb[apart])
+                left += ids[u].tolist()
+                right += ids[v].tolist()
         kind, count = [1] * len(left), [0] * len(left)
         some = np.flatnonzero(linked)
         kind += [0] * len(some)

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, connect, land, map_arrow, utf8
+from .common import components, land, map_arrow, merge, utf8
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -115,8 +115,9 @@ class Tree:
 
 
 def link_search(f: np.ndarray, g: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (index a, index b) of f with itself, or of f with g
-    (numbered after f), at ``limit`` or fewer differing bits."""
+    """Links (index a, index b) that connect what is connected in f, or in f
+    and g (numbered after f), at ``limit`` or fewer differing bits: a spanning
+    forest, whose ends need not be neighbours themselves."""
     own = g is None
     ta, tb = Tree(f), Tree(f) if own else Tree(g)
     shift = 0 if own else len(f)
@@ -132,12 +133,9 @@ def link_search(f: np.ndarray, g: np.ndarray | None, limit: int) -> tuple[np.nda
         a, b = a[apart], b[apart]
         if not len(a):
             return
-        # a spanning forest of the new links: one link for each pair of old groups
-        pair = np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], 1)
-        first = np.unique(pair, axis=0, return_index=True)[1]
-        out_a.append(a[first])
-        out_b.append(b[first])
-        label = connect(n, a, b, label)
+        label, u, v = merge(label, a, b)
+        out_a.append(u)
+        out_b.append(v)
 
     while stack:
         la, lb, a, b, seen, diff = stack.pop()

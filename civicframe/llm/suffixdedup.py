@@ -18,19 +18,20 @@ is removed at both. Matches never cross texts.
    byte by byte splits each group into classes of equal left bytes, and a
    string that goes t bytes left is repeated if t bytes plus the longest right
    match in the class reach ``LENGTH``.
-   Groups with more than ``HOT`` distinct contexts are counted string by
-   string instead (``_strings``), with partial aggregates, so that none is
-   gathered in one task.
-4. The repeated strings' places return to their texts, which are joined once.
+   Groups with more than ``HOT`` distinct contexts (about 0.3 GB in a task) are
+   counted string by string instead (``_strings``), with partial aggregates,
+   so that no group is gathered in one task whatever its size.
+4. The repeated strings' places return to their texts. Only texts that may have
+   some are shuffled, compressed; the others are done where they are read.
 
 The suffix array over symbols, not over bytes of whole texts: linear grouping
 is a sequential algorithm, and at 6 to 10 microseconds a symbol in Python it
 would take 7 to 10 times the CPU allowed if each byte of the corpus were a symbol.
 Steps 1 and 2 leave it the contexts that a hash cannot decide.
 
-Repeated grams are marked in two bit maps of fixed size, which are broadcast:
-the second pass emits only anchors whose bit is set. A false positive costs a
-row and changes nothing.
+Repeated grams are marked in bit maps of fixed size, which are broadcast: the
+second pass emits only anchors whose bit is set. A false positive costs a row
+(or sends a group the other, equally exact, way) and changes nothing.
 
 Defined cases: null and empty texts, and texts shorter than ``LENGTH``, keep
 all bytes; equal texts (also repeated rows, whatever their ids) of at least ``LENGTH`` bytes are removed
@@ -44,6 +45,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ SPAN = LENGTH - GRAM + 1      # gram starts within a string; 151
 LEFT = SPAN - 1               # bytes a string can reach left of an anchor
 RIGHT = LENGTH - GRAM         # and right of its gram
 PIECE = 25                    # bytes of a symbol
-HOT = 20_000                  # distinct contexts of a group compared in one task
-BITS = 27                     # log2 of the bits of a map (16 MB)
+HOT = 100_000                 # distinct contexts of a group compared in one task
+BITS = 26                     # log2 of the bits of a map (8 MB)
 CHUNK = 17                    # log2 of the bytes of a map's chunk
 BUFFER = 1 << 18              # bytes hashed at once
 ROWS = 20_000                 # contexts of one suffix array, about
@@ -180,15 +182,27 @@ PLACES = "k1 long, k2 long, p long, g long, c long, n long, left binary, right b
 
 def places(docs: DataFrame, repeated: np.ndarray, mixed: np.ndarray) -> DataFrame:
     """Rows of two kinds for anchors whose gram is marked: places (k1, k2 the
-    text's key, p, g, c), and the contexts of mixed grams: (g, c, n: how
-    often in this task, left bytes reversed, bytes right of the gram)."""
+    text's key, p, g, c; of equal texts in a task one's), and the contexts of
+    mixed grams: (g, c, n: how often, left bytes reversed, bytes right of the
+    gram). A context's bytes leave a task once; later ones are only counted."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((repeated, mixed))
 
+    def place_rows(k1, k2, p, g, c):
+        none = pa.nulls(len(p), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(p), pa.array(g), pa.array(c),
+                                           pa.nulls(len(p), pa.int64()), none, none], names=_names(PLACES))
+
+    def context_rows(gc, n, left, right):
+        zero = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(gc[:, 0]), pa.array(gc[:, 1]), pa.array(n),
+                                           pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=_names(PLACES))
+
     def run(batches):
         rep, mix = shared.value
         powers = Powers()
-        seen: dict[tuple, int] = {}
+        met: set[tuple[int, int]] = set()
+        more: dict[tuple[int, int], int] = {}
         for b in batches:
             k1, k2, texts = (np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2).to_pylist())
             for some in _batches(texts):
@@ -196,26 +210,48 @@ def places(docs: DataFrame, repeated: np.ndarray, mixed: np.ndarray) -> DataFram
                 of, p, g, c = anchors(own, powers)
                 keep = _set(rep, g)
                 of, p, g, c = of[keep], p[keep], g[keep], c[keep]
-                rows = np.array(some)[of]
-                none = pa.nulls(len(p), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(k2[rows]), pa.array(p), pa.array(g), pa.array(c),
-                                                  pa.nulls(len(p), pa.int64()), none, none], names=_names(PLACES))
+                rows = np.array(some)
+                new = np.zeros(len(rows), bool)
+                for i, key in enumerate(zip(k1[rows].tolist(), k2[rows].tolist())):
+                    if key not in met:
+                        met.add(key)
+                        new[i] = True
+                first = np.flatnonzero(new[of])
+                rows = rows[of[first]]
+                yield place_rows(k1[rows], k2[rows], p[first], g[first], c[first])
                 wanted = np.flatnonzero(_set(mix, g))
                 if not len(wanted):
                     continue
                 gc, first, n = np.unique(np.stack([g[wanted], c[wanted]], 1), axis=0, return_index=True, return_counts=True)
-                left, right = [], []
-                for i in wanted[first].tolist():
+                fresh, left, right = [], [], []
+                for k, (key, i, m) in enumerate(zip(map(tuple, gc.tolist()), wanted[first].tolist(), n.tolist())):
+                    if key in more:
+                        more[key] += m
+                        continue
+                    more[key] = 0
+                    fresh.append(k)
                     t, at = own[of[i]], int(p[i])
                     left.append(t[max(0, at - LEFT):at][::-1])
                     right.append(t[at + GRAM:at + LENGTH])
-                m = len(first)
-                zero = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(gc[:, 0]), pa.array(gc[:, 1]), pa.array(n.astype(np.int64)),
-                                                  pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=_names(PLACES))
+                if fresh:
+                    yield context_rows(gc[fresh], n[fresh].astype(np.int64), left, right)
+        again = [(g, c, n) for (g, c), n in more.items() if n]
+        if again:
+            t = np.array(again, np.int64)
+            yield context_rows(t[:, :2], np.ascontiguousarray(t[:, 2]), [None] * len(t), [None] * len(t))
     return docs.select("k1", "k2", "t").mapInArrow(run, PLACES)
 
 
+def marked(rows: DataFrame, key: str, bits: np.ndarray, wanted: bool) -> DataFrame:
+    """Rows whose key's bit is set, or is not."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_set(shared.value, np.asarray(b.column(key))) == wanted))
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _names(ddl: str) -> list[str]:
     return [x.split()[0] for x in ddl.split(", ")]
 
@@ -308,7 +344,8 @@ def _compared(contexts: DataFrame) -> DataFrame:
         def flush(parts):
             t = pa.Table.from_batches(parts)
             g, c, n = (np.asarray(t[x]) for x in ("g", "c", "n"))
-            order = np.lexsort((c, g))
+            bare = np.asarray(t["left"].is_null())
+            order = np.lexsort((bare, c, g))  # of equal contexts one with its bytes first
             g, c, n = g[order], c[order], n[order]
             new = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
             first = np.flatnonzero(new)
@@ -354,7 +391,8 @@ def _strings(contexts: DataFrame) -> DataFrame:
                     hs.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(g[rows]), pa.array(c[rows]), pa.array(n[rows]), pa.array(ts, pa.int32()),
                                               pa.array(hs, pa.binary())], names=["g", "c", "n", "t", "h"])
-    each = (contexts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    each = (contexts.groupBy("g", "c").agg(F.sum("n").alias("n"), F.first("left", ignorenulls=True).alias("left"),
+                                          F.first("right", ignorenulls=True).alias("right"))
             .mapInArrow(run, "g long, c long, n long, t int, h binary"))
     shared = each.groupBy("g", "h").agg(F.sum("n").alias("all")).where("all > 1")
     hit = each.join(shared, ["g", "h"]).groupBy("g", "c").agg(F.collect_set("t").alias("ts"), F.max("n").alias("n"))
@@ -390,35 +428,54 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_text
                         F.xxhash64(F.lit(1), t, F.length(t)).alias("k2"), t.alias("t"))
     grams = land(gram_counts(keyed).where("n > 1"), "grams")
     mixed = grams.where("lo <> hi")
-    found = land(places(keyed, bit_map(grams), bit_map(mixed)), "places")
+    found = land(places(keyed, bit_map(grams), bit_map(mixed)), "places", compression="zstd")
     places_of, contexts = found.where("k1 is not null").select("k1", "k2", "p", "g", "c"), found.where("k1 is null")
+    contexts = contexts.select("g", "c", "n", "left", "right")
 
-    # groups of distinct contexts, the very large ones apart
-    large = (contexts.groupBy("g", "c").agg(F.lit(1).alias("one")).groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-             .where(F.col("m") > hot).select("g"))
-    big = contexts.join(large, "g", "left_semi")
-    small = contexts.join(large, "g", "left_anti")
+    # groups of very many contexts apart; a whole group always goes one way
+    large = bit_map(contexts.groupBy("g").agg(F.count_distinct("c").alias("m")).where(F.col("m") > hot))
+    small, big = marked(contexts, "g", large, False), marked(contexts, "g", large, True)
     one = grams.where("lo = hi").select("g", F.col("lo").alias("c"), F.lit(None).cast("binary").alias("strings"))
     hits = one.union(_compared(small)).union(_strings(big))
 
-    marks = (places_of.join(hits, ["g", "c"]).groupBy("k1", "k2", "p").agg(F.first("strings").alias("strings"))
+    # few rows repeat a place by now (one text's in each task), so one exchange serves both groupings
+    marks = (places_of.join(hits, ["g", "c"]).repartition("k1", "k2").groupBy("k1", "k2", "p").agg(F.first("strings").alias("strings"))
              .groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "strings")).alias("marks")))
-    both = keyed.join(marks, ["k1", "k2"], "left").select("doc_id", "t", "marks")
+    marks = land(marks, "marks", compression="zstd")
+    bits = bit_map(marks.select(F.col("k1").alias("g")))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    names = _names(schema)
 
-    def run(batches):
+    def result(ids, rows):
+        cols = list(zip(*rows))
+        types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, y) for c, y in zip(cols, types))], names=names)
+
+    def clean(batches):
+        for b in batches:
+            if b.num_rows:
+                yield result(b.column("doc_id"), [(len(x), 0, 0, hashlib.sha256(x).hexdigest(), x if keep_text else None)
+                                                  for x in b.column("t").to_pylist()])
+
+    def pack(batches):
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = pa.array([zip_.compress(x) for x in b.column("t").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), z], names=["doc_id", "k1", "k2", "z"])
+
+    def cut(batches):
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for x, m in zip(b.column("t").to_pylist(), b.column("marks").to_pylist()):
-                cut, spans, kept = 0, 0, x
-                if m:
-                    gone = removed(len(x), [y["p"] for y in m], [y["strings"] for y in m])
-                    cut = int(gone.sum())
-                    spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
-                    kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
-                rows.append((len(x), cut, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            cols = list(zip(*rows))
-            types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, y) for c, y in zip(cols, types))],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-    out = both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            for z, m in zip(b.column("z").to_pylist(), b.column("marks").to_pylist()):
+                x = unzip.decompress(z)
+                gone = removed(len(x), [y["p"] for y in m or ()], [y["strings"] for y in m or ()])
+                kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
+                rows.append((len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()),
+                             hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            if rows:
+                yield result(b.column("doc_id"), rows)
+    texts = marked(keyed, "k1", bits, True).mapInArrow(pack, "doc_id long, k1 long, k2 long, z binary")
+    both = texts.join(marks, ["k1", "k2"], "left").select("doc_id", "z", "marks")
+    out = marked(keyed, "k1", bits, False).mapInArrow(clean, schema).union(both.mapInArrow(cut, schema))
     return out if keep_text else out.drop("kept")

@@ -111,12 +111,15 @@ def test_link_search_of_two_pieces():
     f = simhash._by_gray(f)
     u, v = f[:150], f[150:]
     a, b = simhash.link_search(u, v, 3)
-    near = np.bitwise_count(u[:, None] ^ v[None]) <= 3
-    i, j = np.nonzero(near)
-    # the search may also link inside a group whose members all lie within the limit
+    i, j = np.nonzero(np.bitwise_count(u[:, None] ^ v[None]) <= 3)
+    assert len(a) < len(f)  # a forest
+    got, want = common.connect(len(f), a, b), common.connect(len(f), i, j + len(u))
+    assert (got[i] == got[j + len(u)]).all()
+    # nothing is connected that is not, over links inside both halves as well
     w = np.concatenate([u, v])
-    assert (np.bitwise_count(w[a] ^ w[b]) <= 3).all()
-    assert (common.connect(len(f), a, b)[i] == common.connect(len(f), a, b)[j + len(u)]).all()
+    x, y = np.nonzero(np.bitwise_count(w[:, None] ^ w[None]) <= 3)
+    whole = common.connect(len(f), x, y)
+    assert (whole[a] == whole[b]).all() and len(want) == len(got)
 
 
 def test_simhash_keep_one(spark, texts):
