@@ -89,7 +89,7 @@ def rank_correlation(df: DataFrame, group_cols, x: str, y: str, tie_key, out: st
     task."""
     tie = [tie_key] if isinstance(tie_key, str) else list(tie_key)
     rx = numbered(df.select(*group_cols, x, y, *tie), [F.col(x)] + [F.col(t) for t in tie], group_cols, "_rx")
-    ry = numbered(rx, [F.col(y)] + [F.col(t) for t in tie], group_cols, "_ry")
+    ry = numbered(rx.drop(x), [F.col(y)] + [F.col(t) for t in tie], group_cols, "_ry")
     return ry.groupBy(*group_cols).agg(F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double")).alias(out))
 
 
