@@ -232,17 +232,24 @@ def product_list_enriched(spark, sf_dir):
     return J.natural_join(listed, p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("brand_parts")))
 
 
-def part_catalogue(spark, sf_dir):
+def part_catalogue(parts):
     """A variable list over the years from parts: codes B25nnn_001 and C25...,
-    a concept that a third of the rows lack, one row per year."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type").where("p_type is not null")
-    years = F.explode(F.sequence(F.lit(2005), F.lit(2005) + (F.col("p_partkey") % 6).cast("int"))).alias("year")
+    one for each part, a concept that a third of the rows lack, one row per year."""
+    key = F.col("p_partkey")
+    p = parts.select("p_partkey", "p_type").where("p_type is not null")
+    years = F.explode(F.sequence(F.lit(2005), F.lit(2005) + (key % 6).cast("int"))).alias("year")
     y = p.select("p_partkey", "p_type", years)
-    code = F.concat(F.when(F.col("p_partkey") % 5 == 0, F.lit("C")).otherwise(F.lit("B")), F.lit("25"),
-                    F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.when(F.col("p_partkey") % 7 == 0, F.lit("A")).otherwise(F.lit("")),
-                    F.lit("_"), F.when(F.col("p_partkey") % 4 == 0, F.lit("002")).otherwise(F.lit("001")))
-    concept = F.when((F.col("p_partkey") + F.col("year")) % 3 != 0, F.upper("p_type"))
-    return y.where("p_partkey < 1000").select("year", code.alias("name"), F.lit("Estimate!!Total").alias("label"), concept.alias("concept"))
+    number = F.when(key < 1000, F.lpad(key.cast("string"), 3, "0")).otherwise(key.cast("string"))
+    code = F.concat(F.when(key % 5 == 0, F.lit("C")).otherwise(F.lit("B")), F.lit("25"),
+                    number, F.when(key % 7 == 0, F.lit("A")).otherwise(F.lit("")),
+                    F.lit("_"), F.when(key % 4 == 0, F.lit("002")).otherwise(F.lit("001")))
+    concept = F.when((key + F.col("year")) % 3 != 0, F.upper("p_type"))
+    return y.select("year", code.alias("name"), F.lit("Estimate!!Total").alias("label"), concept.alias("concept"))
+
+
+def first_parts(spark, sf_dir):
+    """The parts that ``_CATALOGUE_SQL`` reads; ``_WHOLE_CATALOGUE_SQL`` reads all."""
+    return table(spark, sf_dir, "part").where("p_partkey < 1000")
 
 
 _CATALOGUE_SQL = r"""
@@ -263,7 +270,7 @@ SELECT name, concept, CASE WHEN min(year) = max(year) THEN '(' || min(year) || '
 FROM filled GROUP BY 1, 2
 """)
 def catalogue_year_ranges(spark, sf_dir):
-    cat = part_catalogue(spark, sf_dir)
+    cat = part_catalogue(first_parts(spark, sf_dir))
     return acs_catalog.year_ranges(acs_catalog.fill_concepts(acs_catalog.top_level(acs_catalog.housing_variables(cat))))
 
 
@@ -271,7 +278,30 @@ def catalogue_year_ranges(spark, sf_dir):
 SELECT name, concept, string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) AS years FROM top GROUP BY 1, 2
 """)
 def catalogue_years_per_concept(spark, sf_dir):
-    return acs_catalog.years_per_concept(acs_catalog.top_level(acs_catalog.housing_variables(part_catalogue(spark, sf_dir))))
+    return acs_catalog.years_per_concept(acs_catalog.top_level(acs_catalog.housing_variables(part_catalogue(first_parts(spark, sf_dir)))))
+
+
+# The same catalogue over all parts.
+_WHOLE_CATALOGUE_SQL = _CATALOGUE_SQL.replace(" AND p_partkey < 1000", "").replace(
+    "lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0')",
+    "CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 3, '0') ELSE CAST(p_partkey AS VARCHAR) END")
+
+
+@register("catalogue_year_ranges_all_parts", ("F6", "W2", "W1", "A7", "X2"), _WHOLE_CATALOGUE_SQL + """
+SELECT name, concept, CASE WHEN min(year) = max(year) THEN '(' || min(year) || ')' ELSE '(' || min(year) || '-' || max(year) || ')' END AS year_range
+FROM filled GROUP BY 1, 2
+""")
+def catalogue_year_ranges_all_parts(spark, sf_dir):
+    cat = part_catalogue(table(spark, sf_dir, "part"))
+    return acs_catalog.year_ranges(acs_catalog.fill_concepts(acs_catalog.top_level(acs_catalog.housing_variables(cat))))
+
+
+@register("catalogue_years_per_concept_all_parts", ("A8",), _WHOLE_CATALOGUE_SQL + """
+SELECT name, concept, string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) AS years FROM top GROUP BY 1, 2
+""")
+def catalogue_years_per_concept_all_parts(spark, sf_dir):
+    cat = part_catalogue(table(spark, sf_dir, "part"))
+    return acs_catalog.years_per_concept(acs_catalog.top_level(acs_catalog.housing_variables(cat)))
 
 
 @register("status_series_gaps", ("A13", "W6", "X12", "X10"), """

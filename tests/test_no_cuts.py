@@ -97,3 +97,12 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
             getCheckpointDir = staticmethod(lambda: None)
     with pytest.raises(ValueError):
         session.checkpoint_dir(Fake)
+
+
+def test_every_part_is_in_the_catalogue(spark, scratch):
+    key = F.col("id") * 501 + 1  # to 5,011: every code above 1,000 but two
+    spark.range(11).select(key.alias("p_partkey"), F.lit("STANDARD TIN").alias("p_type")).write.parquet(f"{scratch}/part.parquet")
+    top = {k for k in range(1, 5012, 501) if k % 4 and k % 7}
+    for name in ("catalogue_year_ranges_all_parts", "catalogue_years_per_concept_all_parts"):
+        got = {r.name for r in PLANS[name](spark, scratch).collect()}
+        assert got == {("C" if k % 5 == 0 else "B") + f"25{k:03d}_001" for k in top}
