@@ -73,12 +73,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): fp the fingerprint as a signed long."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text).alias("t"))
-    return map_arrow(src, run, "doc_id long, fp long")
+        fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+    t = utf8(text)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
+    return map_arrow(src, run, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(c):
@@ -298,7 +299,7 @@ def _by_gray(f: np.ndarray) -> np.ndarray:
 
 def groups(docs: DataFrame, limit: int = MAX_BITS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    f = land(fingerprints(docs, id_col, text), "fps")
+    f = land(fingerprints(docs, id_col, text).select("doc_id", "fp"), "fps")
     reps = f.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     comp = components(links(reps, limit)).withColumnRenamed("node", "fp")
     named = reps.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -313,11 +314,18 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_BITS, id_col: str = "doc_i
 
 
 def keep_one(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
-    """One document of each group: the row whose doc_id names the component.
-    Of rows repeating that id one stays, by the smallest values of the other
-    columns; a component of null ids keeps one row likewise."""
-    g = groups(docs, limit).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    """One row of each group: the smallest doc_id (null only if all ids of the
+    group are null), then the smallest text hash. Of rows equal in both the
+    one with the smallest values of the other columns stays."""
+    f = land(fingerprints(docs), "fps")
+    reps = f.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep"))
+    reps = land(reps, "reps")
+    comp = components(links(reps, limit)).withColumnRenamed("node", "fp")
+    # a doc_id and text have one fingerprint, so a pair names one group only
+    keep = (reps.join(comp, "fp", "left").groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("rep").alias("rep"))
+            .select(F.col("rep.doc_id").alias("_keep"), F.col("rep.text_hash").alias("_kept_hash")))
     rest = [c for c in docs.columns if c != "doc_id"]
-    w = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in rest))
-    return (docs.join(g, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+    w = Window.partitionBy("doc_id", "_hash").orderBy(*(F.col(c) for c in rest))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_kept_hash"))
+    return (docs.withColumn("_hash", F.xxhash64(utf8("text"))).join(keep, same, "left_semi")
+            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_hash"))

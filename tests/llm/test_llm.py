@@ -130,6 +130,18 @@ def test_simhash_keep_one(spark, texts):
     assert kept.count() == len(comps)
 
 
+def test_simhash_keep_one_row_of_each_group(spark):
+    r = np.random.default_rng(5)
+    t = [" ".join("w%d" % x for x in r.integers(0, 10**6, 40)) for _ in range(6)]
+    rows = [(None, t[0], "a"), (None, t[1], "a"), (None, t[2], "a"), (None, t[2], "b"),  # groups of null ids
+            (1, t[3], "a"), (None, t[3], "a"),                                           # a copy without an id
+            (2, t[4], "a"), (2, t[5], "a")]                                              # an id with two texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep string")
+    kept = sorted((x.text, x.doc_id is None, x.doc_id or 0, x.rep) for x in simhash.keep_one(docs).collect())
+    assert kept == sorted([(t[0], True, 0, "a"), (t[1], True, 0, "a"), (t[2], True, 0, "a"),
+                           (t[3], False, 1, "a"), (t[4], False, 2, "a"), (t[5], False, 2, "a")])
+
+
 # ---- quality
 
 def test_quality(spark):
