@@ -7,8 +7,11 @@ The lexer reads the assignment syntaxes of source and configuration files
 words and names joined by ``+`` or ``.``; names are replaced by the literals
 bound to them earlier in the text, through any number of steps, so a secret is
 reported where its literal stands, under every name it reaches. Each
-literal is scored by the most sensitive name it is assigned to, and by its
-own look (length, variety of characters, no placeholder words).
+literal is scored by the most sensitive name it is assigned to, and by the
+look of the whole value there (length, variety of characters, no placeholder
+words). Only what the look needs is kept of a joined value, and scores go back
+from a value to its parts once, so values of any length and any number of
+parts and steps take time in proportion to the text.
 
 Base patterns are matched only in texts that have their fixed signs (``=`` or
 ``:``, ``AKIA``, a run of 32 hex digits), which every match needs.
@@ -44,12 +47,17 @@ NAME_CHARS = 128
 OPERAND = re.compile(r"""\x20*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$][A-Za-z0-9+/_.$=-]*))""")
 JOIN = re.compile(r"\x20*[+.]\x20*(?=[\"'A-Za-z_$])")
 
-# How much a part of a name says that its value is secret.
+# How much a part of a name, or two neighbouring parts, say that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
-             "credentials": 0.9, "private": 0.6, "key": 0.5, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "salt": 0.5, "cert": 0.4}
-PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]?|dummy|xxxx|\*\*\*|<.*>|\$\{|^(true|false|none|null)$", re.I)
-MIN_SCORE = 0.8
+             "credentials": 0.9, "private": 0.6, "key": 0.5, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "salt": 0.5, "cert": 0.4,
+             "privatekey": 0.95, "signingkey": 0.95, "accesskey": 0.95, "authkey": 0.95, "encryptionkey": 0.95}
+PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]?|dummy|xxxx|\*\*\*|<.*>|\$\{", re.I)
+EDGE = 10  # a placeholder word over the seam of two parts lies within so many characters of it
+# Low enough for the weakest name with a literal of mixed characters, and for
+# the strong names with digits or small letters only.
+MIN_SCORE = 0.35
 MIN_LENGTH = 8
+HUGE = 1 << 200
 
 
 def assigns(text: str) -> list[tuple[int, int]]:
@@ -72,20 +80,60 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in words), default=0.0)
 
 
+def kind(c: str) -> str:
+    """Kind of a character; the signs that join the words of a name are none."""
+    return "0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "" if c in "-_." else "."
+
+
+class Look:
+    """What the score needs of a value; looks of joined values add up."""
+
+    __slots__ = ("n", "chars", "head", "tail", "open", "close", "never")
+
+    def __init__(self, s: str = ""):
+        self.n, self.chars, self.head, self.tail = len(s), Counter(s), s[:EDGE], s[-EDGE:]
+        self.open, self.close = "<" in s, ">" in s
+        self.never = bool(PLACEHOLDER.search(s)) or any(c.isspace() for c in self.chars)
+
+    def add(self, o: Look):
+        self.never |= o.never or (self.open and o.close) or bool(PLACEHOLDER.search(self.tail + o.head))
+        self.open |= o.open
+        self.close |= o.close
+        self.n += o.n
+        self.chars.update(o.chars)
+        self.head = self.head if len(self.head) == EDGE else (self.head + o.head)[:EDGE]
+        self.tail = (self.tail + o.tail)[-EDGE:]
+        if self.n > HUGE:  # only the shares matter
+            self.chars = Counter({c: max(1, k >> 100) for c, k in self.chars.items()})
+            self.n = self.chars.total()
+
+    def weight(self) -> float:
+        """0 to 1: how much the value looks like a secret."""
+        if self.n < MIN_LENGTH or self.never:
+            return 0.0
+        n = self.n
+        bits = -sum(c / n * math.log2(c / n) for c in self.chars.values())
+        kinds = {kind(c) for c in self.chars} - {""}
+        return min(1.0, bits / 3.0) * (1.0 if len(kinds) >= 2 else 0.5)
+
+
 def literal_weight(s: str) -> float:
     """0 to 1: how much a literal looks like a secret."""
-    if len(s) < MIN_LENGTH or len(s) > 4096 or PLACEHOLDER.search(s) or any(c.isspace() for c in s):
-        return 0.0
-    n = len(s)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
-    kinds = bool(re.search("[0-9]", s)) + bool(re.search("[a-z]", s)) + bool(re.search("[A-Z]", s)) + bool(re.search(r"[^A-Za-z0-9]", s))
-    return min(1.0, bits / 3.0) * (1.0 if kinds >= 2 else 0.5)
-
-
-def literals(text: str):
-    """(name, value, start, end) of every literal a name is assigned, constants
-    propagated: of a joined expression each literal with the whole value."""
-    bound: dict[str, list[tuple[str, int, int]]] = {}
+    return Look(s).weight()
+
+
+class Value:
+    """What a name is assigned: literals (start, end) and earlier values."""
+
+    __slots__ = ("name", "look", "literals", "values")
+
+    def __init__(self, name: str):
+        self.name, self.look, self.literals, self.values = name, Look(), [], []
+
+
+def assigned(text: str) -> list[Value]:
+    """Every assignment of literals to a name, in order, constants propagated."""
+    bound: dict[str, Value] = {}
     out = []
     at = 0
     while m := SIGN.search(text, at):
@@ -96,24 +144,25 @@ def literals(text: str):
         nm = NAME_BEFORE.search(left)
         if not nm:
             continue
-        name, parts, pos = nm[0], [], m.end()
+        got, pos = Value(nm[0]), m.end()
         while o := OPERAND.match(text, pos):
             pos = o.end()
             k = next(i for i in (1, 2, 3) if o[i] is not None)
-            v, s, e = o[k], o.start(k), o.end(k)
+            v = o[k]
             if k == 3 and v in bound:
-                parts += bound[v]
-            elif k < 3 or not re.fullmatch(r"[A-Za-z_$]+(?:\.[A-Za-z_$]+)*", v) or name_weight(name) >= 1.0:
-                parts.append((v, s, e))
+                got.values.append(bound[v])
+                got.look.add(bound[v].look)
+            elif k < 3 or not re.fullmatch(r"[A-Za-z_$]+(?:\.[A-Za-z_$]+)*", v) or name_weight(got.name) >= 1.0:
+                got.literals.append(o.span(k))
+                got.look.add(Look(v))
             j = JOIN.match(text, pos)
-            if not j or len(parts) > 64:
+            if not j:
                 break
             pos = j.end()
-        if not parts:
+        if not got.literals and not got.values:
             continue
-        bound[name] = parts
-        whole = "".join(v for v, _, _ in parts)
-        out += [(name, whole, s, e) for _, s, e in parts if e > s]
+        bound[got.name] = got
+        out.append(got)
         # the right side may itself be a pair (``x: token = ...``): go on after the sign
     return out
 
@@ -121,12 +170,19 @@ def literals(text: str):
 def scored(text: str) -> list[tuple[int, int, float, str]]:
     """(start, end, score, name) of each literal, by its most sensitive name."""
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, whole, s, e in literals(text):
-        w = name_weight(name)
-        if w:
-            score = w * literal_weight(whole)
-            if score > best.get((s, e), (0.0, ""))[0]:
-                best[(s, e)] = (score, name)
+    reached: dict[int, tuple[float, str]] = {}
+    values = assigned(text)
+    for v in reversed(values):  # a value is used by later ones only
+        w = name_weight(v.name)
+        top = max((w * v.look.weight() if w else 0.0, v.name), reached.get(id(v), (0.0, "")), key=lambda x: x[0])
+        if not top[0]:
+            continue
+        for used in v.values:
+            if top[0] > reached.get(id(used), (0.0, ""))[0]:
+                reached[id(used)] = top
+        for place in v.literals:
+            if place[1] > place[0] and top[0] > best.get(place, (0.0, ""))[0]:
+                best[place] = top
     return sorted((s, e, sc, n) for (s, e), (sc, n) in best.items())
 
 

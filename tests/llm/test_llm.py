@@ -439,6 +439,27 @@ def test_secrets(spark):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(secrets.SENSITIVE) + ["private_key", "signing_key", "ACCESS_KEY", "authKey"])
+def test_secrets_of_every_name(name):
+    def found(t):
+        base, added = secrets.spans(t.encode())
+        return {(a, b) for a, _, b in base + added}
+    assert any(b == len(name) + 16 for _, b in found(f'{name} = "x9Q2mT7vL4kZ"\n'))
+    if secrets.name_weight(name) >= 0.9:
+        for v in ("8301927465", "qzmvtkwprx"):
+            assert found(f'{name} = "{v}"')
+
+
+def test_secrets_of_any_length():
+    value = "x9Q2mT7vL4kZ" * 500
+    assert [(a, b) for a, _, b in secrets.spans(f'signing_key = "{value}"'.encode())[1]] == [(15, 15 + len(value))]
+    parts = " + ".join('"%s"' % value[i:i + 20] for i in range(0, len(value), 20))
+    assert len(secrets.spans(f"k = {parts}\npassphrase = k".encode())[1]) == 300
+    doubled = 'v0 = "x9Q2mT7vL4kZ"\n' + "".join(f"v{i + 1} = v{i} + v{i}\n" for i in range(2000)) + "passphrase = v2000"
+    assert [a for a, _, _ in secrets.spans(doubled.encode())[1]] == [6]
+    assert not secrets.spans(b'passphrase = "exam" + "ple" + "x9Q2mT7vL4kZ"')[1] and not secrets.spans(b'key = "user_name_field"')[1]
+
+
 # ---- embeddings
 
 def test_embeddings(spark):
