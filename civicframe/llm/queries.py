@@ -90,6 +90,14 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "source", "n_in_source", "block", "release", "deadline", "slot", "mixed")
 
 
+@query
+def op7_exact_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same to the exact weights; the SQL of ``op7_pfair_mixing`` rounds
+    them to whole slots as it does."""
+    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), slots=None)
+    return got.select("doc_id", "source", "n_in_source", "block", "release", "deadline", "slot", "mixed")
+
+
 def _pfair_sql(W: int = mixing.SLOTS, B: int = mixing.BLOCK, S: int = mixing.SEED) -> str:
     """The schedule by a recursive walk over one period's slots."""
     return f"""

@@ -32,7 +32,7 @@ def masked_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in the mixture of sources."""
-    return mixing.mix(docs, tie_cols=("text",))
+    return mixing.mix(docs, slots=None, tie_cols=("text",))
 
 
 STAGES = [

@@ -342,6 +342,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_to_exact_weights(spark):
+    weight = {"s%04d" % i: 2 for i in range(1500)} | {"big": 1234, "odd": 6}  # more sources than SLOTS
+    total = sum(weight.values()) // 2
+    docs = spark.createDataFrame([(i * 10000 + j, s) for i, (s, w) in enumerate(weight.items()) for j in range(3 if w == 2 else w)],
+                                 "doc_id long, source string")
+    w = spark.createDataFrame(list(weight.items()), "source string, weight long")
+    rows = mixing.mix(docs, w, slots=None, block=1).collect()
+    assert len({r.slot for r in rows}) == len(rows) == docs.count()
+    for r in rows:
+        q = weight[r.source] // 2
+        assert r.release == (r.block - 1) * total // q and r.deadline == -(-r.block * total // q)
+        assert r.release <= r.slot < r.deadline  # so no source is off by a block or more
+    assert sum(r.mixed for r in rows) >= 2 * total
+
+
 def test_mixing_is_native(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
