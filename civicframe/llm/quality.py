@@ -15,9 +15,14 @@ long texts. k is the number of rows whose weight is above the cut that best sepa
 the labelled rows, as long as ``KEEP`` of the good ones stay (or what the caller gives). Counts, weights and the cut use
 all rows; only the bucket counts (of fixed number) reach the driver.
 
+Toxic rows are kept out by a second ratio, log(p_toxic / p_labelled) of single words
+by the labelled rows they occur in. A text's toxicity is that of its worst
+word, so that good text around it doesn't dilute it; the cut is chosen like the first, with toxic rows as
+the rejects. Words that are harmless one by one are not seen.
+
 Defined cases: null and empty texts have no n-gram and weight 0; without any
 target row all weights are 0; without labels of both kinds k is the number of
-rows; repeated rows are scored alike, their noise being drawn from (doc_id,
+rows, and without toxic labels no row is toxic; repeated rows are scored alike, their noise being drawn from (doc_id,
 text hash), and ties at the k-th place go by doc_id and then text hash (rows
 equal in both are kept together); an empty table stays empty; extra columns
 are kept by ``keep_good``.
@@ -43,6 +48,8 @@ MIN_Z = 4.0
 TEMPERATURE = 0.05
 KEEP = 0.995
 SEED = 42
+TOXIC_PRIOR = 10.0
+TOXIC_WORDS = 1 << 16    # words of the toxic model at most, those with the largest ratios
 # Labelled target rows the target model is fitted on, at most: those with the
 # smallest hashes. Their ids (8 bytes each) are broadcast. The raw model, the
 # weights, the cut and the selection use all rows.
@@ -66,6 +73,7 @@ class Grams:
 
     def __init__(self):
         self.shapes: dict[bytes, int] = {}
+        self.words = np.empty(0, np.uint64)  # word hashes of the last text
 
     def shape(self, token: bytes) -> int:
         s = self.shapes.get(token)
@@ -83,7 +91,7 @@ class Grams:
         for p in (b".", b",", b";", b":", b"!", b"?"):
             text = text.replace(p, b" ")
         words = text.translate(SEPARATE).split()
-        h = np.fromiter(map(crc32, words), np.uint64, len(words))
+        h = self.words = np.fromiter(map(crc32, words), np.uint64, len(words))
         s = np.array(shapes, np.uint64)
         return np.concatenate(_hashed(h, 16, 0) + _hashed(s, 12, MODELS[2])).astype(np.int32)
 
@@ -122,23 +130,59 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = PRIOR, min_z:
     return out
 
 
-def weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_grams, log_weight) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def toxic_words(docs: DataFrame, text: str = "text", toxic: str = "toxic", prior: float = TOXIC_PRIOR, min_z: float = MIN_Z) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted word hashes, ratios) of the words that toxic rows have more often
+    than all rows of ``docs``; a row counts a word once."""
+    def run(batches):
+        grams = Grams()
+        for b in batches:
+            h, t = [], []
+            for x, is_toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                grams(x)
+                h.append(np.unique(grams.words))
+                t.append(np.full(len(h[-1]), is_toxic, np.int64))
+            if h:
+                u, at = np.unique(np.concatenate(h), return_inverse=True)
+                n, bad = np.bincount(at, minlength=len(u)), np.bincount(at, np.concatenate(t), len(u))
+                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(bad.astype(np.int64))],
+                                                 names=["word", "n", "bad"])
+    share = docs.agg(F.avg(F.col(toxic).cast("double"))).first()[0]
+    if not share or share == 1:
+        return np.empty(0, np.uint64), np.empty(0)
+    expect = F.col("n") * share
+    got = (docs.select(utf8(text).alias("t"), toxic).mapInArrow(run, "word long, n long, bad long")
+           .groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+           .where(F.col("bad") - expect >= min_z * F.sqrt(expect + 1))
+           .select("word", F.log((F.col("bad") + prior) / (expect + prior)).alias("ratio"))
+           .orderBy(F.desc("ratio"), "word").limit(TOXIC_WORDS).collect())
+    got = sorted((r["word"], r["ratio"]) for r in got)
+    return np.array([w for w, _ in got], np.uint64), np.array([r for _, r in got], float)
+
+
+def weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text: str = "text",
+            bad_words: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, text_hash, n_grams, log_weight, toxicity) per row."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, bad_words))
 
     def run(batches):
-        table, grams = shared.value, Grams()
+        (table, bad_words), grams = shared.value, Grams()
+        known, ratio = bad_words or (np.empty(0, np.uint64), np.empty(0))
         for b in batches:
-            n, w = [], []
+            n, w, tox = [], [], []
             for t in b.column(2).to_pylist():
                 g = grams(t)
                 n.append(len(g))
                 w.append(float(table[g].sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(w, pa.float64())],
-                                             names=["doc_id", "text_hash", "n_grams", "log_weight"])
+                worst = 0.0
+                if len(known) and len(grams.words):
+                    at = np.minimum(np.searchsorted(known, grams.words), len(known) - 1)
+                    worst = float(np.where(known[at] == grams.words, ratio[at], 0.0).max())
+                tox.append(worst)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(tox, pa.float64())],
+                                             names=["doc_id", "text_hash", "n_grams", "log_weight", "toxicity"])
     t = utf8(text)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
-            .mapInArrow(run, "doc_id long, text_hash long, n_grams long, log_weight double"))
+            .mapInArrow(run, "doc_id long, text_hash long, n_grams long, log_weight double, toxicity double"))
 
 
 def best_cut(scored: DataFrame, keep: float = KEEP) -> float | None:
@@ -209,30 +253,37 @@ def top_k(scored: DataFrame, k: int, key: str = "key") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE,
              seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """(doc_id, text_hash, n_grams, log_weight, good, key, accepted) per row.
+    """(doc_id, text_hash, n_grams, log_weight, toxicity, good, toxic, key, accepted) per row.
 
     ``labels``: doc_id, quality and toxic (0 or 1). Target rows have quality 1
     and are not toxic (good); rows of quality 0 are not good; toxic rows of
-    quality 1 are neither and don't move the cut. Of several labels of an id the
+    quality 1 are neither and don't move the cut on weights; all toxic rows are the rejects of the cut on toxicity. Of several labels of an id the
     lowest quality and the highest toxicity hold.
     """
     lab = (labels.where("doc_id is not null").groupBy("doc_id")
            .agg(F.when(F.min("quality") == 0, F.lit(False))
-                .when((F.min("quality") == 1) & ~F.max("toxic").eqNullSafe(1), F.lit(True)).alias("good")))
+                .when((F.min("quality") == 1) & ~F.max("toxic").eqNullSafe(1), F.lit(True)).alias("good"),
+                F.max("toxic").eqNullSafe(1).alias("toxic")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = (lab.where("good").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(target_rows)
               .withColumn("target", F.lit(True)))
+    def some(which):
+        return lab.where(which).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(target_rows)
+    judged = named.join(F.broadcast(some("toxic").union(some("not toxic"))), "doc_id")
     marked = named.join(F.broadcast(chosen), "doc_id", "left")
     c = counts(marked).collect()
     raw, target = np.zeros(MODELS[-1], np.int64), np.zeros(MODELS[-1], np.int64)
     for b, r, t in c:
         raw[b], target[b] = r, t
-    scored = land(weights(named, log_ratios(raw, target)).join(lab, "doc_id", "left")
+    scored = land(weights(named, log_ratios(raw, target), bad_words=toxic_words(judged)).join(lab, "doc_id", "left")
                   .withColumn("key", F.col("log_weight") / temperature + gumbel(seed)), "weights")
+    harm = -F.col("toxicity")
+    limit = best_cut(scored.select(harm.alias("log_weight"), F.when(F.col("toxic"), False).when(F.col("good"), True).alias("good")))
+    clean = scored if limit is None else scored.where(harm >= limit)
     if k is None:
         cut = best_cut(scored)
-        k = scored.count() if cut is None else scored.where(F.col("log_weight") >= cut).count()
-    chosen = top_k(scored, k).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+        k = clean.count() if cut is None else clean.where(F.col("log_weight") >= cut).count()
+    chosen = top_k(clean, k).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
     return (scored.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
             .withColumn("accepted", F.col("_h").isNotNull()).drop("_d", "_h"))
 

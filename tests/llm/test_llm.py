@@ -166,6 +166,25 @@ def test_quality(spark):
     assert quality.keep_good(docs.limit(0), lab).count() == 0
 
 
+def test_quality_rejects_toxic_rows(spark):
+    r = np.random.default_rng(8)
+    vocab = ["w%d" % i for i in range(3000)]
+    rows, labels = [], []
+    for i in range(800):
+        w = r.choice(vocab, 400).tolist()
+        toxic = i % 8 == 0
+        if toxic:  # one bad word in a long good text
+            w[int(r.integers(400))] = "bad%d" % (i // 8 % 3)
+        rows.append((i, " ".join(w)))
+        if i < 500:
+            labels.append((i, 1, int(toxic)))
+    labels += [(i, 0, 0) for i in range(790, 800) if i % 8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not any(i % 8 == 0 for i in kept)
+    assert sum(i < 500 for i in kept) >= 0.98 * 437
+
+
 def test_quality_top_k(spark):
     r = np.random.default_rng(2)
     keys = r.standard_normal(5000).round(2)
