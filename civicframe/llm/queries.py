@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokencount
+from . import decontaminate, license_scan, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokenalign, tokencount
 from .common import shared_path, table
 
 QUERIES = {}
@@ -148,3 +148,10 @@ def op9_digest_cache_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return tokenalign.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))[0]
