@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokenalign, tokencount
+from . import (convtrie, decontaminate, license_scan, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokenalign,
+               tokencount)
 from .common import shared_path, table
 
 QUERIES = {}
@@ -155,3 +156,35 @@ def op11_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return tokenalign.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                 public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+@query
+def op13_count_min_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 of the decimal id, bit by bit.
+CRC32 = ("xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: ascii(z)::BIGINT), "
+         "lambda v, z: list_reduce([xor(v, z), 0, 0, 0, 0, 0, 0, 0, 0], lambda w, y: xor(w >> 1, 3988292384 * (w & 1)))), 4294967295)")
+# Prefixes are lists of turns; a node's subtree is summed over all deeper nodes
+# on the path of their smallest member.
+ORACLE["op13_count_min_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+k AS (SELECT a.c, a.c - a.c % 100 AS b, h, least(h, coalesce(z.n, 0)) AS k
+      FROM (SELECT c, {CRC32} % 6 AS h FROM n) a LEFT JOIN n z ON z.c = a.c - a.c % 100),
+re AS (SELECT k.c, i - h + k AS d, r, x FROM t JOIN k ON t.c = k.c WHERE i > h
+       UNION ALL SELECT k.c, i, r, x FROM k JOIN t ON t.c = k.b WHERE i <= k),
+p AS (SELECT c, d, list({{'r': r, 'x': x}}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path, length(x) AS len FROM re
+      UNION ALL SELECT c, 0, [], 0 FROM n),
+e AS (SELECT *, max(d) OVER (PARTITION BY c) AS deepest FROM p),
+node AS (SELECT path, min(c) AS conv_id, max(d) AS depth, count(*) AS n_convs, max(len) AS len, max(deepest) AS below,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = deepest), '')) AS ends FROM e GROUP BY path),
+sub AS (SELECT p.path, sum((n_convs - 1) * node.len) AS saved, count(*) FILTER (WHERE depth = below) AS leaves,
+          count(*) FILTER (WHERE depth = p.d + 1) AS children
+        FROM node JOIN p ON p.c = node.conv_id AND p.d <= node.depth GROUP BY p.path)
+SELECT node.conv_id, node.depth, u.conv_id AS parent_conv_id, node.n_convs, children AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN sub ON sub.path = node.path LEFT JOIN p ON p.c = node.conv_id AND p.d = node.depth - 1 LEFT JOIN node u ON u.path = p.path"""
