@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (convtrie, decontaminate, license_scan, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokenalign,
+from . import (convtrie, decontaminate, license_scan, lmscore, mixing, multiindex, pii, quality, secrets, simhash, suffixdedup, tokenalign,
                tokencount)
 from .common import shared_path, table
 
@@ -188,3 +188,8 @@ sub AS (SELECT p.path, sum((n_convs - 1) * node.len) AS saved, count(*) FILTER (
 SELECT node.conv_id, node.depth, u.conv_id AS parent_conv_id, node.n_convs, children AS n_children, leaves AS n_leaves,
        CAST(saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
 FROM node JOIN sub ON sub.path = node.path LEFT JOIN p ON p.c = node.conv_id AND p.d = node.depth - 1 LEFT JOIN node u ON u.path = p.path"""
+
+
+@query
+def op12_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
