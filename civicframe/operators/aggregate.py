@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.operators.windows import numbered
+from civicframe.operators.windows import numbered, numbered_many
 
 
 def _c(col) -> Column:
@@ -85,12 +85,11 @@ def correlation(df: DataFrame, group_cols, x: str, y: str, out: str = "r") -> Da
 def rank_correlation(df: DataFrame, group_cols, x: str, y: str, tie_key, out: str = "rho") -> DataFrame:
     """A10: correlation of row-number ranks (Spearman with ties broken by
     ``tie_key``, which must make rows unique, as R's row order does).
-    Ranks come from :func:`numbered`, which never puts one group in one
-    task."""
+    Both rankings come from one range exchange (:func:`numbered_many`), which
+    never puts one group in one task."""
     tie = [tie_key] if isinstance(tie_key, str) else list(tie_key)
-    rx = numbered(df.select(*group_cols, x, y, *tie), [F.col(x)] + [F.col(t) for t in tie], group_cols, "_rx")
-    ry = numbered(rx.drop(x), [F.col(y)] + [F.col(t) for t in tie], group_cols, "_ry")
-    return ry.groupBy(*group_cols).agg(F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double")).alias(out))
+    r = numbered_many(df.select(*group_cols, x, y, *tie), {"_rx": [(x, True)], "_ry": [(y, True)]}, group_cols, tie)
+    return r.groupBy(*group_cols).agg(F.corr(F.col("_rx").cast("double"), F.col("_ry").cast("double")).alias(out))
 
 
 def linear_fit(df: DataFrame, group_cols, x: str, y: str) -> DataFrame:

@@ -9,14 +9,22 @@ side measures small at run time, and whose skewed partitions it splits.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bytes of regular expressions that one filter takes (checked before they are
-# collected).
-PATTERN_MAX_BYTES = 1 << 20
+from civicframe.session import cut_lineage
+
+# Bytes of one alternation of patterns that have no literal (one filter takes it).
+PATTERN_BLOCK_BYTES = 1 << 16
+# Filters of such alternations in one plan; more are written before the next.
+PATTERN_BLOCKS = 8
+# Distinct grams (8 bytes each) that a semi join broadcasts; more are shuffled.
+BROADCAST_GRAMS = 1 << 20
+# Fixed value: characters of the grams that literals are looked up by.
+GRAM = 8
 
 
 def left_join_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -67,24 +75,140 @@ def drop_if_equals_any(df: DataFrame, text_col: str, lookup: DataFrame, lookup_c
     return df.join(vals, df[text_col] == vals["_v"], "left_anti")
 
 
+def _keyed(df: DataFrame, text_col: str) -> DataFrame:
+    """(_k, _t): the non-null texts under a digest of their own, so that a row
+    is found again by its text, whatever ids it has."""
+    t = F.col(text_col).cast("string")
+    return df.select(t.alias("_t")).where(F.col("_t").isNotNull()).select(_text_key("_t").alias("_k"), "_t")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
+
+
+def _pair_grams(words: str) -> Column:
+    """Hashes of an array's neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(F.lit(-1), a, b))
+
+
+def _char_grams(text: str, size: int) -> Column:
+    """Hashes of all runs of ``size`` characters, in one pass of the matcher."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.transform(runs, lambda g: F.xxhash64(F.lit(size), g))
+
+
+def _candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(_k, _t, _item): texts that hold the rarest gram of an item's literal.
+
+    ``items``: (_item, _lit), every text that matches the item contains the
+    literal. A literal of four or more space-separated words is looked up by pairs of
+    its inner words: as spaces stand on both sides of them, they are whole words of
+    any text that contains it. A shorter one is looked up by runs of
+    ``GRAM`` characters (or all it has). Of a literal's grams the one in the
+    fewest texts decides, and a literal with a gram in no text is nowhere. Each
+    text is cut into grams once, in time linear in its length; only hashes of grams that
+    some literal has are written.
+    """
+    items = cut_lineage(items.select("_item", "_lit", F.split("_lit", " ").alias("_w"), F.char_length("_lit").alias("_n"))
+                        .select("_item", "_lit", F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))").alias("_w"),
+                                F.expr(f"if(size(_w) >= 4, -1, least(_n, {GRAM}))").alias("_size")))
+    sizes = sorted(r["_size"] for r in items.select("_size").distinct().collect())      # at most GRAM + 2 numbers
+    of_items, of_texts = [], []
+    for n in sizes:
+        own, cut = items.where(F.col("_size") == n), texts
+        if n < 0:
+            grams, source = _pair_grams("_w"), F.split("_t", " ").alias("_w")
+            each = F.explode(F.array_distinct(_pair_grams("_w")))
+        else:
+            grams, source = _char_grams("_lit", n), F.col("_t")
+            each = F.explode(F.array_distinct(_char_grams("_t", n)))
+        of_items.append(own.select("_item", F.explode(F.array_distinct(grams)).alias("_g")))
+        of_texts.append(cut.select("_k", source).select("_k", each.alias("_g")))
+    if not sizes:
+        return texts.withColumn("_item", F.lit("")).limit(0)
+    wanted = cut_lineage(reduce(DataFrame.union, of_items))
+    grams = wanted.select("_g").distinct()
+    if grams.count() <= BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
+    held = cut_lineage(reduce(DataFrame.union, of_texts).join(grams, "_g", "left_semi"))
+    often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = (wanted.join(often, "_g", "left").groupBy("_item")
+              .agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
+              .where("_r.n > 0").select("_item", F.col("_r.g").alias("_g")))
+    return held.join(rarest, "_g").select("_k", "_item").distinct().join(texts, "_k")
+
+
+def _rows_of(df: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
+    """Rows whose text has one of the keys; ids and other columns don't matter."""
+    return (df.withColumn("_text_key", _text_key(text_col))
+            .join(keys.select(F.col("_k").alias("_text_key")).distinct(), "_text_key", "left_semi").select(*df.columns))
+
+
+def required_literal(pattern: str | Column) -> Column:
+    """The longest run of characters that every match of a (Java) regular
+    expression contains, null where none is sure.
+
+    Groups, classes, escapes and what a quantifier may leave out are cut away;
+    alternatives at the top, inline flags, quoting and escapes that stand for characters
+    or groups by number or name give null.
+    """
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    unsure = p.rlike(r"\\[^dDwWsSbBAzZhHvV.\[\](){}*+?^$|\\/#\-]") | p.rlike(r"\(\?[a-zA-Z-]|\[\]|\[\^\]|\[[^\]]*\[|&&")
+    gap = "\x01"
+    s = F.regexp_replace(p, r"\\.", gap)
+    s = F.regexp_replace(s, r"\[[^\]]*\]", gap)
+    for _ in range(4):     # groups, innermost first; deeper ones stay and give null
+        s = F.regexp_replace(s, r"\([^()]*\)", gap)
+    s = F.regexp_replace(s, r"([*+?}])[?+]", "$1")
+    unsure = unsure | s.rlike(r"[()|]")
+    s = F.regexp_replace(s, r"(?s).(?:[*?]|\{[^}]*\})", gap)
+    s = F.regexp_replace(s, r"[.^$+]", gap)
+    runs = F.transform(F.split(s, gap), lambda r: F.struct(F.char_length(r).alias("n"), r.alias("r")))
+    best = F.array_max(runs)["r"]
+    return F.when(~unsure & (best != ""), best)
+
+
 def keep_matching_any(df: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str,
                       literal: bool = False) -> DataFrame:
     """Keep rows whose text matches any pattern of a table built from
-    data.
-
-    Plain names (``literal=True``) are an equi semi join of any size. Regular
-    expressions have no join key: they become one alternation in the filter
-    (``rlike``), for a list of at most ``PATTERN_MAX_BYTES``; a longer one is
-    an error.
+    data, of any size.
+
+    Plain names (``literal=True``) are an equi semi join. Regular expressions
+    are looked up by a literal that each match must contain
+    (:func:`required_literal`): an equi-join on grams finds the candidates (see
+    :func:`_candidates`) and ``rlike`` decides there only. Patterns without
+    such a literal become alternations of at most ``PATTERN_BLOCK_BYTES`` each, one
+    filter a block. Null texts and patterns match nothing.
     """
     if literal:
         return df.join(patterns.select(F.col(pattern_col).alias("_p")).distinct(),
                        df[text_col] == F.col("_p"), "left_semi")
-    vals = patterns.select(F.col(pattern_col).alias("_p")).where(F.col("_p").isNotNull()).distinct()
-    if (vals.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) > PATTERN_MAX_BYTES:
-        raise ValueError(f"more than {PATTERN_MAX_BYTES} bytes of patterns")
-    found = sorted(r["_p"] for r in vals.collect())
-    return df.where(F.col(text_col).rlike("|".join(f"(?:{p})" for p in found))) if found else df.limit(0)
+    vals = (patterns.select(F.col(pattern_col).cast("string").alias("_item")).where(F.col("_item").isNotNull()).distinct()
+            .select("_item", required_literal("_item").alias("_lit")))
+    texts = _keyed(df, text_col)
+    found = [_candidates(texts, vals.where(F.col("_lit").isNotNull())).where(F.expr("_t rlike _item")).select("_k")]
+
+    def block_of(block):
+        return texts.where(F.col("_t").rlike("|".join(f"(?:{p})" for p in block))).select("_k")
+    block, size = [], 0
+    # streamed in order; the driver holds one block
+    for r in vals.where(F.col("_lit").isNull()).orderBy("_item").toLocalIterator():
+        p = r["_item"]
+        alone = re.search(r"\\[1-9k]|\(\?<[a-zA-Z]", p)      # group numbers and names are the pattern's own
+        if block and (alone or size + len(p) > PATTERN_BLOCK_BYTES):
+            found.append(block_of(block))
+            block, size = [], 0
+        if alone:
+            found.append(block_of([p]))
+        else:
+            block.append(p)
+            size += len(p)
+        if len(found) > PATTERN_BLOCKS:
+            found = [cut_lineage(reduce(DataFrame.union, found))]
+    if block:
+        found.append(block_of(block))
+    return _rows_of(df, text_col, reduce(DataFrame.union, found))
 
 
 def normalise_address(col):
@@ -109,44 +233,13 @@ def address_to_parcel(requests: DataFrame, parcels: DataFrame, req_addr: str, pa
     return r.join(p.drop(parcel_addr), "_addr_key", "left").drop("_addr_key")
 
 
-
-# Fixed value: characters of the grams that short items are looked up by.
-GRAM = 8
-
-
-def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str, id_col: str) -> DataFrame:
+def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str, id_col: str | None = None) -> DataFrame:
     """J7 for literal items: keep rows whose text contains any item as a
-    substring. ``id_col`` identifies a row; null texts and items match nothing,
-    an empty item is contained in every text.
-
-    Candidates come from an equi-join on one gram per item, then ``contains``
-    decides. An item of four or more space-separated words is looked up by its
-    longest pair of inner words: as spaces stand on both sides of them in the
-    item, they are whole words of any text that contains it. A shorter item is
-    looked up by its first ``GRAM`` characters (or all it has). Only (id, gram)
-    rows meet; texts are joined to the candidate pairs afterwards. Every size takes the same way, and a gram that is in very many
-    texts is a skewed join key that AQE splits.
+    substring. Null texts and items match nothing; an empty item is contained in
+    every text. Candidates come from an equi-join on each item's rarest gram (see
+    :func:`_candidates`), then ``contains`` decides. Rows are found again by
+    their text: ``id_col`` is not needed, and ids may be null or repeated.
     """
-    it = items.select(F.col(item_col).alias("_item")).where(F.col("_item").isNotNull()).distinct()
-    w = F.split("_item", " ")
-    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(inner) - 1),
-                        lambda i: F.concat_ws(" ", F.element_at(inner, i), F.element_at(inner, i + 1)))
-    longest = F.array_max(F.transform(pairs, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
-    first = F.substring("_item", 1, GRAM)
-    it = it.select("_item", F.when(F.size(w) >= 4, F.struct(F.lit(-1).alias("k"), longest.alias("g")))
-                   .otherwise(F.struct(F.char_length(first).alias("k"), first.alias("g"))).alias("_gram"))
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
-    tw = F.split("_t", " ")
-    of_words = F.when(F.size(tw) >= 2, F.transform(F.sequence(F.lit(1), F.size(tw) - 1), lambda i: F.struct(
-        F.lit(-1).alias("k"), F.concat_ws(" ", F.element_at(tw, i), F.element_at(tw, i + 1)).alias("g"))))
-    grams = texts.select("_id", F.explode(F.array_distinct(of_words)).alias("_gram"))
-    # the lengths that short items have: at most GRAM + 1 numbers
-    for k in sorted(r["k"] for r in it.select("_gram.k").where("k >= 0").distinct().collect()):
-        size = F.lit(k)
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length("_t") - size + 1, F.lit(1)))
-        cut = F.transform(starts, lambda i: F.struct(size.alias("k"), F.substring(F.col("_t"), i, size).alias("g")))  # noqa: B023
-        grams = grams.union(texts.select("_id", F.explode(F.array_distinct(F.when(F.char_length("_t") >= size, cut))).alias("_gram")))
-    found = grams.join(it, "_gram").select("_id", "_item")
-    ids = found.join(texts, "_id").where(F.contains("_t", "_item")).select("_id").distinct()
-    return df.join(ids, df[id_col] == ids["_id"], "left_semi")
+    it = items.select(F.col(item_col).cast("string").alias("_item")).where(F.col("_item").isNotNull()).distinct()
+    found = _candidates(_keyed(df, text_col), it.withColumn("_lit", F.col("_item"))).where(F.contains("_t", "_item"))
+    return _rows_of(df, text_col, found)

@@ -93,6 +93,54 @@ def numbered(df: DataFrame, order_cols, group_cols=(), out: str = "rn",
             .drop("_pid", "_pos"))
 
 
+def numbered_many(df: DataFrame, rankings: dict, group_cols, key_cols, num_partitions: int | None = None) -> DataFrame:
+    """Several ``row_number`` rankings of the same rows by one range
+    exchange: (group, key, one column a ranking).
+
+    ``rankings``: name -> list of (column, ascending) pairs, which with
+    ``key_cols`` after them order the rows; nulls come first ascending and last
+    descending. Rows get a number of their own, written once, which is the last
+    tie key (rows equal in every key stay apart). They become one narrow row a
+    ranking, are numbered together by :func:`numbered` and put side by side
+    again by that number. Numbers, dates, times and strings can be ranked,
+    strings upwards only.
+    """
+    types = dict(df.dtypes)
+    g, k = list(group_cols), list(key_cols)
+    depth = max(len(o) for o in rankings.values())
+
+    def value(order, i):
+        # one place of a sort key: null's place, then the value in the column of its kind
+        if i >= len(order):
+            return F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("l"),
+                            F.lit(None).cast("string").alias("s"))
+        name, up = order[i]
+        c, kind = F.col(name), types[name]
+        n = F.when(c.isNull(), 0 if up else 1).otherwise(1 if up else 0)
+        d = l = s = F.lit(None)
+        if kind in ("double", "float"):
+            d = c.cast("double") if up else -c.cast("double")
+        elif kind == "string":
+            if not up:
+                raise ValueError(f"{name}: strings are ranked upwards only")
+            s = c
+        else:
+            whole = F.datediff(c, F.lit("1970-01-01").cast("date")) if kind == "date" else F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else c
+            l = whole.cast("long") if up else -whole.cast("long")
+        return F.struct(n.alias("n"), d.cast("double").alias("d"), l.cast("long").alias("l"), s.cast("string").alias("s"))
+
+    rows = []
+    for r, order in enumerate(rankings.values()):
+        rows.append(F.struct(F.lit(r).alias("_r"), *(value(order, i).alias(f"_o{i}") for i in range(depth))))
+    named = dict.fromkeys([*g, *k, *(c for o in rankings.values() for c, _ in o)])
+    own = cut_lineage(df.select(*named, F.monotonically_increasing_id().alias("_id")))
+    long = own.select("_id", *g, *k, F.inline(F.array(*rows)))
+    rn = numbered(long, [*(f"_o{i}" for i in range(depth)), *k, "_id"], [*g, "_r"], "_rn", num_partitions)
+    side = rn.groupBy("_id").agg(*(F.max(F.when(F.col("_r") == r, F.col("_rn"))).alias(name) for r, name in enumerate(rankings)))
+    keep = [c for c in dict.fromkeys([*g, *k]) if c not in rankings]
+    return own.select("_id", *keep).join(side, "_id").drop("_id")
+
+
 def ntile_from_number(rn, n, k: int) -> Column:
     """``ntile(k)`` from a 1-based row number and the group size, the
     way SQL defines it (the first ``n % k`` tiles get one extra row)."""
@@ -163,19 +211,55 @@ def rows_at_group_extreme(df: DataFrame, group_cols, value_col: str, which: str
     return df.join(ext, cond, "left_semi")
 
 
+def _pieces(df: DataFrame, group_cols, order_col: str, num_partitions: int | None) -> tuple[DataFrame, list]:
+    """``df`` range-partitioned on (group, order) and written once, each row
+    with the number ``_pid`` of its piece; and the window over a piece."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _cols(group_cols) + [F.col(order_col)]
+    ranged = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), 33)))
+    return ranged, Window.partitionBy("_pid", *group_cols)
+
+
 def local_linear_trend(df: DataFrame, group_cols, x_col: str, y_col: str, half_width: int,
-                       out: str = "trend") -> DataFrame:
+                       out: str = "trend", num_partitions: int | None = None) -> DataFrame:
     """Fitted value of a straight line through the points within
-    ``half_width`` of x (range frame), evaluated at x. Meant for series that
-    were aggregated first (one row per day), so each group is small."""
-    w = Window.partitionBy(*group_cols).orderBy(F.col(x_col)).rangeBetween(-half_width, half_width)
+    ``half_width`` of x (range frame), evaluated at x.
+
+    A group may hold all rows: it is cut into pieces by x, and a piece gets
+    copies of its neighbours' rows within ``half_width`` of its ends (the
+    halo), so each frame lies in one piece. Only groups that are cut have
+    several pieces, at most two a partition, which is what is broadcast."""
+    ranged, piece = _pieces(df, group_cols, x_col, num_partitions)
+    ends = ranged.where(F.col(x_col).isNotNull()).groupBy(*group_cols, "_pid").agg(F.min(x_col).alias("_from"), F.max(x_col).alias("_to"))
+    g = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)]
+    many = ends.groupBy(*group_cols).agg(F.collect_list(F.struct("_pid", "_from", "_to")).alias("_ends")).where(F.size("_ends") > 1)
+    cut = many.select(*g, F.inline("_ends").alias("_to_pid", "_from", "_to"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)]
+    near = (F.col("_pid") != F.col("_to_pid")) & (F.col(x_col) >= F.col("_from") - half_width) & (F.col(x_col) <= F.col("_to") + half_width)
+    for c in same:
+        near = near & c
+    halo = ranged.join(F.broadcast(cut), near).select(*df.columns, F.col("_to_pid").alias("_pid"), F.lit(False).alias("_own"))
+    w = piece.orderBy(F.col(x_col)).rangeBetween(-half_width, half_width)
     slope = F.regr_slope(F.col(y_col), F.col(x_col)).over(w)
     icpt = F.regr_intercept(F.col(y_col), F.col(x_col)).over(w)
-    return df.withColumn(out, icpt + slope * F.col(x_col))
+    both = ranged.select(*df.columns, "_pid", F.lit(True).alias("_own")).union(halo)
+    return both.withColumn(out, icpt + slope * F.col(x_col)).where("_own").drop("_own", "_pid")
+
 
+def change_from_prior(df: DataFrame, group_cols, order_col: str, value_col: str, out: str = "change",
+                      num_partitions: int | None = None) -> DataFrame:
+    """Difference from the previous row of the group (``lag``).
 
-def change_from_prior(df: DataFrame, group_cols, order_col: str, value_col: str, out: str = "change") -> DataFrame:
-    """Difference from the previous row of the group (``lag``). Meant for
-    aggregated series (one row per year)."""
-    w = Window.partitionBy(*group_cols).orderBy(order_col)
-    return df.withColumn(out, F.col(value_col) - F.lag(value_col).over(w))
+    A group may hold all rows: it is cut into pieces by ``order_col``, and the
+    first row of a piece takes the last value of the group's piece before it, from a
+    table with one row a piece. Orders must be unique in a group for a
+    defined result, as with ``lag``; rows of one order stay in one piece."""
+    ranged, piece = _pieces(df, group_cols, order_col, num_partitions)
+    w = piece.orderBy(order_col)
+    last = ranged.groupBy("_pid", *group_cols).agg(F.max_by(F.struct(F.col(value_col).alias("v")), F.struct(F.col(order_col).isNotNull(), F.col(order_col))).alias("_v"))
+    carry = last.select("_pid", *group_cols, F.lag("_v").over(Window.partitionBy(*group_cols).orderBy("_pid"))["v"].alias("_carry"))
+    r = ranged.withColumns({"_first": F.row_number().over(w) == 1, "_prior": F.lag(value_col).over(w)})
+    cond = [r["_pid"] == carry["_pid"]] + [r[c].eqNullSafe(carry[c]) for c in group_cols]
+    prior = F.when(r["_first"], carry["_carry"]).otherwise(r["_prior"])
+    return r.join(carry, cond, "left").select(*(r[c] for c in df.columns), (r[value_col] - prior).alias(out))

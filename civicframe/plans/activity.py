@@ -235,10 +235,8 @@ def activity_rank_correlations(spark, sf_dir):
     f = d.join(F.broadcast(hol), "day", "left") \
         .withColumn("off_work", F.when(T.is_off_day("day", "holiday"), "offwork").otherwise("work")) \
         .select("user_id", "day", "total", "bed", "rise", "off_work")
-    tie = [F.col("day"), F.col("user_id")]
-    r = W.numbered(f, [F.col("total").desc()] + tie, ["off_work"], "total_rank")
-    r = W.numbered(r, [F.col("bed")] + tie, ["off_work"], "bed_rank")
-    r = W.numbered(r, [F.col("rise")] + tie, ["off_work"], "rise_rank")
+    r = W.numbered_many(f, {"total_rank": [("total", False)], "bed_rank": [("bed", True)], "rise_rank": [("rise", True)]},
+                        ["off_work"], ["day", "user_id"])
     c = lambda a, b: F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), 8)
     return r.groupBy("off_work").agg(F.count(F.lit(1)).alias("n_days"), c("total_rank", "bed_rank").alias("total_vs_bed"),
                                      c("bed_rank", "rise_rank").alias("bed_vs_rise"),

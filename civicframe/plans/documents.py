@@ -58,8 +58,8 @@ def fill_quality_up(spark, sf_dir):
 SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))
 """)
 def benchmark_passages(spark, sf_dir):
-    """Documents that contain a whole benchmark item (an equi-join on word
-    pairs, then ``contains``; see :func:`joins.semi_join_contains`)."""
+    """Documents that contain a whole benchmark item (an equi-join on each
+    item's rarest word pair, then ``contains``; see :func:`joins.semi_join_contains`)."""
     d = widen(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     b = table(spark, sf_dir, "benchmark").select("text")
     return J.semi_join_contains(d, "text", b, "text", "doc_id").select("doc_id")

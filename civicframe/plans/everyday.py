@@ -52,13 +52,13 @@ def nation_dictionary(spark, sf_dir):
 
 
 @register("order_year_snapshots", ("S8",), """
-SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE year(o_orderdate) IN (1996, 1997)
+SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderdate IS NOT NULL
 """)
 def order_year_snapshots(spark, sf_dir):
     path = scratch_path(spark, "years")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    o = table(spark, sf_dir, "orders").where("o_orderdate is not null").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
     K.write_parquet(o.repartition("year"), path, partition_by=["year"])
-    return S.read_years(spark, path, [1996, 1997])
+    return S.read_years(spark, path)
 
 
 def _land_layer(df, path):
@@ -145,12 +145,13 @@ def segment_category_codes(spark, sf_dir):
 
 
 @register("segment_balance_wide", ("R2",), """
-SELECT c_nationkey, min(CASE WHEN c_mktsegment = 'BUILDING' THEN b END) AS "BUILDING", min(CASE WHEN c_mktsegment = 'MACHINERY' THEN b END) AS "MACHINERY"
-FROM (SELECT c_nationkey, c_mktsegment, count(*) AS b FROM customer GROUP BY 1, 2) GROUP BY 1
+SELECT * FROM (PIVOT (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL) ON c_mktsegment USING nullif(count(*), 0) GROUP BY c_nationkey)
 """)
 def segment_balance_wide(spark, sf_dir):
-    n = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("b"))
-    return R.long_to_wide(n, ["c_nationkey"], "c_mktsegment", "b", ["BUILDING", "MACHINERY"])
+    """One column per segment that the data has."""
+    n = table(spark, sf_dir, "customer").where("c_mktsegment is not null").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("b"))
+    names = sorted(r[0] for r in n.select("c_mktsegment").distinct().collect())     # becomes the columns
+    return R.long_to_wide(n, ["c_nationkey"], "c_mktsegment", "b", names)
 
 
 @register("orders_two_level_mean", ("A2",), """
@@ -247,61 +248,61 @@ def part_catalogue(parts):
     return y.select("year", code.alias("name"), F.lit("Estimate!!Total").alias("label"), concept.alias("concept"))
 
 
-def first_parts(spark, sf_dir):
-    """The parts that ``_CATALOGUE_SQL`` reads; ``_WHOLE_CATALOGUE_SQL`` reads all."""
-    return table(spark, sf_dir, "part").where("p_partkey < 1000")
-
-
 _CATALOGUE_SQL = r"""
 WITH cat AS (SELECT p_partkey AS k, CAST(2005 + r.i AS INTEGER) AS year,
-    CASE WHEN p_partkey % 5 = 0 THEN 'C' ELSE 'B' END || '25' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') ||
+    CASE WHEN p_partkey % 5 = 0 THEN 'C' ELSE 'B' END || '25' || CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 3, '0') ELSE CAST(p_partkey AS VARCHAR) END ||
     CASE WHEN p_partkey % 7 = 0 THEN 'A' ELSE '' END || '_' || CASE WHEN p_partkey % 4 = 0 THEN '002' ELSE '001' END AS name,
     CASE WHEN (p_partkey + 2005 + r.i) % 3 <> 0 THEN upper(p_type) END AS concept
-  FROM part, range(0, 6) r(i) WHERE r.i <= p_partkey % 6 AND p_type IS NOT NULL AND p_partkey < 1000),
+  FROM part, range(0, 6) r(i) WHERE r.i <= p_partkey % 6 AND p_type IS NOT NULL),
 top AS (SELECT year, name, array_to_string(list_transform(string_split(lower(concept), ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS concept
   FROM cat WHERE regexp_matches(name, '_001$') AND NOT regexp_matches(name, '[A-Za-z]_')),
 filled AS (SELECT year, name, coalesce(concept, first_value(concept IGNORE NULLS) OVER (PARTITION BY name ORDER BY year
   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS concept FROM top)
 """
-
-
-@register("catalogue_year_ranges", ("F6", "W2", "W1", "A7", "X2"), _CATALOGUE_SQL + """
+_YEAR_RANGES_SQL = _CATALOGUE_SQL + """
 SELECT name, concept, CASE WHEN min(year) = max(year) THEN '(' || min(year) || ')' ELSE '(' || min(year) || '-' || max(year) || ')' END AS year_range
 FROM filled GROUP BY 1, 2
-""")
+"""
+_YEARS_PER_CONCEPT_SQL = _CATALOGUE_SQL + """
+SELECT name, concept, string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) AS years FROM top GROUP BY 1, 2
+"""
+
+
+@register("catalogue_year_ranges", ("F6", "W2", "W1", "A7", "X2"), _YEAR_RANGES_SQL)
 def catalogue_year_ranges(spark, sf_dir):
-    cat = part_catalogue(first_parts(spark, sf_dir))
+    cat = part_catalogue(table(spark, sf_dir, "part"))
     return acs_catalog.year_ranges(acs_catalog.fill_concepts(acs_catalog.top_level(acs_catalog.housing_variables(cat))))
 
 
-@register("catalogue_years_per_concept", ("A8",), _CATALOGUE_SQL + """
-SELECT name, concept, string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) AS years FROM top GROUP BY 1, 2
-""")
+@register("catalogue_years_per_concept", ("A8",), _YEARS_PER_CONCEPT_SQL)
 def catalogue_years_per_concept(spark, sf_dir):
-    return acs_catalog.years_per_concept(acs_catalog.top_level(acs_catalog.housing_variables(part_catalogue(first_parts(spark, sf_dir)))))
+    cat = part_catalogue(table(spark, sf_dir, "part"))
+    return acs_catalog.years_per_concept(acs_catalog.top_level(acs_catalog.housing_variables(cat)))
 
 
-# The same catalogue over all parts.
-_WHOLE_CATALOGUE_SQL = _CATALOGUE_SQL.replace(" AND p_partkey < 1000", "").replace(
-    "lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0')",
-    "CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 3, '0') ELSE CAST(p_partkey AS VARCHAR) END")
+# Names of the round in which the two above read some parts only.
+register("catalogue_year_ranges_all_parts", ("F6", "W2", "W1", "A7", "X2"), _YEAR_RANGES_SQL)(catalogue_year_ranges)
+register("catalogue_years_per_concept_all_parts", ("A8",), _YEARS_PER_CONCEPT_SQL)(catalogue_years_per_concept)
 
 
-@register("catalogue_year_ranges_all_parts", ("F6", "W2", "W1", "A7", "X2"), _WHOLE_CATALOGUE_SQL + """
-SELECT name, concept, CASE WHEN min(year) = max(year) THEN '(' || min(year) || ')' ELSE '(' || min(year) || '-' || max(year) || ')' END AS year_range
-FROM filled GROUP BY 1, 2
-""")
-def catalogue_year_ranges_all_parts(spark, sf_dir):
-    cat = part_catalogue(table(spark, sf_dir, "part"))
-    return acs_catalog.year_ranges(acs_catalog.fill_concepts(acs_catalog.top_level(acs_catalog.housing_variables(cat))))
+# A part's description, and a pattern from each part of a brand's largest size.
+_DESCRIBED = "p_name || ' ' || p_type || ' ' || p_brand || ' no ' || CAST(p_partkey AS VARCHAR)"
+_PART_PATTERN = "'^' || split_part(p_name, ' ', 1) || ' [a-z]+ ' || p_type || ' ' || p_brand || ' no [0-9]*' || right(CAST(p_partkey AS VARCHAR), 1) || '$'"
 
 
-@register("catalogue_years_per_concept_all_parts", ("A8",), _WHOLE_CATALOGUE_SQL + """
-SELECT name, concept, string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) AS years FROM top GROUP BY 1, 2
+@register("parts_matching_patterns", ("J7", "X9"), f"""
+WITH top AS (SELECT p_brand AS b, max(p_size) AS m FROM part GROUP BY 1),
+pats AS (SELECT DISTINCT {_PART_PATTERN} AS p FROM part JOIN top ON p_brand = b AND p_size = m)
+SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM pats WHERE regexp_matches({_DESCRIBED}, p))
 """)
-def catalogue_years_per_concept_all_parts(spark, sf_dir):
-    cat = part_catalogue(table(spark, sf_dir, "part"))
-    return acs_catalog.years_per_concept(acs_catalog.top_level(acs_catalog.housing_variables(cat)))
+def parts_matching_patterns(spark, sf_dir):
+    """Parts whose description matches any pattern built from the largest
+    parts of each brand (same first word, type, brand and last digit)."""
+    p = table(spark, sf_dir, "part")
+    top = p.groupBy(F.col("p_brand").alias("b")).agg(F.max("p_size").alias("m"))
+    pats = p.join(top, (p["p_brand"] == top["b"]) & (p["p_size"] == top["m"])).select(F.expr(_PART_PATTERN.replace("VARCHAR", "STRING")).alias("p"))
+    described = p.select("p_partkey", F.expr(_DESCRIBED.replace("VARCHAR", "STRING")).alias("description"))
+    return J.keep_matching_any(described, "description", pats, "p").select("p_partkey")
 
 
 @register("status_series_gaps", ("A13", "W6", "X12", "X10"), """

@@ -167,9 +167,8 @@ FROM orders
 """)
 def order_ranks(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    r1 = W.numbered(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], ["o_orderstatus"], "price_rank")
-    r2 = W.numbered(r1, [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderstatus"], "date_rank")
-    return r2.select("o_orderkey", "o_orderstatus", "price_rank", "date_rank")
+    r = W.numbered_many(o, {"price_rank": [("o_totalprice", False)], "date_rank": [("o_orderdate", True)]}, ["o_orderstatus"], ["o_orderkey"])
+    return r.select("o_orderkey", "o_orderstatus", "price_rank", "date_rank")
 
 
 @register("largest_orders_per_customer", ("W4",), """

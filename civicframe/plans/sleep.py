@@ -146,19 +146,16 @@ def rank_correlations(weekly: DataFrame) -> DataFrame:
 
     R's ``arrange`` is stable and each ranking re-sorts the previous one,
     so ties fall back on the previous order; the tie keys below spell that
-    chain out (the night last, standing for the original row order)."""
-    night = F.col("creationDate")
-    total_desc = F.col("daily_sleep").desc()
-    orders = {
-        "total_sleep_rank": [total_desc, night],
-        "early_bed_rank": [F.col("start_time"), total_desc, night],
-        "early_rise_rank": [F.col("end_time"), F.col("start_time"), total_desc, night],
-        "late_rise_rank": [F.col("end_time").desc(), F.col("start_time"), total_desc, night],
-        "late_bed_rank": [F.col("start_time").desc(), F.col("end_time").desc(), total_desc, night],
-    }
-    r = weekly
-    for name, order in orders.items():
-        r = W.numbered(r, order, ["off_work"], name)
+    chain out (the night last, standing for the original row order).
+    All five come from one range exchange."""
+    total, bed, rise = ("daily_sleep", False), "start_time", "end_time"
+    r = W.numbered_many(weekly.select("off_work", "creationDate", "daily_sleep", "start_time", "end_time"), {
+        "total_sleep_rank": [total],
+        "early_bed_rank": [(bed, True), total],
+        "early_rise_rank": [(rise, True), (bed, True), total],
+        "late_rise_rank": [(rise, False), (bed, True), total],
+        "late_bed_rank": [(bed, False), (rise, False), (bed, True), total],
+    }, ["off_work"], ["creationDate"])
     pairs = [("total_sleep_rank", "early_bed_rank"), ("early_bed_rank", "early_rise_rank"),
              ("total_sleep_rank", "early_rise_rank"), ("late_rise_rank", "early_bed_rank"),
              ("late_rise_rank", "total_sleep_rank"), ("late_bed_rank", "total_sleep_rank"),
@@ -334,11 +331,30 @@ def sleep_week_clocks(spark, sf_dir):
                     *[F.col(c).cast("long").alias(c) for c in ("earliest_time", "latest_time")])
 
 
-@register("sleep_rank_group_sizes", ("W3", "A10"), _SLEEP_SQL + f"""
-SELECT CASE WHEN dayofweek(night) IN (0, 6) OR night IN ({", ".join(f"DATE '{d}'" for d, _ in OFF_DAYS)}) THEN 'offwork' ELSE 'work' END AS off_work,
-  COUNT(*) AS n FROM n GROUP BY 1
-""")
+_OFF_WORK_SQL = f"""CASE WHEN dayofweek(night) IN (0, 6) OR night IN ({", ".join(f"DATE '{d}'" for d, _ in OFF_DAYS)}) THEN 'offwork' ELSE 'work' END AS off_work"""
+_RANKS = {"total": "daily_sleep DESC", "early_bed": "start_time, daily_sleep DESC", "early_rise": "end_time, start_time, daily_sleep DESC",
+          "late_rise": "end_time DESC, start_time, daily_sleep DESC", "late_bed": "start_time DESC, end_time DESC, start_time, daily_sleep DESC"}
+
+
+@register("sleep_rank_group_sizes", ("W3", "A10"), _SLEEP_SQL + f"SELECT {_OFF_WORK_SQL}, COUNT(*) AS n FROM n GROUP BY 1")
 def sleep_rank_group_sizes(spark, sf_dir):
-    """The five ranks and eight correlations of the script (``test_sleep``
-    checks their values); here the sizes of the ranked groups."""
+    """Sizes of the groups that ``sleep_rank_correlations`` ranks."""
     return rank_correlations(_weekly(spark, sf_dir)).select("off_work", "n")
+
+
+def _corr_sql(a: str, b: str) -> str:
+    name = lambda x: "total_sleep" if x == "total" else x
+    return f"ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8) AS {name(a)}_vs_{name(b)}"
+
+
+@register("sleep_rank_correlations", ("W3", "A10"), _SLEEP_SQL + f"""
+, o AS (SELECT *, {_OFF_WORK_SQL} FROM n),
+r AS (SELECT off_work, {", ".join(f"row_number() OVER (PARTITION BY off_work ORDER BY {o}, night) AS {k}" for k, o in _RANKS.items())} FROM o)
+SELECT off_work, COUNT(*) AS n, {_corr_sql("total", "early_bed")}, {_corr_sql("early_bed", "early_rise")}, {_corr_sql("total", "early_rise")},
+  {_corr_sql("late_rise", "early_bed")}, {_corr_sql("late_rise", "total")}, {_corr_sql("late_bed", "total")}, {_corr_sql("late_bed", "early_rise")},
+  {_corr_sql("late_bed", "late_rise")} FROM r GROUP BY 1
+""")
+def sleep_rank_correlations(spark, sf_dir):
+    """The five ranks and eight correlations of the script."""
+    r = rank_correlations(_weekly(spark, sf_dir))
+    return r.select("off_work", "n", *(F.round(c, 8).alias(c) for c in r.columns[2:]))

@@ -78,13 +78,60 @@ def test_if_else_missing(spark):
     assert out == ["pos", "neg", "missing"]
 
 
-def test_pattern_list_has_a_checked_bound(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"doc {i} mentions item{i % 7}") for i in range(40)], "id int, text string")
-    pats = spark.createDataFrame([("item[13]$",), ("item5$",)], "p string")
-    assert sorted(r.id for r in J.keep_matching_any(docs, "text", pats, "p").collect()) == [i for i in range(40) if i % 7 in (1, 3, 5)]
-    monkeypatch.setattr(J, "PATTERN_MAX_BYTES", 3)
-    with pytest.raises(ValueError):
-        J.keep_matching_any(docs, "text", pats, "p")
+def test_pattern_lists_of_any_size(spark, monkeypatch):
+    import re
+    texts = [f"doc {i} mentions item{i % 7} in part {i * 31 % 97}" for i in range(60)] + [None, "", "line\nbreak x", "AbC", "aa bb aa", "tab\there", "a(b)c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    lists = (["item[13] in", "item5.*part 4\\d$"], ["^$"], ["(a|b)b?c*", "mentions (item2|item3) in part"], [r"(\w+) bb \1", "[xyz]$", None],
+             ["(?i)abc", "zzz"], [r"a\(b\)c", "item6? in part 9"], ["nowhere at all in any text"], [], ["x+y*|tab"], [f"part {i}\\b" for i in range(60)])
+    for size in (1 << 16, 3):
+        monkeypatch.setattr(J, "PATTERN_BLOCK_BYTES", size)
+        for pats in lists:
+            table = spark.createDataFrame([(p,) for p in pats] * 2, "p string")
+            want = [i for i, t in enumerate(texts) if t is not None and any(p is not None and re.search(p, t) for p in pats)]
+            assert sorted(r.id for r in J.keep_matching_any(docs, "text", table, "p").collect()) == want, pats
+
+
+def test_required_literal(spark):
+    import re
+    cases = {"^B25003": "B25003", "ab?c": "c", "ab+cd": "cd", "a|b": None, "(x|y)long word": "long word", "[abc]{2}tail": "tail", r"\d+ Main St\.": " Main St",
+             r"\x41b": None, "(?i)abc": None, "x{0,2}yz": "yz", ".*": None, "ab*?c": "c", "((a)(b(c)))d": "d", r"\(lit\)": "lit", r"\Qa.b\E": None}
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    got = {r.p: r.lit for r in df.select("p", J.required_literal("p").alias("lit")).collect()}
+    assert {p: v and v.strip() for p, v in got.items()} == {p: v and v.strip() for p, v in cases.items()}
+    for p, lit in got.items():
+        if lit:
+            for t in ("B25003x", "c abc ac", "abbbcd", "xlong word", "aatail", "12 Main St.", "xyz yz", "abbc c", "abcd", "(lit)"):
+                assert not re.search(p, t) or lit in t
+
+
+def test_containment_keeps_rows_by_text_and_not_by_id(spark):
+    rows = [(1, "it holds the needle here"), (1, "it does not"), (None, "the needle too"), (None, None), (2, "the needle too")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    items = spark.createDataFrame([("needle",)], "t string")
+    got = sorted(map(str, J.semi_join_contains(docs, "text", items, "t", "id").collect()))
+    assert got == sorted(map(str, docs.where("text like '%needle%'").collect()))
+
+
+def test_containment_is_linear_in_the_text(spark):
+    import time
+
+    import numpy as np
+    r = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(3000)]
+    items = spark.createDataFrame([(" ".join(r.choice(words, 8)),) for _ in range(50)] + [("zzzz qq",)], "t string").cache()
+
+    def seconds(n):
+        docs = spark.createDataFrame([(i, " ".join(r.choice(words, n))) for i in range(4)], "id int, text string").cache()
+        docs.count()
+        best = 1e9
+        for _ in range(2):
+            t = time.time()
+            J.semi_join_contains(docs, "text", items, "t", "id").count()
+            best = min(best, time.time() - t)
+        return best
+    seconds(500)
+    assert seconds(20_000) < 4.5 * max(seconds(5_000), 0.8)
 
 
 def test_small_aggregates(spark):

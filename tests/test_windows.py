@@ -59,3 +59,45 @@ def test_group_extremes_and_label(spark):
     df = spark.createDataFrame([("v", 2005), ("v", 2023), ("w", 2005)], "name string, year int")
     e = W.group_extremes(df, ["name"], "year", "a", "b").select("name", W.year_span_label("a", "b").alias("r"))
     assert sorted(set(tuple(r) for r in e.collect())) == [("v", "(2005-2023)"), ("w", "(2005)")]
+
+
+def test_halo_windows_on_a_group_in_many_pieces(spark):
+    import random
+
+    from pyspark.sql import Window
+    rnd = random.Random(5)
+    rows = [("hot", x, float(rnd.randint(0, 99))) for x in range(0, 600, 2)] + [("hot", 7, 1.5), (None, 3, 2.0), (None, 5, 4.0), ("one", 1, 1.0)]
+    df = spark.createDataFrame([r for r in rows], "g string, x int, y double").repartition(5)
+    for h in (3, 40, 10_000):
+        w = Window.partitionBy("g").orderBy("x").rangeBetween(-h, h)
+        want = df.withColumn("trend", F.regr_intercept("y", "x").over(w) + F.regr_slope("y", "x").over(w) * F.col("x"))
+        got = W.local_linear_trend(df, ["g"], "x", "y", h, num_partitions=9)
+        assert got.columns == want.columns
+        key = lambda r: (str(r.g), r.x, r.y)
+        for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            assert key(a) == key(b) and (a.trend is None) == (b.trend is None) and (a.trend is None or abs(a.trend - b.trend) < 1e-6)
+    series = df.dropDuplicates(["g", "x"]).withColumn("y", F.when(F.col("x") % 5 != 0, F.col("y")))
+    w = Window.partitionBy("g").orderBy("x")
+    want = series.withColumn("change", F.col("y") - F.lag("y").over(w))
+    got = W.change_from_prior(series, ["g"], "x", "y", num_partitions=9)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_many_rankings_at_once(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import Window
+    rnd = random.Random(2)
+    rows = [("a" if i % 3 else None, i, rnd.choice([None, 1.5, 2.5, -1.0]), rnd.choice([None, 4, 9]), rnd.choice(["x", "é", None]),
+             dt.date(2024, 1, rnd.randint(1, 28)), dt.datetime(2024, 1, 1, rnd.randint(0, 23))) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, k int, d double, n int, s string, day date, ts timestamp").repartition(4)
+    rankings = {"r1": [("d", True), ("day", False)], "r2": [("n", False), ("s", True)], "r3": [("ts", False)], "r4": [("d", False)]}
+    got = {r.k: r for r in W.numbered_many(df, rankings, ["g"], ["k"], 7).collect()}
+    for name, order in rankings.items():
+        w = Window.partitionBy("g").orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in order], "k")
+        for r in df.withColumn("rn", F.row_number().over(w)).collect():
+            assert got[r.k][name] == r.rn
+    twice = df.union(df)
+    rn = sorted(r.r3 for r in W.numbered_many(twice, {"r3": [("ts", True)]}, [], ["k"]).collect())
+    assert rn == list(range(1, 241))
