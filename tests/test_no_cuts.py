@@ -106,3 +106,43 @@ def test_every_part_is_in_the_catalogue(spark, scratch):
     for name in ("catalogue_year_ranges_all_parts", "catalogue_years_per_concept_all_parts"):
         got = {r.name for r in PLANS[name](spark, scratch).collect()}
         assert got == {("C" if k % 5 == 0 else "B") + f"25{k:03d}_001" for k in top}
+
+
+def test_two_writers_leave_each_key_once(spark, scratch):
+    import threading
+    schema = "year int, geography int, geoid string, variable string, est int"
+    errors = []
+
+    def write(lo, hi):
+        rows = spark.createDataFrame([(2020 + i % 2, 40, str(i), "v", i) for i in range(lo, hi)], schema)
+        try:
+            K.append_to_cache(rows, f"{scratch}/c")
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+    threads = [threading.Thread(target=write, args=x) for x in ((0, 60), (0, 60), (30, 90), (0, 90))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    got = K.read_cache(spark, f"{scratch}/c", year=2020).union(K.read_cache(spark, f"{scratch}/c", year=2021)).collect()
+    assert sorted(int(r.geoid) for r in got) == list(range(90))
+    write(0, 90)
+    assert K.read_cache(spark, f"{scratch}/c", year=2020).count() == 45
+
+
+def test_killed_append_leaves_nothing_visible(spark, scratch, monkeypatch):
+    schema = "year int, geography int, geoid string, variable string, est int"
+    rows = spark.createDataFrame([(2020, 40, "1", "v", 1)], schema)
+    later = spark.createDataFrame([(2021, 40, "1", "v", 1), (2020, 40, "2", "v", 2)], schema)
+    K.append_to_cache(rows, f"{scratch}/c")
+
+    def killed(*a):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as m:
+        m.setattr(K, "_publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            K.append_to_cache(later, f"{scratch}/c")
+    assert K.read_cache(spark, f"{scratch}/c").count() == 1 and K.newest_partition(spark, f"{scratch}/c") == 2020
+    K.append_to_cache(later, f"{scratch}/c")
+    assert K.read_cache(spark, f"{scratch}/c", year=2020).count() == 2 and K.newest_partition(spark, f"{scratch}/c") == 2021
