@@ -42,9 +42,11 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +65,7 @@ BITS = 26                     # log2 of the bits of a map (8 MB)
 CHUNK = 17                    # log2 of the bytes of a map's chunk
 BUFFER = 1 << 18              # bytes hashed at once
 ROWS = 20_000                 # contexts of one suffix array, about
+BATCH_ROWS = 500              # texts of an Arrow batch
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -127,18 +130,32 @@ def anchors(texts: list[bytes], powers: Powers):
     return of, at - start[of], h[at].view(np.int64), c.view(np.int64)
 
 
-def _batches(texts: list[bytes]):
-    """Numbers of the texts of LENGTH or more bytes, in groups of about BUFFER bytes."""
+def _batches(texts: pa.Array):
+    """(numbers, texts) of those of LENGTH or more bytes, about BUFFER bytes at
+    a time; the others are not taken out of the Arrow batch."""
     held, size = [], 0
-    for i, t in enumerate(texts):
-        if len(t) >= LENGTH:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if n >= LENGTH:
             held.append(i)
-            size += len(t)
+            size += n
             if size >= BUFFER:
-                yield held
+                yield held, texts.take(pa.array(held)).to_pylist()
                 held, size = [], 0
     if held:
-        yield held
+        yield held, texts.take(pa.array(held)).to_pylist()
+
+
+@contextmanager
+def small_batches(spark, rows: int = BATCH_ROWS):
+    """Arrow batches of few rows while a job runs: texts may be long, and a
+    batch stands in the JVM's and in the worker's memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(old)) if int(old) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -146,9 +163,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         powers = Powers()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for some in _batches(texts):
-                _, _, g, c = anchors([texts[i] for i in some], powers)
+            for _, texts in _batches(b.column(0)):
+                _, _, g, c = anchors(texts, powers)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "c"])
     return (docs.select("t").mapInArrow(run, "g long, c long").groupBy("g")
             .agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")))
@@ -204,9 +220,8 @@ def places(docs: DataFrame, repeated: np.ndarray, mixed: np.ndarray) -> DataFram
         met: set[tuple[int, int]] = set()
         more: dict[tuple[int, int], int] = {}
         for b in batches:
-            k1, k2, texts = (np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2).to_pylist())
-            for some in _batches(texts):
-                own = [texts[i] for i in some]
+            k1, k2 = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for some, own in _batches(b.column(2)):
                 of, p, g, c = anchors(own, powers)
                 keep = _set(rep, g)
                 of, p, g, c = of[keep], p[keep], g[keep], c[keep]
@@ -426,9 +441,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_text
     t = utf8(text)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("k1"),
                         F.xxhash64(F.lit(1), t, F.length(t)).alias("k2"), t.alias("t"))
-    grams = land(gram_counts(keyed).where("n > 1"), "grams")
-    mixed = grams.where("lo <> hi")
-    found = land(places(keyed, bit_map(grams), bit_map(mixed)), "places", compression="zstd")
+    with small_batches(docs.sparkSession):
+        grams = land(gram_counts(keyed).where("n > 1"), "grams")
+        mixed = grams.where("lo <> hi")
+        found = land(places(keyed, bit_map(grams), bit_map(mixed)), "places", compression="zstd")
     places_of, contexts = found.where("k1 is not null").select("k1", "k2", "p", "g", "c"), found.where("k1 is null")
     contexts = contexts.select("g", "c", "n", "left", "right")
 
