@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a three-level n-gram trie over them, in one flat
+"""Elias-Fano sequences and a trie of word pairs over them, in one flat
 buffer that is read in place.
 
 A monotone sequence of n values below u keeps the low log2(u / n) bits of each
@@ -6,9 +6,9 @@ value as they are and the high parts in unary, about 2 + log2(u / n) bits a
 value. ``successor`` goes to the bucket of the high part and searches
 the low parts there.
 
-In the trie, a level's sequence holds ``rank of the context * symbols + word``, which rises over the whole
-level; looking a word up below a context is one successor search. Each
-level also has the pointers to its children, another monotone sequence.
+The trie's second level holds ``rank of the context * symbols + word``, which
+rises over the whole level; looking a word up below a context is one successor
+search. The pointers from roots to their children are another monotone sequence.
 """
 
 from __future__ import annotations
@@ -100,54 +100,39 @@ def probability(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Roots with their counts, pairs with (share, rest) codes, triples with
-    share codes."""
+    """Roots with their counts, and the words that follow them with a code of
+    their share of the root."""
 
     def __init__(self, buffer: bytes):
         self.symbols = int(np.frombuffer(buffer, np.int64, 1)[0])
         self.roots = EliasFano(buffer, 8)
         self.to_pairs = EliasFano(buffer, self.roots.end)
         self.pairs = EliasFano(buffer, self.to_pairs.end)
-        self.to_triples = EliasFano(buffer, self.pairs.end)
-        self.triples = EliasFano(buffer, self.to_triples.end)
-        at = self.triples.end
+        at = self.pairs.end
         self.counts = np.frombuffer(buffer, np.int64, self.roots.n, at)
-        at += 8 * self.roots.n
-        self.share2, self.rest3 = (np.frombuffer(buffer, np.uint8, self.pairs.n, at + i * self.pairs.n) for i in (0, 1))
-        self.share3 = np.frombuffer(buffer, np.uint8, self.triples.n, at + 2 * self.pairs.n)
+        self.share = np.frombuffer(buffer, np.uint8, self.pairs.n, at + 8 * self.roots.n)
 
     @staticmethod
-    def pack(symbols: int, root: np.ndarray, second: np.ndarray, third: np.ndarray, n: np.ndarray, whole, mu2: float, mu3: float) -> bytes:
-        """From distinct triples in order with their counts. ``whole(roots,
+    def pack(symbols: int, root: np.ndarray, second: np.ndarray, n: np.ndarray, whole, mu: float) -> bytes:
+        """From distinct pairs in order with their counts. ``whole(roots,
         counts)`` gives the roots' counts over all shards."""
-        pair_key = root * symbols + second
-        head = np.flatnonzero(np.concatenate([[True], pair_key[1:] != pair_key[:-1]])) if len(n) else np.zeros(0, np.int64)
-        pair_key = pair_key[head]
-        pair = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(n))))
-        n2 = np.add.reduceat(n, head) if len(head) else n
-        first = pair_key // max(symbols, 1)
-        top = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(head) else head
-        roots = first[top]
-        rank = np.repeat(np.arange(len(top)), np.diff(np.append(top, len(head))))
-        counts = whole(roots, np.add.reduceat(n2, top) if len(top) else n2)
-        share2 = n2 / (counts[rank] + mu2)
-        rest3 = mu3 / (n2 + mu3)
-        share3 = n / (n2[pair] + mu3)
-        keys = [EliasFano.pack(roots, max(symbols, 1)), EliasFano.pack(np.append(top, len(head)), len(head) + 1),
-                EliasFano.pack(rank * symbols + pair_key % max(symbols, 1), max(len(top) * symbols, 1)),
-                EliasFano.pack(np.append(head, len(n)), len(n) + 1),
-                EliasFano.pack(pair * symbols + third, max(len(head) * symbols, 1))]
+        top = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(n) else np.zeros(0, np.int64)
+        roots = root[top]
+        rank = np.repeat(np.arange(len(top)), np.diff(np.append(top, len(n))))
+        counts = whole(roots, np.add.reduceat(n, top) if len(top) else n)
+        keys = [EliasFano.pack(roots, max(symbols, 1)), EliasFano.pack(np.append(top, len(n)), len(n) + 1),
+                EliasFano.pack(rank * symbols + second, max(len(top) * symbols, 1))]
         return (np.array([symbols], np.int64).tobytes() + b"".join(keys) + counts.astype(np.int64).tobytes()
-                + quantised(share2).tobytes() + quantised(rest3).tobytes() + quantised(share3).tobytes())
+                + quantised(n / (counts[rank] + mu)).tobytes())
 
-    def below(self, level: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Ranks in ``level`` of words below contexts (ranks, -1 for none)."""
+    def below(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Ranks of words below contexts (ranks of roots, -1 for none)."""
         out = np.full(len(context), -1)
         known = np.flatnonzero(context >= 0)
         if len(known):
             c = context[known]
-            at = level.find(c * self.symbols + word[known])
+            at = self.pairs.find(c * self.symbols + word[known])
             # siblings lie between the context's pointers
-            there = (at >= pointers.get(c)) & (at < pointers.get(c + 1))
+            there = (at >= self.to_pairs.get(c)) & (at < self.to_pairs.get(c + 1))
             out[known[there]] = at[there]
         return out

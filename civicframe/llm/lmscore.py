@@ -1,34 +1,34 @@
-"""Language-model scores of texts by a sharded Elias-Fano trigram trie.
+"""Language-model scores of texts by a sharded Elias-Fano trie of word pairs.
 
 Tokens are words (lower-case A-Z, split at ASCII white space) and one end per
 text. The model is trained on the texts whose crc32(id) mod ``FOLDS`` is not
-``HELD``, on all their n-grams, without a cut:
+``HELD``, on all their pairs, without a cut:
 
-    P1(w)     = (c(w) + 1/2) / (N + (V + 1) / 2)
-    P2(w|v)   = c(vw) / (c(v) + MU2) + MU2 / (c(v) + MU2) * P1(w)
-    P3(w|u v) = c(uvw) / (c(uv) + MU3) + MU3 / (c(uv) + MU3) * P2(w|v)
+    P1(w)   = (c(w) + 1/2) / (N + (V + 1) / 2)
+    P2(w|v) = c(vw) / (c(v) + MU) + MU / (c(v) + MU) * P1(w)
 
-The first token after the start is scored by P2. The base score takes P1 alone.
+The base score takes P1 alone, the score P2.
 
 Texts are gathered into blocks of up to ``BLOCK`` tokens, each with a
 dictionary of its own, written once to the shared folder. A block sends every
-distinct trigram once, with its count in training texts, to the shard of its
-first word. A shard merges them into a trie (``eliasfano.Trie``: a compact
-buffer with quantised terms of the probabilities, read in place) and answers
-all blocks from it, three codes an entry. Every word is the first of one trigram at each
-place where it stands, so the shard's roots are the counts of single words too, and one
-exchange gives a block all it needs. Answers go back to the blocks,
-where each token's probability is put together and summed per text.
-
-Hot words: a word that holds over ``SHARE`` of all words is on a list of at most
-4 / (3 SHARE) entries. Its count is summed beforehand and its trigrams are dealt by the
-second word too, to as many shards as it fills.
+distinct pair once, with its count in training texts, to the shard of its first
+word. A shard merges them into a trie (``eliasfano.Trie``: a compact buffer
+with quantised shares c(vw) / (c(v) + MU), read in place) and answers all blocks from
+it, one code a pair. Every word is the first of one pair at each place where it
+stands, so the shard's roots are the counts of single words too, and one exchange
+gives a block all it needs. Answers go back to the blocks, where each
+token's probability is put together and summed per text.
+
+Hot words: a word that holds over ``SHARE`` of all words is on a list of at
+most 4 / (3 SHARE) entries. Its count is summed beforehand and its pairs are
+dealt by the second word too, to as many shards as it fills.
 
 Words are told apart by 64-bit hashes. Per-text sums are over the tokens in order.
 
 Defined cases: a null or empty text has one token, its end; a null id counts as
-the empty string, in training; repeated rows are texts of their own; an empty table gives an empty
-result; other columns are ignored. Texts of any length are scored whole; one longer than a block is a block.
+the empty string, in training; repeated rows are texts of their own; an empty
+table gives an empty result; other columns are ignored. Texts of any length are
+scored whole; one longer than a block is a block.
 """
 
 from __future__ import annotations
@@ -44,14 +44,14 @@ from .common import land, utf8
 from .eliasfano import Trie, probability
 
 FOLDS, HELD = 5, 1
-MU2, MU3 = 16.0, 4.0
+MU = 16.0
 BLOCK = 1 << 21
 SHARD = 1 << 21
 SHARE = 1 / (1 << 16)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # symbols of every block's dictionary that are no words
-START, END, PAD = 0, 1, 2
-MARKS = np.array([1, 2, 3], np.uint64)
+START, END = 0, 1
+MARKS = np.array([1, 2], np.uint64)
 
 BLOCKS = "blk long, ids array<long>, held array<boolean>, n_words array<long>, words binary, tokens binary, often array<long>, often_n array<long>"
 
@@ -118,8 +118,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 class Entries:
-    """Distinct trigrams of a block, dealt to shards. ``at``: the entry of each
-    token's window (its previous token, itself, the next one)."""
+    """Distinct pairs of a block, dealt to shards. ``at``: the entry of each
+    token (the one before it and itself)."""
 
     def __init__(self, row: dict, shards: int, hot: np.ndarray, parts: np.ndarray):
         words = expand(row["words"], np.uint64) if row["words"] else np.zeros(0, np.uint64)
@@ -128,105 +128,104 @@ class Entries:
         n_words = np.array(row["n_words"], np.int64)
         self.n_tokens = n_words + 1
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
-        # start, words, end and pad of every text
-        begin = np.cumsum(n_words + 3) - (n_words + 3)
-        seq = np.full((n_words + 3).sum(), PAD, np.int64)
-        seq[begin], seq[begin + n_words + 1] = START, END
-        inside = np.ones(len(seq), bool)
-        inside[begin], inside[begin + n_words + 1], inside[begin + n_words + 2] = False, False, False
-        seq[inside] = tokens.astype(np.int64) + 3
-        where = np.arange(self.n_tokens.sum()) + 2 * np.repeat(np.arange(len(n_words)), self.n_tokens)
-        self.token = seq[where + 1]
-        held = np.repeat(np.array(row["held"], bool), self.n_tokens)
+        # every text's words and its end; before them its start and the words
+        last = self.first + n_words
+        self.token = np.full(self.n_tokens.sum(), END, np.int64)
+        inside = np.ones(len(self.token), bool)
+        inside[last] = False
+        self.token[inside] = tokens
+        self.token[inside] += len(MARKS)
+        before = np.empty_like(self.token)
+        before[1:] = self.token[:-1]
+        before[self.first] = START
         n = len(self.names)
-        _, pair = np.unique(seq[where] * n + seq[where + 1], return_inverse=True)
-        _, some, self.at = np.unique(pair * n + seq[where + 2], return_index=True, return_inverse=True)
-        self.u, self.v, self.w = seq[where[some]], seq[where[some] + 1], seq[where[some] + 2]
-        self.count = np.bincount(self.at, ~held, minlength=len(some)).astype(np.int64)
+        pairs, self.at = np.unique(before * n + self.token, return_inverse=True)
+        del before
+        self.u, self.v = pairs // n, pairs % n
+        held = np.repeat(np.array(row["held"], bool), self.n_tokens)
+        self.count = np.bincount(self.at, ~held, minlength=len(pairs)).astype(np.int64)
         # shard of the first word; a hot one is dealt by the second word too
         of = np.ones(n, np.int64)
         if len(hot):
             place = np.minimum(np.searchsorted(hot, self.names), len(hot) - 1)
             of = np.where(hot[place] == self.names, parts[place], 1)
-        mixed = (self.names * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        mixed = mixed.astype(np.int64)
+        mixed = ((self.names * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
         shard = (mixed[self.u] + mixed[self.v] % of[self.u]) % shards
         order = np.argsort(shard, kind="stable")
         cut = np.flatnonzero(np.diff(shard[order])) + 1
-        #: shard and its entries, in the order of u, v, w
+        #: shard and its entries, in the order of u, v
         self.dealt = [(int(shard[p[0]]), p) for p in np.split(order, cut) if len(p)]
 
-    def heads(self, part: np.ndarray):
-        """Which entries of a shard's part start a root, and which a pair."""
-        u, v = self.u[part], self.v[part]
-        root = np.concatenate([[True], u[1:] != u[:-1]])
-        return root, root | np.concatenate([[True], v[1:] != v[:-1]])
+    def heads(self, part: np.ndarray) -> np.ndarray:
+        """Which entries of a shard's part start a root."""
+        u = self.u[part]
+        return np.concatenate([[True], u[1:] != u[:-1]])
+
+
+def rows_of(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
 
 
 def queries(landed: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """(shard, blk, payload): a part's symbols and its entries as a small trie."""
+    """(shard, blk, load): a part's symbols and its entries as a small trie."""
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                e = Entries(row, shards, hot, parts)
-                for shard, p in e.dealt:
-                    root, pair = e.heads(p)
-                    used, place = np.unique(np.concatenate([e.u[p][root], e.v[p][pair], e.w[p]]), return_inverse=True)
-                    n1, n2 = root.sum(), pair.sum()
-                    per_root = np.diff(np.append(np.flatnonzero(root[pair]), n2))
-                    per_pair = np.diff(np.append(np.flatnonzero(pair), len(p)))
-                    load = [squeeze(e.names[used]), *(squeeze(x.astype(np.int32)) for x in (place[:n1], per_root, place[n1:n1 + n2], per_pair, place[n1 + n2:])),
-                            squeeze(e.count[p])]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([row["blk"]], pa.int64()), pa.array([load], pa.list_(pa.binary()))],
-                                                     names=["shard", "blk", "load"])
+        for row in rows_of(batches):
+            e = Entries(row, shards, hot, parts)
+            for shard, p in e.dealt:
+                root = e.heads(p)
+                used, place = np.unique(np.concatenate([e.u[p][root], e.v[p]]), return_inverse=True)
+                n = root.sum()
+                per_root = np.diff(np.append(np.flatnonzero(root), len(p)))
+                load = [squeeze(e.names[used]), *(squeeze(x.astype(np.int32)) for x in (place[:n], per_root, place[n:], e.count[p]))]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([row["blk"]], pa.int64()), pa.array([load], pa.list_(pa.binary()))],
+                                                 names=["shard", "blk", "load"])
     return landed.select("blk", "held", "n_words", "words", "tokens").mapInArrow(run, "shard int, blk long, load array<binary>")
 
 
 def answers(asked: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
-    """(blk, shard, codes, n_roots) for each payload; n_roots: trained words of
-    the shard that are not hot, on one row of a shard."""
+    """(blk, shard, codes, n_roots) for each load: its roots' counts and its
+    pairs' codes. n_roots: trained words of the shard that are not hot, on one
+    row of a shard."""
     def run(table: pa.Table) -> pa.Table:
-        loads = [(blk, [bytes(x) for x in load]) for blk, load in zip(table.column("blk").to_pylist(), table.column("load").to_pylist())]
-        del table
-        names = np.unique(np.concatenate([expand(x[0], np.uint64) for _, x in loads]))
+        blks = table.column("blk").to_pylist()
+        loads = [[x.as_py() for x in load.values] for load in table.column("load")]
+        names = np.unique(np.concatenate([expand(x[0], np.uint64) for x in loads]))
         m = len(names)
-        parts = []
-        for _, x in loads:
+        parts, counts = [], []
+        for x in loads:
             sym = np.searchsorted(names, expand(x[0], np.uint64))
-            u, nu, v, nv, w = (expand(y, np.int32) for y in x[1:6])
-            parts.append((sym[u], nu, np.repeat(sym[u], nu) * m + sym[v], nv, sym[w], expand(x[6], np.int64)))
-        pairs = np.unique(np.concatenate([p[2] for p in parts]))
-        keys = [np.repeat(np.searchsorted(pairs, p[2]), p[3]) * m + p[4] for p in parts]
-        triples, place = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(place, np.concatenate([p[5] for p in parts]), len(triples)).astype(np.int64)
-        del keys, place
-        triples, n = triples[n > 0], n[n > 0]
-        pair = pairs[triples // m]
+            u, nu, v = (expand(y, np.int32) for y in x[1:4])
+            parts.append((sym[u], nu, np.repeat(sym[u], nu) * m + sym[v]))
+            counts.append(expand(x[4], np.int32))
+        del loads
+        pairs, place = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        n = np.bincount(place, np.concatenate(counts), len(pairs)).astype(np.int64)
+        del place, counts
+        pairs, n = pairs[n > 0], n[n > 0]
 
         def whole(roots, counts):
             if not len(hot):
                 return counts
             at = np.minimum(np.searchsorted(hot, names[roots]), len(hot) - 1)
             return np.where(hot[at] == names[roots], hot_n[at], counts)
-        trie = Trie(Trie.pack(m, pair // m, pair % m, triples % m, n, whole, MU2, MU3))
+        trie = Trie(Trie.pack(m, pairs // m, pairs % m, n, whole, MU))
+        del pairs, n
         roots = names[trie.roots.get(np.arange(trie.roots.n))]
         n_roots = int((~np.isin(roots, np.concatenate([hot, MARKS]))).sum())
-        del triples, pair, n
         out = []
-        for u, nu, uv, nv, w, _ in parts:
+        for u, nu, uv in parts:
             r = trie.roots.find(u)
-            q = trie.below(trie.pairs, trie.to_pairs, np.repeat(r, nu), uv % m)
-            t = trie.below(trie.triples, trie.to_triples, np.repeat(q, nv), w)
+            q = trie.below(np.repeat(r, nu), uv % m)
             got = lambda a, i: np.where(i >= 0, a[i], 0) if len(a) else np.zeros(len(i), a.dtype)
-            out.append([squeeze(got(trie.counts, r)), squeeze(got(trie.share2, q)), squeeze(got(trie.rest3, q)), squeeze(got(trie.share3, t))])
-        return pa.table([pa.array([b for b, _ in loads], pa.int64()), pa.array(out, pa.list_(pa.binary())),
-                         pa.array([n_roots, *[0] * (len(loads) - 1)], pa.int64())], names=["blk", "codes", "n_roots"])
+            out.append([squeeze(got(trie.counts, r)), squeeze(got(trie.share, q))])
+        return pa.table([pa.array(blks, pa.int64()), pa.array(out, pa.list_(pa.binary())),
+                         pa.array([n_roots, *[0] * (len(blks) - 1)], pa.int64())], names=["blk", "codes", "n_roots"])
 
     def one(key, table):
-        s = key[0].as_py()
         got = run(table)
-        return got.append_column("shard", pa.array([s] * got.num_rows, pa.int32())).select(["blk", "shard", "codes", "n_roots"])
+        return got.append_column("shard", pa.array([key[0].as_py()] * got.num_rows, pa.int32())).select(["blk", "shard", "codes", "n_roots"])
     return asked.groupBy("shard").applyInArrow(one, "blk long, shard int, codes array<binary>, n_roots long")
 
 
@@ -234,39 +233,25 @@ def scores(landed: DataFrame, answered: DataFrame, shards: int, hot: np.ndarray,
            distinct: int) -> DataFrame:
     """A row per text from its block and the block's answers."""
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                e = Entries(row, shards, hot, parts)
-                codes = {x["shard"]: [expand(y, k) for y, k in zip(x["codes"], (np.int64, np.uint8, np.uint8, np.uint8))] for x in row["answers"]}
-                k = len(e.u)
-                s2, r3, s3 = np.zeros(k), np.zeros(k), np.zeros(k)
-                counts = np.zeros(len(e.names), np.int64)
-                for shard, p in e.dealt:
-                    root, pair = e.heads(p)
-                    pairs = np.cumsum(pair) - 1
-                    a = codes[shard]
-                    s2[p], s3[p] = probability(a[1])[pairs], probability(a[3])
-                    r3[p] = np.where(a[2] > 0, probability(a[2]), 1.0)[pairs]
-                    counts[e.u[p][root]] = a[0]
-                if len(hot):      # a part of a hot word's trigrams does not show its count
-                    place = np.minimum(np.searchsorted(hot, e.names), len(hot) - 1)
-                    counts = np.where(hot[place] == e.names, hot_n[place], counts)
-                counts[END] = n_texts
-                c1 = counts[e.u]
-                c = counts[e.token]
-                p1 = (c + 0.5) / (total + 0.5 * (distinct + 1))
-                p = s2[e.at] + MU2 / (c1[e.at] + MU2) * p1
-                # the window before a token's own has its trigram and context
-                later = np.ones(len(p), bool)
-                later[e.first] = False
-                before = e.at[np.flatnonzero(later) - 1]
-                p[later] = s3[before] + r3[before] * p[later]
-                cut = lambda x: np.add.reduceat(x, e.first)
-                n = len(e.first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(e.n_tokens), pa.array(cut((c > 0).astype(np.int64))),
-                     pa.array(np.full(n, total)), pa.array(cut(np.log10(p1))), pa.array(cut(np.log10(p)))], names=names)
+        for row in rows_of(batches):
+            e = Entries(row, shards, hot, parts)
+            told = {x["shard"]: x["codes"] for x in row.pop("answers")}
+            share = np.zeros(len(e.u), np.uint8)
+            counts = np.zeros(len(e.names), np.int64)
+            for shard, p in e.dealt:
+                share[p] = expand(told[shard][1], np.uint8)
+                counts[e.u[p][e.heads(p)]] = expand(told[shard][0], np.int64)
+            if len(hot):      # a part of a hot word's pairs does not show its count
+                place = np.minimum(np.searchsorted(hot, e.names), len(hot) - 1)
+                counts = np.where(hot[place] == e.names, hot_n[place], counts)
+            counts[END] = n_texts
+            c = counts[e.token]
+            p1 = (c + 0.5) / (total + 0.5 * (distinct + 1))
+            p2 = probability(share)[e.at] + (MU / (counts[e.u] + MU))[e.at] * p1
+            cut = lambda x: np.add.reduceat(x, e.first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(e.n_tokens), pa.array(cut((c > 0).astype(np.int64))),
+                 pa.array(np.full(len(e.first), total)), pa.array(cut(np.log10(p1))), pa.array(cut(np.log10(p2)))], names=names)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     told = answered.groupBy("blk").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
     return (landed.select("blk", "ids", "held", "n_words", "words", "tokens").join(told, "blk")
@@ -297,19 +282,17 @@ def score(docs: DataFrame, shard_tokens: int = SHARD) -> DataFrame:
 def exact_counts(landed: DataFrame, hot: np.ndarray) -> np.ndarray:
     """Training counts of the listed words over all blocks."""
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                held = np.array(row["held"], bool)
-                names = np.concatenate([MARKS, expand(row["words"], np.uint64) if row["words"] else np.zeros(0, np.uint64)])
-                tokens = expand(row["tokens"], np.int32) if row["tokens"] else np.zeros(0, np.int32)
-                n = np.zeros(len(names), np.int64)
-                n[3:] = np.bincount(tokens, np.repeat(~held, np.array(row["n_words"], np.int64)), len(names) - 3)
-                n[START] = (~held).sum()
-                of = np.searchsorted(names[order := np.argsort(names)], hot)
-                of = np.minimum(of, len(names) - 1)
-                there = names[order[of]] == hot
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there)), pa.array(n[order[of[there]]])], names=["i", "n"])
+        for row in rows_of(batches):
+            held = np.array(row["held"], bool)
+            names = np.concatenate([MARKS, expand(row["words"], np.uint64) if row["words"] else np.zeros(0, np.uint64)])
+            tokens = expand(row["tokens"], np.int32) if row["tokens"] else np.zeros(0, np.int32)
+            n = np.zeros(len(names), np.int64)
+            n[len(MARKS):] = np.bincount(tokens, np.repeat(~held, np.array(row["n_words"], np.int64)), len(names) - len(MARKS))
+            n[START] = (~held).sum()
+            order = np.argsort(names)
+            of = order[np.minimum(np.searchsorted(names[order], hot), len(names) - 1)]
+            there = names[of] == hot
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there)), pa.array(n[of[there]])], names=["i", "n"])
     out = np.zeros(len(hot), np.int64)
     for r in landed.select("held", "n_words", "words", "tokens").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         out[r["i"]] = r["n"]

@@ -38,12 +38,11 @@ def expected(rows):
     for i, t in rows:
         t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
         texts.append((i, zlib.crc32((str(i) if i is not None else "").encode()) % 5 == 1, ["<s>", *re.findall("[^\x20\x09-\x0d]+", t), None]))
-    c1, c2, c3 = Counter(), Counter(), Counter()
+    c1, c2 = Counter(), Counter()
     for _, held, w in texts:
         if not held:
             c1.update(w)
             c2.update(zip(w, w[1:]))
-            c3.update(zip(w, w[1:], w[2:]))
     n, v = sum(c1.values()) - c1["<s>"], len(c1) - ("<s>" in c1)
 
     def rounded(p):
@@ -56,10 +55,7 @@ def expected(rows):
             p1 = (known + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p1)
             u = w[k - 1]
-            p = rounded(c2[u, w[k]] / (c1[u] + lmscore.MU2)) + lmscore.MU2 / (c1[u] + lmscore.MU2) * p1
-            if k > 1:
-                pair = c2[w[k - 2], u]
-                p = rounded(c3[w[k - 2], u, w[k]] / (pair + lmscore.MU3)) + (rounded(lmscore.MU3 / (pair + lmscore.MU3)) if pair else 1.0) * p
+            p = rounded(c2[u, w[k]] / (c1[u] + lmscore.MU)) + lmscore.MU / (c1[u] + lmscore.MU) * p1
             total += math.log10(p)
         out.append((i, held, len(w) - 1, sum(c1[x] > 0 for x in w[1:]), n, base, total))
     return out
