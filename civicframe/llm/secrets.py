@@ -43,7 +43,7 @@ _RUN = b"x" * 32
 
 SIGN = re.compile(r":=|=>|[:=]")
 NAME_BEFORE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
-NAME_CHARS = 128
+NOT_NAME = re.compile(r"[^A-Za-z0-9_.$-]")
 OPERAND = re.compile(r"""\x20*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$][A-Za-z0-9+/_.$=-]*))""")
 JOIN = re.compile(r"\x20*[+.]\x20*(?=[\"'A-Za-z_$])")
 
@@ -131,6 +131,24 @@ class Value:
         self.name, self.look, self.literals, self.values = name, Look(), [], []
 
 
+def name_before(text: str, end: int) -> str | None:
+    """The name that stands before a sign, of any length: looked for in
+    stretches that double until the name's start is seen."""
+    width = 128
+    while True:
+        low = max(0, end - width)
+        left = text[low:end].rstrip(" ")
+        if left[-1:] in ("\"", "'", "`"):
+            left = left[:-1]
+            if not left and low:
+                width *= 2
+                continue
+        if not low or NOT_NAME.search(left):
+            nm = NAME_BEFORE.search(left)
+            return nm[0] if nm else None
+        width *= 2
+
+
 def assigned(text: str) -> list[Value]:
     """Every assignment of literals to a name, in order, constants propagated."""
     bound: dict[str, Value] = {}
@@ -138,13 +156,10 @@ def assigned(text: str) -> list[Value]:
     at = 0
     while m := SIGN.search(text, at):
         at = m.end()
-        left = text[max(0, m.start() - NAME_CHARS):m.start()].rstrip(" ")
-        if left[-1:] in "\"'`":
-            left = left[:-1]
-        nm = NAME_BEFORE.search(left)
-        if not nm:
+        name = name_before(text, m.start())
+        if name is None:
             continue
-        got, pos = Value(nm[0]), m.end()
+        got, pos = Value(name), m.end()
         while o := OPERAND.match(text, pos):
             pos = o.end()
             k = next(i for i in (1, 2, 3) if o[i] is not None)
@@ -212,7 +227,8 @@ SPANS = "array<struct<start:int,kind:string,end:int>>"
 
 
 def find(docs: DataFrame, min_score: float = MIN_SCORE, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``found`` (arrays of start, kind, end) added."""
+    """``docs`` with ``base`` and ``found`` (arrays of start, kind, end) added;
+    columns that have these names are replaced."""
     kept = [c for c in docs.columns if c not in ("base", "found")]
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
