@@ -5,8 +5,8 @@ base phrases) go into one generalised suffix automaton over word tokens. A
 text is streamed through it once; the state and the length after each word
 are the longest run of words ending there that occurs in any template.
 Long maximal matches are then chained per template (rising place in the text
-and in the template, small gaps) into covered spans; a template covered by
-``MIN_COVER`` or more of its words adds its label. Base phrases are states of
+and in the template, small gaps) into covered spans; every chain that covers
+``MIN_COVER`` or more of a template's words is a span and adds its label. Base phrases are states of
 the same automaton: a phrase ends where its state lies on the suffix-link
 path of the current state within the current length.
 
@@ -16,11 +16,12 @@ nothing: every other match is a single word, below any phrase or chain.
 
 Defined cases: null and empty texts have no words, null places, empty labels
 and score 0; repeated rows repeat their results; texts of any length are scanned whole; extra columns are
-kept.
+kept, those that have the names of the result's are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from itertools import repeat
 
 import numpy as np
@@ -34,9 +35,59 @@ from .common import words_of
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Notices and key clauses of licenses, as published.
+# Notices, key clauses and whole texts of licenses, as published.
+_BSD_TOP = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+            "conditions are met: ")
+_BSD_1_2 = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+            "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+            "following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+            "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+            "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+            "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+            "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+            "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+            "POSSIBILITY OF SUCH DAMAGE.")
+_GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) {1}. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.")
 TEMPLATES = (
     ("mit", "released under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+            "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+            "whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+            "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+            "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+            "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+            "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+            "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-2-clause", _BSD_TOP + _BSD_1_2 + _BSD_END),
+    ("bsd-3-clause", _BSD_TOP + _BSD_1_2 + "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+            "\"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+            "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+            "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+            "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+               "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+               "law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+               "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+               "permissions and limitations under the License."),
+    ("gpl", _GPL.format("GNU General Public License", "any later version")),
+    ("lgpl", _GPL.format("GNU Lesser General Public License", "any later version")),
+    ("agpl", _GPL.format("GNU Affero General Public License", "any later version")),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+             "for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+             "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+             "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+             "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+             "is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+             "original software. 3. This notice may not be removed or altered from any source distribution."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -173,27 +224,43 @@ class Automaton:
         return sorted(base), self._chain(matches)
 
     def _chain(self, matches):
-        """Best chain of each template through maximal matches (end, state, length)."""
-        open_: dict[int, list] = {}  # template -> chains [end, template end, covered, start]
-        done: dict[int, tuple] = {}
+        """Chains (template, covered words, start, end) through maximal matches
+        (end, state, length): of each template those that cover most, as
+        many as do not overlap in the text."""
+        open_: dict[int, list] = {}  # template -> chains [end, template end, covered, start, went on]
+        done: dict[int, list] = {}
         for end, state, n in matches:
             for t, te in self.ends[state]:
-                best = [end, te, n, end - n]
+                best, source = [end, te, n, end - n, False], None
                 kept = []
                 for c in open_.get(t, ()):
                     if end - n - c[0] > MAX_GAP:
+                        if not c[4]:
+                            done.setdefault(t, []).append(c)
                         continue
                     kept.append(c)
                     # words of the text and of the template that are already covered
                     over = max(0, c[0] - (end - n), c[1] - (te - n))
                     gap = max(0, (te - n) - c[1])
                     if over < n and te > c[1] and gap <= MAX_GAP and c[2] + n - over > best[2]:
-                        best = [end, te, c[2] + n - over, c[3]]
+                        best, source = [end, te, c[2] + n - over, c[3], False], c
+                if source is not None:
+                    source[4] = True
                 kept.append(best)
                 open_[t] = kept
-                if best[2] > done.get(t, (0,))[0]:
-                    done[t] = (best[2], best[3], best[0])
-        return [(t, *d) for t, d in sorted(done.items())]
+        for t, some in open_.items():
+            done.setdefault(t, []).extend(c for c in some if not c[4])
+        out = []
+        for t, some in done.items():
+            taken: list[tuple[int, int]] = []
+            for end, _, covered, start, _ in sorted(some, key=lambda c: (-c[2], c[3], c[0])):
+                # places taken so far, in order: the neighbours decide
+                i = bisect(taken, (start, end))
+                if (i and taken[i - 1][1] > start) or (i < len(taken) and taken[i][0] < end):
+                    continue
+                taken.insert(i, (start, end))
+                out.append((t, covered, start, end))
+        return sorted(out)
 
 
 RESULT = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
