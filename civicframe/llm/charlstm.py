@@ -195,3 +195,51 @@ def decode(p, windows: np.ndarray, kinds: int, at_once: int = 2048) -> np.ndarra
             out[s:s + n, t] = best
             best = back[t][rows, best] if t else best
     return out
+
+
+def decode_runs(p, windows: np.ndarray, first: np.ndarray, last: np.ndarray, run: np.ndarray, kinds: int, at_once: int = 2048,
+                cells: int = 1 << 19) -> list[np.ndarray]:
+    """Best tags of runs of overlapping windows, one Viterbi pass over each run
+    whatever its length. Window i gives the scores of its places first[i] to
+    last[i] - 1, which lie end to end in a run; ``run`` numbers the runs from 0, rising."""
+    place = np.arange(windows.shape[1])
+    scores = []
+    for s in range(0, len(windows), at_once):
+        e = emissions(p, windows[s:s + at_once]).transpose(1, 0, 2)
+        own = (place >= first[s:s + at_once, None]) & (place < last[s:s + at_once, None])
+        scores.append(e[own])
+    flat = np.concatenate(scores)
+    size = np.bincount(run, last - first).astype(np.int64)
+    start = np.cumsum(size) - size
+    trans = p["T"] + allowed(kinds)
+    k = trans.shape[1]
+    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(size)
+    order = np.argsort(size, kind="stable")
+    while len(order):
+        # runs of like length together, as many as fit
+        n = len(order)
+        while n > 1 and n * size[order[n - 1]] > cells:
+            n = max(1, int(n * 0.7))
+        some, order = order[:n], order[n:]
+        length = int(size[some[-1]])
+        live = size[some]
+        back = np.empty((length, n, k), np.int8)
+        at = start[some]
+        a = flat[at] + trans[k]
+        for t in range(1, length):
+            x = a[:, :, None] + trans[None, :k]
+            back[t] = x.argmax(1)
+            go = t < live
+            nxt = x.max(1) + flat[np.minimum(at + t, len(flat) - 1)]
+            # a run that has ended keeps its scores and points straight back
+            a = np.where(go[:, None], nxt, a)
+            back[t][~go] = np.arange(k)
+        best = a.argmax(1)
+        rows = np.arange(n)
+        tags = np.empty((n, length), np.int8)
+        for t in range(length - 1, -1, -1):
+            tags[:, t] = best
+            best = back[t][rows, best] if t else best
+        for j, i in enumerate(some.tolist()):
+            out[i] = tags[j, :size[i]]
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicframe.session import checkpoint_dir
+from civicframe.session import scratch_path
 
 # Byte table: A-Z to a-z, digits, a-z and all bytes from 0x80 kept, the rest
 # (controls, punctuation) to a space. Words of the class
@@ -31,9 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    app = spark.sparkContext.applicationId
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{app}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below the shared checkpoint folder, deleted with all others
+    of the application when the driver ends."""
+    return scratch_path(spark, name)
 
 
 def land(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -64,6 +64,14 @@ def utf8(text_col) -> F.Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
+def aside(df: DataFrame, names: list[str]):
+    """``df`` with columns of these names (in any case) under private ones, and
+    a function that gives them back to a result that has the private ones."""
+    taken = {n.lower() for n in names}
+    private = {c: f"_own_{i}_{uuid.uuid4().hex[:8]}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(private), lambda out: out.withColumnsRenamed({v: k for k, v in private.items()})
+
+
 def connect(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of ``n`` items over links a-b, by
     min-label hooking and pointer jumping. ``label`` continues earlier links."""

@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import charlstm
-from .common import utf8
+from .common import aside, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
+AROUND = 2
 # Bound of the training sample: windows of the documents, and generated lines.
 TRAIN_WINDOWS, GENERATED = 1000, 600
 EPOCHS = 10
@@ -140,6 +141,16 @@ def window_starts(cls: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([first, last, *(np.minimum(first + i, last) for i in range(1, WINDOW // STRIDE))])) * STRIDE
 
 
+def decoded_starts(cls: np.ndarray) -> np.ndarray:
+    """Windows that are decoded: those with a sign and ``AROUND`` windows on
+    both sides, as a span may go on where no sign is."""
+    starts = window_starts(cls)
+    if not len(starts):
+        return starts
+    near = np.unique(starts[:, None] + np.arange(-AROUND, AROUND + 1) * STRIDE)
+    return near[(near >= 0) & (near < max(len(cls), 1))]
+
+
 def cut_windows(cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
     padded = np.concatenate([cls, np.zeros(WINDOW, np.int8)])
     return padded[starts[:, None] + np.arange(WINDOW)]
@@ -157,7 +168,7 @@ def tags_of(n: int, spans) -> np.ndarray:
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) runs of one window's tags."""
+    """(start, kind, end) runs of tags."""
     out = []
     for i in np.flatnonzero(tags % 2 == 1).tolist():
         k, e = (int(tags[i]) - 1) // 2, i + 1
@@ -239,13 +250,13 @@ def fit(docs: DataFrame, text: str = "text", limit: int = TRAIN_WINDOWS, seed: i
 
 
 def reconcile(text: str, base, proposed) -> list[tuple[int, int, int]]:
-    """Base spans and the model spans that overlap none of them or of each other;
-    ``proposed``: (start, kind, end, margin to the window's edge)."""
+    """Base spans and the model spans (start, kind, end) that are valid and
+    overlap none of them or of each other."""
     busy = bytearray(len(text))
     for s, _, e in base:
         busy[s:e] = b"\1" * (e - s)
     out = list(base)
-    for s, k, e, _ in sorted(set(proposed), key=lambda x: (-x[3], x[0], x[1], x[2])):
+    for s, k, e in sorted(set(proposed)):
         if not any(busy[s:e]) and valid(k, text[s:e]):
             out.append((s, k, e))
             busy[s:e] = b"\1" * (e - s)
@@ -253,24 +264,34 @@ def reconcile(text: str, base, proposed) -> list[tuple[int, int, int]]:
 
 
 def text_spans(model, texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text; windows of all texts are decoded together."""
-    base, at, wins = [], [], []
+    """(base spans, all spans) of each text. Windows of all texts are scored
+    together; where windows overlap each character takes its scores from the one
+    in which it is farther from an edge, and one pass decodes each stretch of
+    overlapping windows, so a span may be of any length."""
+    base, wins, first, last, begin, text = [], [], [], [], [], []
     for i, s in enumerate(texts):
         cls = charlstm.classes(s)
-        starts = window_starts(cls)
+        a = decoded_starts(cls)
         base.append(base_spans(s))
-        at += [(i, a) for a in starts.tolist()]
-        wins.append(cut_windows(cls, starts))
-    tags = charlstm.decode(model, np.concatenate(wins), len(KINDS)) if at else np.empty((0, WINDOW), np.int8)
-    proposed: list[list] = [[] for _ in texts]
-    for (i, a), y in zip(at, tags):
-        if not y.any():
+        if not len(a):
             continue
-        for s, k, e in spans_of(y):
-            left = s if a else WINDOW
-            right = WINDOW - e if a + WINDOW < len(texts[i]) else WINDOW
-            if min(left, right) > 0 and a + e <= len(texts[i]):
-                proposed[i].append((a + s, k, a + e, min(left, right)))
+        wins.append(cut_windows(cls, a))
+        new = np.concatenate([[True], np.diff(a) > STRIDE])
+        end = np.append(new[1:], True)
+        margin = (WINDOW - STRIDE) // 2
+        first.append(np.where(new, 0, margin))
+        last.append(np.minimum(np.where(end, WINDOW, WINDOW - margin), len(cls) - a))
+        # the last window of a text may lie in what the one before it gives
+        last[-1] = np.maximum(last[-1], first[-1])
+        begin += a[new].tolist()
+        text += [(i, bool(x)) for x in new]
+    proposed: list[list] = [[] for _ in texts]
+    if wins:
+        run = np.cumsum([x for _, x in text]) - 1
+        owner = [i for i, x in text if x]
+        for i, at, y in zip(owner, begin, charlstm.decode_runs(model, np.concatenate(wins), np.concatenate(first), np.concatenate(last), run, len(KINDS))):
+            if y.any():
+                proposed[i] += [(at + s, k, at + e) for s, k, e in spans_of(y)]
     return [(b, reconcile(s, b, p)) for s, b, p in zip(texts, base, proposed)]
 
 
@@ -278,7 +299,8 @@ SPANS = "array<struct<start:int,kind:string,end:int>>"
 
 
 def find(docs: DataFrame, model=None, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``found`` (arrays of start, kind, end) added."""
+    """``docs`` with ``base`` and ``found`` (arrays of start, kind, end) added;
+    columns that have these names are replaced."""
     model = model or fit(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("base", "found")]
@@ -316,9 +338,11 @@ def find(docs: DataFrame, model=None, text: str = "text") -> DataFrame:
 
 def mask(docs: DataFrame, model=None) -> DataFrame:
     """``docs`` with every span of its text replaced by ``<KIND>`` and n_chars
-    counted anew where there is such a column. Null texts stay null."""
+    counted anew where there is such a column. Null texts stay null, and other
+    columns keep their values whatever their names."""
     cols = docs.columns
-    found = find(docs, model)
+    hidden, given_back = aside(docs, ["base", "found"])
+    found = find(hidden, model)
     # text between spans: from the end of one to the start of the next
     s = F.col("found")
     n = F.size(s)
@@ -332,4 +356,4 @@ def mask(docs: DataFrame, model=None) -> DataFrame:
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                              .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols)
+    return given_back(out.drop("base", "found")).select(*cols)
