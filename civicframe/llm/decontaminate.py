@@ -4,14 +4,16 @@ test items, each text scanned once, offsets mapped back to the original.
 Defined cases: a null or empty text has no words and hits nothing; a null or
 wordless item has no window; repeated items and rows give the same answers
 again; an item without an id marks words but is not listed; an empty benchmark
-leaves every document clean. Extra columns of either table are ignored by
-``scan`` and kept by ``drop_contaminated``.
+leaves every document clean; texts of any length are scanned whole. ``scan``
+keeps extra columns and replaces those that have the names of its own;
+``drop_contaminated`` keeps all columns and their values.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import land, utf8, words_of
+from .common import aside, land, utf8, words_of
 
 WINDOW = 10
-# Bytes of item text per automaton. More items mean more passes, each with an
-# automaton of this size; nothing is left out.
+# Bytes of item text per automaton (about 60 bytes of memory for each byte in the
+# worst case). More items mean more passes, each with an automaton of this
+# size; nothing is left out.
 BLOCK_BYTES = 8 << 20
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 RESULT = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -31,45 +34,41 @@ RESULT = ("n_words long, n_hit long, n_items long, items_sha256 string, contamin
 STATE = "_words array<int>, _items array<long>"
 
 
-def item_windows(items, window: int) -> dict[bytes, tuple[int, set]]:
-    """' w1 .. wn ' -> (n, ids of the items with that window)."""
-    out: dict[bytes, tuple[int, set]] = {}
-    for item_id, text in items:
-        w = words_of(text)
-        n = min(window, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            ids = out.setdefault(b" " + b" ".join(w[i:i + n]) + b" ", (n, set()))[1]
-            if item_id is not None:
-                ids.add(item_id)
-    return out
-
-
-def automaton(windows: dict[bytes, tuple[int, set]]):
-    import ahocorasick
-    a = ahocorasick.Automaton()
-    for k, v in windows.items():
-        a.add_word(k.decode("latin-1"), v)
-    if windows:
-        a.make_automaton()
-    return a
-
-
-def find_windows(auto, text: bytes) -> tuple[np.ndarray, set]:
-    """Indexes of the hit words and the ids of the items found."""
-    norm = " " + b" ".join(words_of(text)).decode("latin-1") + " "
-    ends, sizes, ids = [], [], set()
-    for end, (n, found) in auto.iter(norm):
-        ends.append(end)
-        sizes.append(n)
-        ids |= found
-    if not ends:
-        return np.empty(0, np.int32), ids
-    spaces = np.flatnonzero(np.frombuffer(norm.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, np.array(ends))
-    mark = np.zeros(len(spaces) + 1, np.int32)
-    np.add.at(mark, last - np.array(sizes), 1)
-    np.add.at(mark, last, -1)
-    return np.flatnonzero(np.cumsum(mark)).astype(np.int32), ids
+class Windows:
+    """The items' windows as one automaton over word numbers: a window is a
+    sequence of at most ``window`` symbols, whatever the length of its words."""
+
+    def __init__(self, items, window: int):
+        import ahocorasick
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set] = {}
+        for item_id, text in items:
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
+            n = min(window, len(w))
+            for i in range(len(w) - n + 1 if n else 0):
+                ids = found.setdefault(tuple(w[i:i + n]), set())
+                if item_id is not None:
+                    ids.add(item_id)
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for k, ids in found.items():
+            self.auto.add_word(k, (len(k), ids))
+        self.some = bool(found)
+        if found:
+            self.auto.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, set]:
+        """Indexes of the hit words and the ids of the items found."""
+        ids: set = set()
+        if not self.some or not words:
+            return np.empty(0, np.int32), ids
+        mark = None
+        for end, (n, found) in self.auto.iter(tuple(map(self.number.get, words, repeat(0)))):
+            if mark is None:
+                mark = np.zeros(len(words) + 1, np.int32)
+            mark[end - n + 1] += 1
+            mark[end + 1] -= 1
+            ids |= found
+        return (np.empty(0, np.int32) if mark is None else np.flatnonzero(np.cumsum(mark)).astype(np.int32)), ids
 
 
 def word_spans(text: bytes, hit: list[int]) -> list[dict]:
@@ -117,13 +116,14 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
 
 def _pass(cur: DataFrame, shared, kept: list[str], schema: T.StructType, window: int, text: str, last: bool) -> DataFrame:
     def run(batches):
-        auto = automaton(item_windows(shared.value, window))
+        auto = Windows(shared.value, window)
         for b in batches:
             words, found, rows = [], [], []
             texts = b.column(text).cast(pa.binary())
             for t, w0, i0 in zip(texts.to_pylist(), b.column("_words").to_pylist(), b.column("_items").to_pylist()):
                 t = t or b""
-                hit, ids = find_windows(auto, t) if len(auto) else (np.empty(0, np.int32), set())
+                own = words_of(t)
+                hit, ids = auto.find(own)
                 if w0:
                     hit = np.union1d(hit, np.array(w0, np.int32))
                 ids = ids | set(i0)
@@ -132,7 +132,7 @@ def _pass(cur: DataFrame, shared, kept: list[str], schema: T.StructType, window:
                     found.append(sorted(ids))
                     continue
                 named = ",".join(sorted(map(str, ids)))
-                rows.append({"n_words": len(words_of(t)), "n_hit": len(hit), "n_items": len(ids),
+                rows.append({"n_words": len(own), "n_hit": len(hit), "n_items": len(ids),
                              "items_sha256": hashlib.sha256(named.encode()).hexdigest(), "contaminated": len(hit) > 0,
                              "hit_spans": word_spans(t, hit.tolist()), "items": sorted(ids)})
             if last:
@@ -149,4 +149,7 @@ def _pass(cur: DataFrame, shared, kept: list[str], schema: T.StructType, window:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents no item window occurs in, with their own columns."""
-    return scan(docs, items, **how).where("not contaminated").select(*docs.columns)
+    own = [f.name for f in T.StructType.fromDDL(f"{RESULT}, {STATE}")]
+    hidden, given_back = aside(docs, own)
+    clean = scan(hidden, items, **how).where("not contaminated").select(*hidden.columns)
+    return given_back(clean).select(*docs.columns)
