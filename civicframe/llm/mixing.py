@@ -9,7 +9,7 @@ with the earliest deadline runs (ties: lower source rank). Every block then lies
 at any time each source has had its share of the slots, give or take less
 than one block.
 
-With ``slots`` None, q and W are the whole weights and their sum, divided by
+By default q and W are the whole weights and their sum, divided by
 their greatest common divisor: the shares are the weights themselves. With a number of slots
 W is that number and q the weight rounded to whole slots, and the bound
 holds against the rounded share: a source whose share is rounded to 0 gets no
@@ -31,7 +31,7 @@ null ids are ordered as empty; rows repeating an id are ordered by
 ``tie_cols`` and, if those are equal too, any order gives the same result;
 an empty table gives an empty result; a weight of 0, or a source without a
 weight, gets no slot: its rows keep null slots and ``mixed`` false; extra
-columns are kept, a clash with an added name is the caller's error.
+columns are kept, those that have the names of added ones are replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import aside
+
 SLOTS = 1000  # W: the resolution of rounded weights
 PIECE = 1024  # slots folded before their order is appended
 BLOCK = 16    # rows of a block
@@ -102,12 +104,16 @@ def schedule(quota: DataFrame) -> DataFrame:
             .withColumn("nth", F.row_number().over(Window.partitionBy("rank").orderBy("at"))))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, slots: int | None = SLOTS, block: int = BLOCK, seed: int = SEED,
+def mix(docs: DataFrame, weights: DataFrame | None = None, slots: int | None = None, block: int = BLOCK, seed: int = SEED,
         source: str = "source", id_col: str = "doc_id", tie_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with n_in_source, block, release, deadline, slot and mixed added.
+    """``docs`` with n_in_source, block, release, deadline, slot and mixed added;
+    columns that have these names are replaced.
 
     Order by (slot, n_in_source) to read the mixture. ``slots`` None: exact weights.
     """
+    added = ("n_in_source", "block", "release", "deadline", "slot", "mixed")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added and c not in (source, id_col)))
+    docs, given_back = aside(docs, ["_key", "_part", "_s", "_p", "_rn", "_before", "_qs", "_rank", "_q", "_w", "_r", "_nth", "_at", "_nth1", "_until"])
     weights = root_weights(docs, source) if weights is None else weights
     quota = quotas(weights, slots, source if source in weights.columns else "source")
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
@@ -143,9 +149,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, slots: int | None = S
               .join(F.broadcast(plan), (F.col("_rank") == F.col("_r")) & (F.col("_nth1") == F.col("_nth")), "left")
               .withColumn("_until", runs_out.scalar()))
     on = F.col("_q") > 0
-    return placed.select(
+    return given_back(placed.select(
         *docs.columns, "n_in_source", "block",
         F.when(on, F.expr("(block - 1) * _w div _q")).alias("release"),
         F.when(on, F.expr("(block * _w + _q - 1) div _q")).alias("deadline"),
         F.when(on, F.expr("_w * ((block - 1) div _q) + _at")).alias("slot"),
-        F.coalesce(F.when(on, F.expr("_w * ((block - 1) div _q) + _at < _until")), F.lit(False)).alias("mixed"))
+        F.coalesce(F.when(on, F.expr("_w * ((block - 1) div _q) + _at < _until")), F.lit(False)).alias("mixed")))

@@ -93,42 +93,41 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_exact_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same to the exact weights; the SQL of ``op7_pfair_mixing`` rounds
-    them to whole slots as it does."""
-    got = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), slots=None)
-    return got.select("doc_id", "source", "n_in_source", "block", "release", "deadline", "slot", "mixed")
+    """The same, under the name of the round in which ``op7_pfair_mixing``
+    rounded the weights to whole slots."""
+    return op7_pfair_mixing(spark, sf_dir)
 
 
-def _pfair_sql(W: int = mixing.SLOTS, B: int = mixing.BLOCK, S: int = mixing.SEED) -> str:
+def _pfair_sql(B: int = mixing.BLOCK, S: int = mixing.SEED) -> str:
     """The schedule by a recursive walk over one period's slots."""
     return f"""
 WITH RECURSIVE w AS (SELECT source, CAST(floor(sqrt(count(*))) AS BIGINT) AS weight, count(*) AS n FROM documents GROUP BY source),
 share AS (SELECT *, sum(weight) OVER () AS total, row_number() OVER (ORDER BY source NULLS FIRST) AS rank FROM w WHERE weight > 0),
-parts AS (SELECT *, CAST(weight * {W} // total AS BIGINT) AS q0, weight * {W} % total AS rest FROM share),
-quota AS (SELECT source, n, rank,
-            q0 + CASE WHEN row_number() OVER (ORDER BY rest DESC, rank) <= {W} - sum(q0) OVER () THEN 1 ELSE 0 END AS q FROM parts),
-given AS (SELECT list(CAST(q AS BIGINT) ORDER BY rank) AS qs FROM quota WHERE q > 0),
-ranks AS (SELECT list(rank ORDER BY rank) AS rs FROM quota WHERE q > 0),
+g AS (SELECT list_reduce(list(weight), lambda a, b: gcd(a, b)) AS g FROM share),
+quota AS (SELECT source, n, rank, CAST(weight // g AS BIGINT) AS q, CAST(total // g AS BIGINT) AS W FROM share, g),
+period AS (SELECT max(W) AS W FROM quota),
+given AS (SELECT list(q ORDER BY rank) AS qs FROM quota),
+ranks AS (SELECT list(rank ORDER BY rank) AS rs FROM quota),
 steps(t, qs, g, pick) AS (
-  SELECT -1, qs, list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM given
+  SELECT CAST(-1 AS BIGINT), qs, list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM given
   UNION ALL
   SELECT t + 1, qs, list_transform(g, lambda x, i: x + CASE WHEN i = c THEN 1 ELSE 0 END), c
-  FROM (SELECT t, qs, g, list_min(list_filter(list_transform(g, lambda x, i: CASE WHEN x * {W} // qs[i] <= t + 1
-                THEN ((x + 1) * {W} + qs[i] - 1) // qs[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS c
-        FROM steps WHERE t + 1 < {W})),
+  FROM (SELECT t, qs, g, W, list_min(list_filter(list_transform(g, lambda x, i: CASE WHEN x * W // qs[i] <= t + 1
+                THEN ((x + 1) * W + qs[i] - 1) // qs[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS c
+        FROM steps, period WHERE t + 1 < W)),
 slots AS (SELECT rs[pick] AS rank, t AS at_slot, row_number() OVER (PARTITION BY pick ORDER BY t) AS nth FROM steps, ranks WHERE pick IS NOT NULL),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{S}'), doc_id) AS n_in_source
       FROM documents),
-until AS (SELECT min({W} * (((n + {B - 1}) // {B}) // q) + at_slot) AS u FROM quota JOIN slots USING (rank)
+until AS (SELECT min(W * (((n + {B - 1}) // {B}) // q) + at_slot) AS u FROM quota JOIN slots USING (rank)
           WHERE q > 0 AND nth = ((n + {B - 1}) // {B}) % q + 1),
 b AS (SELECT *, (n_in_source - 1) // {B} + 1 AS block FROM d)
-SELECT b.doc_id, b.source, n_in_source, block, (block - 1) * {W} // q AS release, (block * {W} + q - 1) // q AS deadline,
-       {W} * ((block - 1) // q) + at_slot AS slot, coalesce({W} * ((block - 1) // q) + at_slot < u, false) AS mixed
-FROM b LEFT JOIN (SELECT * FROM quota WHERE q > 0) k ON b.source IS NOT DISTINCT FROM k.source
+SELECT b.doc_id, b.source, n_in_source, block, (block - 1) * W // q AS release, (block * W + q - 1) // q AS deadline,
+       W * ((block - 1) // q) + at_slot AS slot, coalesce(W * ((block - 1) // q) + at_slot < u, false) AS mixed
+FROM b LEFT JOIN quota k ON b.source IS NOT DISTINCT FROM k.source
 LEFT JOIN slots s ON s.rank = k.rank AND s.nth = (block - 1) % q + 1, until"""
 
 
-ORACLE["op7_pfair_mixing"] = _pfair_sql()
+ORACLE["op7_pfair_mixing"] = ORACLE["op7_exact_pfair_mixing"] = _pfair_sql()
 
 
 @query
