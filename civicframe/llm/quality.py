@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land, utf8
+from .common import aside, land, utf8
 
 BUCKETS = 1 << 16        # for words, and as many for pairs
 SHAPES = 1 << 12         # for shapes, and as many for pairs
@@ -49,7 +49,6 @@ TEMPERATURE = 0.05
 KEEP = 0.995
 SEED = 42
 TOXIC_PRIOR = 10.0
-TOXIC_WORDS = 1 << 16    # words of the toxic model at most, those with the largest ratios
 # Labelled target rows the target model is fitted on, at most: those with the
 # smallest hashes. Their ids (8 bytes each) are broadcast. The raw model, the
 # weights, the cut and the selection use all rows.
@@ -154,7 +153,7 @@ def toxic_words(docs: DataFrame, text: str = "text", toxic: str = "toxic", prior
            .groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
            .where(F.col("bad") - expect >= min_z * F.sqrt(expect + 1))
            .select("word", F.log((F.col("bad") + prior) / (expect + prior)).alias("ratio"))
-           .orderBy(F.desc("ratio"), "word").limit(TOXIC_WORDS).collect())
+           .collect())     # each has four toxic rows at least, of the labelled rows it is fitted on
     got = sorted((r["word"], r["ratio"]) for r in got)
     return np.array([w for w, _ in got], np.uint64), np.array([r for _, r in got], float)
 
@@ -289,8 +288,10 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The accepted rows with their own columns."""
+    """The accepted rows with their own columns, whatever their names."""
+    columns = docs.columns
+    docs, given_back = aside(docs, ["_d", "_h"])
     bad = (classify(docs, labels, **how).where("not accepted")
            .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(utf8("text")) == F.col("_h"))
-    return docs.join(bad, same, "left_anti")
+    return given_back(docs.join(bad, same, "left_anti")).select(*columns)

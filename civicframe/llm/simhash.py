@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, land, map_arrow, merge, utf8
+from .common import aside, components, land, map_arrow, merge, utf8
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -315,8 +315,11 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_BITS, id_col: str = "doc_i
 
 def keep_one(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """One row of each group: the smallest doc_id (null only if all ids of the
-    group are null), then the smallest text hash. Of rows equal in both the
-    one with the smallest values of the other columns stays."""
+    group are null), then the smallest text hash. Of rows equal in both the one
+    with the smallest hash of the other columns (as JSON) stays. Columns of any
+    type and name are kept; texts of any length are read whole."""
+    columns = docs.columns
+    docs, given_back = aside(docs, ["_keep", "_kept_hash", "_hash", "_row", "_rn"])
     f = land(fingerprints(docs), "fps")
     reps = f.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep"))
     reps = land(reps, "reps")
@@ -325,7 +328,9 @@ def keep_one(docs: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     keep = (reps.join(comp, "fp", "left").groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("rep").alias("rep"))
             .select(F.col("rep.doc_id").alias("_keep"), F.col("rep.text_hash").alias("_kept_hash")))
     rest = [c for c in docs.columns if c != "doc_id"]
-    w = Window.partitionBy("doc_id", "_hash").orderBy(*(F.col(c) for c in rest))
+    as_text = F.to_json(F.struct(*(F.col(c) for c in rest))) if rest else F.lit("")
+    w = Window.partitionBy("doc_id", "_hash").orderBy("_row")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_kept_hash"))
-    return (docs.withColumn("_hash", F.xxhash64(utf8("text"))).join(keep, same, "left_semi")
-            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_hash"))
+    kept = (docs.withColumn("_hash", F.xxhash64(utf8("text"))).join(keep, same, "left_semi").withColumn("_row", F.sha2(as_text, 256))
+            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_hash", "_row"))
+    return given_back(kept).select(*columns)
