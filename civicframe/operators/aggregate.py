@@ -182,6 +182,21 @@ def areal_interpolation(values: DataFrame, blocks: DataFrame, source_key: str, t
             .groupBy(target_key).agg(F.sum(F.col(value_col) * F.col("_w")).alias(out)))
 
 
+def overlay_interpolation(values: DataFrame, blocks: DataFrame, targets: DataFrame, source_key: str, pop_col: str,
+                          value_col: str, id_col: str = "id", out: str = "estimate") -> DataFrame:
+    """A17 from geometry: (target id, estimate). A block's share of its source
+    area's population is dealt to the target areas by the share of the block's
+    area that lies in each (:func:`civicframe.operators.spatial.overlay`). If
+    the targets cover every block without overlap, totals are preserved."""
+    from civicframe.operators.spatial import overlay
+    parts = overlay(blocks, targets, id_col=id_col)
+    pieces = (blocks.select(F.col(id_col).alias("l"), source_key, pop_col).join(parts, "l")
+              .select(source_key, F.col("r").alias("_target"), (F.col(pop_col) * F.col("share")).alias("_part")))
+    src = blocks.groupBy(source_key).agg(F.sum(pop_col).alias("_src_pop"))
+    return (pieces.join(src, source_key).join(values.select(source_key, value_col), source_key)
+            .groupBy(F.col("_target").alias(id_col)).agg(F.sum(F.col(value_col) * F.col("_part") / F.col("_src_pop")).alias(out)))
+
+
 def two_way_class(df: DataFrame, a: str, b: str, tie_key: str, k: int = 3, out: str = "risk_class") -> DataFrame:
     """``ntile(k)`` of ``a`` and of ``b`` over all rows, combined into a
     label such as ``"3-1"``. Tiles come from distributed row numbers, not an

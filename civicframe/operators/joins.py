@@ -233,6 +233,38 @@ def address_to_parcel(requests: DataFrame, parcels: DataFrame, req_addr: str, pa
     return r.join(p.drop(parcel_addr), "_addr_key", "left").drop("_addr_key")
 
 
+def nearest_address(requests: DataFrame, parcels: DataFrame, req_addr: str, parcel_addr: str, parcel_id: str,
+                    max_share: float = 0.25, distance: str = "distance") -> DataFrame:
+    """J10 for misspelt streets: each request with the parcel of the same house
+    number whose street is nearest by edit distance, if that is at most
+    ``max_share`` of the request's street (ties: smallest ``parcel_id``);
+    without one the parcel columns are null.
+
+    Candidates are pairs of a block: same house number and a run of three
+    letters of the street in common (an equi-join on both). Edit
+    distance is worked out for these pairs only, and the best is a partial
+    aggregate, so a house number that very many addresses have is no group in one task.
+    """
+    def parts(df, addr):
+        a = df.withColumn("_norm", normalise_address(addr))
+        return a.select("*", F.regexp_extract("_norm", r"^(\d+) ", 1).alias("_number"), F.regexp_extract("_norm", r"^\d+ (.+)$", 1).alias("_street")).drop("_norm")
+
+    def grams(df, *keep):
+        runs = F.regexp_extract_all("_street", F.lit("(?=(.{3}))"), F.lit(1))
+        return df.where("_street <> ''").select(*keep, "_number", "_street", F.explode(F.array_distinct(runs)).alias("_gram"))
+    r = cut_lineage(parts(requests, req_addr).withColumn("_rid", F.monotonically_increasing_id()))
+    p = cut_lineage(parts(parcels, parcel_addr))
+    rg = grams(r, "_rid")
+    pg = grams(p, parcel_id).withColumnRenamed("_street", "_other")
+    pairs = rg.join(pg, ["_number", "_gram"]).select("_rid", parcel_id, "_street", "_other").distinct()
+    near = pairs.withColumn("_d", F.levenshtein("_street", "_other")).where(F.col("_d") <= F.char_length("_street") * max_share)
+    best = near.groupBy("_rid").agg(F.min(F.struct("_d", parcel_id)).alias("_b")).select(
+        "_rid", F.col(f"_b.{parcel_id}").alias(parcel_id), F.col("_b._d").alias(distance))
+    found = r.join(best, "_rid", "left").drop("_rid", "_number", "_street")
+    return found.join(p.drop("_number", "_street", parcel_addr).dropDuplicates([parcel_id]), parcel_id, "left") \
+        .select(*requests.columns, parcel_id, *[c for c in parcels.columns if c not in (parcel_id, parcel_addr)], distance)
+
+
 def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str, id_col: str | None = None) -> DataFrame:
     """J7 for literal items: keep rows whose text contains any item as a
     substring. Null texts and items match nothing; an empty item is contained in

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicframe.operators import aggregate as A
 from civicframe.operators import spatial as S
 from civicframe.operators.parallel import widen
 from civicframe.sources.readers import with_bbox
@@ -137,3 +138,31 @@ def zip_prefix(df: DataFrame, col: str, prefixes) -> DataFrame:
     for p in prefixes:
         cond = cond | F.col(col).startswith(p)
     return df.where(cond)
+
+
+@register("zones_interpolated", ("A17", "J9"), """
+WITH v AS (SELECT s_nationkey AS nation, SUM(s_acctbal) AS value FROM supplier GROUP BY 1),
+c AS (SELECT c_custkey, c_nationkey AS nation, 1 + c_custkey % 7 AS pop, CAST(c_custkey % 100 AS DOUBLE) AS x0,
+             CAST(floor(c_custkey / 100) % 50 AS DOUBLE) AS y0, 0.5 + abs(c_acctbal) / 2000 AS w FROM customer),
+z AS (SELECT DISTINCT zx, zy FROM (SELECT unnest(range(CAST(floor(x0 / 10) AS BIGINT), CAST(floor((x0 + w) / 10) AS BIGINT) + 1)) AS zx, y0, w FROM c) a,
+      LATERAL (SELECT unnest(range(CAST(floor(a.y0 / 10) AS BIGINT), CAST(floor((a.y0 + a.w) / 10) AS BIGINT) + 1)) AS zy) b),
+o AS (SELECT c.nation, pop, zx, zy, greatest(0, least(x0 + w, zx * 10 + 10) - greatest(x0, zx * 10)) * greatest(0, least(y0 + w, zy * 10 + 10) - greatest(y0, zy * 10)) / (w * w) AS share
+      FROM c JOIN z ON x0 <= zx * 10 + 10 AND x0 + w >= zx * 10 AND y0 <= zy * 10 + 10 AND y0 + w >= zy * 10),
+sp AS (SELECT nation, SUM(pop) AS src_pop FROM c GROUP BY 1)
+SELECT CAST(zx AS VARCHAR) || ':' || CAST(zy AS VARCHAR) AS id, ROUND(SUM(value * pop * share / src_pop), 4) AS estimate
+FROM o JOIN sp USING (nation) JOIN v USING (nation) WHERE share > 0 GROUP BY 1
+""")
+def zones_interpolated(spark, sf_dir):
+    """Supplier balance per nation moved to square zones of side 10, through
+    customer tiles as blocks, by the area of each tile in each zone."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("nation"),
+                                                 (1 + F.col("c_custkey") % 7).alias("pop"))
+    tiles = customer_tiles(spark, sf_dir)
+    blocks = tiles.join(c, "id")
+    cells = tiles.select(F.explode(F.sequence(F.floor(F.col("xmin") / 10), F.floor(F.col("xmax") / 10))).alias("zx"), "ymin", "ymax") \
+        .select("zx", F.explode(F.sequence(F.floor(F.col("ymin") / 10), F.floor(F.col("ymax") / 10))).alias("zy")).distinct()
+    side = F.lit(10.0)
+    zones = with_bbox(cells.select(F.concat_ws(":", "zx", "zy").alias("id"), S.rectangle(F.col("zx") * side, F.col("zy") * side, side, side).alias("rings")))
+    values = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sum("s_acctbal").alias("value"))
+    got = A.overlay_interpolation(values, blocks, zones, "nation", "pop", "value")
+    return got.select("id", F.round("estimate", 4).alias("estimate"))

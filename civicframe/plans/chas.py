@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from civicframe.operators import reshape as R
 from civicframe.sources import sinks as K
+from civicframe.sources.readers import read_wide_tables
 
 # Geographies offered (the source also has "remainders",
 # which a cluster can take as well).
@@ -44,8 +45,7 @@ def variable_labels(dictionary: DataFrame, labels: DataFrame) -> DataFrame:
     parts = d.select("variable", F.col("description_1").alias("universe"),
                      F.posexplode(F.array("description_2", "description_3", "description_4", "description_5"))
                      .alias("pos", "raw"))
-    lk = F.broadcast(labels.select(F.col("raw").alias("_raw"), F.col("label").alias("_label"),
-                                   F.col("concept").alias("_concept")))
+    lk = labels.select(F.col("raw").alias("_raw"), F.col("label").alias("_label"), F.col("concept").alias("_concept"))
     std = parts.join(lk, parts["raw"] == lk["_raw"], "left").select(
         "variable", "universe", "pos", F.coalesce("_label", "raw").alias("part"), F.col("_concept").alias("concept"))
     g = std.groupBy("variable", "universe").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "concept"))).alias("p"))
@@ -61,21 +61,8 @@ def tidy_tables(spark: SparkSession, table_paths, dictionary: DataFrame, labels:
     """S5 + R1 + J5: wide tables to long rows with labels attached. The
     state / county filter is applied on the wide rows, before they are
     turned long."""
-    longs = []
-    for p in table_paths:
-        raw = spark.read.option("header", True).csv(p)
-        if state is not None:
-            raw = raw.where(F.col("st") == state)
-        if county is not None:
-            raw = raw.where(F.col("cnty") == county)
-        longs.append(R.wide_to_long(raw, ID_COLS))
-    long = longs[0]
-    for other in longs[1:]:
-        long = long.unionByName(other)
-    lab = variable_labels(dictionary, labels)
-    # The dictionary has one row per variable of the data set (thousands at
-    # most), so it is broadcast.
-    out = long.join(F.broadcast(lab), "variable", "left")
+    long = read_wide_tables(spark, table_paths, ID_COLS, {k: v for k, v in (("st", state), ("cnty", county)) if v is not None}).drop("source_file")
+    out = long.join(variable_labels(dictionary, labels), "variable", "left")
     return out.withColumns({"year": F.lit(year), "geography": F.col("sumlevel").cast("int")}).select(*OUT_COLS)
 
 
@@ -118,14 +105,11 @@ from civicframe.plans.registry import register, table  # noqa: E402
 # Label lookup of the driver-table run (segment names).
 SEGMENT_LABELS = [("AUTOMOBILE", "Automobile"), ("BUILDING", "Building"), ("FURNITURE", "Furniture"),
                   ("HOUSEHOLD", "Household"), ("MACHINERY", "Machinery")]
-MAX_COLUMNS = 1000  # of a wide table; more years or segments are an error
 
 
 def _values(df: DataFrame, col: str) -> list:
-    found = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect())
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} values of {col}")
-    return found
+    """All values, which become columns of a wide table."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def land_driver_tables(spark, sf_dir, root: str, year: int = 2020) -> None:

@@ -131,6 +131,33 @@ def customer_parcels(spark, sf_dir):
         .select("c_custkey", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
+_STREET = "upper(p_name || ' ' || p_type)"
+
+
+@register("near_addresses", ("J10",), f"""
+WITH p AS (SELECT p_partkey, p_partkey % 500 AS number, {_STREET} AS street FROM part),
+s AS (SELECT c_custkey, c_custkey % 500 AS number, {_STREET} AS full_street FROM customer JOIN part ON c_custkey = p_partkey),
+r AS (SELECT c_custkey, number, substr(full_street, 1, 2 + CAST(c_custkey % 5 AS INTEGER)) || substr(full_street, 4 + CAST(c_custkey % 5 AS INTEGER)) AS street FROM s),
+g AS (SELECT c_custkey, p_partkey, levenshtein(r.street, p.street) AS d FROM r JOIN p USING (number)
+      WHERE list_has_any(list_transform(range(1, length(r.street) - 1), lambda i: substr(r.street, i, 3)),
+                         list_transform(range(1, length(p.street) - 1), lambda i: substr(p.street, i, 3)))
+        AND levenshtein(r.street, p.street) <= length(r.street) * 0.25),
+b AS (SELECT c_custkey, p_partkey, d, row_number() OVER (PARTITION BY c_custkey ORDER BY d, p_partkey) AS k FROM g)
+SELECT r.c_custkey, b.p_partkey, CAST(b.d AS INTEGER) AS distance FROM r LEFT JOIN b ON r.c_custkey = b.c_custkey AND k = 1
+""")
+def near_addresses(spark, sf_dir):
+    """Requests whose street lacks a letter, against parcels on parts' names."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    number = lambda key: (F.col(key) % 500).cast("string")
+    parcels = p.select("p_partkey", F.concat_ws(" ", number("p_partkey"), F.expr(_STREET)).alias("paddr"))
+    at = (F.col("c_custkey") % 5).cast("int")
+    street = F.expr(_STREET)
+    wrong = F.concat(F.substring(street, F.lit(1), 2 + at), F.substring(street, 4 + at, F.char_length(street)))
+    req = (table(spark, sf_dir, "customer").select("c_custkey").join(p, F.col("c_custkey") == F.col("p_partkey"))
+           .select("c_custkey", F.concat_ws(" ", number("c_custkey"), wrong).alias("addr")))
+    return J.nearest_address(req, parcels, "addr", "paddr", "p_partkey").select("c_custkey", "p_partkey", "distance")
+
+
 @register("segment_category_codes", ("R7", "R3"), """
 WITH s AS (SELECT c_mktsegment AS category, lpad(CAST(min(c_nationkey) % 100 AS VARCHAR), 2, '0') AS num, max(c_nationkey) > 3 AS has_c
            FROM customer GROUP BY 1)

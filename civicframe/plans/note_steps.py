@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from civicframe.functions import note_lookups as L
 from civicframe.functions.regex import alternation, java_regex
+from civicframe.functions.strings import squish
 from civicframe.operators.parallel import widen
 from civicframe.operators.text import extract_and_strip, gated_fold_replace
 from civicframe.plans import notes as N
@@ -121,16 +122,52 @@ def note_contacts(spark, sf_dir):
     return _step(spark, sf_dir, L.CONTACTS, "contact")
 
 
-@register("phrase_residuals", ("N11", "A5"), _NOTED.replace("concat_ws(' ', lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), ", "(")
-          + f"SELECT {_squish('regexp_replace(note, ' + chr(39) + _re2(alternation([p for p, _ in L.STATUS_TAGS])) + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS note, COUNT(*) AS n FROM n GROUP BY 1")
+def sentences(spark, sf_dir):
+    """The sentences of the notes, a note each, with their place."""
+    d = noted(spark, sf_dir).select("doc_id", F.posexplode(F.split("note", r"[.!?;\n]+")).alias("pos", "note"))
+    return d.withColumn("note", squish(F.col("note"))).where("note <> ''")
+
+
+_SENTENCES = _NOTED.rstrip() + rf"""
+, q AS (SELECT doc_id, regexp_split_to_array(note, '[.!?;\n]+') AS p FROM n),
+s AS (SELECT doc_id, i - 1 AS pos, {_squish("p[i]")} AS note FROM q, range(1, len(p) + 1) r(i) WHERE {_squish("p[i]")} <> '')
+"""
+_ALL_TAGS = _re2(alternation([p for p, _ in L.STATUS_TAGS]))
+_LEFT_OVER = _squish(f"regexp_replace(note, '{_ALL_TAGS}', '', 'g')")
+
+
+@register("phrase_residuals", ("N11", "A5"), _SENTENCES + f"SELECT {_LEFT_OVER} AS note, COUNT(*) AS n FROM s GROUP BY 1")
 def phrase_residuals(spark, sf_dir):
-    """What the status tags leave of the phrases, most common first."""
-    d = table(spark, sf_dir, "documents").select(
-        F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int")).alias("note"))
-    left = extract_and_strip(d, "note", L.STATUS_TAGS, "tags", drop_empty=False)
+    """What the status tags leave of the documents' sentences, most common first."""
+    left = extract_and_strip(sentences(spark, sf_dir), "note", L.STATUS_TAGS, "tags", drop_empty=False)
     return N.residual_frequency(left, "note")
 
 
+@register("short_note_residuals", ("N11", "X11"), _SENTENCES + f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_LEFT_OVER} AS note FROM s WHERE length({_LEFT_OVER}) = 2")
+def short_note_residuals(spark, sf_dir):
+    """Sentences of which the status tags leave two characters."""
+    left = extract_and_strip(sentences(spark, sf_dir), "note", L.STATUS_TAGS, "tags", drop_empty=False)
+    return N.short_residuals(left, "note").select("doc_id", "pos", "note")
+
+
+_NO_MARKS = _squish(r"regexp_replace(regexp_replace(x, '\p{S}|;|\(|\)|/|-', ' ', 'g'), '\p{P}', '', 'g')")
+
+
+@register("notes_beyond_codes", ("N7", "J6"), _SENTENCES + f"""
+, m AS (SELECT note AS x FROM s WHERE pos = 0),
+c AS (SELECT x AS v FROM m UNION SELECT {_NO_MARKS} FROM m UNION SELECT lower(source) FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, COUNT(*) AS n, CAST(MIN(pos) AS INTEGER) AS first_pos FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE v = note) GROUP BY 1
+""")
+def notes_beyond_codes(spark, sf_dir):
+    """Sentences that say more than a code (a source) or its meaning (a
+    document's first sentence, with its marks or without)."""
+    s = sentences(spark, sf_dir)
+    code = table(spark, sf_dir, "documents").select("doc_id", F.lower("source").alias("RESOLUTION_CODE"))
+    raw = s.where("pos = 0").join(code, "doc_id", "full").select("RESOLUTION_CODE", F.col("note").alias("RESOLUTION_CODE_MEANING"))
+    left = N.drop_code_notes(s, N.resolution_table(raw), "note")
+    return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+
+
 @register("building_requests", ("N1", "F5"), """
 SELECT conv_id, turn FROM (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s, role FROM conversations)
 WHERE NOT regexp_matches(s, '""" + _re2(alternation(L.NOT_RELEVANT)) + """') AND role <> 'system' AND role <> s

@@ -92,15 +92,17 @@ def clean_notes(raw: DataFrame, inspectors=None) -> DataFrame:
     notes = building_notes(raw).select("INCIDENT_NUMBER", text).withColumn("original_summary", F.col(text))
     notes = strip_phones_dates(notes, text)
     notes = fix_and_tag_inspectors(notes, text, inspectors)
-    # A note that only repeats a code or its meaning says nothing. The
-    # code table is small (distinct codes) and broadcast; the emptied
-    # notes are dropped first so the join sees only live notes.
-    notes = drop_emptied(notes, text)
-    notes = J.drop_if_equals_any(notes, text, F.broadcast(codes),
-                                 ["RESOLUTION_CODE", "RESOLUTION_CODE_MEANING", "code_meaning_2"])
+    # the emptied notes are dropped first so the join sees only live notes
+    notes = drop_code_notes(drop_emptied(notes, text), codes, text)
     return drop_emptied(tag_visits_status_contacts(notes, text), text)
 
 
+def drop_code_notes(notes: DataFrame, codes: DataFrame, text: str) -> DataFrame:
+    """A note that only repeats a code or its meaning says nothing.
+    ``codes``: see :func:`resolution_table`."""
+    return J.drop_if_equals_any(notes, text, codes, ["RESOLUTION_CODE", "RESOLUTION_CODE_MEANING", "code_meaning_2"])
+
+
 def residual_frequency(cleaned: DataFrame, text: str = "RESOLUTION_SUMMARY") -> DataFrame:
     """What is left, most common first."""
     return cleaned.groupBy(text).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(text))

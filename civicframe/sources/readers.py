@@ -42,19 +42,48 @@ def read_json_pages(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path).distinct()
 
 
-def read_wide_tables(spark: SparkSession, paths, id_cols, measure=re.compile(r"^T\w+?_(est|moe)\d+$")) -> DataFrame:
-    """Many wide CSV files of one data set into one long table.
-
-    Each file has its own columns; each is read with its header, its
-    measure columns cast to long and turned long (R1), and the long pieces
-    are unioned into one plan (no driver loop over data)."""
-    from civicframe.operators.reshape import wide_to_long
-    longs = []
-    for p in paths:
-        raw = spark.read.option("header", True).csv(p)
-        cols = [F.col(c).cast("long").alias(c) if measure.match(c) else F.col(c) for c in raw.columns]
-        longs.append(wide_to_long(raw.select(*cols), id_cols).withColumn("source_file", F.lit(p.rsplit("/", 1)[-1])))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), longs)
+def _csv_fields(line: str):
+    """Fields of one line of CSV; a quoted field may hold commas and doubled
+    quotes, but no line break."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.col(line)), F.lit(r',(?:"(?:[^"]|"")*"|[^,]*)'), F.lit(0))
+
+    def plain(f):
+        f = F.substring(f, F.lit(2), F.char_length(f))
+        return F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.char_length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(found, plain)
+
+
+def read_wide_tables(spark: SparkSession, paths, id_cols, equals: dict | None = None,
+                     measure: str = r"^(T\w+?)_(est|moe)(\d+)$") -> DataFrame:
+    """Many wide CSV files of one data set into one long table (R1):
+    (id columns, variable, est, moe, source_file).
+
+    The files are read in one pass as lines, and each line meets its own
+    file's header (the line that has all the id columns' names), so files may differ in
+    their columns and have any number of them: no column of the plan stands
+    for a variable. ``T1_est1`` and ``T1_moe1`` of a line become one row ``T1_1``; an empty
+    cell is a row with a null. ``equals``: id columns to be filtered on before lines are
+    turned long.
+    """
+    table_of = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.csv)", 1)
+    lines = spark.read.text([str(p) for p in paths]).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), table_of.alias("source_file"))
+    cells = lines.select("source_file", _csv_fields("value").alias("f"))
+    is_header = F.forall(F.array(*[F.lit(c) for c in id_cols]), lambda c: F.array_contains("f", c))
+    headers = cells.where(is_header).groupBy("source_file").agg(F.max("f").alias("h"))
+    rows = cells.where(~is_header).join(headers, "source_file")
+    rows = rows.select("source_file", "h", "f", *(F.nullif(F.get("f", (F.array_position("h", c) - 1).cast("int")), F.lit("")).alias(c) for c in id_cols))
+    for c, v in (equals or {}).items():
+        rows = rows.where(F.col(c) == v)
+    # numbered before they are taken apart
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    each = rows.select("_row", "source_file", *id_cols, F.explode(F.arrays_zip("h", "f")).alias("x")).where(F.col("x.h").rlike(measure))
+    part = [F.regexp_extract("x.h", measure, i) for i in (1, 2, 3)]
+    # a line's cells are in one task, so the shuffle moves finished rows
+    each = each.select("_row", "source_file", *id_cols, F.concat_ws("_", part[0], part[2]).alias("variable"), part[1].alias("_kind"),
+                       F.nullif(F.col("x.f"), F.lit("")).cast("long").alias("_v"))
+    got = each.groupBy("_row", "source_file", *id_cols, "variable").agg(
+        F.max(F.when(F.col("_kind") == "est", F.col("_v"))).alias("est"), F.max(F.when(F.col("_kind") == "moe", F.col("_v"))).alias("moe"))
+    return got.select(*id_cols, "variable", "est", "moe", "source_file")
 
 
 def read_dictionary(spark: SparkSession, path: str, names, positions=None) -> DataFrame:

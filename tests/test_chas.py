@@ -76,3 +76,28 @@ def test_read_wide_tables_and_dictionary(spark, scratch):
     assert set(long.columns) == {"geoid", "name", "variable", "est", "moe", "source_file"}
     d = read_dictionary(spark, f"{scratch}/raw/2020/dictionary.csv", ["code", "universe"])
     assert d.columns[:2] == ["code", "universe"] and d.count() == 5
+
+
+def test_wide_files_of_any_width_and_header(spark, scratch):
+    import os
+    from civicframe.sources.readers import read_wide_tables
+    os.makedirs(f"{scratch}/w")
+    n = 5000
+    heads = {"Table1.csv": ["geoid", "name", *(f"T1_{k}{i}" for i in range(1, n // 2 + 1) for k in ("est", "moe"))],
+             "Table2.csv": ["name", "T2_moe1", "geoid", "T2_est1", "T2_est2", "note"], "Table3.csv": ["geoid", "name", "other"]}
+    rows = {"Table1.csv": [[str(g), f"Area {g}", *(str(g * 10000 + i) if i % 7 else "" for i in range(n))] for g in range(3)],
+            "Table2.csv": [['"Comma, ""quoted"""', "1", "7", "2", "", "x"], ["", "5", "8", "", "6", '"a,b"']], "Table3.csv": [["1", "n", "z"]]}
+    for f, h in heads.items():
+        with open(f"{scratch}/w/{f}", "w") as out:
+            out.write("\n".join(",".join(r) for r in [h, *rows[f]]) + "\n")
+    got = read_wide_tables(spark, [f"{scratch}/w/{f}" for f in heads], ["geoid", "name"]).collect()
+    want = {}
+    for g in range(3):
+        for i in range(n // 2):
+            a, b = rows["Table1.csv"][g][2 + 2 * i:4 + 2 * i]
+            want["Table1.csv", str(g), f"Area {g}", f"T1_{i + 1}"] = (int(a) if a else None, int(b) if b else None)
+    want["Table2.csv", "7", 'Comma, "quoted"', "T2_1"], want["Table2.csv", "7", 'Comma, "quoted"', "T2_2"] = (2, 1), (None, None)
+    want["Table2.csv", "8", None, "T2_1"], want["Table2.csv", "8", None, "T2_2"] = (None, 5), (6, None)
+    assert len(got) == len(want) and {(r.source_file, r.geoid, r["name"], r.variable): (r.est, r.moe) for r in got} == want
+    some = read_wide_tables(spark, [f"{scratch}/w/Table2.csv"], ["geoid", "name"], {"geoid": "8"})
+    assert {r.variable for r in some.collect()} == {"T2_1", "T2_2"}

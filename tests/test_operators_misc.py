@@ -163,3 +163,39 @@ def test_estimate_dictionary_join_golden(spark):
     assert rows[0] == ("01", "Alabama", "B01001A_029", "Estimate!!Total:!!Female:!!65 to 74 years",
                        "SEX BY AGE (WHITE ALONE)", 202185, 591)
     assert [r[0] for r in rows] == ["01", "02", "04", "05"]
+
+
+def test_nearest_address_against_brute_force(spark):
+    import random
+    r = random.Random(4)
+    streets = ["Union Avenue", "Poplar Ave", "Jackson Street", "Madison Rd", "North Parkway", "Lamar", "Elm", "Popular Ave"]
+
+    def wrong(s):
+        i = r.randrange(len(s))
+        return r.choice([s[:i] + s[i + 1:], s[:i] + "q" + s[i:], s])
+    parcels = [(i, f"{r.randint(1, 6)} {r.choice(streets)}") for i in range(60)] + [(100, "no number"), (101, None), (102, "")]
+    reqs = [(i, wrong(f"{r.randint(1, 7)} {r.choice(streets)}")) for i in range(80)] + [(200, None), (200, "3 Elm"), (200, "3 Elm")]
+    p = spark.createDataFrame([(*x, "t") for x in parcels], "pid int, paddr string, kind string")
+    q = spark.createDataFrame(reqs, "rid int, addr string")
+    norm = {x.a: x.n for x in q.select(F.col("addr").alias("a")).union(p.select("paddr")).select("a", J.normalise_address("a").alias("n")).distinct().collect()}
+
+    def split(a):
+        n, _, s = (norm[a] or "").partition(" ")
+        return (n, s) if n.isdigit() and s else (None, None)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+    want = []
+    for rid, a in reqs:
+        n, s = split(a)
+        best = min(((edits(s, t), pid) for pid, b in parcels for m, t in [split(b)] if n and m == n
+                    and {s[i:i + 3] for i in range(len(s) - 2)} & {t[i:i + 3] for i in range(len(t) - 2)} and edits(s, t) <= 0.25 * len(s)), default=(None, None))
+        want.append((rid, a, best[1], "t" if best[1] is not None else None, best[0]))
+    got = J.nearest_address(q, p, "addr", "paddr", "pid")
+    assert got.columns == ["rid", "addr", "pid", "kind", "distance"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -1,6 +1,8 @@
 """Within / intersects on hand-made shapes (sf semantics: boundary contact
 counts for intersects; within allows a shared boundary)."""
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from civicframe.operators import spatial as S
@@ -95,3 +97,118 @@ def test_point_position(spark):
     pts = df.withColumn("k", F.lit(1)).join(a, "k").orderBy("x", "y")
     out = [r.p for r in pts.select(S.position(F.col("x"), F.col("y"), S.edges_of(F.col("r"))).alias("p")).collect()]
     assert out == [2, 0, 1, 0]  # sorted by x: (5,5) (7,7) (10,3) (11,3)
+
+
+# --- brute force in exact fractions ------------------------------------------
+
+def _edges(rings):
+    out = []
+    for r in rings:
+        pts = [(p["x"], p["y"]) for p in r]
+        out += [(a, b) for a, b in zip(pts, pts[1:] + pts[:1]) if a != b]
+    return [tuple((Fraction(x), Fraction(y)) for x, y in e) for e in out]
+
+
+def _meet(e, f):
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = *e, *f
+    rx, ry, sx, sy, qx, qy = bx - ax, by - ay, dx - cx, dy - cy, cx - ax, cy - ay
+    den, off, length = rx * sy - ry * sx, qx * ry - qy * rx, rx * rx + ry * ry
+    if den:
+        t, u = (qx * sy - qy * sx) / den, off / den
+        return [t] if 0 <= t <= 1 and 0 <= u <= 1 else []
+    if off:
+        return []
+    ends = [(qx * rx + qy * ry) / length, ((dx - ax) * rx + (dy - ay) * ry) / length]
+    inside = [t for t in ends if 0 <= t <= 1]
+    return inside + ([Fraction(0), Fraction(1)] if min(ends) <= 0 and max(ends) >= 1 else [])
+
+
+def _place(x, y, edges):
+    odd = False
+    for (ax, ay), (bx, by) in edges:
+        if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return 1
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return 2 if odd else 0
+
+
+def _mids(e, others):
+    ts = sorted({Fraction(0), Fraction(1), *(t for f in others for t in _meet(e, f))})
+    (ax, ay), (bx, by) = e
+    return [(ax + (bx - ax) * (s + t) / 2, ay + (by - ay) * (s + t) / 2) for s, t in zip(ts, ts[1:])]
+
+
+def _brute_within(a, b):
+    if not a or any(_place(*m, b) == 0 for e in a for m in _mids(e, b)) or any(_place(*m, a) == 2 for f in b for m in _mids(f, a)):
+        return False
+    ys = sorted({p[1] for e in a for p in e})
+    for lo, hi in zip(ys, ys[1:]):
+        y = (lo + hi) / 2
+        xs = sorted((bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in a if (ay > y) != (by > y))
+        if any(_place((u + v) / 2, y, b) == 0 for u, v in zip(xs[::2], xs[1::2])):
+            return False
+    return True
+
+
+def _brute_intersects(a, b):
+    return any(_meet(e, f) for e in a for f in b) or any(_place(*e[0], b) for e in a) or any(_place(*e[0], a) for e in b)
+
+
+def test_random_polygons_against_brute_force(spark):
+    import random
+    r = random.Random(11)
+
+    def star(cx, cy, size, n):
+        import math
+        turns = sorted(r.random() for _ in range(n))
+        return [(cx + round(size * r.uniform(0.4, 1) * math.cos(2 * math.pi * t)), cy + round(size * r.uniform(0.4, 1) * math.sin(2 * math.pi * t))) for t in turns]
+    layer = {f"s{i}": poly(star(r.randint(0, 60), r.randint(0, 60), r.choice([2, 4, 9]), r.randint(3, 9))) for i in range(60)}
+    layer |= {f"b{i}": poly(box(x := r.randint(0, 50), y := r.randint(0, 50), x + r.randint(1, 9), y + r.randint(1, 9))) for i in range(60)}
+    anchors = {"big": poly(box(5, 5, 50, 50), box(20, 20, 30, 30), box(22, 22, 27, 27)), "star": poly(star(30, 30, 30, 14)), "two": poly(box(0, 0, 12, 12), box(40, 40, 60, 60)),
+               "small": poly(box(21, 21, 24, 24)), "b0": layer["b0"]}
+    layer |= {"hole": poly(box(20, 20, 30, 30)), "isle": poly(box(22, 22, 27, 27)), "round": poly(box(18, 18, 32, 32), box(20, 20, 30, 30))}
+    schema = "id string, rings array<array<struct<x:double,y:double>>>"
+    lf, af = (with_bbox(spark.createDataFrame(list(x.items()), schema)) for x in (layer, anchors))
+    b = [_edges(x) for x in anchors.values()]
+    for name, rule in (("within", _brute_within), ("intersects", _brute_intersects)):
+        want = {i for i, x in layer.items() if any(rule(_edges(x), e) for e in b)}
+        got = [x.id for x in S.select_by_location(lf, af, name).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, (name, set(got) ^ want)
+
+
+def test_anchor_of_very_many_vertices(spark):
+    import math
+    n = 100_000
+    ring = [(100 * math.cos(2 * math.pi * i / n) * (1 + 0.001 * (i % 2)), 100 * math.sin(2 * math.pi * i / n) * (1 + 0.001 * (i % 2))) for i in range(n)]
+    shapes = {"in": poly(box(0, 0, 10, 10)), "out": poly(box(75, 75, 80, 80)), "edge": poly(box(99, -5, 110, 5)), "far": poly(box(200, 200, 201, 201))}
+    assert pick(spark, shapes, poly(ring), "within") == {"in"}
+    assert pick(spark, shapes, poly(ring), "intersects") == {"in", "edge"}
+
+
+def test_overlap_areas(spark):
+    shapes = {"box": poly(box(1, 1, 4, 5)), "holed": poly(box(0, 0, 10, 10), box(2, 2, 4, 4)), "parts": poly(box(0, 0, 2, 2), box(3, 3, 6, 6)),
+              "triangle": poly([(0, 0), (6, 0), (0, 6)]), "far": poly(box(50, 50, 51, 51))}
+    schema = "id string, rings array<array<struct<x:double,y:double>>>"
+    df = with_bbox(spark.createDataFrame(list(shapes.items()), schema))
+    got = {(r.l, r.r): (round(r.area, 9), round(r.share, 9)) for r in S.overlay(df, df, cell=3.0).collect()}
+    want = {("box", "box"): 12, ("holed", "holed"): 96, ("parts", "parts"): 13, ("triangle", "triangle"): 18, ("far", "far"): 1,
+            ("box", "holed"): 8, ("box", "parts"): 3, ("box", "triangle"): 8.0 - 0.0, ("holed", "parts"): 12, ("holed", "triangle"): 18 - 4 + 0.0, ("parts", "triangle"): 4}
+    # under x + y = 6: the box loses the triangle over the line, the hole all of its square but its far corner's half
+    want["box", "triangle"] = 12 - 4.5
+    want["holed", "triangle"] = 18 - (4 - 2.0)
+    for (a, b), v in want.items():
+        assert got[a, b][0] == v and got[b, a][0] == v, (a, b, got[a, b])
+        assert abs(got[a, b][1] - v / want[a, a]) < 1e-9
+    assert ("box", "far") not in got
+
+
+def test_overlay_interpolation_keeps_totals(spark):
+    from civicframe.operators import aggregate as A
+    schema = "id string, rings array<array<struct<x:double,y:double>>>, source string, pop int"
+    blocks = with_bbox(spark.createDataFrame([("a", poly(box(0, 0, 4, 4)), "s1", 3), ("b", poly([(4, 0), (8, 0), (6, 6)]), "s1", 1), ("c", poly(box(2, 5, 5, 9)), "s2", 5)], schema))
+    zones = with_bbox(spark.createDataFrame([(f"{i}{j}", poly(box(3 * i, 3 * j, 3 * i + 3, 3 * j + 3))) for i in range(3) for j in range(3)],
+                                            "id string, rings array<array<struct<x:double,y:double>>>"))
+    values = spark.createDataFrame([("s1", 100.0), ("s2", 40.0)], "source string, value double")
+    got = {r.id: r.estimate for r in A.overlay_interpolation(values, blocks, zones, "source", "pop", "value").collect()}
+    assert abs(sum(got.values()) - 140) < 1e-9 and abs(got["00"] - 75 * 9 / 16) < 1e-9
