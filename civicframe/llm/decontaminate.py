@@ -28,6 +28,7 @@ WINDOW = 10
 # worst case). More items mean more passes, each with an automaton of this
 # size; nothing is left out.
 BLOCK_BYTES = 8 << 20
+PAIR_BITS = 20    # of a bit map of neighbouring words; a false one costs a scan
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 RESULT = ("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
           "hit_spans array<struct<start:int,end:int>>, items array<long>")
@@ -49,26 +50,45 @@ class Windows:
                 ids = found.setdefault(tuple(w[i:i + n]), set())
                 if item_id is not None:
                     ids.add(item_id)
+        #: windows of one word are looked up, longer ones scanned for
+        self.single = {k[0]: ids for k, ids in found.items() if len(k) == 1}
+        longer = {k: ids for k, ids in found.items() if len(k) > 1}
+        self.least = min(map(len, longer), default=0)
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k, ids in found.items():
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        for k, ids in longer.items():
             self.auto.add_word(k, (len(k), ids))
-        self.some = bool(found)
-        if found:
+            w = np.array(k)
+            self.pairs[self.pair(w[:-1], w[1:])] = True
+        if longer:
             self.auto.make_automaton()
 
+    @staticmethod
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * 0x9E3779B1 + b) & 0xFFFFFFFF) * 0x85EBCA6B >> 7 & ((1 << PAIR_BITS) - 1)
+
     def find(self, words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Indexes of the hit words and the ids of the items found."""
+        """Indexes of the hit words and the ids of the items found. The
+        automaton runs over stretches in which every two neighbours may be neighbours in some window."""
         ids: set = set()
-        if not self.some or not words:
-            return np.empty(0, np.int32), ids
-        mark = None
-        for end, (n, found) in self.auto.iter(tuple(map(self.number.get, words, repeat(0)))):
-            if mark is None:
-                mark = np.zeros(len(words) + 1, np.int32)
-            mark[end - n + 1] += 1
-            mark[end + 1] -= 1
-            ids |= found
-        return (np.empty(0, np.int32) if mark is None else np.flatnonzero(np.cumsum(mark)).astype(np.int32)), ids
+        mark = np.zeros(len(words) + 1, np.int32)
+        w = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+        if self.single:
+            for i in np.flatnonzero(np.isin(w, list(self.single))).tolist():
+                mark[i] += 1
+                mark[i + 1] -= 1
+                ids |= self.single[int(w[i])]
+        if self.least and len(w) >= self.least:
+            known = self.pairs[self.pair(w[:-1], w[1:])] & (w[:-1] > 0) & (w[1:] > 0)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], known.astype(np.int8), [0]])))
+            for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if stop - start + 1 < self.least:
+                    continue
+                for end, (n, found) in self.auto.iter(tuple(w[start:stop + 1].tolist())):
+                    mark[start + end - n + 1] += 1
+                    mark[start + end + 1] -= 1
+                    ids |= found
+        return np.flatnonzero(np.cumsum(mark)).astype(np.int32), ids
 
 
 def word_spans(text: bytes, hit: list[int]) -> list[dict]:

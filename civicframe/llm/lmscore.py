@@ -184,7 +184,7 @@ def queries(landed: DataFrame, shards: int, hot: np.ndarray, parts: np.ndarray)
     return landed.select("blk", "held", "n_words", "words", "tokens").mapInArrow(run, "shard int, blk long, load array<binary>")
 
 
-def answers(asked: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
+def answers(asked: DataFrame, shards: int, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
     """(blk, shard, codes, n_roots) for each load: its roots' counts and its
     pairs' codes. n_roots: trained words of the shard that are not hot, on one
     row of a shard."""
@@ -226,7 +226,8 @@ def answers(asked: DataFrame, hot: np.ndarray, hot_n: np.ndarray) -> DataFrame:
     def one(key, table):
         got = run(table)
         return got.append_column("shard", pa.array([key[0].as_py()] * got.num_rows, pa.int32())).select(["blk", "shard", "codes", "n_roots"])
-    return asked.groupBy("shard").applyInArrow(one, "blk long, shard int, codes array<binary>, n_roots long")
+    # a task for each shard or two, however many there are
+    return asked.repartition(2 * shards, "shard").groupBy("shard").applyInArrow(one, "blk long, shard int, codes array<binary>, n_roots long")
 
 
 def scores(landed: DataFrame, answered: DataFrame, shards: int, hot: np.ndarray, hot_n: np.ndarray, parts: np.ndarray, n_texts: int, total: int,
@@ -254,7 +255,7 @@ def scores(landed: DataFrame, answered: DataFrame, shards: int, hot: np.ndarray,
                  pa.array(np.full(len(e.first), total)), pa.array(cut(np.log10(p1))), pa.array(cut(np.log10(p2)))], names=names)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     told = answered.groupBy("blk").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
-    return (landed.select("blk", "ids", "held", "n_words", "words", "tokens").join(told, "blk")
+    return (landed.select("blk", "ids", "held", "n_words", "words", "tokens").repartition(2 * shards, "blk").join(told, "blk")
             .mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
@@ -274,7 +275,7 @@ def score(docs: DataFrame, shard_tokens: int = SHARD) -> DataFrame:
     hot = np.sort(hot)
     hot_n = exact_counts(landed, hot)
     parts = np.minimum(shards, np.maximum(1, np.ceil(hot_n * 2 * shards / max(total, 1)).astype(np.int64)))
-    answered = land(answers(queries(landed, shards, hot, parts), hot, hot_n), "answers", "uncompressed")
+    answered = land(answers(queries(landed, shards, hot, parts), shards, hot, hot_n), "answers", "uncompressed")
     distinct = int(answered.agg(F.sum("n_roots")).first()[0] or 0) + int((hot_n[~np.isin(hot, MARKS)] > 0).sum()) + (1 if n_texts else 0)
     return scores(landed, answered, shards, hot, hot_n, parts, n_texts, total, distinct)
 

@@ -133,7 +133,7 @@ def test_clashing_columns_keep_their_values(spark, model):
 def test_words_are_the_symbols_of_the_automaton():
     long_words = [("w" * 5000 + str(i)) for i in range(40)]
     w = decontaminate.Windows([(1, " ".join(long_words).encode()), (None, b"only three words"), (2, b"")], 10)
-    assert len(w.auto) == 31 + 1
+    assert len(w.auto) == 31 + 1 and not w.single
     hit, ids = w.find([x.encode() for x in ["pre", *long_words[5:20], "post", "only", "three", "words"]])
     assert ids == {1} and hit.tolist() == [*range(1, 16), 17, 18, 19]
 
