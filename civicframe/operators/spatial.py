@@ -294,7 +294,7 @@ def select_by_location(layer: DataFrame, anchor: DataFrame, predicate: str = "in
     pairs = cut_lineage(pairs.select(F.col(f"l_{id_col}").alias("l"), F.col(f"r_{id_col}").alias("r"), "l_xmin", "l_ymin", "l_xmax", "l_ymax"))
     le = edge_table(layer.join(pairs.select(F.col("l").alias(id_col)).distinct(), id_col, "left_semi"), id_col)
     re_ = edge_table(anchor.join(pairs.select(F.col("r").alias(id_col)).distinct(), id_col, "left_semi"), id_col)
-    le, re_ = cut_lineage(le), cut_lineage(re_)
+    le = cut_lineage(le)
     hits = decide(pairs, le, re_, _edge_cell_size(le.union(re_))).select(F.col("l").alias("_hit")).distinct()
     return layer.join(hits, layer[id_col] == hits["_hit"], "left_semi")
 
