@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicframe.functions.regex import alternation, first_char_prefilter, java_regex, required_literals
+from civicframe.functions.regex import alternation, first_char_prefilter, java_regex, prefix_prefilter, required_literals
 from civicframe.functions.strings import squish
 
 
@@ -54,6 +54,10 @@ def may_match(col, patterns) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
+# Two noncharacters of Unicode, put around matches.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
 def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outputs: bool = True,
                       drop_empty: bool = True) -> DataFrame:
     """Pull every match of ``patterns`` out of ``text_col`` into ``out``
@@ -66,14 +70,14 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
     position, like the R original, and each match is mapped with the ordered
     replacement chain.
 
-    Two tests gate the step: needed literals (:func:`may_match`), then the
-    alternation (``_hit``): text without a match
-    is only squished, which leaves already-squished text unchanged. The
-    alternation carries a first-character look-ahead
-    (:func:`first_char_prefilter`), which skips positions no match can
-    start at. Chained
-    calls pass ``drop_empty=False`` and drop once at the end with
-    :func:`drop_emptied`.
+    Needed literals (:func:`may_match`) gate the step: text without one is
+    only squished. Other text is scanned once: each match is put between two
+    marks, and matches and remaining text are read off the marked text. A text
+    that holds a mark itself is scanned for each of the two. The alternation
+    carries a look-ahead on how matches start (:func:`prefix_prefilter`,
+    or :func:`first_char_prefilter` where that is unknown), which skips
+    positions no match can start at. Chained calls pass ``drop_empty=False``
+    and drop once at the end with :func:`drop_emptied`.
     """
     if isinstance(patterns, str):
         alt, pairs = java_regex(patterns), None
@@ -83,16 +87,22 @@ def extract_and_strip(df: DataFrame, text_col: str, patterns, out: str, map_outp
         pairs = list(patterns)
         alt = java_regex(alternation([p for p, _ in pairs]))
         gate = may_match(text_col, [p for p, _ in pairs])
-    alt = first_char_prefilter(df.sparkSession, alt)
-    text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(alt), 0)
+    ahead = prefix_prefilter(alt)
+    alt = ahead if ahead != alt else first_char_prefilter(df.sparkSession, alt)
+    text, marked = F.col(text_col), F.col("_marked")
+    own_marks = text.contains(OPEN) | text.contains(CLOSE)
+    between = f"{OPEN}([^{CLOSE}]*){CLOSE}"
+    found = F.when(own_marks, F.regexp_extract_all(text, F.lit(alt), 0)).otherwise(F.regexp_extract_all(marked, F.lit(between), 1))
     if pairs and map_outputs:
         found = F.transform(found, lambda s: fold_replace(s, pairs))
-    hit = F.col("_hit")
-    res = df.withColumn("_hit", F.when(gate, F.coalesce(text.rlike(alt), F.lit(False))).otherwise(F.lit(False))).withColumns({
-        out: F.when(hit, found).otherwise(F.array().cast("array<string>")),
-        text_col: F.when(hit, squish(F.regexp_replace(text, F.lit(alt), F.lit("")))).otherwise(squish(text)),
-    }).drop("_hit")
+    left = F.when(own_marks, F.regexp_replace(text, F.lit(alt), F.lit(""))).otherwise(F.regexp_replace(marked, F.lit(between), F.lit("")))
+    # null where there is no match, so that such text is only squished
+    scan = F.regexp_replace(text, F.lit(alt), F.lit(f"{OPEN}$0{CLOSE}"))
+    res = df.withColumn("_marked", F.when(gate, scan)) \
+        .withColumn("_marked", F.when(marked.contains(OPEN) | own_marks, marked)).withColumns({
+            out: F.when(marked.isNotNull(), found).otherwise(F.array().cast("array<string>")),
+            text_col: F.when(marked.isNotNull(), squish(left)).otherwise(squish(text)),
+        }).drop("_marked")
     return drop_emptied(res, text_col) if drop_empty else res
 
 
