@@ -12,3 +12,4 @@ from civicframe.plans import sleep  # noqa: F401
 from civicframe.plans import chas  # noqa: F401
 from civicframe.plans import everyday  # noqa: F401
 from civicframe.plans import note_steps  # noqa: F401
+from civicframe.plans import intake  # noqa: F401

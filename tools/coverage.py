@@ -11,7 +11,7 @@ from civicframe.plans.registry import ORACLE, OPERATORS, PLANS  # noqa: E402
 
 WHERE = {
     "S1": ("sources/readers.read_csv", "test_io, test_surveys"), "S2": ("sources/readers.read_requests, plans/notes.code_enforcement_requests", "test_io (PushedFilters), test_notes"),
-    "S3": ("sources/readers.read_xml_records", "test_sleep"), "S4": ("sources/readers.read_json_pages", "test_io"),
+    "S3": ("sources/readers.read_xml_records", "test_sleep"), "S4": ("sources/readers.read_json_pages, streaming/page_intake.page_sets, start_page_intake", "test_io, test_page_intake"),
     "S5": ("sources/readers.read_wide_tables, plans/chas.tidy_tables", "test_chas"), "S6": ("sources/readers.read_dictionary", "test_chas"),
     "S7": ("sources/readers.read_layer, with_bbox", "test_io"), "S8": ("sources/readers.read_years", "test_io"),
     "S9": ("sources/readers.read_layers", "test_io"), "S10": ("sources/readers.lookup, add_rows", "test_io, test_surveys"),
