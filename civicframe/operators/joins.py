@@ -233,36 +233,97 @@ def address_to_parcel(requests: DataFrame, parcels: DataFrame, req_addr: str, pa
     return r.join(p.drop(parcel_addr), "_addr_key", "left").drop("_addr_key")
 
 
+def _runs(text: str, size: int = 3) -> Column:
+    """All distinct runs of ``size`` letters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _one_off(text: str) -> Column:
+    """Hashes of a text and of all texts that lack one of its letters. Two texts one
+    edit apart have one in common."""
+    lacking = (f"transform(sequence(1, char_length({text})), i -> xxhash64(concat(substring({text}, 1, i - 1), "
+               f"substring({text}, i + 1, char_length({text})))))")
+    return F.expr(f"array_distinct(concat(array(xxhash64({text})), {lacking}))")
+
+
+# A text of n letters cut into t + 1 pieces of as even a length as can be: the last n % (t + 1) have one letter more.
+_PIECES = ("transform(sequence(0, t), i -> named_struct('i', i, 'n', n div (t + 1) + if(i > t - n % (t + 1), 1, 0), "
+           "'at', i * (n div (t + 1)) + greatest(0, i - (t + 1 - n % (t + 1)))))")
+
+
+def _near_by_one(asked: DataFrame, streets: DataFrame) -> DataFrame:
+    """Pairs of the same number that are at most one edit apart and have a run of three letters in common."""
+    pairs = (asked.select("_number", "_street", "_most", F.explode(_one_off("_street")).alias("_g"))
+             .join(streets.select("_number", "_other", "_id", F.explode(_one_off("_other")).alias("_g")), ["_number", "_g"])
+             .withColumn("_d", F.levenshtein("_street", "_other")).where(F.col("_d") <= F.least(F.lit(1), "_most")))
+    return pairs.where(F.arrays_overlap(_runs("_street"), _runs("_other")))
+
+
+def _near_by_pieces(asked: DataFrame, streets: DataFrame, limit: int, max_share: float) -> DataFrame:
+    """Pairs of the same number that are at most ``limit`` edits apart (and at
+    most the request's own bound) and have a run of three letters in common.
+
+    A street is cut into one piece more than its edits t: some piece i is
+    unchanged, with at most i edits before it and t - i after it, so it is looked for
+    among the other street's runs and must lie about where it did. Where
+    pieces would be shorter than three letters, all runs of three are looked up.
+    """
+    q = (asked.select("_number", "_street", F.char_length("_street").alias("n"), F.least(F.lit(limit), "_most").alias("t"))
+         .withColumn("_short", F.expr("n div (t + 1) < 3"))
+         .withColumn("_p", F.explode(F.when(F.col("_short"), F.transform(_runs("_street"), lambda g: F.struct(F.lit(-1).alias("i"), F.lit(0).alias("at"), g.alias("g"))))
+                                     .otherwise(F.transform(F.expr(_PIECES), lambda x: F.struct(
+                                         x["i"].cast("int").alias("i"), x["at"].cast("int").alias("at"), F.substring("_street", x["at"] + 1, x["n"]).alias("g"))))))
+         .select("_number", "_street", "n", "t", "_p.i", "_p.at", F.col("_p.g").alias("_g")))
+    # lengths of the pieces of requests that are near enough in length
+    lengths = (f"array_distinct(flatten(transform(filter(transform(sequence(greatest(3, m - {limit}), m + {limit}), "
+               f"n -> named_struct('n', n, 't', least({limit}, cast(floor(n * {max_share}D) as int)))), x -> abs(x.n - m) <= x.t), "
+               "x -> if(x.n div (x.t + 1) < 3, array(3), if(x.n % (x.t + 1) = 0, array(x.n div (x.t + 1)), array(x.n div (x.t + 1), x.n div (x.t + 1) + 1))))))")
+    p = (streets.join(asked.select("_number").distinct(), "_number", "left_semi")
+         .withColumn("m", F.char_length("_other")).where(F.col("m") >= 3)
+         .withColumn("_l", F.explode(F.expr(lengths))).where("_l <= m")
+         .withColumn("_at", F.explode(F.expr("sequence(0, m - _l)")))
+         .select("_number", "_other", "_id", "m", "_at", F.expr("substring(_other, _at + 1, _l)").alias("_g")))
+    where = ("abs(m - n) <= t and (i < 0 or (_at - at between -i and i and _at - at - (m - n) between i - t and t - i))")
+    return q.join(p, ["_number", "_g"]).where(where).withColumn("_d", F.levenshtein("_street", "_other")).where("_d <= t")
+
+
 def nearest_address(requests: DataFrame, parcels: DataFrame, req_addr: str, parcel_addr: str, parcel_id: str,
                     max_share: float = 0.25, distance: str = "distance") -> DataFrame:
     """J10 for misspelt streets: each request with the parcel of the same house
     number whose street is nearest by edit distance, if that is at most
-    ``max_share`` of the request's street (ties: smallest ``parcel_id``);
-    without one the parcel columns are null.
-
-    Candidates are pairs of a block: same house number and a run of three
-    letters of the street in common (an equi-join on both). Edit
-    distance is worked out for these pairs only, and the best is a partial
-    aggregate, so a house number that very many addresses have is no group in one task.
+    ``max_share`` of the request's street (ties: smallest ``parcel_id``) and the
+    two have a run of three letters in common; without one the parcel columns are null.
+
+    Each distinct address is looked up once, in rounds that allow 1, 3, 7, ...
+    edits; what a round finds is nearest and drops out. Candidates of the first
+    round are equal but for one letter (see :func:`_one_off`), those of the
+    others share a piece at about the same place (see :func:`_near_by_pieces`),
+    and such pieces are the longer the fewer edits a round allows. Edit distance is worked
+    out for candidates only, and the best is a partial aggregate, so a house
+    number that very many addresses have is no group in one task.
     """
     def parts(df, addr):
         a = df.withColumn("_norm", normalise_address(addr))
         return a.select("*", F.regexp_extract("_norm", r"^(\d+) ", 1).alias("_number"), F.regexp_extract("_norm", r"^\d+ (.+)$", 1).alias("_street")).drop("_norm")
-
-    def grams(df, *keep):
-        runs = F.regexp_extract_all("_street", F.lit("(?=(.{3}))"), F.lit(1))
-        return df.where("_street <> ''").select(*keep, "_number", "_street", F.explode(F.array_distinct(runs)).alias("_gram"))
-    r = cut_lineage(parts(requests, req_addr).withColumn("_rid", F.monotonically_increasing_id()))
+    r = cut_lineage(parts(requests, req_addr))
     p = cut_lineage(parts(parcels, parcel_addr))
-    rg = grams(r, "_rid")
-    pg = grams(p, parcel_id).withColumnRenamed("_street", "_other")
-    pairs = rg.join(pg, ["_number", "_gram"]).select("_rid", parcel_id, "_street", "_other").distinct()
-    near = pairs.withColumn("_d", F.levenshtein("_street", "_other")).where(F.col("_d") <= F.char_length("_street") * max_share)
-    best = near.groupBy("_rid").agg(F.min(F.struct("_d", parcel_id)).alias("_b")).select(
-        "_rid", F.col(f"_b.{parcel_id}").alias(parcel_id), F.col("_b._d").alias(distance))
-    found = r.join(best, "_rid", "left").drop("_rid", "_number", "_street")
-    return found.join(p.drop("_number", "_street", parcel_addr).dropDuplicates([parcel_id]), parcel_id, "left") \
-        .select(*requests.columns, parcel_id, *[c for c in parcels.columns if c not in (parcel_id, parcel_addr)], distance)
+    # a run of three letters takes three
+    long_enough = F.char_length("_street") >= 3
+    streets = cut_lineage(p.where(long_enough).groupBy("_number", F.col("_street").alias("_other")).agg(F.min(F.struct(parcel_id)).alias("_id")))
+    most = F.floor(F.char_length("_street") * max_share).cast("int").alias("_most")
+    todo = cut_lineage(r.where(long_enough).select("_number", "_street").distinct().select("_number", "_street", most))
+    found, limit = [], 1
+    while not found or not todo.isEmpty():
+        near = _near_by_one(todo, streets) if limit == 1 else _near_by_pieces(todo, streets, limit, max_share)
+        found.append(cut_lineage(near.groupBy("_number", "_street").agg(F.min(F.struct("_d", "_id")).alias("_b"))))
+        todo = cut_lineage(todo.where(F.col("_most") > limit).join(found[-1], ["_number", "_street"], "left_anti"))
+        limit = 2 * limit + 1
+    best = reduce(DataFrame.union, found).select("_number", "_street", F.col(f"_b._id.{parcel_id}").alias(parcel_id), F.col("_b._d").alias(distance))
+    got = r.join(best, ["_number", "_street"], "left")
+    others = [c for c in parcels.columns if c not in (parcel_id, parcel_addr)]
+    if others:
+        got = got.drop("_number", "_street").join(p.select(parcel_id, *others).dropDuplicates([parcel_id]), parcel_id, "left")
+    return got.select(*requests.columns, parcel_id, *others, distance)
 
 
 def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col: str, id_col: str | None = None) -> DataFrame:

@@ -199,3 +199,23 @@ def test_nearest_address_against_brute_force(spark):
     got = J.nearest_address(q, p, "addr", "paddr", "pid")
     assert got.columns == ["rid", "addr", "pid", "kind", "distance"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_nearest_address_of_one_busy_number(spark):
+    """Very many streets of one house number with a long ending in common: the
+    work grows with the rows, not with their pairs (which took minutes), and streets more
+    edits off are found in later rounds."""
+    import random
+    import time
+    r = random.Random(2)
+    names = sorted({"".join(r.choice("ABCDEFGHIJKLM") for _ in range(9)) for _ in range(5000)})
+    tail = " FOREST HILL SQUARE"
+    p = spark.createDataFrame([(i, f"7 {n}{tail}") for i, n in enumerate(names * 2)], "pid int, paddr string")
+    reqs = [(i, f"7 {n[:2]}{n[3:]}{tail}") for i, n in enumerate(names * 2)]
+    far = [(-1, f"7 {names[5]} FARST HELL SQARE", (5, 4)), (-2, f"7 {names[9]} FARST HELL SQRE", (9, 5)), (-3, "7 ZZZZ", (None, None)), (-4, "7 FO", (None, None))]
+    q = spark.createDataFrame(reqs + [x[:2] for x in far], "rid int, addr string")
+    start = time.time()
+    got = {x.rid: (x.pid, x.distance) for x in J.nearest_address(q, p, "addr", "paddr", "pid").collect()}
+    assert time.time() - start < 60
+    assert len(got) == len(reqs) + len(far) and all(got[x[0]] == x[2] for x in far), [got[x[0]] for x in far]
+    assert all(got[i][1] == 1 and got[i][0] < len(names) for i, _ in reqs)
