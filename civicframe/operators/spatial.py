@@ -299,30 +299,62 @@ def select_by_location(layer: DataFrame, anchor: DataFrame, predicate: str = "in
     return layer.join(hits, layer[id_col] == hits["_hit"], "left_semi")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sloping(edges: Column) -> Column:
+    """Edges that are not level; only these bound a strip's width."""
+    return F.filter(edges, lambda e: e["a"]["y"] != e["b"]["y"])
+
+
+def _crossing_heights(a: Column, b: Column) -> Column:
+    """Heights at which lines of sloping edges of a and b cross, of those with
+    overlapping boxes (a height where the edges themselves don't meet is one more cut, no harm)."""
+    def near(e, f):
+        def apart(k):
+            return ((F.least(e["a"][k], e["b"][k]) > F.greatest(f["a"][k], f["b"][k]))
+                    | (F.least(f["a"][k], f["b"][k]) > F.greatest(e["a"][k], e["b"][k])))
+        return (den(e, f) != 0) & ~apart("y") & ~apart("x")
+
+    def den(e, f):
+        return _cross(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"])
+
+    def height(e, f):
+        t = _cross(f["a"]["x"] - e["a"]["x"], f["a"]["y"] - e["a"]["y"], f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]) / den(e, f)
+        return e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t
+    return F.flatten(F.transform(a, lambda e: F.transform(F.filter(b, lambda f: near(e, f)), lambda f: height(e, f))))
+
+
 def overlap_area(a: Column, b: Column) -> Column:
-    """Area that two polygons (edges, see :func:`edges_of`) share, holes and
+    """Area that two polygons (edges, see :func:`edges_of`; level ones may be left out) share, holes and
     parts included. The plane is cut into strips at the heights of all vertices and of all
-    places where edges meet; inside a strip the shared width changes evenly, so
+    places where edges meet, as far as both polygons reach; inside a strip the shared width changes evenly, so
     its value half way up, times the height, is the strip's area."""
-    ends = F.flatten(F.transform(F.concat(a, b), lambda e: F.array(e["a"]["y"], e["b"]["y"])))
-    met = F.flatten(F.transform(a, lambda e: F.flatten(F.transform(b, lambda f: F.transform(
-        _contacts(e, f), lambda t: e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * t)))))
-    ys = F.array_sort(F.array_distinct(F.concat(ends, met)))
+    def heights(edges):
+        return F.flatten(F.transform(_sloping(edges), lambda e: F.array(e["a"]["y"], e["b"]["y"])))
+
+    def cuts(of_a, of_b):
+        lo, hi = F.greatest(F.array_min(of_a), F.array_min(of_b)), F.least(F.array_max(of_a), F.array_max(of_b))
+        return _let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda r: F.sort_array(F.array_distinct(F.filter(
+            F.concat(of_a, of_b, _crossing_heights(_sloping(a), _sloping(b))), lambda y: (y >= r["lo"]) & (y <= r["hi"])))))
 
     def spans(edges, y):
         cut = F.filter(edges, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
-        xs = F.array_sort(F.transform(cut, lambda e: _crossing_x(e, y)))
-        return F.zip_with(F.filter(xs, lambda _, i: i % 2 == 0), F.filter(xs, lambda _, i: i % 2 == 1),
-                          lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+        return _let(F.sort_array(F.transform(cut, lambda e: _crossing_x(e, y))), lambda xs: F.zip_with(
+            F.filter(xs, lambda _, i: i % 2 == 0), F.filter(xs, lambda _, i: i % 2 == 1), lambda u, v: F.struct(u.alias("u"), v.alias("v"))))
 
     def width(y):
-        mine, other = spans(a, y), spans(b, y)
-        each = F.flatten(F.transform(mine, lambda s: F.transform(other, lambda t: F.greatest(
-            F.lit(0.0), F.least(s["v"], t["v"]) - F.greatest(s["u"], t["u"])))))
+        each = _let(spans(b, y), lambda other: F.flatten(F.transform(spans(a, y), lambda s: F.transform(other, lambda t: F.greatest(
+            F.lit(0.0), F.least(s["v"], t["v"]) - F.greatest(s["u"], t["u"]))))))
         return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
-    n = F.greatest(F.size(ys) - 1, F.lit(0))
-    strips = F.zip_with(F.slice(ys, F.lit(1), n), F.slice(ys, F.lit(2), n), lambda lo, hi: (hi - lo) * width((lo + hi) / 2))
-    return F.aggregate(strips, F.lit(0.0), lambda acc, x: acc + x)
+
+    def strips(ys):
+        n = F.greatest(F.size(ys) - 1, F.lit(0))
+        return F.zip_with(F.slice(ys, F.lit(1), n), F.slice(ys, F.lit(2), n), lambda lo, hi: (hi - lo) * width((lo + hi) / 2))
+    ys = _let(heights(a), lambda of_a: _let(heights(b), lambda of_b: cuts(of_a, of_b)))
+    return F.aggregate(_let(ys, strips), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def overlay(left: DataFrame, right: DataFrame, cell: float | None = None, id_col: str = "id") -> DataFrame:
@@ -331,10 +363,13 @@ def overlay(left: DataFrame, right: DataFrame, cell: float | None = None, id_col
     from the grid, so only neighbours are held against each other."""
     pairs = candidate_pairs(left, right, cell or grid_cell_size(left), id_col).select(
         F.col(f"l_{id_col}").alias("l"), F.col(f"r_{id_col}").alias("r"))
-    own = left.select(F.col(id_col).alias("l"), edges_of(F.col("rings")).alias("_a")).withColumn("_whole", overlap_area(F.col("_a"), F.col("_a")))
-    other = right.select(F.col(id_col).alias("r"), edges_of(F.col("rings")).alias("_b"))
-    met = pairs.join(own, "l").join(other, "r").withColumn("area", overlap_area(F.col("_a"), F.col("_b")))
-    return met.where("area > 0").select("l", "r", "area", (F.col("area") / F.col("_whole")).alias("share"))
+    sloping = _sloping(edges_of(F.col("rings")))
+    own = left.select(F.col(id_col).alias("l"), sloping.alias("_a")).withColumn("_whole", overlap_area(F.col("_a"), F.col("_a")))
+    other = right.select(F.col(id_col).alias("r"), sloping.alias("_b"))
+    # a row or none of each pair: a filter on the area would be pushed below and work it out twice
+    some = F.filter(F.array(overlap_area(F.col("_a"), F.col("_b"))), lambda v: v > 0)
+    met = pairs.join(own, "l").join(other, "r").select("l", "r", "_whole", F.explode(some).alias("area"))
+    return met.select("l", "r", "area", (F.col("area") / F.col("_whole")).alias("share"))
 
 
 def rectangle(x0, y0, w, h) -> Column:
