@@ -98,8 +98,14 @@ def _char_grams(text: str, size: int) -> Column:
     return F.transform(runs, lambda g: F.xxhash64(F.lit(size), g))
 
 
-def _candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(_k, _t, _item): texts that hold the rarest gram of an item's literal.
+def _candidates(texts: DataFrame, items: DataFrame, together: Column) -> DataFrame:
+    """(_k, _t, _items): texts that hold the rarest gram of an item's literal,
+    with ``together`` (an aggregate of ``_item``) of the items of that gram.
+
+    Texts meet blocks of items, never single items: a gram's items are
+    dealt by their hash to blocks of about ``PATTERN_BLOCK_BYTES``. Rows are few
+    numbers and digests until the blocks are joined last, and stand by block, so
+    a block is prepared once for the texts that follow each other.
 
     ``items``: (_item, _lit), every text that matches the item contains the
     literal. A literal of four or more space-separated words is looked up by pairs of
@@ -126,7 +132,7 @@ def _candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
         of_items.append(own.select("_item", F.explode(F.array_distinct(grams)).alias("_g")))
         of_texts.append(cut.select("_k", source).select("_k", each.alias("_g")))
     if not sizes:
-        return texts.withColumn("_item", F.lit("")).limit(0)
+        return texts.crossJoin(items.agg(together.alias("_items"))).limit(0)
     wanted = cut_lineage(reduce(DataFrame.union, of_items))
     grams = wanted.select("_g").distinct()
     if grams.count() <= BROADCAST_GRAMS:
@@ -136,7 +142,12 @@ def _candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
     rarest = (wanted.join(often, "_g", "left").groupBy("_item")
               .agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
               .where("_r.n > 0").select("_item", F.col("_r.g").alias("_g")))
-    return held.join(rarest, "_g").select("_k", "_item").distinct().join(texts, "_k")
+    rarest = cut_lineage(rarest)
+    blocks = rarest.groupBy("_g").agg(F.ceil(F.sum(F.octet_length("_item") + 8) / PATTERN_BLOCK_BYTES).alias("_blocks"))
+    dealt = rarest.join(blocks, "_g").groupBy("_g", F.pmod(F.xxhash64("_item"), "_blocks").alias("_b")).agg(together.alias("_items"))
+    met = (held.join(blocks, "_g").distinct().join(texts, "_k")
+           .select("_k", "_t", "_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_b")))
+    return cut_lineage(met.sortWithinPartitions("_g", "_b")).join(dealt, ["_g", "_b"]).select("_k", "_t", "_items")
 
 
 def _rows_of(df: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
@@ -184,10 +195,17 @@ def keep_matching_any(df: DataFrame, text_col: str, patterns: DataFrame, pattern
     if literal:
         return df.join(patterns.select(F.col(pattern_col).alias("_p")).distinct(),
                        df[text_col] == F.col("_p"), "left_semi")
-    vals = (patterns.select(F.col(pattern_col).cast("string").alias("_item")).where(F.col("_item").isNotNull()).distinct()
-            .select("_item", required_literal("_item").alias("_lit")))
+    # written as they are and with their literals: long expressions that filters would be pushed into
+    vals = cut_lineage(patterns.select(F.col(pattern_col).cast("string").alias("_item")).where(F.col("_item").isNotNull()).distinct())
     texts = _keyed(df, text_col)
-    found = [_candidates(texts, vals.where(F.col("_lit").isNotNull())).where(F.expr("_t rlike _item")).select("_k")]
+    # group numbers and names are the pattern's own, and an open class would take in the next pattern
+    vals = cut_lineage(vals.select("_item", required_literal("_item").alias("_lit"), (F.col("_item").rlike(r"\\[1-9k]|\(\?<[a-zA-Z]")
+                                   | F.regexp_replace(F.regexp_replace("_item", r"\\.", ""), r"\[[^\]]*\]", "").contains("[")).alias("_alone")))
+    one_of = F.array_join(F.collect_list(F.concat(F.lit("(?:"), "_item", F.lit(")"))), "|")
+    by_literal = vals.where(F.col("_lit").isNotNull())
+    # regexp_instr keeps the pattern it compiled last, rlike compiles one a row
+    found = [_candidates(texts, by_literal.where("not _alone"), one_of).where("regexp_instr(_t, _items) > 0").select("_k"),
+             _candidates(texts, by_literal.where("_alone"), F.collect_list("_item")).where("exists(_items, p -> _t rlike p)").select("_k")]
 
     def block_of(block):
         return texts.where(F.col("_t").rlike("|".join(f"(?:{p})" for p in block))).select("_k")
@@ -334,5 +352,6 @@ def semi_join_contains(df: DataFrame, text_col: str, items: DataFrame, item_col:
     their text: ``id_col`` is not needed, and ids may be null or repeated.
     """
     it = items.select(F.col(item_col).cast("string").alias("_item")).where(F.col("_item").isNotNull()).distinct()
-    found = _candidates(_keyed(df, text_col), it.withColumn("_lit", F.col("_item"))).where(F.contains("_t", "_item"))
+    found = (_candidates(_keyed(df, text_col), it.withColumn("_lit", F.col("_item")), F.collect_list("_item"))
+             .where("exists(_items, i -> contains(_t, i))"))
     return _rows_of(df, text_col, found)
