@@ -216,6 +216,23 @@ def test_nearest_address_of_one_busy_number(spark):
     q = spark.createDataFrame(reqs + [x[:2] for x in far], "rid int, addr string")
     start = time.time()
     got = {x.rid: (x.pid, x.distance) for x in J.nearest_address(q, p, "addr", "paddr", "pid").collect()}
-    assert time.time() - start < 60
+    assert time.time() - start < 90
     assert len(got) == len(reqs) + len(far) and all(got[x[0]] == x[2] for x in far), [got[x[0]] for x in far]
     assert all(got[i][1] == 1 and got[i][0] < len(names) for i, _ in reqs)
+
+
+def test_patterns_of_one_literal_stand_in_blocks(spark, monkeypatch):
+    """Many patterns with the same literal: candidates are a text with a block
+    of patterns, not each of its pairs; own group names and numbers keep to their pattern."""
+    texts = spark.createDataFrame([(i, f"w{i % 50} box LARGE Brand#7 no {i}") for i in range(300)] + [(900, "aa LARGE Brand#7 no aa")], "id int, text string")
+    pats = [f"^w{j} [a-z]+ LARGE Brand#7 no [0-9]*{d}$" for j in range(40) for d in range(5)] + [r"^(?<x>a)[a-z] LARGE Brand#7 no (?<y>a)a", r"^(?<x>b) LARGE Brand#7 no 1"]
+    sizes, candidates = [], J._candidates
+
+    def counted(*args):
+        got = candidates(*args)
+        sizes.append(got.count())
+        return got
+    monkeypatch.setattr(J, "_candidates", counted)
+    got = sorted(r.id for r in J.keep_matching_any(texts, "text", spark.createDataFrame([(x,) for x in pats], "p string"), "p").collect())
+    assert got == [i for i in range(300) if i % 50 < 40 and i % 10 < 5] + [900]
+    assert sum(sizes) <= 2 * 301, sizes
